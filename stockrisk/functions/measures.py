@@ -1,13 +1,8 @@
-"""Measures of the source tables: stock totals, sales averages, margins, lead times and trends."""
+"""Measures of the source tables, as SQL expression text: stock totals, averages, margins, lead times, trends."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from stockrisk.functions.numeric import round_half_even, to_double
+from stockrisk.functions.numeric import to_double
 
 # The parts of a stock position and the stages of a replenishment.
 STOCK_PARTS = [
@@ -26,44 +21,38 @@ LEAD_TIME_STAGES = [
     "customs_clearance_days",
     "amazon_receiving_days",
 ]
-TREND_CUTOFF = 0.15
 
 
-def _total(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0)) for c in columns])
+def _total(columns: list[str]) -> str:
+    return " + ".join(f"coalesce({name}, 0)" for name in columns)
 
 
-def stock_total(parts: list[Column] | None = None) -> Column:
-    return _total(parts or [F.col(name) for name in STOCK_PARTS])
+def stock_total() -> str:
+    return _total(STOCK_PARTS)
 
 
-def average_daily(units: Column, days: int) -> Column:
-    return round_half_even(units.cast("double") / F.lit(float(days)), 2).cast("decimal(10,2)")
+def average_daily(units: str, days: int) -> str:
+    return f"cast(round({units} / {days}D, 2) AS decimal(10,2))"
 
 
-def unit_margin(price: Column, landed_cost: Column) -> Column:
+def unit_margin(price: str, landed_cost: str) -> str:
     price, cost = to_double(price), to_double(landed_cost)
-    share = round_half_even((price - cost) / price, 4)
-    return F.when(price > 0, share).otherwise(0.0).cast("decimal(10,4)")
+    return f"cast(CASE WHEN {price} > 0 THEN ({price} - {cost}) / {price} ELSE 0D END AS decimal(10,4))"
 
 
-def lead_time_total(stages: list[Column] | None = None) -> Column:
-    return _total(stages or [F.col(name) for name in LEAD_TIME_STAGES])
+def lead_time_total() -> str:
+    return _total(LEAD_TIME_STAGES)
 
 
-def reorder_point(total_days: Column, safety_days: Column) -> Column:
-    return total_days + F.coalesce(safety_days, F.lit(0))
+def reorder_point(total_days: str, safety_days: str) -> str:
+    return f"{total_days} + coalesce({safety_days}, 0)"
 
 
-def trend_rate(average_7d: Column, average_30d: Column) -> Column:
+def trend_rate(average_7d: str, average_30d: str) -> str:
     """Change of the 7-day against the 30-day average, 0 without a positive 30-day average."""
     recent, base = to_double(average_7d), to_double(average_30d)
-    return F.when(base > 0, recent / base - 1.0).otherwise(0.0)
+    return f"CASE WHEN {base} > 0 THEN {recent} / {base} - 1D ELSE 0D END"
 
 
-def trend_label(rate: Column) -> Column:
-    return (
-        F.when(rate >= TREND_CUTOFF, "rising")
-        .when(rate <= -TREND_CUTOFF, "declining")
-        .otherwise("stable")
-    )
+def trend_label(rate: str) -> str:
+    return f"CASE WHEN {rate} >= 0.15D THEN 'rising' WHEN {rate} <= -0.15D THEN 'declining' ELSE 'stable' END"

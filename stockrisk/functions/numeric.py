@@ -1,70 +1,51 @@
-"""Number helpers that keep the binary-double rounding of the rule set.
+"""Number helpers of the rule set, as Spark SQL expression text.
 
-The rules are defined on IEEE doubles and round half to even on the exact binary value: 63.125 is shown as
-63.12 and 1.005 as 1.00.  Spark's ``round`` and ``format_string`` work on the shortest decimal text instead
-(63.13 and 1.01).  ``round_half_even`` and ``fixed_text`` give the binary result with built-in expressions.
+Expressions are built as text because one parsed expression costs the driver one call, however large it is.
+
+Shown numbers are IEEE doubles rounded half to even on the exact binary value: 63.125 as 63.12 and 1.005 as 1.00.
+Spark's ``round`` and ``format_string`` work on the shortest decimal text instead (63.13 and 1.01), so
+``fixed_text`` settles ties itself, with built-in expressions.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 
-def to_double(value: Column) -> Column:
+def to_double(value: str) -> str:
     """NULL counts as zero everywhere in the rules."""
-    return F.coalesce(value.cast("double"), F.lit(0.0))
+    return f"coalesce(cast({value} AS double), 0D)"
 
 
-def ratio(numerator: Column, divisor: Column) -> Column:
+def ratio(numerator: str, divisor: str) -> str:
     """``numerator / divisor``, NULL unless the divisor is positive."""
-    return F.when(divisor > 0, numerator / divisor)
+    return f"CASE WHEN {divisor} > 0 THEN {numerator} / {divisor} END"
 
 
-def _distance_from_tie(magnitude: Column, doubled_tie: Column, digits: int) -> Column:
-    """Exact sign of ``magnitude * 2 * 10**digits - doubled_tie`` for a magnitude next to that tie.
+def _distance_from_tie(magnitude: str, digits: int) -> str:
+    """Exact sign of ``magnitude * 2 * 10**digits`` minus the odd whole number next to it.
 
     The factor is split into powers of two, whose products with a double are exact.  Whole parts are taken off
     first and the piece with the finest grain is added last, so that no addition rounds.
     """
     factor = 2 * 10**digits
     powers = [1 << bit for bit in reversed(range(factor.bit_length())) if factor >> bit & 1]
-    pieces = [magnitude * F.lit(float(power)) for power in powers]
-    wholes = reduce(lambda a, b: a + b, [F.floor(piece).cast("double") for piece in pieces])
-    fractions = [piece - F.floor(piece).cast("double") for piece in pieces]
-    coarse = reduce(lambda a, b: a + b, fractions[:-1])
-    return (coarse - (doubled_tie - wholes)) + fractions[-1]
-
-
-def _half_even_decimal(value: Column, digits: int) -> Column:
-    """The rounded value as a decimal with ``digits`` places; NULL beyond the decimal range."""
-    shortest = F.abs(value).try_cast("decimal(38,16)")
-    away = F.round(shortest, digits)
-    step = F.lit(10.0**-digits).cast(f"decimal(20,{digits})")
-    doubled = shortest.cast("double") * F.lit(2.0 * 10**digits)
-    is_tie = (away - shortest) == F.lit(0.5 * 10.0**-digits).cast(f"decimal(20,{digits + 1})")
-    distance = _distance_from_tie(F.abs(value), F.rint(doubled), digits)
-    magnitude = (
-        F.when(~is_tie, away)
-        .when(distance > 0, away)
-        .when(distance < 0, away - step)
-        .otherwise(F.bround(shortest, digits))
-        .cast(f"decimal(38,{digits})")
-    )
-    return F.when(value < 0, -magnitude).otherwise(magnitude)
-
-
-def round_half_even(value: Column, digits: int) -> Column:
-    """Round a double to ``digits`` places by its exact binary value; the result stays a double."""
-    value = value.cast("double")
-    return F.coalesce(_half_even_decimal(value, digits).cast("double"), value)
-
-
-def fixed_text(value: Column, digits: int) -> Column:
-    """Text of a double with exactly ``digits`` places, rounded like ``round_half_even``."""
-    value = value.cast("double")
-    return F.coalesce(
-        _half_even_decimal(value, digits).cast("string"), F.format_string(f"%.{digits}f", value)
-    )
+    pieces = [f"{magnitude} * {power}D" for power in powers]
+    wholes = " + ".join(f"floor({piece})" for piece in pieces)
+    fractions = [f"({piece} - floor({piece}))" for piece in pieces]
+    tie = f"rint({magnitude} * {factor}D)"
+    return f"(({' + '.join(fractions[:-1])}) - ({tie} - ({wholes}))) + {fractions[-1]}"
+
+
+def fixed_text(value: str, digits: int) -> str:
+    """Text of a double with exactly ``digits`` places; pass a plain column, the value is used many times."""
+    magnitude = f"abs({value})"
+    shortest = f"try_cast({magnitude} AS decimal(38,16))"
+    step = f"{10.0**-digits:.{digits}f}"
+    half = f"{0.5 * 10.0**-digits:.{digits + 1}f}"
+    distance = _distance_from_tie(magnitude, digits)
+    rounded = f"""CASE
+        WHEN round({shortest}, {digits}) - {shortest} <> {half} THEN round({shortest}, {digits})
+        WHEN {distance} > 0 THEN round({shortest}, {digits})
+        WHEN {distance} < 0 THEN round({shortest}, {digits}) - {step}
+        ELSE bround({shortest}, {digits}) END"""
+    signed = f"CASE WHEN {value} < 0 THEN -1 ELSE 1 END * cast({rounded} AS decimal(30,{digits}))"
+    return f"coalesce(cast({signed} AS string), format_string('%.{digits}f', {value}))"

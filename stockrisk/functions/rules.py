@@ -1,22 +1,16 @@
-"""The risk and replenishment rules as native column expressions.
+"""The risk and replenishment rules as Spark SQL expression text.
 
-Every function takes columns and returns a column (or a small named tuple of columns).  Inputs may be NULL; unless
-said otherwise NULL counts as zero.  Arithmetic is done on doubles in a fixed order because a different order can
-move a ``ceil`` by one unit.
+Every function takes operand texts (usually column names) and returns the text of one native expression; nothing
+needs a Python worker.  Operands may be NULL; unless said otherwise NULL counts as zero.  Arithmetic is done on
+doubles in a fixed order because a different order can move a ``ceil`` by one unit.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from stockrisk.functions.numeric import fixed_text, ratio, round_half_even, to_double
+from stockrisk.functions.numeric import fixed_text, ratio, to_double
 
 # Scores, cut-offs and sentences that results must reproduce.
-LEVEL_SCORES = {"critical": 95.0, "high": 80.0, "medium": 55.0, "unknown": 40.0, "low": 20.0}
-UNKNOWN_SCORE = 40.0
+LEVEL_SCORES = {"critical": 95, "high": 80, "medium": 55, "unknown": 40, "low": 20}
 DEMAND_TEXT = {
     "no_sales": "No recent sales were provided, so demand is treated as no_sales.",
     "rising": "Recent demand is rising, so stockout and replenishment decisions should be more conservative.",
@@ -30,439 +24,324 @@ PROFIT_TEXT = {
     "high_margin": "Margin is healthy, so replenishment is financially attractive if demand exists.",
     "healthy": "Margin is acceptable for a normal replenishment decision.",
 }
-WEAK_PROFIT = ["loss", "low_margin", "unknown"]
+WEAK_PROFIT = "('loss', 'low_margin', 'unknown')"
+COSTLY_ACTIONS = "('replenish_now', 'clearance_or_reduce_replenishment')"
 
 
-def _lookup(key: Column, values: dict) -> Column:
-    """A short CASE over fixed values; NULL when nothing matches."""
-    branches = iter(values.items())
-    first, value = next(branches)
-    case = F.when(key == first, value)
-    for name, value in branches:
-        case = case.when(key == name, value)
-    return case
+def _texts(key: str, values: dict[str, str]) -> str:
+    branches = " ".join(f"WHEN '{name}' THEN '{text}'" for name, text in values.items())
+    return f"CASE {key} {branches} END"
 
 
-def _whole(value: Column) -> Column:
+def _whole(value: str) -> str:
     """Text of a quantity without decimals."""
-    return F.rint(to_double(value)).cast("bigint").cast("string")
+    return f"cast(cast(rint({to_double(value)}) AS bigint) AS string)"
 
 
-def level_score(level: Column) -> Column:
-    return F.coalesce(_lookup(level, LEVEL_SCORES), F.lit(UNKNOWN_SCORE))
+def _up(trend: str) -> str:
+    return f"coalesce(lower({trend}) IN ('rising', 'up'), false)"
 
 
-def trend_is_up(trend: Column) -> Column:
-    return F.coalesce(F.lower(trend).isin("rising", "up"), F.lit(False))
+def _down(trend: str) -> str:
+    return f"coalesce(lower({trend}) IN ('declining', 'down'), false)"
 
 
-def trend_is_down(trend: Column) -> Column:
-    return F.coalesce(F.lower(trend).isin("declining", "down"), F.lit(False))
+def level_score(level: str) -> str:
+    branches = " ".join(f"WHEN '{name}' THEN {score}D" for name, score in LEVEL_SCORES.items())
+    return f"CASE {level} {branches} ELSE 40D END"
 
 
-def daily_sales(average_7d: Column, average_30d: Column) -> Column:
+def daily_sales(average_7d: str, average_30d: str) -> str:
     """The 7-day average when positive, else the 30-day average when positive, else zero."""
-    recent, base = to_double(average_7d), to_double(average_30d)
-    return F.when(recent > 0, recent).when(base > 0, base).otherwise(0.0)
+    return f"CASE WHEN {average_7d} > 0 THEN {average_7d} WHEN {average_30d} > 0 THEN {average_30d} ELSE 0D END"
 
 
-class Demand(NamedTuple):
-    signal: Column
-    score: Column
-    explanation: Column
+def demand_signal(units_30d: str, trend: str, rate: str) -> str:
+    return f"""CASE
+        WHEN {to_double(units_30d)} <= 0 THEN 'no_sales'
+        WHEN {_up(trend)} OR {to_double(rate)} >= 0.15D THEN 'rising'
+        WHEN {_down(trend)} OR {to_double(rate)} <= -0.15D THEN 'declining'
+        ELSE 'stable' END"""
 
 
-def demand(units_7d: Column, units_30d: Column, trend: Column, rate: Column) -> Demand:
+def demand_score(signal: str, units_7d: str, rate: str) -> str:
     rate = to_double(rate)
-    signal = (
-        F.when(to_double(units_30d) <= 0, "no_sales")
-        .when(trend_is_up(trend) | (rate >= 0.15), "rising")
-        .when(trend_is_down(trend) | (rate <= -0.15), "declining")
-        .otherwise("stable")
-    )
-    score = (
-        F.when(signal == "no_sales", 0.0)
-        .when(signal == "rising", F.least(F.lit(100.0), F.greatest(rate, F.lit(0.0)) * 100.0 + 70.0))
-        .when(signal == "declining", F.greatest(F.lit(10.0), rate * 100.0 + 45.0))
-        .when(to_double(units_7d) > 0, 55.0)
-        .otherwise(35.0)
-    )
-    return Demand(signal, round_half_even(score, 4), _lookup(signal, DEMAND_TEXT))
-
-
-def cover_days(quantity: Column, sales_per_day: Column) -> Column:
+    return f"""round(CASE {signal}
+        WHEN 'no_sales' THEN 0D
+        WHEN 'rising' THEN least(100D, 70D + greatest({rate}, 0D) * 100D)
+        WHEN 'declining' THEN greatest(10D, 45D + {rate} * 100D)
+        ELSE CASE WHEN {to_double(units_7d)} > 0 THEN 55D ELSE 35D END END, 4)"""
+
+
+def demand_text(signal: str) -> str:
+    return _texts(signal, DEMAND_TEXT)
+
+
+def cover_days(quantity: str, sales_per_day: str) -> str:
     """Days a quantity lasts; NULL without positive sales."""
-    return ratio(to_double(quantity), to_double(sales_per_day))
+    return ratio(to_double(quantity), f"cast({sales_per_day} AS double)")
 
 
-def effective_inbound(shipped: Column, receiving: Column) -> Column:
+def effective_inbound(shipped: str, receiving: str) -> str:
     """Units that are certain to arrive: shipped and receiving, not those still being prepared."""
-    return (to_double(shipped) + to_double(receiving)).cast("int")
+    return f"cast({to_double(shipped)} + {to_double(receiving)} AS int)"
 
 
-def stockout_date(today: Column, available_days: Column) -> Column:
-    return F.date_add(today, F.floor(available_days).cast("int"))
+def stockout_date(today: str, available_days: str) -> str:
+    return f"date_add({today}, cast(floor({available_days}) AS int))"
 
 
-def stockout_level(
-    fulfillable: Column, available_days: Column, safety_days: Column, lead_days: Column
-) -> Column:
-    lead = to_double(lead_days)
-    return (
-        F.when(to_double(fulfillable) <= 0, "critical")
-        .when(available_days.isNull(), "unknown")
-        .when(available_days <= to_double(safety_days), "critical")
-        .when(available_days <= lead, "high")
-        .when(available_days <= lead + 7.0, "medium")
-        .otherwise("low")
-    )
+def stockout_level(fulfillable: str, available_days: str, safety_days: str, lead_days: str) -> str:
+    return f"""CASE
+        WHEN {to_double(fulfillable)} <= 0 THEN 'critical'
+        WHEN {available_days} IS NULL THEN 'unknown'
+        WHEN {available_days} <= {to_double(safety_days)} THEN 'critical'
+        WHEN {available_days} <= {to_double(lead_days)} THEN 'high'
+        WHEN {available_days} <= {to_double(lead_days)} + 7D THEN 'medium'
+        ELSE 'low' END"""
 
 
-class StockoutScore(NamedTuple):
-    level: Column
-    score: Column
+def delivery_relief(available_days: str, today: str, inbound_eta: str) -> str:
+    """True where a delivery is due at most three days after running out."""
+    return f"coalesce(datediff({inbound_eta}, {today}) <= {available_days} + 3D, false)"
 
 
-def stockout_score(
-    base_level: Column, trend: Column, available_days: Column, today: Column, inbound_eta: Column
-) -> StockoutScore:
-    """Score a level; an inbound delivery due within three days of running out lowers level and score."""
-    start = level_score(base_level)
-    raised = F.when(
-        trend_is_up(trend) & base_level.isin("high", "medium"), F.least(F.lit(100.0), start + 8.0)
-    ).otherwise(start)
-    relieved = F.coalesce(F.datediff(inbound_eta, today) <= available_days + 3.0, F.lit(False))
-    level = (
-        F.when(relieved & (base_level == "critical"), "high")
-        .when(relieved & (base_level == "high"), "medium")
-        .otherwise(base_level)
-    )
-    score = F.when(relieved, F.greatest(F.lit(20.0), raised - 15.0)).otherwise(raised)
-    return StockoutScore(level, round_half_even(score, 4))
+def relieved_level(level: str, relieved: str) -> str:
+    return f"""CASE
+        WHEN {relieved} AND {level} = 'critical' THEN 'high'
+        WHEN {relieved} AND {level} = 'high' THEN 'medium'
+        ELSE {level} END"""
 
 
-class LostSales(NamedTuple):
-    units: Column
-    revenue: Column
+def stockout_score(base_level: str, trend: str, relieved: str) -> str:
+    """Score of the level before relief, raised for rising demand and lowered by a delivery."""
+    urgent = f"{_up(trend)} AND {base_level} IN ('high', 'medium')"
+    raised = f"least(100D, {level_score(base_level)} + CASE WHEN {urgent} THEN 8D ELSE 0D END)"
+    return f"CASE WHEN {relieved} THEN greatest(20D, {raised} - 15D) ELSE {raised} END"
 
 
-def lost_units(fulfillable: Column, available_days: Column, lead_days: Column, per_day: Column) -> Column:
+def lost_units(fulfillable: str, available_days: str, lead_days: str, per_day: str) -> str:
     """Units that cannot be sold between running out and the next delivery."""
     lead, left = to_double(lead_days), to_double(available_days)
-    gap = F.when((per_day > 0) & (lead > left), F.ceil((lead - left) * per_day)).otherwise(0)
-    whole_lead = F.when((to_double(fulfillable) <= 0) & (per_day > 0), F.ceil(lead * per_day))
-    return F.greatest(gap, whole_lead)
-
-
-def money(quantity: Column, unit_value: Column) -> Column:
-    return round_half_even(to_double(quantity) * to_double(unit_value), 2)
+    return f"""CASE WHEN {per_day} > 0 THEN greatest(
+        CASE WHEN {lead} > {left} THEN ceil(({lead} - {left}) * {per_day}) ELSE 0L END,
+        CASE WHEN {to_double(fulfillable)} <= 0 THEN ceil({lead} * {per_day}) END)
+        ELSE 0L END"""
 
 
-def lost_sales(
-    fulfillable: Column, available_days: Column, lead_days: Column, per_day: Column, price: Column
-) -> LostSales:
-    units = lost_units(fulfillable, available_days, lead_days, per_day)
-    return LostSales(units, money(units, price))
+def money(quantity: str, unit_value: str) -> str:
+    return f"round({to_double(quantity)} * {to_double(unit_value)}, 2)"
 
 
-def overstock_level(total: Column, average_30d: Column, total_cover: Column) -> Column:
-    return (
-        F.when(to_double(total) <= 0, "low")
-        .when(to_double(average_30d) <= 0, "high")
-        .when(total_cover.isNull(), "unknown")
-        .when(total_cover >= 180, "high")
-        .when(total_cover >= 90, "medium")
-        .otherwise("low")
-    )
+def overstock_level(total: str, average_30d: str, total_cover: str) -> str:
+    return f"""CASE
+        WHEN {to_double(total)} <= 0 THEN 'low'
+        WHEN {to_double(average_30d)} <= 0 THEN 'high'
+        WHEN {total_cover} IS NULL THEN 'unknown'
+        WHEN {total_cover} >= 180 THEN 'high'
+        WHEN {total_cover} >= 90 THEN 'medium'
+        ELSE 'low' END"""
 
 
-def overstock_score(level: Column, total_cover: Column, average_30d: Column, margin: Column) -> Column:
+def overstock_score(level: str, total_cover: str, average_30d: str, margin: str) -> str:
+    """Level score with floors for very long cover and for no sales, raised for a thin margin."""
     # greatest() skips NULL, so each floor applies only where its condition holds.
-    floored = F.greatest(
-        level_score(level),
-        F.when(total_cover >= 180, 88.0),
-        F.when(to_double(average_30d) <= 0, 85.0),
-    )
-    thin = (to_double(margin) < 0.15) & F.coalesce(level.isin("high", "medium"), F.lit(False))
-    return round_half_even(F.when(thin, F.least(F.lit(100.0), floored + 8.0)).otherwise(floored), 4)
+    floored = f"""greatest({level_score(level)},
+        CASE WHEN {total_cover} >= 180 THEN 88D END,
+        CASE WHEN {to_double(average_30d)} <= 0 THEN 85D END)"""
+    thin = f"{to_double(margin)} < 0.15D AND coalesce({level} IN ('high', 'medium'), false)"
+    return f"least(100D, {floored} + CASE WHEN {thin} THEN 8D ELSE 0D END)"
 
 
-def carton_round(quantity: Column, carton: Column) -> Column:
+def carton_round(quantity: str, carton: str) -> str:
     """Round a quantity up to whole cartons, or to whole units without a carton size."""
     quantity, carton = to_double(quantity), to_double(carton)
-    return (
-        F.when(quantity <= 0, F.lit(0).cast("bigint"))
-        .when(carton <= 0, F.ceil(quantity))
-        .otherwise((F.ceil(quantity / carton).cast("double") * carton).cast("bigint"))
-    )
+    return f"""CASE
+        WHEN {quantity} <= 0 THEN 0L
+        WHEN {carton} <= 0 THEN ceil({quantity})
+        ELSE cast(ceil({quantity} / {carton}) * {carton} AS bigint) END"""
 
 
-def replenish_quantity_basic(
-    target_days: Column, average_30d: Column, fulfillable: Column, inbound: Column, carton: Column
-) -> Column:
-    missing = to_double(target_days) * to_double(average_30d) - to_double(fulfillable) - to_double(inbound)
-    return carton_round(missing, carton)
+def missing_quantity(target_days: str, average_30d: str, available: str, inbound: str) -> str:
+    """Units short of the target cover; negative when there is more than enough."""
+    need = f"{to_double(target_days)} * {to_double(average_30d)}"
+    return f"{need} - {to_double(available)} - {to_double(inbound)}"
 
 
-def replenish_target_days(target: Column, lead_days: Column, safety_days: Column, trend: Column) -> Column:
+def replenish_target_days(target: str, lead_days: str, safety_days: str, trend: str) -> str:
     """Days of cover to aim at: the set target, or lead plus safety time, stretched or shrunk by the trend."""
     target = to_double(target)
-    base = F.when(target <= 0, to_double(lead_days) + to_double(safety_days)).otherwise(target)
-    return (
-        F.when(trend_is_up(trend), base * 1.15).when(trend_is_down(trend), base * 0.8).otherwise(base)
-    )
+    fallback = f"{to_double(lead_days)} + {to_double(safety_days)}"
+    factor = f"CASE WHEN {_up(trend)} THEN 1.15D WHEN {_down(trend)} THEN 0.8D ELSE 1D END"
+    return f"(CASE WHEN {target} <= 0 THEN {fallback} ELSE {target} END) * {factor}"
 
 
-def replenish_quantity(
-    target_days: Column, average_30d: Column, available: Column, inbound: Column, moq: Column, carton: Column
-) -> Column:
-    """Cartons to order; a positive quantity below the minimum order is lifted to it."""
-    missing = target_days * to_double(average_30d) - to_double(available) - to_double(inbound)
-    quantity = carton_round(missing, carton)
-    minimum = to_double(moq).cast("bigint")
-    return F.when(
-        (quantity > 0) & (quantity < minimum), carton_round(minimum, carton)
-    ).otherwise(quantity)
+def lifted_to_minimum(quantity: str, moq: str, carton: str) -> str:
+    """A positive quantity below the minimum order becomes that minimum in whole cartons."""
+    minimum = f"cast({to_double(moq)} AS bigint)"
+    return f"""CASE WHEN {quantity} > 0 AND {quantity} < {minimum}
+        THEN {carton_round(minimum, carton)} ELSE {quantity} END"""
 
 
-def replenish_days(target_days: Column) -> Column:
-    return F.when(target_days > 0, F.ceil(target_days)).otherwise(0).cast("int")
+def replenish_days(target_days: str) -> str:
+    return f"CASE WHEN {target_days} > 0 THEN cast(ceil({target_days}) AS int) ELSE 0 END"
 
 
-def replenish_action(quantity: Column) -> Column:
-    return F.when(to_double(quantity) > 0, "replenish_now").otherwise("keep_monitoring")
+def replenish_action(quantity: str) -> str:
+    return f"CASE WHEN {to_double(quantity)} > 0 THEN 'replenish_now' ELSE 'keep_monitoring' END"
 
 
 def replenish_text(
-    quantity: Column, target_days: Column, average_30d: Column, available: Column, inbound: Column, moq: Column
-) -> Column:
-    return F.concat(
-        F.lit("Recommended quantity is "),
-        quantity.cast("string"),
-        F.lit(", based on target cover days "),
-        fixed_text(target_days, 1),
-        F.lit(", 30-day average daily sales "),
-        fixed_text(to_double(average_30d), 2),
-        F.lit(", available inventory "),
-        _whole(available),
-        F.lit(", inbound inventory "),
-        _whole(inbound),
-        F.lit(", MOQ "),
-        to_double(moq).cast("bigint").cast("string"),
-        F.lit("."),
-    )
-
-
-def unit_cost(landed: Column, purchase: Column) -> Column:
+    quantity: str, target_days: str, average_30d: str, available: str, inbound: str, moq: str
+) -> str:
+    """The stored 30-day average has two places, so its text needs no rounding."""
+    return f"""concat('Recommended quantity is ', {quantity},
+        ', based on target cover days ', {fixed_text(target_days, 1)},
+        ', 30-day average daily sales ', cast({to_double(average_30d)} AS decimal(20,2)),
+        ', available inventory ', {_whole(available)},
+        ', inbound inventory ', {_whole(inbound)},
+        ', MOQ ', cast({to_double(moq)} AS bigint), '.')"""
+
+
+def unit_cost(landed: str, purchase: str) -> str:
     """Landed cost, or the purchase cost where it is zero or missing."""
     landed = to_double(landed)
-    return F.when(landed == 0, to_double(purchase)).otherwise(landed)
+    return f"CASE WHEN {landed} = 0 THEN {to_double(purchase)} ELSE {landed} END"
 
 
-def effective_margin(price: Column, cost: Column, margin: Column) -> Column:
+def effective_margin(price: str, cost: str, margin: str) -> str:
     """The given margin; exactly zero means unknown and is recomputed from price and cost."""
     price, margin = to_double(price), to_double(margin)
-    return F.when((margin == 0) & (price > 0), (price - cost) / price).otherwise(margin)
+    return f"CASE WHEN {margin} = 0 AND {price} > 0 THEN ({price} - {cost}) / {price} ELSE {margin} END"
 
 
-class Profitability(NamedTuple):
-    signal: Column
-    value: Column
-    approval_required: Column
-    explanation: Column
+def profit_signal(price: str, cost: str, margin: str) -> str:
+    """``cost`` and ``margin`` are those of ``unit_cost`` and ``effective_margin``."""
+    return f"""CASE
+        WHEN {to_double(price)} <= 0 OR {cost} <= 0 THEN 'unknown'
+        WHEN {margin} < 0 THEN 'loss'
+        WHEN {margin} < 0.18D THEN 'low_margin'
+        WHEN {margin} >= 0.35D THEN 'high_margin'
+        ELSE 'healthy' END"""
 
 
-def profit_signal(price: Column, cost: Column, margin: Column) -> Column:
-    return (
-        F.when((to_double(price) <= 0) | (cost <= 0), "unknown")
-        .when(margin < 0, "loss")
-        .when(margin < 0.18, "low_margin")
-        .when(margin >= 0.35, "high_margin")
-        .otherwise("healthy")
-    )
+def profit_approval(signal: str, quantity: str) -> str:
+    return f"{signal} IN {WEAK_PROFIT} AND {to_double(quantity)} > 0"
 
 
-def profitability(price: Column, cost: Column, margin: Column, quantity: Column) -> Profitability:
-    """``cost`` and ``margin`` are those of ``unit_cost`` and ``effective_margin``."""
-    signal = profit_signal(price, cost, margin)
-    return Profitability(
-        signal,
-        money(quantity, cost),
-        signal.isin(WEAK_PROFIT) & (to_double(quantity) > 0),
-        _lookup(signal, PROFIT_TEXT),
-    )
+def profit_text(signal: str) -> str:
+    return _texts(signal, PROFIT_TEXT)
 
 
-class Decision(NamedTuple):
-    action: Column
-    level: Column
-    confidence: Column
-    approval_required: Column
+def recommended_action(level: str, overstock: str, quantity: str, quality: str) -> str:
+    """The action cascade; a NULL data quality counts as not complete."""
+    return f"""CASE
+        WHEN coalesce({quality}, '') <> 'complete' THEN 'complete_missing_data'
+        WHEN {level} IN ('critical', 'high') AND {to_double(quantity)} > 0 THEN 'replenish_now'
+        WHEN {level} = 'medium' THEN 'prepare_replenishment'
+        WHEN {overstock} = 'high' THEN 'clearance_or_reduce_replenishment'
+        ELSE 'keep_monitoring' END"""
 
 
-def recommended_action(
-    level: Column, overstock: Column, quantity: Column, quality: Column
-) -> Column:
-    """The action cascade; a NULL data quality counts as not complete."""
-    return (
-        F.when(F.coalesce(quality, F.lit("")) != "complete", "complete_missing_data")
-        .when(level.isin("critical", "high") & (to_double(quantity) > 0), "replenish_now")
-        .when(level == "medium", "prepare_replenishment")
-        .when(overstock == "high", "clearance_or_reduce_replenishment")
-        .otherwise("keep_monitoring")
-    )
-
-
-def decision(
-    level: Column, overstock: Column, quantity: Column, profit: Column, profit_approval: Column, quality: Column
-) -> Decision:
-    """Final action, level and confidence; here a NULL or empty data quality counts as complete."""
-    quality = F.coalesce(F.nullif(quality, F.lit("")), F.lit("complete"))
-    action = recommended_action(level, overstock, quantity, quality)
-    final_level = (
-        F.when(action == "complete_missing_data", F.lit("unknown"))
-        .when(action == "replenish_now", level)
-        .when(action == "prepare_replenishment", F.lit("medium"))
-        .when(action == "clearance_or_reduce_replenishment", F.lit("high"))
-        .otherwise(F.lit("low"))
-    )
-    confidence = (
-        F.when(action == "complete_missing_data", 45.0)
-        .when((action == "replenish_now") & profit.isin(WEAK_PROFIT), 70.0)
-        .when(action == "replenish_now", 88.0)
-        .when(action == "prepare_replenishment", 78.0)
-        .when(action == "clearance_or_reduce_replenishment", 82.0)
-        .otherwise(86.0)
-    )
-    approval = F.coalesce(profit_approval, F.lit(False)) | action.isin(
-        "replenish_now", "clearance_or_reduce_replenishment"
-    )
-    return Decision(action, final_level, confidence, approval)
-
-
-def needs_manual_approval(action: Column, quantity: Column) -> Column:
-    acts = action.isin("replenish_now", "clearance_or_reduce_replenishment")
-    return F.coalesce(acts, F.lit(False)) | (to_double(quantity) >= 500)
+def decided_action(level: str, overstock: str, quantity: str, quality: str) -> str:
+    """The same cascade inside the final decision, where a missing data quality counts as complete."""
+    return recommended_action(level, overstock, quantity, f"coalesce(nullif({quality}, ''), 'complete')")
+
+
+def decided_level(action: str, level: str) -> str:
+    return f"""CASE {action}
+        WHEN 'complete_missing_data' THEN 'unknown'
+        WHEN 'replenish_now' THEN {level}
+        WHEN 'prepare_replenishment' THEN 'medium'
+        WHEN 'clearance_or_reduce_replenishment' THEN 'high'
+        ELSE 'low' END"""
+
+
+def decided_confidence(action: str, profit: str) -> str:
+    return f"""CASE {action}
+        WHEN 'complete_missing_data' THEN 45D
+        WHEN 'replenish_now' THEN CASE WHEN {profit} IN {WEAK_PROFIT} THEN 70D ELSE 88D END
+        WHEN 'prepare_replenishment' THEN 78D
+        WHEN 'clearance_or_reduce_replenishment' THEN 82D
+        ELSE 86D END"""
+
+
+def decided_approval(action: str, profit_needs: str) -> str:
+    return f"coalesce({profit_needs}, false) OR {action} IN {COSTLY_ACTIONS}"
+
+
+def needs_manual_approval(action: str, quantity: str) -> str:
+    return f"coalesce({action} IN {COSTLY_ACTIONS}, false) OR {to_double(quantity)} >= 500"
 
 
 def data_quality(
-    has_inventory: Column,
-    has_sales: Column,
-    has_config: Column,
-    average_7d: Column,
-    average_30d: Column,
-    lead_days: Column,
-) -> Column:
-    return (
-        F.when(~has_inventory, "missing_inventory")
-        .when(~has_sales, "missing_sales")
-        .when(~has_config, "missing_config")
-        .when((to_double(average_7d) < 0) | (to_double(average_30d) < 0), "invalid_sales")
-        .when(to_double(lead_days) < 0, "invalid_config")
-        .otherwise("complete")
-    )
+    has_inventory: str, has_sales: str, has_config: str, average_7d: str, average_30d: str, lead_days: str
+) -> str:
+    return f"""CASE
+        WHEN NOT {has_inventory} THEN 'missing_inventory'
+        WHEN NOT {has_sales} THEN 'missing_sales'
+        WHEN NOT {has_config} THEN 'missing_config'
+        WHEN {to_double(average_7d)} < 0 OR {to_double(average_30d)} < 0 THEN 'invalid_sales'
+        WHEN {to_double(lead_days)} < 0 THEN 'invalid_config'
+        ELSE 'complete' END"""
 
 
 def data_quality_strict(
-    has_inventory: Column,
-    has_sales: Column,
-    has_config: Column,
-    average_7d: Column,
-    average_30d: Column,
-    units_30d: Column,
-    lead_days: Column,
-    target_days: Column,
-    safety_days: Column,
-    config_status: Column,
-) -> Column:
+    has_inventory: str,
+    has_sales: str,
+    has_config: str,
+    average_7d: str,
+    average_30d: str,
+    units_30d: str,
+    lead_days: str,
+    target_days: str,
+    safety_days: str,
+    config_status: str,
+) -> str:
     """The stricter documented variant: silent SKUs, averages that contradict units, unusable settings."""
-    average_7d, average_30d = to_double(average_7d), to_double(average_30d)
-    units = to_double(units_30d)
-    contradicts = average_30d != round_half_even(units / 30.0, 2)
-    unusable = (
-        F.coalesce(config_status.isin("missing", "invalid"), F.lit(False))
-        | (to_double(lead_days) <= 0)
-        | (to_double(target_days) < to_double(safety_days))
-    )
-    return (
-        F.when(~has_inventory, "missing_inventory")
-        .when(~has_sales | ((average_7d == 0) & (average_30d == 0)), "missing_sales")
-        .when(~has_config, "missing_config")
-        .when((units < 0) | contradicts, "invalid_sales")
-        .when(unusable, "invalid_config")
-        .when(config_status == "inactive", "missing_config")
-        .otherwise("complete")
-    )
-
-
-def urgency(level: Column) -> Column:
-    return (
-        F.when(level == "critical", "urgent")
-        .when(level == "high", "high")
-        .when(level == "medium", "normal")
-        .otherwise("none")
-    )
-
-
-def confidence(quality: Column, average_7d: Column) -> Column:
-    return (
-        F.when((quality == "complete") & (to_double(average_7d) > 0), 95.0)
-        .when(quality == "complete", 75.0)
-        .when(quality == "missing_sales", 50.0)
-        .when(quality == "missing_config", 40.0)
-        .when(quality.isin("invalid_sales", "invalid_config"), 35.0)
-        .otherwise(20.0)
-    )
-
-
-def stockout_text(
-    level: Column, fulfillable: Column, reserved: Column, available_days: Column, lead_days: Column
-) -> Column:
-    return F.concat(
-        F.lit("Stockout risk is "),
-        level,
-        F.lit("; fulfillable inventory is "),
-        _whole(fulfillable),
-        F.lit(", reserved inventory is "),
-        _whole(reserved),
-        F.lit(", available days are "),
-        F.coalesce(fixed_text(available_days, 2), F.lit("unknown")),
-        F.lit(", lead time is "),
-        _whole(lead_days),
-        F.lit(" days."),
-    )
-
-
-def decision_text(signal: Column, score: Column, over_score: Column, profit: Column, action: Column) -> Column:
-    return F.concat(
-        F.lit("Demand signal is "),
-        signal,
-        F.lit("; stockout score is "),
-        score.cast("string"),
-        F.lit("; overstock score is "),
-        over_score.cast("string"),
-        F.lit("; profitability signal is "),
-        profit,
-        F.lit("; final action is "),
-        action,
-        F.lit("."),
-    )
-
-
-def action_reason(
-    sku: Column, available_days: Column, level: Column, overstock: Column, quantity: Column
-) -> Column:
-    days = F.concat(fixed_text(available_days, 2), F.lit(" 天"))
-    return F.concat(
-        F.lit("SKU "),
-        F.coalesce(F.nullif(sku, F.lit("")), F.lit("未知 SKU")),
-        F.lit(" 当前可售天数为 "),
-        F.coalesce(days, F.lit("无法计算")),
-        F.lit("，断货风险为 "),
-        F.coalesce(level, F.lit("unknown")),
-        F.lit("，滞销风险为 "),
-        F.coalesce(overstock, F.lit("unknown")),
-        F.lit("，建议补货数量为 "),
-        to_double(quantity).cast("bigint").cast("string"),
-        F.lit("。"),
-    )
+    average_7d, average_30d, units = to_double(average_7d), to_double(average_30d), to_double(units_30d)
+    return f"""CASE
+        WHEN NOT {has_inventory} THEN 'missing_inventory'
+        WHEN NOT {has_sales} OR ({average_7d} = 0 AND {average_30d} = 0) THEN 'missing_sales'
+        WHEN NOT {has_config} THEN 'missing_config'
+        WHEN {units} < 0 OR {average_30d} <> round({units} / 30D, 2) THEN 'invalid_sales'
+        WHEN {config_status} IN ('missing', 'invalid') OR {to_double(lead_days)} <= 0
+            OR {to_double(target_days)} < {to_double(safety_days)} THEN 'invalid_config'
+        WHEN {config_status} = 'inactive' THEN 'missing_config'
+        ELSE 'complete' END"""
+
+
+def urgency(level: str) -> str:
+    return f"CASE {level} WHEN 'critical' THEN 'urgent' WHEN 'high' THEN 'high' WHEN 'medium' THEN 'normal' ELSE 'none' END"
+
+
+def confidence(quality: str, average_7d: str) -> str:
+    return f"""CASE {quality}
+        WHEN 'complete' THEN CASE WHEN {to_double(average_7d)} > 0 THEN 95D ELSE 75D END
+        WHEN 'missing_sales' THEN 50D
+        WHEN 'missing_config' THEN 40D
+        WHEN 'invalid_sales' THEN 35D
+        WHEN 'invalid_config' THEN 35D
+        ELSE 20D END"""
+
+
+def stockout_text(level: str, fulfillable: str, reserved: str, available_days: str, lead_days: str) -> str:
+    return f"""concat('Stockout risk is ', {level},
+        '; fulfillable inventory is ', {_whole(fulfillable)},
+        ', reserved inventory is ', {_whole(reserved)},
+        ', available days are ', coalesce({fixed_text(available_days, 2)}, 'unknown'),
+        ', lead time is ', {_whole(lead_days)}, ' days.')"""
+
+
+def decision_text(signal: str, score: str, over_score: str, profit: str, action: str) -> str:
+    return f"""concat('Demand signal is ', {signal}, '; stockout score is ', {score},
+        '; overstock score is ', {over_score}, '; profitability signal is ', {profit},
+        '; final action is ', {action}, '.')"""
+
+
+def action_reason(sku: str, available_days: str, level: str, overstock: str, quantity: str) -> str:
+    return f"""concat('SKU ', coalesce(nullif({sku}, ''), '未知 SKU'),
+        ' 当前可售天数为 ', coalesce(concat({fixed_text(available_days, 2)}, ' 天'), '无法计算'),
+        '，断货风险为 ', coalesce({level}, 'unknown'),
+        '，滞销风险为 ', coalesce({overstock}, 'unknown'),
+        '，建议补货数量为 ', cast({to_double(quantity)} AS bigint), '。')"""

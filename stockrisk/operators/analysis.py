@@ -9,196 +9,124 @@ from pyspark.sql import functions as F
 
 from stockrisk.functions import rules
 from stockrisk.schemas import ANALYSIS, KEY, STORED_ANALYSIS
-from stockrisk.sources.tables import align_to
 
-C = F.col
 
-
-def evaluate_rules(facts: DataFrame, as_of: date) -> DataFrame:
-    """Add every rule result to the facts.
-
-    The rules are applied in four projections so that a later rule refers to an earlier result by name instead of
-    repeating its expression.  The optional column ``inbound_eta_date`` feeds the delivery relief.
-    """
-    if "inbound_eta_date" not in facts.columns:
-        facts = facts.withColumn("inbound_eta_date", F.lit(None).cast("date"))
-    today = F.lit(as_of)
-    demand = rules.demand(C("sales_7d"), C("sales_30d"), C("sales_trend"), C("sales_trend_rate"))
-    first = facts.withColumns(
+def rule_steps(today: str, eta: str) -> list[dict[str, str]]:
+    """Result columns and their expressions, in steps: a later rule names the result of an earlier one."""
+    average_30d, quantity = "avg_daily_sales_30d", "recommended_replenishment_quantity"
+    lead, safety, trend = "total_replenishment_days", "safety_stock_days", "sales_trend"
+    fulfillable, available, inbound = "fulfillable_quantity", "available_days", "effective_inbound_quantity"
+    level, action, overstock = "stockout_risk_level", "recommended_action", "overstock_risk_level"
+    quality, profit = "data_quality_status", "profitability_signal"
+    base_level, relief = "base_stockout_level", "delivery_relief"
+    return [
         {
             "analysis_date": today,
-            "data_quality_status": rules.data_quality(
-                C("has_inventory"),
-                C("has_sales"),
-                C("has_config"),
-                C("avg_daily_sales_7d"),
-                C("avg_daily_sales_30d"),
-                C("total_replenishment_days"),
-            ),
-            "daily_sales": rules.daily_sales(C("avg_daily_sales_7d"), C("avg_daily_sales_30d")),
-            "effective_inbound_quantity": rules.effective_inbound(
-                C("inbound_shipped_quantity"), C("inbound_receiving_quantity")
+            quality: rules.data_quality(
+                "has_inventory", "has_sales", "has_config", "avg_daily_sales_7d", average_30d, lead
             ),
-            "total_cover_days": rules.cover_days(C("total_quantity"), C("avg_daily_sales_30d")),
-            "demand_signal": demand.signal,
-            "demand_score": demand.score,
-            "demand_explanation": demand.explanation,
-            "target_days": rules.replenish_target_days(
-                C("target_cover_days"), C("total_replenishment_days"), C("safety_stock_days"), C("sales_trend")
-            ),
-            "unit_cost": rules.unit_cost(C("landed_cost"), C("purchase_cost")),
-        }
-    )
-    second = first.withColumns(
+            "daily_sales": rules.daily_sales("avg_daily_sales_7d", average_30d),
+            inbound: rules.effective_inbound("inbound_shipped_quantity", "inbound_receiving_quantity"),
+            "total_cover_days": rules.cover_days("total_quantity", average_30d),
+            "demand_signal": rules.demand_signal("sales_30d", trend, "sales_trend_rate"),
+            "target_days": rules.replenish_target_days("target_cover_days", lead, safety, trend),
+            "unit_cost": rules.unit_cost("landed_cost", "purchase_cost"),
+        },
         {
-            "available_days": rules.cover_days(C("fulfillable_quantity"), C("daily_sales")),
-            "inbound_cover_days": rules.cover_days(
-                C("effective_inbound_quantity"), C("avg_daily_sales_30d")
-            ),
-            "overstock_risk_level": rules.overstock_level(
-                C("total_quantity"), C("avg_daily_sales_30d"), C("total_cover_days")
-            ),
-            "recommended_replenishment_quantity": rules.replenish_quantity(
-                C("target_days"),
-                C("avg_daily_sales_30d"),
-                C("fulfillable_quantity"),
-                C("effective_inbound_quantity"),
-                C("moq"),
-                C("carton_quantity"),
-            ),
-            "recommended_replenishment_days": rules.replenish_days(C("target_days")),
-            "effective_margin": rules.effective_margin(
-                C("current_price"), C("unit_cost"), C("gross_margin")
-            ),
-        }
-    )
-    profit = rules.profitability(
-        C("current_price"), C("unit_cost"), C("effective_margin"), C("recommended_replenishment_quantity")
-    )
-    third = second.withColumns(
+            available: rules.cover_days(fulfillable, "daily_sales"),
+            "inbound_cover_days": rules.cover_days(inbound, average_30d),
+            "demand_score": rules.demand_score("demand_signal", "sales_7d", "sales_trend_rate"),
+            "demand_explanation": rules.demand_text("demand_signal"),
+            overstock: rules.overstock_level("total_quantity", average_30d, "total_cover_days"),
+            "missing_quantity": rules.missing_quantity("target_days", average_30d, fulfillable, inbound),
+            "recommended_replenishment_days": rules.replenish_days("target_days"),
+            "effective_margin": rules.effective_margin("current_price", "unit_cost", "gross_margin"),
+        },
         {
-            "base_stockout_level": rules.stockout_level(
-                C("fulfillable_quantity"),
-                C("available_days"),
-                C("safety_stock_days"),
-                C("total_replenishment_days"),
-            ),
+            base_level: rules.stockout_level(fulfillable, available, safety, lead),
+            relief: rules.delivery_relief(available, today, eta),
             "overstock_risk_score": rules.overstock_score(
-                C("overstock_risk_level"), C("total_cover_days"), C("avg_daily_sales_30d"), C("gross_margin")
-            ),
-            "estimated_stockout_date": rules.stockout_date(today, C("available_days")),
-            "estimated_lost_sales_units": rules.lost_units(
-                C("fulfillable_quantity"),
-                C("available_days"),
-                C("total_replenishment_days"),
-                C("daily_sales"),
+                overstock, "total_cover_days", average_30d, "gross_margin"
             ),
-            "profitability_signal": profit.signal,
-            "recommended_replenishment_value": profit.value,
-            "profit_approval_required": profit.approval_required,
-            "profitability_explanation": profit.explanation,
-        }
-    )
-    scored = rules.stockout_score(
-        C("base_stockout_level"), C("sales_trend"), C("available_days"), today, C("inbound_eta_date")
-    )
-    fourth = third.withColumns(
+            "estimated_stockout_date": rules.stockout_date(today, available),
+            "estimated_lost_sales_units": rules.lost_units(fulfillable, available, lead, "daily_sales"),
+            "carton_rounded_quantity": rules.carton_round("missing_quantity", "carton_quantity"),
+            profit: rules.profit_signal("current_price", "unit_cost", "effective_margin"),
+        },
         {
-            "stockout_risk_level": scored.level,
-            "stockout_risk_score": scored.score,
-            "estimated_lost_revenue": rules.money(C("estimated_lost_sales_units"), C("current_price")),
-        }
-    )
-    verdict = rules.decision(
-        C("stockout_risk_level"),
-        C("overstock_risk_level"),
-        C("recommended_replenishment_quantity"),
-        C("profitability_signal"),
-        C("profit_approval_required"),
-        C("data_quality_status"),
-    )
-    fifth = fourth.withColumns(
+            level: rules.relieved_level(base_level, relief),
+            "stockout_risk_score": rules.stockout_score(base_level, trend, relief),
+            "estimated_lost_revenue": rules.money("estimated_lost_sales_units", "current_price"),
+            quantity: rules.lifted_to_minimum("carton_rounded_quantity", "moq", "carton_quantity"),
+            "profitability_explanation": rules.profit_text(profit),
+        },
         {
-            "recommended_action": verdict.action,
-            "final_risk_level": verdict.level,
-            "decision_confidence": verdict.confidence,
-            "decision_approval_required": verdict.approval_required,
-            "replenishment_urgency": rules.urgency(C("stockout_risk_level")),
-            "confidence_score": rules.confidence(C("data_quality_status"), C("avg_daily_sales_7d")),
+            action: rules.decided_action(level, overstock, quantity, quality),
+            "recommended_replenishment_value": rules.money(quantity, "unit_cost"),
+            "profit_approval_required": rules.profit_approval(profit, quantity),
+            "replenishment_urgency": rules.urgency(level),
+            "confidence_score": rules.confidence(quality, "avg_daily_sales_7d"),
             "stockout_explanation": rules.stockout_text(
-                C("stockout_risk_level"),
-                C("fulfillable_quantity"),
-                C("total_reserved_quantity"),
-                C("available_days"),
-                C("total_replenishment_days"),
-            ),
-            "action_reason": rules.action_reason(
-                C("seller_sku"),
-                C("available_days"),
-                C("stockout_risk_level"),
-                C("overstock_risk_level"),
-                C("recommended_replenishment_quantity"),
+                level, fulfillable, "total_reserved_quantity", available, lead
             ),
+            "action_reason": rules.action_reason("seller_sku", available, level, overstock, quantity),
             "replenishment_explanation": rules.replenish_text(
-                C("recommended_replenishment_quantity"),
-                C("target_days"),
-                C("avg_daily_sales_30d"),
-                C("fulfillable_quantity"),
-                C("effective_inbound_quantity"),
-                C("moq"),
+                quantity, "target_days", average_30d, fulfillable, inbound, "moq"
             ),
-        }
-    )
-    return fifth.withColumns(
+        },
         {
-            "need_manual_approval": C("decision_approval_required")
-            | rules.needs_manual_approval(C("recommended_action"), C("recommended_replenishment_quantity")),
+            "final_risk_level": rules.decided_level(action, level),
+            "decision_confidence": rules.decided_confidence(action, profit),
+            "decision_approval_required": rules.decided_approval(action, "profit_approval_required"),
             "decision_explanation": rules.decision_text(
-                C("demand_signal"),
-                C("stockout_risk_score"),
-                C("overstock_risk_score"),
-                C("profitability_signal"),
-                C("recommended_action"),
+                "demand_signal", "stockout_risk_score", "overstock_risk_score", profit, action
             ),
-        }
-    )
+        },
+        {
+            "need_manual_approval": "decision_approval_required OR "
+            + rules.needs_manual_approval(action, quantity),
+            "risk_reason": "concat_ws(' ', action_reason, decision_explanation, profitability_explanation, "
+            "replenishment_explanation)",
+        },
+    ]
+
+
+def evaluate_rules(facts: DataFrame, as_of: date) -> DataFrame:
+    """Add every rule result to the facts; the optional column ``inbound_eta_date`` feeds the delivery relief."""
+    eta = "inbound_eta_date" if "inbound_eta_date" in facts.columns else "cast(NULL AS date)"
+    for step in rule_steps(f"date'{as_of}'", eta):
+        facts = facts.selectExpr("*", *[f"{text} AS {name}" for name, text in step.items()])
+    return facts
 
 
 def analyse(facts: DataFrame, batch_id: str, as_of: date) -> DataFrame:
     """The 35 analysis columns in full precision, plus the five source values that task generation needs."""
-    rows = evaluate_rules(facts, as_of).withColumns(
-        {
-            "analysis_batch_id": F.lit(batch_id),
-            # Unknown without settings, although the rules count it as zero.
-            "safety_stock_days": F.when(C("has_config"), C("safety_stock_days")),
-            "recommended_replenishment_date": F.lit(None).cast("date"),
-            "risk_reason": F.concat_ws(
-                " ",
-                "action_reason",
-                "decision_explanation",
-                "profitability_explanation",
-                "replenishment_explanation",
-            ),
-        }
-    )
-    return rows.select(
-        *ANALYSIS.names,
-        "total_unfulfillable_quantity",
-        "current_price",
-        "purchase_cost",
-        "landed_cost",
-        "gross_margin",
+    special = {
+        "analysis_batch_id": F.lit(batch_id),
+        # Unknown without settings, although the rules count it as zero.
+        "safety_stock_days": F.expr("CASE WHEN has_config THEN safety_stock_days END"),
+        "recommended_replenishment_date": F.lit(None).cast("date"),
+    }
+    return (
+        evaluate_rules(facts, as_of)
+        .withColumns(special)
+        .select(
+            *ANALYSIS.names,
+            "total_unfulfillable_quantity",
+            "current_price",
+            "purchase_cost",
+            "landed_cost",
+            "gross_margin",
+        )
     )
 
 
-def analysis_id():
-    """Row id: a digest of batch and key, the same on every run."""
-    return F.md5(F.concat_ws(";", "analysis_batch_id", *KEY))
+# Row id: a digest of batch and key, the same on every run.
+ANALYSIS_ID = f"md5(concat_ws(';', analysis_batch_id, {', '.join(KEY)}))"
 
 
 def stored_analysis(analysis: DataFrame, created_at: datetime) -> DataFrame:
     """The rows as the analysis table holds them: rounded to the table's types, with id and creation time."""
-    stamped = analysis.withColumns(
-        {"id": analysis_id(), "created_at": F.lit(created_at).cast("timestamp_ntz")}
-    )
-    return align_to(stamped, STORED_ANALYSIS)
+    return analysis.selectExpr(
+        "*", f"{ANALYSIS_ID} AS id", f"timestamp_ntz'{created_at}' AS created_at"
+    ).to(STORED_ANALYSIS)

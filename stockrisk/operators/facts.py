@@ -2,83 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockrisk.operators.latest import latest_inventory, latest_sales
 from stockrisk.schemas import KEY
 
-DEFAULT_TARGET_COVER = 45  # fixed value: days of cover without a setting
+DEFAULT_TARGET_COVER = "45"  # fixed value: days of cover without a setting
+STOCK_COUNTS = [
+    "fulfillable_quantity",
+    "total_quantity",
+    "inbound_shipped_quantity",
+    "inbound_receiving_quantity",
+    "total_unfulfillable_quantity",
+    "total_reserved_quantity",
+]
 
 
 def active_products(products: DataFrame) -> DataFrame:
-    return products.filter(~F.col("is_deleted"))
+    return products.filter("NOT is_deleted")
 
 
-def first_present(df: DataFrame, names: list[str], default: object = None) -> Column:
-    """First non-NULL of the columns that ``df`` has, then the default."""
-    found = [F.col(name) for name in names if name in df.columns]
-    return F.coalesce(*found, F.lit(default))
+def first_present(df: DataFrame, names: list[str], default: str = "NULL") -> str:
+    """Text of the first non-NULL among the columns that ``df`` has, then the default."""
+    return f"coalesce({', '.join([name for name in names if name in df.columns] + [default])})"
 
 
-def _or_zero(df: DataFrame, name: str) -> Column:
-    return first_present(df, [name], 0)
+def _typed(df: DataFrame, kind: str, names: list[str], default: str = "0") -> str:
+    return f"cast({first_present(df, names, default)} AS {kind}) AS {names[0]}"
 
 
-def sales_values(sales: DataFrame) -> DataFrame:
-    """Units, trend and averages of a sales row, from new or legacy columns."""
-    trend = F.coalesce(F.nullif(first_present(sales, ["sales_trend"]), F.lit("")), F.lit("stable"))
-    return sales.select(
-        *KEY,
-        F.col("id").alias("sales_summary_id"),
-        first_present(sales, ["sales_7d", "sales_units_7d"], 0).cast("int").alias("sales_7d"),
-        first_present(sales, ["sales_30d", "sales_units_30d"], 0).cast("int").alias("sales_30d"),
-        trend.alias("sales_trend"),
-        _or_zero(sales, "sales_trend_rate").cast("double").alias("sales_trend_rate"),
-        _or_zero(sales, "avg_daily_sales_7d").cast("double").alias("avg_daily_sales_7d"),
-        _or_zero(sales, "avg_daily_sales_30d").cast("double").alias("avg_daily_sales_30d"),
-        F.lit(True).alias("has_sales"),
-    )
+def product_values(products: DataFrame) -> DataFrame:
+    amounts = ["current_price", "purchase_cost", "landed_cost", "gross_margin"]
+    return products.selectExpr(*KEY, "asin", *[_typed(products, "double", [name]) for name in amounts])
 
 
-def config_values(configs: DataFrame) -> DataFrame:
-    """Replenishment settings, from new or legacy columns."""
-    lead = first_present(configs, ["total_replenishment_lead_time_days", "total_replenishment_days"])
-    target = first_present(configs, ["target_cover_days", "target_stock_days"], DEFAULT_TARGET_COVER)
-    return configs.select(
+def inventory_values(snapshots: DataFrame) -> DataFrame:
+    return snapshots.selectExpr(
         *KEY,
-        F.col("id").alias("replenishment_config_id"),
-        lead.cast("int").alias("total_replenishment_days"),
-        target.cast("int").alias("target_cover_days"),
-        _or_zero(configs, "safety_stock_days").cast("int").alias("safety_stock_days"),
-        first_present(configs, ["carton_quantity"]).cast("int").alias("carton_quantity"),
-        first_present(configs, ["moq"]).cast("int").alias("moq"),
-        first_present(configs, ["config_status"]).cast("string").alias("config_status"),
-        F.lit(True).alias("has_config"),
+        "id AS inventory_snapshot_id",
+        *[_typed(snapshots, "int", [name]) for name in STOCK_COUNTS],
+        "true AS has_inventory",
     )
 
 
-def inventory_values(snapshots: DataFrame) -> DataFrame:
-    counts = [
-        "fulfillable_quantity",
-        "total_quantity",
-        "inbound_shipped_quantity",
-        "inbound_receiving_quantity",
-        "total_unfulfillable_quantity",
-        "total_reserved_quantity",
-    ]
-    return snapshots.select(
+def sales_values(sales: DataFrame) -> DataFrame:
+    """Units, trend and averages of a sales row, from new or legacy columns."""
+    return sales.selectExpr(
         *KEY,
-        F.col("id").alias("inventory_snapshot_id"),
-        *[_or_zero(snapshots, name).cast("int").alias(name) for name in counts],
-        F.lit(True).alias("has_inventory"),
+        "id AS sales_summary_id",
+        _typed(sales, "int", ["sales_7d", "sales_units_7d"]),
+        _typed(sales, "int", ["sales_30d", "sales_units_30d"]),
+        f"coalesce(nullif({first_present(sales, ['sales_trend'])}, ''), 'stable') AS sales_trend",
+        *[
+            _typed(sales, "double", [name])
+            for name in ("sales_trend_rate", "avg_daily_sales_7d", "avg_daily_sales_30d")
+        ],
+        "true AS has_sales",
     )
 
 
-def product_values(products: DataFrame) -> DataFrame:
-    amounts = ["current_price", "purchase_cost", "landed_cost", "gross_margin"]
-    return products.select(
-        *KEY, "asin", *[_or_zero(products, name).cast("double").alias(name) for name in amounts]
+def config_values(configs: DataFrame) -> DataFrame:
+    """Replenishment settings, from new or legacy columns."""
+    lead = first_present(configs, ["total_replenishment_lead_time_days", "total_replenishment_days"])
+    return configs.selectExpr(
+        *KEY,
+        "id AS replenishment_config_id",
+        f"cast({lead} AS int) AS total_replenishment_days",
+        _typed(configs, "int", ["target_cover_days", "target_stock_days"], DEFAULT_TARGET_COVER),
+        _typed(configs, "int", ["safety_stock_days"]),
+        _typed(configs, "int", ["carton_quantity"], "NULL"),
+        _typed(configs, "int", ["moq"], "NULL"),
+        _typed(configs, "string", ["config_status"], "NULL"),
+        "true AS has_config",
     )
 
 
@@ -95,31 +91,29 @@ def sku_facts(
         .join(sales_values(latest_sales(sales)), KEY, "left")
         .join(config_values(configs), KEY, "left")
     )
-    zero = [
-        "fulfillable_quantity",
-        "total_quantity",
-        "inbound_shipped_quantity",
-        "inbound_receiving_quantity",
-        "total_unfulfillable_quantity",
-        "total_reserved_quantity",
-        "sales_7d",
-        "sales_30d",
-        "sales_trend_rate",
-        "avg_daily_sales_7d",
-        "avg_daily_sales_30d",
-        "safety_stock_days",
-    ]
-    filled = {name: F.coalesce(F.col(name), F.lit(0)) for name in zero}
-    filled |= {name: F.coalesce(F.col(name), F.lit(False)) for name in ("has_inventory", "has_sales", "has_config")}
-    filled["sales_trend"] = F.coalesce("sales_trend", F.lit("stable"))
-    filled["target_cover_days"] = F.coalesce("target_cover_days", F.lit(DEFAULT_TARGET_COVER))
-    return joined.withColumns(filled)
-
-
-
-def _legacy(alias: str, df: DataFrame, name: str, fallback: Column) -> Column:
-    column = F.col(f"{alias}.{name}") if name in df.columns else fallback
-    return column.alias(name)
+    defaults = dict.fromkeys(
+        [*STOCK_COUNTS, "sales_7d", "sales_30d", "safety_stock_days"]
+        + ["sales_trend_rate", "avg_daily_sales_7d", "avg_daily_sales_30d"],
+        "0",
+    )
+    defaults |= {
+        "has_inventory": "false",
+        "has_sales": "false",
+        "has_config": "false",
+        "sales_trend": "'stable'",
+        "target_cover_days": DEFAULT_TARGET_COVER,
+    }
+    return joined.selectExpr(
+        *[
+            f"coalesce({name}, {defaults[name]}) AS {name}" if name in defaults else name
+            for name in joined.columns
+        ]
+    )
+
+
+def _keyed(df: DataFrame, alias: str) -> DataFrame:
+    """Add lower-case keys: stored tables compare keys without regard to case."""
+    return df.selectExpr("*", *[f"lower({name}) AS _{name}" for name in KEY]).alias(alias)
 
 
 def enriched_analysis(
@@ -127,73 +121,58 @@ def enriched_analysis(
 ) -> DataFrame:
     """Stored analysis rows with current product, newest sales and settings columns.
 
-    Missing columns of older tables are replaced by a default or the column they superseded.  Keys match without
-    regard to case, as in the stored tables.
+    Missing columns of older tables are replaced by a default or by the column they superseded.
     """
-    scores = ["stockout_risk_score", "overstock_risk_score", "estimated_lost_revenue", "decision_confidence"]
-    keyed = {
-        alias: df.withColumns({f"_{name}": F.lower(F.col(name)) for name in KEY}).alias(alias)
-        for alias, df in {
-            "a": analysis,
-            "p": products,
-            "s": latest_sales(sales),
-            "c": configs,
-        }.items()
-    }
+    joined = _keyed(analysis, "a")
+    for alias, df in {"p": products, "s": latest_sales(sales), "c": configs}.items():
+        on = " AND ".join(f"a._{name} = {alias}._{name}" for name in KEY)
+        joined = joined.join(_keyed(df, alias), F.expr(on), "left")
+
+    def current(alias: str, df: DataFrame, name: str, fallback: str) -> str:
+        return f"{alias}.{name} AS {name}" if name in df.columns else f"{fallback} AS {name}"
 
-    def on(alias: str) -> list[Column]:
-        return [F.col(f"a._{name}") == F.col(f"{alias}._{name}") for name in KEY]
-
-    joined = keyed["a"]
-    for alias in ("p", "s", "c"):
-        joined = joined.join(keyed[alias], on(alias), "left")
-
-    own = [F.col(f"a.{name}").alias(name) for name in analysis.columns]
-    defaults = [F.lit(0).alias(name) for name in scores if name not in analysis.columns]
-    return joined.select(
-        *own,
-        *[_legacy("p", products, n, F.lit(0)) for n in ("current_price", "landed_cost", "gross_margin")],
-        _legacy("s", sales, "sales_7d", F.coalesce(F.col("s.sales_units_7d"), F.lit(0))),
-        _legacy("s", sales, "sales_30d", F.coalesce(F.col("s.sales_units_30d"), F.lit(0))),
-        _legacy("s", sales, "sales_trend", F.lit(None).cast("string")),
-        _legacy("s", sales, "sales_trend_rate", F.lit(0)),
-        _legacy("c", configs, "total_replenishment_lead_time_days", F.col("a.total_replenishment_days")),
-        _legacy("c", configs, "target_cover_days", F.col("c.target_stock_days")),
-        _legacy("c", configs, "moq", F.lit(0)),
-        *defaults,
-        F.col("a.risk_reason").alias("decision_explanation"),
+    scores = ["stockout_risk_score", "overstock_risk_score", "estimated_lost_revenue", "decision_confidence"]
+    return joined.selectExpr(
+        *[f"a.{name} AS {name}" for name in analysis.columns],
+        *[current("p", products, name, "0") for name in ("current_price", "landed_cost", "gross_margin")],
+        current("s", sales, "sales_7d", "coalesce(s.sales_units_7d, 0)"),
+        current("s", sales, "sales_30d", "coalesce(s.sales_units_30d, 0)"),
+        current("s", sales, "sales_trend", "cast(NULL AS string)"),
+        current("s", sales, "sales_trend_rate", "0"),
+        current("c", configs, "total_replenishment_lead_time_days", "a.total_replenishment_days"),
+        current("c", configs, "target_cover_days", "c.target_stock_days"),
+        current("c", configs, "moq", "0"),
+        *[f"0 AS {name}" for name in scores if name not in analysis.columns],
+        "a.risk_reason AS decision_explanation",
     )
 
 
 def only_keys_of(df: DataFrame, few: DataFrame) -> DataFrame:
-    """Rows of a large table whose key occurs in a small, limited frame."""
-    wanted = few.select(*[F.lower(F.col(name)).alias(f"_{name}") for name in KEY])
-    match = [F.lower(df[name]) == wanted[f"_{name}"] for name in KEY]
-    return df.join(F.broadcast(wanted), match, "left_semi")
+    """Rows of a large table whose key occurs in ``few``, which must be limited to some rows."""
+    wanted = _keyed(few.select(*KEY), "few")
+    on = " AND ".join(f"lower(big.{name}) = few._{name}" for name in KEY)
+    return df.alias("big").join(F.broadcast(wanted), F.expr(on), "left_semi")
 
 
 def analysis_lineage(
     analysis: DataFrame, snapshots: DataFrame, sales: DataFrame, configs: DataFrame, tasks: DataFrame
 ) -> DataFrame:
     """Each task with its analysis row and the three source rows that row was computed from."""
+    snapshot = snapshots.selectExpr("id AS inventory_snapshot_id", "sync_time", "sync_batch_id")
+    summary = sales.selectExpr("id AS sales_summary_id", "stat_date")
+    config = configs.selectExpr("id AS replenishment_config_id", "config_status")
     sources = (
-        analysis.select(
-            F.col("id").alias("analysis_id"),
+        analysis.selectExpr(
+            "id AS analysis_id",
             "analysis_batch_id",
             "inventory_snapshot_id",
             "sales_summary_id",
             "replenishment_config_id",
         )
-        .join(
-            snapshots.select(F.col("id").alias("inventory_snapshot_id"), "sync_time", "sync_batch_id"),
-            "inventory_snapshot_id",
-            "left",
-        )
-        .join(sales.select(F.col("id").alias("sales_summary_id"), "stat_date"), "sales_summary_id", "left")
-        .join(
-            configs.select(F.col("id").alias("replenishment_config_id"), "config_status"),
-            "replenishment_config_id",
-            "left",
-        )
+        .join(snapshot, "inventory_snapshot_id", "left")
+        .join(summary, "sales_summary_id", "left")
+        .join(config, "replenishment_config_id", "left")
+    )
+    return tasks.select("task_id", "task_type", "seller_sku", "analysis_id").join(
+        sources, "analysis_id", "left"
     )
-    return tasks.select("task_id", "task_type", "seller_sku", "analysis_id").join(sources, "analysis_id", "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockrisk.functions import measures as m
@@ -13,11 +13,6 @@ SALES_WINDOWS = [1, 3, 7, 14, 30]  # fixed values: days per trailing window
 AMOUNT_WINDOWS = [7, 30]
 
 
-def _within(day: Column, end: date, days: int) -> Column:
-    """``day`` in the half-open window ``(end - days, end]``."""
-    return (day > F.lit(end - timedelta(days=days))) & (day <= F.lit(end))
-
-
 def trailing_sales(
     lines: DataFrame,
     keys: list[str],
@@ -32,65 +27,61 @@ def trailing_sales(
     model day over several calendar days; a key gets a row for a date if it has any line in ``history_days``.
     """
     history = history_days or max(SALES_WINDOWS) * day_length
-    day = F.col("sold_on")
-    needed = (day > F.lit(min(stat_dates) - timedelta(days=history))) & (day <= F.lit(max(stat_dates)))
+    oldest = min(stat_dates) - timedelta(days=history)
+    needed = (F.col("sold_on") > F.lit(oldest)) & (F.col("sold_on") <= F.lit(max(stat_dates)))
+
+    def within(end: date, days: int) -> str:
+        return f"sold_on <= date'{end}' AND sold_on > date'{end - timedelta(days=days)}'"
+
     sums = []
     for slot, end in enumerate(stat_dates, 1):
-        sums.append(F.count_if(_within(day, end, history)).alias(f"lines_{slot}"))
-        for n in SALES_WINDOWS:
-            inside = _within(day, end, n * day_length)
-            sums.append(F.sum(F.when(inside, F.col("units")).otherwise(0)).alias(f"units_{slot}_{n}"))
-        for n in AMOUNT_WINDOWS:
-            inside = _within(day, end, n * day_length)
-            sums.append(F.sum(F.when(inside, F.col("amount")).otherwise(0)).alias(f"amount_{slot}_{n}"))
+        sums.append(F.expr(f"count_if({within(end, history)}) AS lines_{slot}"))
+        for measure, windows in {"units": SALES_WINDOWS, "amount": AMOUNT_WINDOWS}.items():
+            for n in windows:
+                inside = within(end, n * day_length)
+                sums.append(
+                    F.expr(f"sum(CASE WHEN {inside} THEN {measure} ELSE 0 END) AS {measure}_{slot}_{n}")
+                )
     totals = lines.filter(needed).groupBy(*keys).agg(*sums)
-    rows = [
-        F.when(
-            F.col(f"lines_{slot}") > 0,
-            F.struct(
-                F.lit(slot).alias("slot"),
-                F.lit(end).alias("stat_date"),
-                *[F.col(f"units_{slot}_{n}").alias(f"sales_units_{n}d") for n in SALES_WINDOWS],
-                *[F.col(f"amount_{slot}_{n}").alias(f"sales_amount_{n}d") for n in AMOUNT_WINDOWS],
-            ),
-        )
-        for slot, end in enumerate(stat_dates, 1)
-    ]
-    return totals.select(*keys, F.inline(F.array_compact(F.array(*rows))))
+    rows = []
+    for slot, end in enumerate(stat_dates, 1):
+        values = [f"'slot', {slot}", f"'stat_date', date'{end}'"]
+        values += [f"'sales_units_{n}d', units_{slot}_{n}" for n in SALES_WINDOWS]
+        values += [f"'sales_amount_{n}d', amount_{slot}_{n}" for n in AMOUNT_WINDOWS]
+        rows.append(f"CASE WHEN lines_{slot} > 0 THEN named_struct({', '.join(values)}) END")
+    return totals.selectExpr(*keys, f"inline(array_compact(array({', '.join(rows)})))")
 
 
 def with_sales_averages(sales: DataFrame) -> DataFrame:
     """Average daily units and the trend they show."""
-    averaged = sales.withColumns(
-        {f"avg_daily_sales_{n}d": m.average_daily(F.col(f"sales_units_{n}d"), n) for n in (3, 7, 30)}
-    )
-    rated = averaged.withColumn(
-        "_rate", m.trend_rate(F.col("avg_daily_sales_7d"), F.col("avg_daily_sales_30d"))
+    averages = [f"{m.average_daily(f'sales_units_{n}d', n)} AS avg_daily_sales_{n}d" for n in (3, 7, 30)]
+    rate = m.trend_rate("avg_daily_sales_7d", "avg_daily_sales_30d")
+    return (
+        sales.selectExpr("*", *averages)
+        .selectExpr("*", f"{rate} AS raw_rate")
+        .selectExpr(
+            "*",
+            f"{m.trend_label('raw_rate')} AS sales_trend",
+            "cast(raw_rate AS decimal(10,4)) AS sales_trend_rate",
+        )
+        .drop("raw_rate")
     )
-    return rated.withColumns(
-        {
-            "sales_trend": m.trend_label(F.col("_rate")),
-            "sales_trend_rate": F.col("_rate").cast("decimal(10,4)"),
-        }
-    ).drop("_rate")
 
 
 def with_stock_total(snapshots: DataFrame) -> DataFrame:
-    return snapshots.withColumn("total_quantity", m.stock_total())
+    return snapshots.withColumn("total_quantity", F.expr(m.stock_total()))
 
 
 def with_unit_margin(products: DataFrame) -> DataFrame:
-    return products.withColumn("gross_margin", m.unit_margin(F.col("current_price"), F.col("landed_cost")))
+    return products.withColumn("gross_margin", F.expr(m.unit_margin("current_price", "landed_cost")))
 
 
 def with_lead_time(configs: DataFrame) -> DataFrame:
     """Total lead time from the stages, and the reorder point in days."""
-    total = configs.withColumn("total_replenishment_days", m.lead_time_total())
-    return total.withColumns(
+    total = "total_replenishment_days"
+    return configs.withColumn(total, F.expr(m.lead_time_total())).withColumns(
         {
-            "total_replenishment_lead_time_days": F.col("total_replenishment_days"),
-            "reorder_point_days": m.reorder_point(
-                F.col("total_replenishment_days"), F.col("safety_stock_days")
-            ),
+            "total_replenishment_lead_time_days": F.col(total),
+            "reorder_point_days": F.expr(m.reorder_point(total, "safety_stock_days")),
         }
     )

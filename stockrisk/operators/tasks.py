@@ -4,17 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockrisk.functions.numeric import to_double
 from stockrisk.functions.rules import money
-from stockrisk.operators.analysis import analysis_id
+from stockrisk.operators.analysis import ANALYSIS_ID
 from stockrisk.operators.latest import latest_per_key
 from stockrisk.schemas import KEY, STORED_TASKS
-from stockrisk.sources.tables import align_to
-
-C = F.col
 
 # Task types in the order in which a SKU's tasks are created.
 TASK_TYPES = [
@@ -24,182 +21,148 @@ TASK_TYPES = [
     "unfulfillable_inventory_alert",
     "data_missing_alert",
 ]
-DEFAULT_LANDED_COST = 10.0
+DEFAULT_LANDED_COST = 10
 
 
-def impact_level(value: Column) -> Column:
-    return (
-        F.when(value >= 5000, "high").when(value >= 1000, "medium").when(value > 0, "low").otherwise("none")
-    )
+def impact_level(value: str) -> str:
+    return f"""CASE WHEN {value} >= 5000 THEN 'high' WHEN {value} >= 1000 THEN 'medium'
+        WHEN {value} > 0 THEN 'low' ELSE 'none' END"""
 
 
-def priority(level: Column, value: Column) -> Column:
-    return (
-        F.when(level == "critical", "P0")
-        .when((level == "high") & (value >= 3000), "P0")
-        .when(value >= 5000, "P1")
-        .when(level == "high", "P1")
-        .when(level == "low", "P3")
-        .otherwise("P2")
-    )
+def priority(level: str, value: str) -> str:
+    return f"""CASE
+        WHEN {level} = 'critical' THEN 'P0'
+        WHEN {level} = 'high' AND {value} >= 3000 THEN 'P0'
+        WHEN {level} = 'high' OR {value} >= 5000 THEN 'P1'
+        WHEN {level} = 'low' THEN 'P3'
+        ELSE 'P2' END"""
 
 
-def approval_level(needed: Column, value: Column) -> Column:
-    return (
-        F.when(~F.coalesce(needed, F.lit(False)), "none").when(value >= 5000, "manager").otherwise("operator")
-    )
+def approval_level(needed: str, value: str) -> str:
+    return f"""CASE WHEN NOT coalesce({needed}, false) THEN 'none'
+        WHEN {value} >= 5000 THEN 'manager' ELSE 'operator' END"""
 
 
-def overstock_value(total: Column, landed_cost: Column) -> Column:
+def overstock_value(total: str, landed_cost: str) -> str:
     """Value of the whole stock of a SKU, at a default cost where none is known."""
     cost = to_double(landed_cost)
-    return money(total, F.when(cost <= 0, DEFAULT_LANDED_COST).otherwise(cost))
+    return money(total, f"CASE WHEN {cost} <= 0 THEN {DEFAULT_LANDED_COST}D ELSE {cost} END")
 
 
-def task_id(batch: Column, keys: list[Column], task_type: Column) -> Column:
+def task_id(batch: str, task_type: str) -> str:
     """Digest of batch, key and type, so a repeated run creates the same ids."""
-    return F.md5(F.concat_ws(";", batch, *keys, task_type))
+    return f"md5(concat_ws(';', {batch}, {', '.join(KEY)}, {task_type}))"
 
 
 def _entry(
-    order: int, problem: str, level: Column, impact: Column, title: list, description: Column
-) -> Column:
-    """One element of the fan-out array."""
-    text = [part if isinstance(part, Column) else F.lit(part) for part in title]
-    return F.struct(
-        F.lit(order).alias("task_order"),
-        F.lit(TASK_TYPES[order - 1]).alias("task_type"),
-        F.lit(problem).alias("problem_type"),
-        level.alias("risk_level"),
-        impact.alias("impact"),
-        F.concat(*text).alias("task_title"),
-        description.alias("task_description"),
-    )
-
-
-def task_entries() -> Column:
+    order: int, wanted: str, problem: str, level: str, impact: str, title: str, description: str
+) -> str:
+    """One element of the fan-out array, NULL where it is not wanted."""
+    return f"""CASE WHEN {wanted} THEN named_struct(
+        'task_order', {order},
+        'task_type', '{TASK_TYPES[order - 1]}',
+        'problem_type', '{problem}',
+        'risk_level', {level},
+        'impact', {impact},
+        'task_title', {title},
+        'task_description', {description}) END"""
+
+
+def task_entries() -> str:
     """Array of the tasks that an analysis row calls for, in creation order."""
-    sku, level = C("seller_sku"), C("stockout_risk_level")
-    quality, lost = C("data_quality_status"), to_double(C("estimated_lost_revenue"))
-    none = F.lit(0.0)
-    wanted = [
-        F.when(
-            level.isin("critical", "high"),
-            _entry(
-                1,
-                "stockout",
-                level,
-                lost,
-                ["[Stockout warning] ", sku, " has ", level, " stockout risk"],
-                C("action_reason"),
-            ),
+    lost = to_double("estimated_lost_revenue")
+    entries = [
+        _entry(
+            1,
+            "stockout_risk_level IN ('critical', 'high')",
+            "stockout",
+            "stockout_risk_level",
+            lost,
+            "concat('[Stockout warning] ', seller_sku, ' has ', stockout_risk_level, ' stockout risk')",
+            "action_reason",
         ),
-        F.when(
-            C("recommended_action").isin("replenish_now", "prepare_replenishment"),
-            _entry(
-                2,
-                "replenishment",
-                level,
-                lost,
-                [
-                    "[Replenishment suggestion] ",
-                    sku,
-                    " replenish ",
-                    C("recommended_replenishment_quantity").cast("string"),
-                    " units",
-                ],
-                C("action_reason"),
-            ),
+        _entry(
+            2,
+            "recommended_action IN ('replenish_now', 'prepare_replenishment')",
+            "replenishment",
+            "stockout_risk_level",
+            lost,
+            "concat('[Replenishment suggestion] ', seller_sku, ' replenish ', "
+            "recommended_replenishment_quantity, ' units')",
+            "action_reason",
         ),
-        F.when(
-            C("overstock_risk_level") == "high",
-            _entry(
-                3,
-                "overstock",
-                F.lit("high"),
-                overstock_value(C("total_quantity"), C("landed_cost")),
-                ["[Overstock warning] ", sku, " has excessive inventory cover"],
-                C("action_reason"),
-            ),
+        _entry(
+            3,
+            "overstock_risk_level = 'high'",
+            "overstock",
+            "'high'",
+            overstock_value("total_quantity", "landed_cost"),
+            "concat('[Overstock warning] ', seller_sku, ' has excessive inventory cover')",
+            "action_reason",
         ),
-        F.when(
-            C("total_unfulfillable_quantity") > 0,
-            _entry(
-                4,
-                "inventory_exception",
-                F.lit("medium"),
-                none,
-                ["[Unfulfillable inventory] ", sku, " has unfulfillable inventory"],
-                F.concat(
-                    sku,
-                    F.lit(" currently has "),
-                    C("total_unfulfillable_quantity").cast("string"),
-                    F.lit(" unfulfillable units."),
-                ),
-            ),
+        _entry(
+            4,
+            "total_unfulfillable_quantity > 0",
+            "inventory_exception",
+            "'medium'",
+            "0D",
+            "concat('[Unfulfillable inventory] ', seller_sku, ' has unfulfillable inventory')",
+            "concat(seller_sku, ' currently has ', total_unfulfillable_quantity, ' unfulfillable units.')",
         ),
-        F.when(
-            quality != "complete",
-            _entry(
-                5,
-                "data_quality",
-                F.when(quality == "missing_inventory", "high").otherwise("medium"),
-                none,
-                ["[Data quality] ", sku, " data quality is ", quality],
-                F.concat(
-                    sku,
-                    F.lit(" data quality is "),
-                    quality,
-                    F.lit("; complete the missing data before relying on the recommendation."),
-                ),
-            ),
+        _entry(
+            5,
+            "data_quality_status <> 'complete'",
+            "data_quality",
+            "CASE WHEN data_quality_status = 'missing_inventory' THEN 'high' ELSE 'medium' END",
+            "0D",
+            "concat('[Data quality] ', seller_sku, ' data quality is ', data_quality_status)",
+            "concat(seller_sku, ' data quality is ', data_quality_status, "
+            "'; complete the missing data before relying on the recommendation.')",
         ),
     ]
-    return F.array_compact(F.array(*wanted))
-
-
-def action_payload() -> Column:
-    """JSON text with the figures behind a task; empty fields are kept as null."""
-    fields = F.struct(
-        C("seller_sku"),
-        C("recommended_replenishment_quantity").alias("recommended_quantity"),
-        C("recommended_action"),
-        C("impact").alias("estimated_impact_value"),
-        C("estimated_lost_revenue"),
-        C("decision_confidence"),
-        C("need_manual_approval").alias("approval_required"),
-        C("estimated_stockout_date").cast("string").alias("estimated_stockout_date"),
-    )
-    return F.to_json(fields, {"ignoreNullFields": "false"})
+    return f"array_compact(array({', '.join(entries)}))"
+
+
+# JSON text with the figures behind a task; empty fields are kept as null.
+ACTION_PAYLOAD = """to_json(named_struct(
+    'seller_sku', seller_sku,
+    'recommended_quantity', recommended_replenishment_quantity,
+    'recommended_action', recommended_action,
+    'estimated_impact_value', impact,
+    'estimated_lost_revenue', estimated_lost_revenue,
+    'decision_confidence', decision_confidence,
+    'approval_required', need_manual_approval,
+    'estimated_stockout_date', cast(estimated_stockout_date AS string)),
+    map('ignoreNullFields', 'false'))"""
 
 
 def generate_tasks(analysis: DataFrame, created_at: datetime) -> DataFrame:
     """Fan analysis rows (in full precision) out into zero to five tasks each, in one pass."""
-    fanned = analysis.select("*", F.inline(task_entries()))
-    rows = fanned.select(
-        task_id(C("analysis_batch_id"), [C(name) for name in KEY], C("task_type")).alias("task_id"),
-        analysis_id().alias("analysis_id"),
+    fanned = analysis.selectExpr("*", f"inline({task_entries()})")
+    rows = fanned.selectExpr(
+        f"{task_id('analysis_batch_id', 'task_type')} AS task_id",
+        f"{ANALYSIS_ID} AS analysis_id",
         *KEY,
         "asin",
         "task_type",
         "task_title",
         "task_description",
-        priority(C("risk_level"), C("impact")).alias("priority"),
+        f"{priority('risk_level', 'impact')} AS priority",
         "risk_level",
-        C("recommended_action").alias("suggested_action"),
-        action_payload().alias("action_parameters"),
-        F.coalesce(F.nullif(C("risk_reason"), F.lit("")), C("action_reason")).alias("expected_impact"),
-        C("need_manual_approval").alias("approval_required"),
-        F.lit("pending").alias("task_status"),
+        "recommended_action AS suggested_action",
+        f"{ACTION_PAYLOAD} AS action_parameters",
+        "coalesce(nullif(risk_reason, ''), action_reason) AS expected_impact",
+        "need_manual_approval AS approval_required",
+        "'pending' AS task_status",
         "problem_type",
-        impact_level(C("impact")).alias("impact_level"),
-        C("impact").alias("estimated_impact_value"),
-        approval_level(C("need_manual_approval"), C("impact")).alias("approval_level"),
+        f"{impact_level('impact')} AS impact_level",
+        "impact AS estimated_impact_value",
+        f"{approval_level('need_manual_approval', 'impact')} AS approval_level",
         "analysis_batch_id",
         "task_order",
-        F.lit(created_at).cast("timestamp_ntz").alias("created_at"),
+        f"timestamp_ntz'{created_at}' AS created_at",
     )
-    return align_to(rows, STORED_TASKS)
+    return rows.to(STORED_TASKS)
 
 
 def apply_status_updates(tasks: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -214,18 +177,18 @@ def apply_status_updates(tasks: DataFrame, updates: DataFrame) -> tuple[DataFram
     )
     changed = newest.select(
         "task_id",
-        C("task_status").alias("_status"),
-        C("operator_id").alias("_operator"),
-        C("operator_note").alias("_note"),
-        C("updated_at").alias("_at"),
+        F.col("task_status").alias("_status"),
+        F.col("operator_id").alias("_operator"),
+        F.col("operator_note").alias("_note"),
+        F.col("updated_at").alias("_at"),
     )
-    hit = C("_status").isNotNull()
+    hit = F.col("_status").isNotNull()
     after = tasks.join(changed, "task_id", "left").withColumns(
         {
             "task_status": F.coalesce("_status", "task_status"),
-            "operator_id": F.when(hit, C("_operator")).otherwise(C("operator_id")),
-            "operator_note": F.when(hit, C("_note")).otherwise(C("operator_note")),
-            "resolved_at": F.when(hit, C("_at")).otherwise(C("resolved_at")),
+            "operator_id": F.when(hit, F.col("_operator")).otherwise(F.col("operator_id")),
+            "operator_note": F.when(hit, F.col("_note")).otherwise(F.col("operator_note")),
+            "resolved_at": F.when(hit, F.col("_at")).otherwise(F.col("resolved_at")),
         }
     )
     rejected = newest.join(tasks.select("task_id"), "task_id", "left_anti")

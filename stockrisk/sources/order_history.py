@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockrisk.functions import measures as m
-from stockrisk.operators.measures import trailing_sales, with_lead_time, with_sales_averages, with_stock_total
+from stockrisk.operators.measures import (
+    SALES_WINDOWS,
+    trailing_sales,
+    with_lead_time,
+    with_sales_averages,
+    with_stock_total,
+)
 from stockrisk.operators.tasks import TASK_TYPES, task_id
 from stockrisk.schemas import CONFIGS, INVENTORY, KEY, PRODUCTS, SALES, STATUS_UPDATES
-from stockrisk.sources.tables import align_to, read_table
+from stockrisk.sources.tables import read_table
 
 AS_OF = date(2001, 6, 30)
 PRIOR_AS_OF = date(2001, 6, 23)
@@ -66,53 +72,49 @@ def raw_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return read_table(spark, f"{folder}/{name}.parquet", RAW_TABLES[name])
 
 
-def _money(value: Column) -> Column:
-    return value.cast("decimal(10,2)")
+SELLER, SKU = "concat('SELLER-', p_brand)", "concat('SKU-', p_partkey)"
+ASIN = "concat('B', lpad(cast(p_partkey AS string), 9, '0'))"
+PART_KEYS = [f"{SELLER} AS seller_id", "p_type AS marketplace_id", f"{SKU} AS seller_sku"]
 
 
 def _part_keys(parts: DataFrame) -> DataFrame:
     """Part number with the three business keys."""
-    return parts.select(
-        F.col("p_partkey").alias("part"),
-        F.concat(F.lit("SELLER-"), "p_brand").alias("seller_id"),
-        F.col("p_type").alias("marketplace_id"),
-        F.concat(F.lit("SKU-"), F.col("p_partkey").cast("string")).alias("seller_sku"),
-        _asin(F.col("p_partkey")).alias("asin"),
-    )
-
-
-def _asin(part: Column) -> Column:
-    return F.concat(F.lit("B"), F.lpad(part.cast("string"), 9, "0"))
+    return parts.selectExpr("p_partkey AS part", *PART_KEYS, f"{ASIN} AS asin")
 
 
 def products(spark: SparkSession, folder: str) -> DataFrame:
-    part, size = F.col("p_partkey"), F.col("p_size")
-    list_price = F.col("p_retailprice") / 40.0
-    landed = _money(list_price * (0.01 * size + 0.55))
-    zero = F.lit(0).cast("decimal(10,2)")
-    parts = raw_table(spark, folder, "part")
-    priced = parts.withColumns(
-        {
-            "current_price": _money(list_price),
-            "landed_cost": F.when(size % 17 == 0, zero).otherwise(landed),
-            "purchase_cost": F.when(size % 34 == 0, zero).otherwise(_money(list_price * 0.4)),
-        }
-    )
-    rows = priced.select(
+    priced = raw_table(spark, folder, "part").selectExpr(
         "*",
-        part.alias("id"),
-        F.concat(F.lit("SELLER-"), "p_brand").alias("seller_id"),
-        F.col("p_type").alias("marketplace_id"),
-        F.concat(F.lit("SKU-"), part.cast("string")).alias("seller_sku"),
-        _asin(part).alias("asin"),
-        F.col("p_name").alias("product_name"),
-        F.col("p_brand").alias("brand"),
-        F.when(size % 3 == 0, F.lit(0).cast("decimal(10,4)"))
-        .otherwise(m.unit_margin(F.col("current_price"), F.col("landed_cost")))
-        .alias("gross_margin"),
-        (part % 50 == 49).alias("is_deleted"),
+        "cast(p_retailprice / 40D AS decimal(10,2)) AS current_price",
+        """CASE WHEN p_size % 17 = 0 THEN cast(0 AS decimal(10,2))
+            ELSE cast(p_retailprice / 40D * (0.55D + 0.01D * p_size) AS decimal(10,2)) END AS landed_cost""",
+        """CASE WHEN p_size % 34 = 0 THEN cast(0 AS decimal(10,2))
+            ELSE cast(p_retailprice / 40D * 0.4D AS decimal(10,2)) END AS purchase_cost""",
     )
-    return align_to(rows, PRODUCTS)
+    margin = m.unit_margin("current_price", "landed_cost")
+    return priced.selectExpr(
+        "p_partkey AS id",
+        *PART_KEYS,
+        f"{ASIN} AS asin",
+        "p_name AS product_name",
+        "p_brand AS brand",
+        "current_price",
+        "purchase_cost",
+        "landed_cost",
+        f"CASE WHEN p_size % 3 = 0 THEN cast(0 AS decimal(10,4)) ELSE {margin} END AS gross_margin",
+        "p_partkey % 50 = 49 AS is_deleted",
+    ).to(PRODUCTS)
+
+
+# Fixed values of the mapping: return flag, line status and days of history of each stock quantity.
+STOCK_MEANING = {
+    "fulfillable_quantity": ("N", "F", 1460),
+    "inbound_working_quantity": ("N", "O", 1460),
+    "inbound_shipped_quantity": ("A", "O", 365),
+    "inbound_receiving_quantity": ("R", "O", 365),
+    "total_reserved_quantity": ("A", "F", 1460),
+    "total_unfulfillable_quantity": ("R", "F", 365),
+}
 
 
 def inventory_snapshots(spark: SparkSession, folder: str, until: date = AS_OF) -> DataFrame:
@@ -122,163 +124,128 @@ def inventory_snapshots(spark: SparkSession, folder: str, until: date = AS_OF) -
     unfolded into rows.
     """
     dates = [day for day in SNAPSHOT_DATES if day <= until]
-    shipped = F.col("l_shipdate")
 
-    def since(end: date, days: int) -> Column:
-        return (shipped > F.lit(datetime.combine(end, datetime.min.time()) - timedelta(days=days))) & (
-            shipped <= F.lit(datetime.combine(end, datetime.min.time()))
-        )
+    def within(end: date, days: int) -> str:
+        start = end - timedelta(days=days)
+        return f"l_shipdate <= timestamp_ntz'{end}' AND l_shipdate > timestamp_ntz'{start}'"
 
-    # Fixed values of the mapping: return flag, line status and history of each quantity.
-    meaning = {
-        "fulfillable_quantity": ("N", "F", 1460),
-        "inbound_working_quantity": ("N", "O", 1460),
-        "inbound_shipped_quantity": ("A", "O", 365),
-        "inbound_receiving_quantity": ("R", "O", 365),
-        "total_reserved_quantity": ("A", "F", 1460),
-        "total_unfulfillable_quantity": ("R", "F", 365),
-    }
     sums = []
     for slot, end in enumerate(dates, 1):
-        sums.append(F.count_if(since(end, STOCK_HISTORY_DAYS)).alias(f"lines_{slot}"))
-        for name, (flag, status, days) in meaning.items():
-            counted = (F.col("l_returnflag") == flag) & (F.col("l_linestatus") == status) & since(end, days)
-            sums.append(
-                F.sum(F.when(counted, F.col("l_quantity")).otherwise(0.0)).alias(f"{name}_{slot}")
-            )
-    first, last = (datetime.combine(day, datetime.min.time()) for day in (dates[0], dates[-1]))
+        sums.append(F.expr(f"count_if({within(end, STOCK_HISTORY_DAYS)}) AS lines_{slot}"))
+        for name, (flag, status, days) in STOCK_MEANING.items():
+            counted = f"l_returnflag = '{flag}' AND l_linestatus = '{status}' AND {within(end, days)}"
+            sums.append(F.expr(f"sum(CASE WHEN {counted} THEN l_quantity ELSE 0D END) AS {name}_{slot}"))
+    history = (dates[-1] - dates[0]).days + STOCK_HISTORY_DAYS
     lines = raw_table(spark, folder, "lineitem").filter(
-        (shipped > F.lit(first - timedelta(days=STOCK_HISTORY_DAYS)))
-        & (shipped <= F.lit(last))
-        & (F.col("l_partkey") % 29 != 5)
+        f"{within(dates[-1], history)} AND l_partkey % 29 <> 5"
     )
     totals = lines.groupBy(F.col("l_partkey").alias("part")).agg(*sums)
 
-    def position(slot: int, source: int, extra: int, wanted: Column) -> Column:
-        values = [F.col(f"{name}_{source}").cast("int").alias(name) for name in meaning]
-        values[0] = (F.col(f"fulfillable_quantity_{source}").cast("int") + extra).alias("fulfillable_quantity")
-        return F.when(
-            wanted & (F.col(f"lines_{source}") > 0),
-            F.struct(
-                (F.col("part") * 10 + slot).alias("id"),
-                F.lit(dates[source - 1]).cast("timestamp_ntz").alias("sync_time"),
-                F.lit(f"sync-{slot}").alias("sync_batch_id"),
-                *values,
-                F.lit(0).alias("total_researching_quantity"),
-            ),
-        )
-
-    positions = [position(slot, slot, 0, F.lit(True)) for slot in range(1, len(dates) + 1)]
+    def position(slot: int, source: int, extra: int, wanted: str) -> str:
+        values = [
+            f"'id', part * 10 + {slot}",
+            f"'sync_time', timestamp_ntz'{dates[source - 1]}'",
+            f"'sync_batch_id', 'sync-{slot}'",
+            "'total_researching_quantity', 0",
+        ]
+        for name in STOCK_MEANING:
+            added = extra if name == "fulfillable_quantity" else 0
+            values.append(f"'{name}', cast({name}_{source} AS int) + {added}")
+        return f"CASE WHEN {wanted} AND lines_{source} > 0 THEN named_struct({', '.join(values)}) END"
+
+    positions = [position(slot, slot, 0, "true") for slot in range(1, len(dates) + 1)]
     if len(dates) == len(SNAPSHOT_DATES):
-        positions.append(position(4, 3, 1, F.col("part") % 7 == 0))
+        positions.append(position(4, 3, 1, "part % 7 = 0"))
     keyed = totals.join(_part_keys(raw_table(spark, folder, "part")), "part")
-    rows = keyed.select(*KEY, "asin", F.inline(F.array_compact(F.array(*positions))))
-    return align_to(with_stock_total(rows), INVENTORY)
+    rows = keyed.selectExpr(*KEY, "asin", f"inline(array_compact(array({', '.join(positions)})))")
+    return with_stock_total(rows).to(INVENTORY)
 
 
 def order_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as dated sales of a part; amounts are exact decimals, so sums do not depend on order."""
-    return raw_table(spark, folder, "lineitem").select(
-        F.col("l_partkey").alias("part"),
-        F.col("l_shipdate").alias("sold_on"),
-        F.col("l_quantity").alias("units"),
-        F.col("l_extendedprice").cast("decimal(12,2)").alias("amount"),
+    return raw_table(spark, folder, "lineitem").selectExpr(
+        "l_partkey AS part",
+        "l_shipdate AS sold_on",
+        "l_quantity AS units",
+        "cast(l_extendedprice AS decimal(12,2)) AS amount",
     )
 
 
 def sales_summaries(spark: SparkSession, folder: str, until: date = AS_OF) -> DataFrame:
     dates = [day for day in STAT_DATES if day <= until]
-    lines = order_lines(spark, folder).filter(F.col("part") % 19 != 3)
+    lines = order_lines(spark, folder).filter("part % 19 <> 3")
     totals = trailing_sales(lines, ["part"], dates, MODEL_DAY, SALES_HISTORY_DAYS)
     # Every 31st part carries unusable (negative) units.
-    sign = F.when(F.col("part") % 31 == 7, -1).otherwise(1)
-    units = {f"sales_units_{n}d": (F.col(f"sales_units_{n}d") * sign).cast("int") for n in (1, 3, 7, 14, 30)}
-    rows = with_sales_averages(totals.withColumns(units)).join(
-        _part_keys(raw_table(spark, folder, "part")), "part"
-    )
-    return align_to(
-        rows.withColumns(
-            {
-                "id": F.col("part") * 10 + F.col("slot"),
-                "sales_7d": F.col("sales_units_7d"),
-                "sales_30d": F.col("sales_units_30d"),
-                "currency": F.lit("USD"),
-                "data_source": F.lit("orders"),
-            }
-        ),
-        SALES,
-    )
+    sign = "CASE WHEN part % 31 = 7 THEN -1 ELSE 1 END"
+    units = [f"cast(sales_units_{n}d * {sign} AS int) AS sales_units_{n}d" for n in SALES_WINDOWS]
+    signed = totals.selectExpr("part", "slot", "stat_date", *units, "sales_amount_7d", "sales_amount_30d")
+    keyed = with_sales_averages(signed).join(_part_keys(raw_table(spark, folder, "part")), "part")
+    return keyed.selectExpr(
+        "*",
+        "part * 10 + slot AS id",
+        "sales_units_7d AS sales_7d",
+        "sales_units_30d AS sales_30d",
+        "'USD' AS currency",
+        "'orders' AS data_source",
+    ).to(SALES)
 
 
 def replenishment_configs(spark: SparkSession, folder: str) -> DataFrame:
-    part, size = F.col("p_partkey"), F.col("p_size")
-    parts = raw_table(spark, folder, "part").filter(part % 23 != 0)
-    target = F.when(size % 11 == 0, 0).otherwise(size % 7 * 10 + 30)
-    stages = parts.withColumns(
-        {
-            "id": part,
-            "seller_id": F.concat(F.lit("SELLER-"), "p_brand"),
-            "marketplace_id": F.col("p_type"),
-            "seller_sku": F.concat(F.lit("SKU-"), part.cast("string")),
-            "purchase_lead_time_days": size % 12 + 3,
-            "domestic_shipping_days": F.lit(2),
-            "international_shipping_days": size % 15 + 6,
-            "customs_clearance_days": F.lit(3),
-            "amazon_receiving_days": F.lit(5),
-            "safety_stock_days": F.lit(7),
-            "target_stock_days": target,
-            "target_cover_days": target,
-            "carton_quantity": F.when(size % 5 != 0, (size % 4 + 1) * 6),
-            "moq": F.when(size % 7 != 0, size + 20),
-            "config_status": F.when(size % 13 == 0, "inactive")
-            .when(size % 29 == 0, "invalid")
-            .otherwise("complete"),
-        }
+    target = "CASE WHEN p_size % 11 = 0 THEN 0 ELSE 30 + 10 * (p_size % 7) END"
+    stages = (
+        raw_table(spark, folder, "part")
+        .filter("p_partkey % 23 <> 0")
+        .selectExpr(
+            "p_partkey AS id",
+            *PART_KEYS,
+            "3 + p_size % 12 AS purchase_lead_time_days",
+            "2 AS domestic_shipping_days",
+            "6 + p_size % 15 AS international_shipping_days",
+            "3 AS customs_clearance_days",
+            "5 AS amazon_receiving_days",
+            "7 AS safety_stock_days",
+            f"{target} AS target_stock_days",
+            f"{target} AS target_cover_days",
+            "CASE WHEN p_size % 5 <> 0 THEN 6 * (1 + p_size % 4) END AS carton_quantity",
+            "CASE WHEN p_size % 7 <> 0 THEN 20 + p_size END AS moq",
+            """CASE WHEN p_size % 13 = 0 THEN 'inactive' WHEN p_size % 29 = 0 THEN 'invalid'
+                ELSE 'complete' END AS config_status""",
+        )
     )
-    rolled = with_lead_time(stages)
     # Every 37th part carries an unusable lead time.
-    broken = part % 37 == 11
-    totals = {
-        name: F.when(broken, -1).otherwise(F.col(name))
+    broken = {
+        name: F.expr(f"CASE WHEN id % 37 = 11 THEN -1 ELSE {name} END")
         for name in ("total_replenishment_days", "total_replenishment_lead_time_days")
     }
-    return align_to(rolled.withColumns(totals), CONFIGS)
+    return with_lead_time(stages).withColumns(broken).to(CONFIGS)
 
 
-def _sku_of_event(spark: SparkSession, folder: str) -> Column:
-    """Part number an event belongs to: the event number modulo the number of parts."""
-    parts = raw_table(spark, folder, "part").select(F.count(F.lit(1))).scalar()
-    return F.col("event_id") % parts
+def _part_count(parts: DataFrame) -> Column:
+    return parts.select(F.count(F.lit(1))).scalar()
 
 
 def status_updates(spark: SparkSession, folder: str) -> DataFrame:
     """Clicks resolve and errors ignore the task of the SKU and type that the event number points to."""
-    events = raw_table(spark, folder, "events").filter(F.col("event_type").isin("click", "error"))
-    types = F.array(*[F.lit(name) for name in TASK_TYPES])
-    keyed = events.withColumn("part", _sku_of_event(spark, folder)).join(
-        _part_keys(raw_table(spark, folder, "part")), "part"
-    )
-    rows = keyed.select(
-        task_id(
-            F.lit(BATCH_ID),
-            [F.col(name) for name in KEY],
-            F.element_at(types, (F.col("event_id") % 5 + 1).cast("int")),
-        ).alias("task_id"),
-        F.when(F.col("event_type") == "click", "resolved").otherwise("ignored").alias("task_status"),
-        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("operator_id"),
-        F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("operator_note"),
-        F.col("ts").alias("updated_at"),
-    )
-    return align_to(rows, STATUS_UPDATES)
+    parts = raw_table(spark, folder, "part")
+    events = raw_table(spark, folder, "events").filter("event_type IN ('click', 'error')")
+    keyed = events.withColumn("part", F.col("event_id") % _part_count(parts)).join(_part_keys(parts), "part")
+    types = ", ".join(f"'{name}'" for name in TASK_TYPES)
+    kind = f"element_at(array({types}), cast(event_id % 5 + 1 AS int))"
+    batch = f"'{BATCH_ID}'"
+    return keyed.selectExpr(
+        f"{task_id(batch, kind)} AS task_id",
+        "CASE event_type WHEN 'click' THEN 'resolved' ELSE 'ignored' END AS task_status",
+        "concat('user-', user_id) AS operator_id",
+        "concat('event ', event_id) AS operator_note",
+        "ts AS updated_at",
+    ).to(STATUS_UPDATES)
 
 
 def purchases(events: DataFrame, parts: DataFrame) -> DataFrame:
     """Purchase events as sales of one unit; works on a stream of events as well."""
-    count = parts.select(F.count(F.lit(1))).scalar()
-    sold = events.filter(F.col("event_type") == "purchase").select(
-        (F.col("event_id") % count).alias("part"),
-        F.col("ts").alias("sold_at"),
-        F.lit(1).alias("units"),
-        F.col("value").cast("decimal(12,2)").alias("amount"),
+    sold = (
+        events.filter("event_type = 'purchase'")
+        .withColumn("part", F.col("event_id") % _part_count(parts))
+        .selectExpr("part", "ts AS sold_at", "1 AS units", "cast(value AS decimal(12,2)) AS amount")
     )
     return sold.join(_part_keys(parts), "part").drop("part", "asin")

@@ -94,14 +94,7 @@ def ensure_columns(df: DataFrame, table: str) -> DataFrame:
 
 def align_to(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Exactly the target's columns and types: unknown columns are dropped, unset ones become NULL."""
-    return df.select(
-        *[
-            (F.col(field.name) if field.name in df.columns else F.lit(None))
-            .cast(field.dataType)
-            .alias(field.name)
-            for field in schema.fields
-        ]
-    )
+    return df.to(schema)
 
 
 def replace_table(df: DataFrame, path: str) -> None:
