@@ -48,4 +48,5 @@ def fixed_text(value: str, digits: int) -> str:
         WHEN {distance} < 0 THEN round({shortest}, {digits}) - {step}
         ELSE bround({shortest}, {digits}) END"""
     signed = f"CASE WHEN {value} < 0 THEN -1 ELSE 1 END * cast({rounded} AS decimal(30,{digits}))"
-    return f"coalesce(cast({signed} AS string), format_string('%.{digits}f', {value}))"
+    beyond_decimal = f"format_string('%.{digits}f', {value})"
+    return f"CASE WHEN {value} IS NOT NULL THEN coalesce(cast({signed} AS string), {beyond_decimal}) END"
