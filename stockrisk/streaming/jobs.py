@@ -20,18 +20,21 @@ from stockrisk.operators.latest import latest_per_key
 from stockrisk.operators.tasks import generate_tasks
 from stockrisk.plans.pipeline import Sources
 from stockrisk.schemas import INVENTORY, KEY
+from stockrisk.session import written
 
 
 def append_changes(
-    changes: DataFrame, log: str, checkpoint: str, shape: Callable[[DataFrame], DataFrame] = lambda df: df
+    changes: DataFrame, log: str, checkpoint: str, shape: Callable[[DataFrame], DataFrame] | None = None
 ) -> StreamingQuery:
-    """Start a job that writes every micro-batch of an updating stream to its own folder of the log."""
+    """Start a job that writes every micro-batch of an updating stream to its own folder of the log.
+
+    ``shape`` turns the changed rows into the logged ones.  As it may use them several times, and each use of a
+    micro-batch would run its state store again, it gets them from a written table.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        # The shape may use the batch several times; without persist each use would run the state store again.
-        batch.persist()
-        shape(batch).write.mode("overwrite").parquet(f"{log}/change={number}")
-        batch.unpersist()
+        rows = shape(written(batch, "changed-rows")) if shape else batch
+        rows.write.mode("overwrite").parquet(f"{log}/change={number}")
 
     return (
         changes.writeStream.outputMode("update")
