@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockrisk.operators.latest import latest_inventory, latest_sales
+from stockrisk.operators.latest import latest_inventory, latest_per_key, latest_sales
 from stockrisk.schemas import KEY
 
 DEFAULT_TARGET_COVER = "45"  # fixed value: days of cover without a setting
@@ -111,9 +111,9 @@ def sku_facts(
     )
 
 
-def _keyed(df: DataFrame, alias: str) -> DataFrame:
+def _keyed(df: DataFrame) -> DataFrame:
     """Add lower-case keys: stored tables compare keys without regard to case."""
-    return df.selectExpr("*", *[f"lower({name}) AS _{name}" for name in KEY]).alias(alias)
+    return df.selectExpr("*", *[f"lower({name}) AS _{name}" for name in KEY])
 
 
 def enriched_analysis(
@@ -123,10 +123,16 @@ def enriched_analysis(
 
     Missing columns of older tables are replaced by a default or by the column they superseded.
     """
-    joined = _keyed(analysis, "a")
-    for alias, df in {"p": products, "s": latest_sales(sales), "c": configs}.items():
-        on = " AND ".join(f"a._{name} = {alias}._{name}" for name in KEY)
-        joined = joined.join(_keyed(df, alias), F.expr(on), "left")
+    folded = [f"_{name}" for name in KEY]
+    current_rows = {
+        "p": _keyed(products),
+        "s": latest_per_key(_keyed(sales), folded, [F.desc("stat_date"), F.desc("id")]),
+        "c": _keyed(configs),
+    }
+    joined = _keyed(analysis).alias("a")
+    for alias, df in current_rows.items():
+        on = " AND ".join(f"a.{name} = {alias}.{name}" for name in folded)
+        joined = joined.join(df.alias(alias), F.expr(on), "left")
 
     def current(alias: str, df: DataFrame, name: str, fallback: str) -> str:
         return f"{alias}.{name} AS {name}" if name in df.columns else f"{fallback} AS {name}"
@@ -149,7 +155,7 @@ def enriched_analysis(
 
 def only_keys_of(df: DataFrame, few: DataFrame) -> DataFrame:
     """Rows of a large table whose key occurs in ``few``, which must be limited to some rows."""
-    wanted = _keyed(few.select(*KEY), "few")
+    wanted = _keyed(few.select(*KEY)).alias("few")
     on = " AND ".join(f"lower(big.{name}) = few._{name}" for name in KEY)
     return df.alias("big").join(F.broadcast(wanted), F.expr(on), "left_semi")
 

@@ -43,13 +43,26 @@ def trailing_sales(
                     F.expr(f"sum(CASE WHEN {inside} THEN {measure} ELSE 0 END) AS {measure}_{slot}_{n}")
                 )
     totals = lines.filter(needed).groupBy(*keys).agg(*sums)
-    rows = []
-    for slot, end in enumerate(stat_dates, 1):
-        values = [f"'slot', {slot}", f"'stat_date', date'{end}'"]
-        values += [f"'sales_units_{n}d', units_{slot}_{n}" for n in SALES_WINDOWS]
-        values += [f"'sales_amount_{n}d', amount_{slot}_{n}" for n in AMOUNT_WINDOWS]
-        rows.append(f"CASE WHEN lines_{slot} > 0 THEN named_struct({', '.join(values)}) END")
-    return totals.selectExpr(*keys, f"inline(array_compact(array({', '.join(rows)})))")
+    slots = range(1, len(stat_dates) + 1)
+    wide = {"stat_date": [f"date'{end}'" for end in stat_dates], "lines": [f"lines_{slot}" for slot in slots]}
+    for measure, windows in {"units": SALES_WINDOWS, "amount": AMOUNT_WINDOWS}.items():
+        for n in windows:
+            wide[f"sales_{measure}_{n}d"] = [f"{measure}_{slot}_{n}" for slot in slots]
+    return unfold(totals, keys, wide).filter("lines > 0").drop("lines")
+
+
+def unfold(df: DataFrame, keys: list[str], wide: dict[str, list[str]]) -> DataFrame:
+    """One row per slot from columns that exist once per slot; ``wide`` names the source of each slot.
+
+    Each result is a column of its own and not a struct field, so unused ones are pruned down to the scan.
+    """
+    count = len(next(iter(wide.values())))
+    slots = ", ".join(str(slot) for slot in range(1, count + 1))
+    picked = [
+        f"CASE slot {' '.join(f'WHEN {slot} THEN {text}' for slot, text in enumerate(texts, 1))} END AS {name}"
+        for name, texts in wide.items()
+    ]
+    return df.selectExpr("*", f"explode(array({slots})) AS slot").selectExpr(*keys, "slot", *picked)
 
 
 def with_sales_averages(sales: DataFrame) -> DataFrame:

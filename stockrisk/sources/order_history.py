@@ -16,6 +16,7 @@ from stockrisk.functions import measures as m
 from stockrisk.operators.measures import (
     SALES_WINDOWS,
     trailing_sales,
+    unfold,
     with_lead_time,
     with_sales_averages,
     with_stock_total,
@@ -141,24 +142,26 @@ def inventory_snapshots(spark: SparkSession, folder: str, until: date = AS_OF) -
     )
     totals = lines.groupBy(F.col("l_partkey").alias("part")).agg(*sums)
 
-    def position(slot: int, source: int, extra: int, wanted: str) -> str:
-        values = [
-            f"'id', part * 10 + {slot}",
-            f"'sync_time', timestamp_ntz'{dates[source - 1]}'",
-            f"'sync_batch_id', 'sync-{slot}'",
-            "'total_researching_quantity', 0",
-        ]
-        for name in STOCK_MEANING:
-            added = extra if name == "fulfillable_quantity" else 0
-            values.append(f"'{name}', cast({name}_{source} AS int) + {added}")
-        return f"CASE WHEN {wanted} AND lines_{source} > 0 THEN named_struct({', '.join(values)}) END"
-
-    positions = [position(slot, slot, 0, "true") for slot in range(1, len(dates) + 1)]
+    # Slot 4 repeats the last date with one more unit on hand.
+    sources = list(range(1, len(dates) + 1))
     if len(dates) == len(SNAPSHOT_DATES):
-        positions.append(position(4, 3, 1, "part % 7 = 0"))
+        sources.append(len(dates))
+    wide = {name: [f"cast({name}_{source} AS int)" for source in sources] for name in STOCK_MEANING}
+    wide["lines"] = [f"lines_{source}" for source in sources]
+    wide["sync_time"] = [f"timestamp_ntz'{dates[source - 1]}'" for source in sources]
     keyed = totals.join(_part_keys(raw_table(spark, folder, "part")), "part")
-    rows = keyed.selectExpr(*KEY, "asin", f"inline(array_compact(array({', '.join(positions)})))")
-    return with_stock_total(rows).to(INVENTORY)
+    rows = unfold(keyed, [*KEY, "asin", "part"], wide).filter("lines > 0 AND (slot < 4 OR part % 7 = 0)")
+    positions = rows.selectExpr(
+        "part * 10 + slot AS id",
+        *KEY,
+        "asin",
+        "fulfillable_quantity + CASE slot WHEN 4 THEN 1 ELSE 0 END AS fulfillable_quantity",
+        *list(STOCK_MEANING)[1:],
+        "0 AS total_researching_quantity",
+        "concat('sync-', slot) AS sync_batch_id",
+        "sync_time",
+    )
+    return with_stock_total(positions).to(INVENTORY)
 
 
 def order_lines(spark: SparkSession, folder: str) -> DataFrame:
