@@ -36,17 +36,22 @@ def _distance_from_tie(magnitude: str, digits: int) -> str:
 
 
 def fixed_text(value: str, digits: int) -> str:
-    """Text of a double with exactly ``digits`` places; pass a plain column, the value is used many times."""
-    magnitude = f"abs({value})"
-    shortest = f"try_cast({magnitude} AS decimal(38,16))"
+    """Text of a double with exactly ``digits`` places; pass a plain column, the value is used many times.
+
+    Ties are rare, so their arithmetic sits in a lambda that binds the value once.  The lambda also keeps the
+    projection out of whole-stage code generation; otherwise all rules end up in one generated method that is too
+    large for the JVM to compile, which makes them several times slower.
+    """
+    shortest = f"try_cast(abs({value}) AS decimal(38,16))"
+    away = f"round({shortest}, {digits})"
     step = f"{10.0**-digits:.{digits}f}"
     half = f"{0.5 * 10.0**-digits:.{digits + 1}f}"
-    distance = _distance_from_tie(magnitude, digits)
+    distance = _distance_from_tie("abs(x)", digits)
+    side = f"element_at(transform(array({value}), x -> {distance}), 1)"
     rounded = f"""CASE
-        WHEN round({shortest}, {digits}) - {shortest} <> {half} THEN round({shortest}, {digits})
-        WHEN {distance} > 0 THEN round({shortest}, {digits})
-        WHEN {distance} < 0 THEN round({shortest}, {digits}) - {step}
-        ELSE bround({shortest}, {digits}) END"""
+        WHEN {away} - {shortest} <> {half} THEN {away}
+        ELSE CASE signum({side}) WHEN 1D THEN {away} WHEN -1D THEN {away} - {step}
+            ELSE bround({shortest}, {digits}) END END"""
     signed = f"CASE WHEN {value} < 0 THEN -1 ELSE 1 END * cast({rounded} AS decimal(30,{digits}))"
     beyond_decimal = f"format_string('%.{digits}f', {value})"
     return f"CASE WHEN {value} IS NOT NULL THEN coalesce(cast({signed} AS string), {beyond_decimal}) END"

@@ -117,7 +117,7 @@ def stockout_score(base_level: str, trend: str, relieved: str) -> str:
     """Score of the level before relief, raised for rising demand and lowered by a delivery."""
     urgent = f"{_up(trend)} AND {base_level} IN ('high', 'medium')"
     raised = f"least(100D, {level_score(base_level)} + CASE WHEN {urgent} THEN 8D ELSE 0D END)"
-    return f"CASE WHEN {relieved} THEN greatest(20D, {raised} - 15D) ELSE {raised} END"
+    return f"greatest({raised} - CASE WHEN {relieved} THEN 15D ELSE 0D END, 20D)"
 
 
 def lost_units(fulfillable: str, available_days: str, lead_days: str, per_day: str) -> str:
@@ -176,9 +176,12 @@ def replenish_target_days(target: str, lead_days: str, safety_days: str, trend:
     return f"(CASE WHEN {target} <= 0 THEN {fallback} ELSE {target} END) * {factor}"
 
 
-def lifted_to_minimum(quantity: str, moq: str, carton: str) -> str:
+def minimum_order(moq: str) -> str:
+    return f"cast({to_double(moq)} AS bigint)"
+
+
+def lifted_to_minimum(quantity: str, minimum: str, carton: str) -> str:
     """A positive quantity below the minimum order becomes that minimum in whole cartons."""
-    minimum = f"cast({to_double(moq)} AS bigint)"
     return f"""CASE WHEN {quantity} > 0 AND {quantity} < {minimum}
         THEN {carton_round(minimum, carton)} ELSE {quantity} END"""
 
@@ -191,16 +194,20 @@ def replenish_action(quantity: str) -> str:
     return f"CASE WHEN {to_double(quantity)} > 0 THEN 'replenish_now' ELSE 'keep_monitoring' END"
 
 
+def target_days_text(target_days: str) -> str:
+    return fixed_text(target_days, 1)
+
+
 def replenish_text(
-    quantity: str, target_days: str, average_30d: str, available: str, inbound: str, moq: str
+    quantity: str, target_text: str, average_30d: str, available: str, inbound: str, moq: str
 ) -> str:
     """The stored 30-day average has two places, so its text needs no rounding."""
     return f"""concat('Recommended quantity is ', {quantity},
-        ', based on target cover days ', {fixed_text(target_days, 1)},
+        ', based on target cover days ', {target_text},
         ', 30-day average daily sales ', cast({to_double(average_30d)} AS decimal(20,2)),
         ', available inventory ', {_whole(available)},
         ', inbound inventory ', {_whole(inbound)},
-        ', MOQ ', cast({to_double(moq)} AS bigint), '.')"""
+        ', MOQ ', {minimum_order(moq)}, '.')"""
 
 
 def unit_cost(landed: str, purchase: str) -> str:

@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockrisk.functions import rules
+from stockrisk.functions.numeric import to_double
 from stockrisk.schemas import ANALYSIS, KEY, STORED_ANALYSIS
 
 
 def rule_steps(today: str, eta: str) -> list[dict[str, str]]:
-    """Result columns and their expressions, in steps: a later rule names the result of an earlier one."""
+    """Result columns and their expressions, in steps: a later rule names the result of an earlier one.
+
+    The steps with number texts are not fused with their neighbours (see ``fixed_text``), which keeps every
+    generated method below the 8,000 bytes up to which the JVM compiles it.
+    """
     average_30d, quantity = "avg_daily_sales_30d", "recommended_replenishment_quantity"
     lead, safety, trend = "total_replenishment_days", "safety_stock_days", "sales_trend"
     fulfillable, available, inbound = "fulfillable_quantity", "available_days", "effective_inbound_quantity"
@@ -31,6 +36,9 @@ def rule_steps(today: str, eta: str) -> list[dict[str, str]]:
             "demand_signal": rules.demand_signal("sales_30d", trend, "sales_trend_rate"),
             "target_days": rules.replenish_target_days("target_cover_days", lead, safety, trend),
             "unit_cost": rules.unit_cost("landed_cost", "purchase_cost"),
+            "lead_days": to_double(lead),
+            "carton_size": to_double("carton_quantity"),
+            "minimum_order": rules.minimum_order("moq"),
         },
         {
             available: rules.cover_days(fulfillable, "daily_sales"),
@@ -40,24 +48,27 @@ def rule_steps(today: str, eta: str) -> list[dict[str, str]]:
             overstock: rules.overstock_level("total_quantity", average_30d, "total_cover_days"),
             "missing_quantity": rules.missing_quantity("target_days", average_30d, fulfillable, inbound),
             "recommended_replenishment_days": rules.replenish_days("target_days"),
+            "target_days_text": rules.target_days_text("target_days"),
             "effective_margin": rules.effective_margin("current_price", "unit_cost", "gross_margin"),
         },
         {
-            base_level: rules.stockout_level(fulfillable, available, safety, lead),
+            base_level: rules.stockout_level(fulfillable, available, safety, "lead_days"),
             relief: rules.delivery_relief(available, today, eta),
             "overstock_risk_score": rules.overstock_score(
                 overstock, "total_cover_days", average_30d, "gross_margin"
             ),
             "estimated_stockout_date": rules.stockout_date(today, available),
-            "estimated_lost_sales_units": rules.lost_units(fulfillable, available, lead, "daily_sales"),
-            "carton_rounded_quantity": rules.carton_round("missing_quantity", "carton_quantity"),
+            "estimated_lost_sales_units": rules.lost_units(
+                fulfillable, available, "lead_days", "daily_sales"
+            ),
+            "carton_rounded_quantity": rules.carton_round("missing_quantity", "carton_size"),
             profit: rules.profit_signal("current_price", "unit_cost", "effective_margin"),
         },
         {
             level: rules.relieved_level(base_level, relief),
             "stockout_risk_score": rules.stockout_score(base_level, trend, relief),
             "estimated_lost_revenue": rules.money("estimated_lost_sales_units", "current_price"),
-            quantity: rules.lifted_to_minimum("carton_rounded_quantity", "moq", "carton_quantity"),
+            quantity: rules.lifted_to_minimum("carton_rounded_quantity", "minimum_order", "carton_size"),
             "profitability_explanation": rules.profit_text(profit),
         },
         {
@@ -67,11 +78,11 @@ def rule_steps(today: str, eta: str) -> list[dict[str, str]]:
             "replenishment_urgency": rules.urgency(level),
             "confidence_score": rules.confidence(quality, "avg_daily_sales_7d"),
             "stockout_explanation": rules.stockout_text(
-                level, fulfillable, "total_reserved_quantity", available, lead
+                level, fulfillable, "total_reserved_quantity", available, "lead_days"
             ),
             "action_reason": rules.action_reason("seller_sku", available, level, overstock, quantity),
             "replenishment_explanation": rules.replenish_text(
-                quantity, "target_days", average_30d, fulfillable, inbound, "moq"
+                quantity, "target_days_text", average_30d, fulfillable, inbound, "minimum_order"
             ),
         },
         {

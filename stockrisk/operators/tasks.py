@@ -54,73 +54,53 @@ def task_id(batch: str, task_type: str) -> str:
     return f"md5(concat_ws(';', {batch}, {', '.join(KEY)}, {task_type}))"
 
 
-def _entry(
-    order: int, wanted: str, problem: str, level: str, impact: str, title: str, description: str
-) -> str:
-    """One element of the fan-out array, NULL where it is not wanted."""
-    return f"""CASE WHEN {wanted} THEN named_struct(
-        'task_order', {order},
-        'task_type', '{TASK_TYPES[order - 1]}',
-        'problem_type', '{problem}',
-        'risk_level', {level},
-        'impact', {impact},
-        'task_title', {title},
-        'task_description', {description}) END"""
-
-
-def task_entries() -> str:
-    """Array of the tasks that an analysis row calls for, in creation order."""
+# When a row calls for the task of each type.
+WANTED = {
+    "stockout_warning": "stockout_risk_level IN ('critical', 'high')",
+    "replenishment_suggestion": "recommended_action IN ('replenish_now', 'prepare_replenishment')",
+    "overstock_warning": "overstock_risk_level = 'high'",
+    "unfulfillable_inventory_alert": "total_unfulfillable_quantity > 0",
+    "data_missing_alert": "data_quality_status <> 'complete'",
+}
+
+
+def _by_type(*texts: str) -> str:
+    """The expression for the type of the current task; one text per type, in creation order."""
+    return f"CASE task_type {' '.join(f"WHEN '{kind}' THEN {text}" for kind, text in zip(TASK_TYPES, texts, strict=True))} END"
+
+
+def task_columns() -> dict[str, str]:
+    """What a task says, by its type."""
     lost = to_double("estimated_lost_revenue")
-    entries = [
-        _entry(
-            1,
-            "stockout_risk_level IN ('critical', 'high')",
-            "stockout",
-            "stockout_risk_level",
-            lost,
-            "concat('[Stockout warning] ', seller_sku, ' has ', stockout_risk_level, ' stockout risk')",
-            "action_reason",
+    return {
+        "problem_type": _by_type(
+            "'stockout'", "'replenishment'", "'overstock'", "'inventory_exception'", "'data_quality'"
         ),
-        _entry(
-            2,
-            "recommended_action IN ('replenish_now', 'prepare_replenishment')",
-            "replenishment",
+        "risk_level": _by_type(
+            "stockout_risk_level",
             "stockout_risk_level",
-            lost,
+            "'high'",
+            "'medium'",
+            "CASE WHEN data_quality_status = 'missing_inventory' THEN 'high' ELSE 'medium' END",
+        ),
+        "impact": _by_type(lost, lost, overstock_value("total_quantity", "landed_cost"), "0D", "0D"),
+        "task_title": _by_type(
+            "concat('[Stockout warning] ', seller_sku, ' has ', stockout_risk_level, ' stockout risk')",
             "concat('[Replenishment suggestion] ', seller_sku, ' replenish ', "
             "recommended_replenishment_quantity, ' units')",
-            "action_reason",
-        ),
-        _entry(
-            3,
-            "overstock_risk_level = 'high'",
-            "overstock",
-            "'high'",
-            overstock_value("total_quantity", "landed_cost"),
             "concat('[Overstock warning] ', seller_sku, ' has excessive inventory cover')",
-            "action_reason",
-        ),
-        _entry(
-            4,
-            "total_unfulfillable_quantity > 0",
-            "inventory_exception",
-            "'medium'",
-            "0D",
             "concat('[Unfulfillable inventory] ', seller_sku, ' has unfulfillable inventory')",
-            "concat(seller_sku, ' currently has ', total_unfulfillable_quantity, ' unfulfillable units.')",
-        ),
-        _entry(
-            5,
-            "data_quality_status <> 'complete'",
-            "data_quality",
-            "CASE WHEN data_quality_status = 'missing_inventory' THEN 'high' ELSE 'medium' END",
-            "0D",
             "concat('[Data quality] ', seller_sku, ' data quality is ', data_quality_status)",
+        ),
+        "task_description": _by_type(
+            "action_reason",
+            "action_reason",
+            "action_reason",
+            "concat(seller_sku, ' currently has ', total_unfulfillable_quantity, ' unfulfillable units.')",
             "concat(seller_sku, ' data quality is ', data_quality_status, "
             "'; complete the missing data before relying on the recommendation.')",
         ),
-    ]
-    return f"array_compact(array({', '.join(entries)}))"
+    }
 
 
 # JSON text with the figures behind a task; empty fields are kept as null.
@@ -137,8 +117,18 @@ ACTION_PAYLOAD = """to_json(named_struct(
 
 
 def generate_tasks(analysis: DataFrame, created_at: datetime) -> DataFrame:
-    """Fan analysis rows (in full precision) out into zero to five tasks each, in one pass."""
-    fanned = analysis.selectExpr("*", f"inline({task_entries()})")
+    """Fan analysis rows (in full precision) out into zero to five tasks each, in one pass.
+
+    Only the position of a task is unfolded; its texts are computed afterwards and only if they are used.
+    """
+    wanted = ", ".join(f"CASE WHEN {WANTED[kind]} THEN {i} END" for i, kind in enumerate(TASK_TYPES, 1))
+    kinds = ", ".join(f"'{kind}'" for kind in TASK_TYPES)
+    fanned = (
+        analysis.selectExpr("*", f"explode(array({wanted})) AS task_order")
+        .filter("task_order IS NOT NULL")
+        .selectExpr("*", f"element_at(array({kinds}), task_order) AS task_type")
+        .selectExpr("*", *[f"{text} AS {name}" for name, text in task_columns().items()])
+    )
     rows = fanned.selectExpr(
         f"{task_id('analysis_batch_id', 'task_type')} AS task_id",
         f"{ANALYSIS_ID} AS analysis_id",

@@ -54,4 +54,20 @@ def test_top_list_is_a_top_k_and_reduces_the_large_tables(spark):
 
 def test_tasks_are_fanned_out_in_one_pass(spark):
     plan = plan_of(catalog.model(spark, SMALL).tasks)
-    assert "Union" not in plan and plan.count("Generate inline") == 1
+    # One unfolding each for the stock dates, the sales dates and the tasks; each source is read once.
+    assert "Union" not in plan and plan.count("Generate explode(") == 3
+    assert plan.count("FileScan parquet [l_") == 2
+
+
+@pytest.mark.parametrize("name", ["analysis", "tasks", "enriched_analysis", "sales_windows", "explanations"])
+def test_generated_methods_are_small_enough_for_the_jit(spark, name):
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        frame = catalog.queries()[name](spark, SMALL)
+        package = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
+        code = getattr(package, "MODULE$").codegenString(frame._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
