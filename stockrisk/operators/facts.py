@@ -164,21 +164,24 @@ def analysis_lineage(
     analysis: DataFrame, snapshots: DataFrame, sales: DataFrame, configs: DataFrame, tasks: DataFrame
 ) -> DataFrame:
     """Each task with its analysis row and the three source rows that row was computed from."""
-    snapshot = snapshots.selectExpr("id AS inventory_snapshot_id", "sync_time", "sync_batch_id")
-    summary = sales.selectExpr("id AS sales_summary_id", "stat_date")
-    config = configs.selectExpr("id AS replenishment_config_id", "config_status")
-    sources = (
-        analysis.selectExpr(
-            "id AS analysis_id",
-            "analysis_batch_id",
-            "inventory_snapshot_id",
-            "sales_summary_id",
-            "replenishment_config_id",
-        )
-        .join(snapshot, "inventory_snapshot_id", "left")
-        .join(summary, "sales_summary_id", "left")
-        .join(config, "replenishment_config_id", "left")
+    snapshot = snapshots.selectExpr("id AS source_id", "sync_time", "sync_batch_id")
+    summary = sales.selectExpr("id AS source_id", "stat_date")
+    config = configs.selectExpr("id AS source_id", "config_status")
+    sources = analysis.selectExpr(
+        "id AS analysis_id",
+        "analysis_batch_id",
+        "inventory_snapshot_id",
+        "sales_summary_id",
+        "replenishment_config_id",
     )
+    for name, table in {
+        "inventory_snapshot_id": snapshot,
+        "sales_summary_id": summary,
+        "replenishment_config_id": config,
+    }.items():
+        # Many rows may lack a source. Distinct negative stand-ins keep them from meeting in one partition.
+        key = f"coalesce({name}, -1L - (xxhash64(analysis_id) & 9223372036854775807L)) AS source_id"
+        sources = sources.selectExpr("*", key).join(table, "source_id", "left").drop("source_id")
     return tasks.select("task_id", "task_type", "seller_sku", "analysis_id").join(
         sources, "analysis_id", "left"
     )

@@ -701,13 +701,14 @@ def stream_stockout_alerts(m: Model) -> DataFrame:
     jobs.stream_stockout_alerts(
         _snapshot_stream(m, folder),
         static,
-        f"{folder}/log",
+        f"{folder}/inventory",
+        f"{folder}/alerts",
         f"{folder}/checkpoint",
         oh.BATCH_ID,
         oh.AS_OF,
         oh.CREATED_AT,
     ).awaitTermination()
-    alerts = jobs.current_alerts(m.spark.read.parquet(f"{folder}/log"))
+    alerts = jobs.current_alerts(m.spark.read.parquet(f"{folder}/alerts"))
     return alerts.select("task_id", *KEY, "task_title", "priority", "risk_level", "estimated_impact_value")
 
 

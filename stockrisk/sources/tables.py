@@ -102,6 +102,16 @@ def replace_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def replace_bucketed(df: DataFrame, table: str, buckets: int) -> None:
+    """Full refresh of a catalog table bucketed and sorted by the business key.
+
+    Tables with the same bucket count are joined on the key, and reduced to the newest row per key, without a
+    shuffle.
+    """
+    writer = df.repartition(buckets, *KEY).write.mode("overwrite")
+    writer.bucketBy(buckets, *KEY).sortBy(*KEY).saveAsTable(table)
+
+
 def replace_batch(df: DataFrame, path: str, batch_id: str) -> None:
     """Replace the rows of one analysis batch and leave other batches alone, also when the batch is empty now."""
     if not re.fullmatch(r"[A-Za-z0-9._-]+", batch_id):

@@ -20,21 +20,22 @@ from stockrisk.operators.latest import latest_per_key
 from stockrisk.operators.tasks import generate_tasks
 from stockrisk.plans.pipeline import Sources
 from stockrisk.schemas import INVENTORY, KEY
-from stockrisk.session import written
 
 
 def append_changes(
-    changes: DataFrame, log: str, checkpoint: str, shape: Callable[[DataFrame], DataFrame] | None = None
+    changes: DataFrame, log: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None
 ) -> StreamingQuery:
     """Start a job that writes every micro-batch of an updating stream to its own folder of the log.
 
-    ``shape`` turns the changed rows into the logged ones.  As it may use them several times, and each use of a
-    micro-batch would run its state store again, it gets them from a written table.
+    ``then`` gets the logged rows of each micro-batch and its number.  It reads them from the log, because each use
+    of the micro-batch itself would run its state store again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = shape(written(batch, "changed-rows")) if shape else batch
-        rows.write.mode("overwrite").parquet(f"{log}/change={number}")
+        folder = f"{log}/change={number}"
+        batch.write.mode("overwrite").parquet(folder)
+        if then:
+            then(batch.sparkSession.read.schema(batch.schema).parquet(folder), number)
 
     return (
         changes.writeStream.outputMode("update")
@@ -97,18 +98,20 @@ def stockout_states(
 def stream_stockout_alerts(
     snapshots: DataFrame,
     static: Sources,
-    log: str,
+    inventory_log: str,
+    alert_log: str,
     checkpoint: str,
     batch_id: str,
     as_of: date,
     created_at: datetime,
 ) -> StreamingQuery:
-    """Evaluate each changed snapshot against the static tables and log the resulting alert state."""
+    """Log changed snapshots, evaluate each against the static tables and log the resulting alert state."""
 
-    def evaluate(current: DataFrame) -> DataFrame:
-        return stockout_states(current, static, batch_id, as_of, created_at)
+    def evaluate(current: DataFrame, number: int) -> None:
+        states = stockout_states(current, static, batch_id, as_of, created_at)
+        states.write.mode("overwrite").parquet(f"{alert_log}/change={number}")
 
-    return append_changes(latest_inventory_changes(snapshots), log, checkpoint, evaluate)
+    return append_changes(latest_inventory_changes(snapshots), inventory_log, checkpoint, evaluate)
 
 
 def current_daily_sales(log: DataFrame) -> DataFrame:

@@ -15,8 +15,11 @@ MEDIUM = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, "tests", **{"spark.sql.shuffle.partitions": "4"})
+def spark(tmp_path_factory):
+    warehouse = str(tmp_path_factory.mktemp("warehouse"))
+    session = local_session(
+        8, "tests", **{"spark.sql.shuffle.partitions": "4", "spark.sql.warehouse.dir": warehouse}
+    )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -8,7 +8,9 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from stockrisk.operators.facts import sku_facts
 from stockrisk.plans import catalog
+from stockrisk.sources.tables import replace_bucketed
 
 
 def plan_of(df) -> str:
@@ -47,6 +49,23 @@ def test_large_joins_share_the_window_partitioning(spark):
     assert plan.count("WindowGroupLimit") == 4  # stock and sales, before and after their shuffle
 
 
+def test_bucketed_tables_are_joined_without_a_shuffle(spark):
+    model = catalog.model(spark, SMALL)
+    tables = {"b_products": model.products, "b_inventory": model.inventory, "b_sales": model.sales, "b_configs": model.configs}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for name, frame in tables.items():
+            replace_bucketed(frame, name, 4)
+        facts = sku_facts(*[spark.table(name) for name in tables])
+        assert "Exchange" not in plan_of(facts)
+        assert facts.exceptAll(model.facts).count() == 0 and facts.count() == 196
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        for name in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_top_list_is_a_top_k_and_reduces_the_large_tables(spark):
     plan = plan_of(entry.queries()["top_risk_skus"](spark, SMALL))
     assert "TakeOrderedAndProject" in plan and "LeftSemi" in plan

@@ -5,9 +5,11 @@ from __future__ import annotations
 from datetime import date, datetime, timedelta
 
 from conftest import SMALL
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stockrisk.operators.latest import latest_inventory
+from stockrisk.operators.measures import trailing_sales
 from stockrisk.plans import catalog
 from stockrisk.plans.pipeline import Sources
 from stockrisk.schemas import INVENTORY, KEY
@@ -46,7 +48,12 @@ def test_daily_sales_drop_only_late_rows(spark, tmp_path):
         ours = {(r.seller_sku, r.sold_on): (r.units, float(r.amount)) for r in current.collect()}
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
-    later = date(2024, 1, 15)
+    # Daily totals feed the trailing windows as well as single sales do.
+    windows = trailing_sales(current.drop("change"), ["seller_sku"], [later := date(2024, 1, 15)])
+    assert {r.seller_sku: (r.sales_units_1d, r.sales_units_7d) for r in windows.collect()} == {
+        "A": (7, 14),
+        "B": (3, 8),
+    }
     assert ours == {
         ("A", date(2024, 1, 10)): (7, 14.0),
         ("B", date(2024, 1, 10)): (5, 10.0),
@@ -59,7 +66,7 @@ def test_latest_inventory_does_not_depend_on_arrival_order(spark, tmp_path):
     snapshots = catalog.model(spark, SMALL).inventory
     for number, order in enumerate([F.asc("id"), F.desc("sync_time")]):
         folder = f"{tmp_path}/in{number}"
-        pieces = snapshots.withColumn("piece", F.ntile(3).over(__import__("pyspark").sql.Window.orderBy(order)))
+        pieces = snapshots.withColumn("piece", F.ntile(3).over(Window.orderBy(order)))
         for piece in (1, 2, 3):
             pieces.filter(F.col("piece") == piece).drop("piece").coalesce(1).write.mode("append").parquet(folder)
         log = f"{tmp_path}/log{number}"
@@ -75,13 +82,14 @@ def test_latest_inventory_does_not_depend_on_arrival_order(spark, tmp_path):
 def test_alerts_follow_the_newest_snapshot(spark, tmp_path):
     """Snapshots arrive by date in micro-batches; alerts that no longer hold disappear, raised ones stay logged."""
     model = catalog.model(spark, SMALL)
-    folder, log = f"{tmp_path}/in", f"{tmp_path}/log"
+    folder, log = f"{tmp_path}/in", f"{tmp_path}/alerts"
     for slot in (1, 2, 3, 4):
         part = model.inventory.filter(F.col("id") % 10 == slot)
         part.coalesce(1).write.mode("append").parquet(folder)
     jobs.stream_stockout_alerts(
         file_stream(spark, folder, INVENTORY),
         Sources(model.products, model.inventory, model.sales, model.configs),
+        f"{tmp_path}/inventory",
         log,
         f"{tmp_path}/cp",
         oh.BATCH_ID,
