@@ -41,13 +41,22 @@ def run(name: str, spark, folder: str) -> float:
     return time.perf_counter() - start
 
 
+def shuffled_bytes(spark) -> int:
+    """Bytes written to shuffles since the session started."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = local_session(cpus, "bench", **{"spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
+    shuffles = {}
     for name in HEADLINE:
+        before = shuffled_bytes(spark)
         run(name, spark, folder)
+        shuffles[name] = shuffled_bytes(spark) - before
     times, repeats = {}, 3
     for name in HEADLINE:
         times[name] = round(min(run(name, spark, folder) for _ in range(repeats)), 3)
@@ -61,6 +70,7 @@ def main() -> None:
                 "queries": times,
                 "sf": float(match.group(1)) if match else None,
                 "cpus": cpus,
+                "shuffle_bytes": shuffles,
             }
         )
     )

@@ -102,12 +102,9 @@ class Model:
         return self.stored.unionByName(self.prior_stored)
 
     def written_results(self) -> tuple[DataFrame, DataFrame]:
-        """Analysis and tasks as a run leaves them behind: written tables, for reports that read them repeatedly."""
+        """Analysis and task tables over one written copy of the analysis rows, for reports that read them often."""
         rows = written(self.analysis, "analysis")
-        return (
-            written(stored_analysis(rows, oh.CREATED_AT), "stored-analysis"),
-            written(generate_tasks(rows, oh.CREATED_AT), "tasks"),
-        )
+        return stored_analysis(rows, oh.CREATED_AT), generate_tasks(rows, oh.CREATED_AT)
 
 
 @lru_cache(maxsize=8)

@@ -33,6 +33,12 @@ task_id seller_sku asin task_type task_title task_description priority risk_leve
 approval_required task_status created_at problem_type impact_level estimated_impact_value approval_level
 """.split()
 
+DASHBOARD_COLUMNS = """
+total_skus critical_stockout_count high_stockout_count overstock_high_count data_missing_count
+pending_task_count total_tasks estimated_lost_revenue_total high_impact_task_count avg_decision_confidence
+stockout_risk_score_avg overstock_risk_score_avg
+""".split()
+
 STOCKOUT_RANK = """CASE stockout_risk_level WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3
     WHEN 'unknown' THEN 4 ELSE 5 END"""
 OVERSTOCK_RANK = "CASE overstock_risk_level WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
@@ -85,7 +91,7 @@ def dashboard_summary(products: DataFrame, analysis: DataFrame, tasks: DataFrame
     def average(name: str) -> str:
         return if_present(analysis, [name], f"avg({name})", "cast(max(NULL) AS double)")
 
-    return _one_row(
+    figures = _one_row(
         [
             _aggregate(active_products(products), total_skus="count(1)"),
             _aggregate(
@@ -94,18 +100,17 @@ def dashboard_summary(products: DataFrame, analysis: DataFrame, tasks: DataFrame
                 high_stockout_count="count_if(stockout_risk_level = 'high')",
                 overstock_high_count="count_if(overstock_risk_level = 'high')",
                 data_missing_count="count_if(data_quality_status <> 'complete')",
-            ),
-            _aggregate(
-                tasks, pending_task_count="count_if(task_status = 'pending')", total_tasks="count(1)"
-            ),
-            _aggregate(
-                analysis,
                 estimated_lost_revenue_total=if_present(
                     analysis, ["estimated_lost_revenue"], "coalesce(sum(estimated_lost_revenue), 0)", "max(0)"
                 ),
+                avg_decision_confidence=average("decision_confidence"),
+                stockout_risk_score_avg=average("stockout_risk_score"),
+                overstock_risk_score_avg=average("overstock_risk_score"),
             ),
             _aggregate(
                 tasks,
+                pending_task_count="count_if(task_status = 'pending')",
+                total_tasks="count(1)",
                 high_impact_task_count=if_present(
                     tasks,
                     ["impact_level", "estimated_impact_value"],
@@ -114,14 +119,9 @@ def dashboard_summary(products: DataFrame, analysis: DataFrame, tasks: DataFrame
                     "max(0L)",
                 ),
             ),
-            _aggregate(
-                analysis,
-                avg_decision_confidence=average("decision_confidence"),
-                stockout_risk_score_avg=average("stockout_risk_score"),
-                overstock_risk_score_avg=average("overstock_risk_score"),
-            ),
         ]
     )
+    return figures.select(*DASHBOARD_COLUMNS)
 
 
 def risk_distribution(analysis: DataFrame) -> DataFrame:
