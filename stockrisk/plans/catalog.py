@@ -499,7 +499,7 @@ def risk_distribution(m: Model) -> DataFrame:
 
 @query
 def top_risk_skus(m: Model) -> DataFrame:
-    return reports.top_risk_skus(written(m.stored, "stored-analysis"), m.products, m.sales, m.configs, 20)
+    return reports.top_risk_skus(m.stored, m.products, m.sales, m.configs, 20)
 
 
 @query
@@ -511,8 +511,7 @@ def analysis_list(m: Model) -> DataFrame:
 
 @query
 def analysis_detail(m: Model) -> DataFrame:
-    both = written(m.both_batches, "stored-analysis")
-    return reports.analysis_detail(both, m.products, m.sales, m.configs, ONE_SKU)
+    return reports.analysis_detail(m.both_batches, m.products, m.sales, m.configs, ONE_SKU)
 
 
 @query

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from stockrisk.operators.facts import active_products, enriched_analysis, only_keys_of
 from stockrisk.operators.latest import latest_per_key
 from stockrisk.schemas import KEY
+from stockrisk.session import written
 
 MAX_TOP_ROWS = 10_000  # a top list is a short report; its keys are broadcast to look up the other columns
 
@@ -135,8 +136,7 @@ def top_risk_skus(
 ) -> DataFrame:
     """The worst SKUs with their current source columns.
 
-    The order needs analysis columns only, so the rows are picked first and the large tables are reduced to the
-    picked keys before the newest sales row is determined.
+    The order needs analysis columns only, so the rows are picked first.
     """
     if not 0 < limit <= MAX_TOP_ROWS:
         raise ValueError(f"limit must be between 1 and {MAX_TOP_ROWS}")
@@ -147,9 +147,14 @@ def top_risk_skus(
 def enriched_for(
     picked: DataFrame, products: DataFrame, sales: DataFrame, configs: DataFrame
 ) -> DataFrame:
-    """``enriched_analysis`` for a limited number of rows."""
+    """``enriched_analysis`` for a limited number of rows.
+
+    The large tables are reduced to the picked keys before the newest sales row is determined.  The picked rows are
+    written first: four lookups use them, and each would pick them again from the whole analysis table.
+    """
+    few = written(picked, "picked-rows")
     return enriched_analysis(
-        picked, only_keys_of(products, picked), only_keys_of(sales, picked), only_keys_of(configs, picked)
+        few, only_keys_of(products, few), only_keys_of(sales, few), only_keys_of(configs, few)
     )
 
 

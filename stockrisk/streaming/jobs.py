@@ -23,10 +23,16 @@ from stockrisk.schemas import INVENTORY, KEY
 
 
 def append_changes(
-    changes: DataFrame, log: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None
+    changes: DataFrame,
+    log: str,
+    checkpoint: str,
+    then: Callable[[DataFrame, int], None] | None = None,
+    every: str | None = None,
 ) -> StreamingQuery:
     """Start a job that writes every micro-batch of an updating stream to its own folder of the log.
 
+    It runs at an interval, such as ``"5 minutes"``, or by default until all available input is used.
+
     ``then`` gets the logged rows of each micro-batch and its number.  It reads them from the log, because each use
     of the micro-batch itself would run its state store again.
     """
@@ -40,7 +46,7 @@ def append_changes(
     return (
         changes.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**({"processingTime": every} if every else {"availableNow": True}))
         .foreachBatch(write)
         .start()
     )
@@ -63,8 +69,10 @@ def daily_sales_changes(sold: DataFrame, lateness: str = "1 day") -> DataFrame:
     )
 
 
-def stream_sales_daily(sold: DataFrame, log: str, checkpoint: str, lateness: str = "1 day") -> StreamingQuery:
-    return append_changes(daily_sales_changes(sold, lateness), log, checkpoint)
+def stream_sales_daily(
+    sold: DataFrame, log: str, checkpoint: str, lateness: str = "1 day", every: str | None = None
+) -> StreamingQuery:
+    return append_changes(daily_sales_changes(sold, lateness), log, checkpoint, every=every)
 
 
 def latest_inventory_changes(snapshots: DataFrame) -> DataFrame:
@@ -74,8 +82,10 @@ def latest_inventory_changes(snapshots: DataFrame) -> DataFrame:
     return newest.select(*KEY, "row.*").select(*INVENTORY.names)
 
 
-def stream_latest_inventory(snapshots: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
-    return append_changes(latest_inventory_changes(snapshots), log, checkpoint)
+def stream_latest_inventory(
+    snapshots: DataFrame, log: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    return append_changes(latest_inventory_changes(snapshots), log, checkpoint, every=every)
 
 
 def stockout_states(
@@ -104,6 +114,7 @@ def stream_stockout_alerts(
     batch_id: str,
     as_of: date,
     created_at: datetime,
+    every: str | None = None,
 ) -> StreamingQuery:
     """Log changed snapshots, evaluate each against the static tables and log the resulting alert state."""
 
@@ -111,7 +122,7 @@ def stream_stockout_alerts(
         states = stockout_states(current, static, batch_id, as_of, created_at)
         states.write.mode("overwrite").parquet(f"{alert_log}/change={number}")
 
-    return append_changes(latest_inventory_changes(snapshots), inventory_log, checkpoint, evaluate)
+    return append_changes(latest_inventory_changes(snapshots), inventory_log, checkpoint, evaluate, every)
 
 
 def current_daily_sales(log: DataFrame) -> DataFrame:
