@@ -303,7 +303,7 @@ def _text_list(name: str) -> str:
     """Texts of a list field without null and blank entries; anything but a list is empty."""
     items = f"try_variant_get({_field(name)}, '$', 'array<variant>')"
     texts = f"transform(filter({items}, x -> x IS NOT NULL AND {_kind('x')} <> 'VOID'), x -> {_scalar_text('x')})"
-    return f"coalesce(filter({texts}, t -> trim(t) <> ''), cast(array() AS array<string>))"
+    return f"coalesce(filter({texts}, t -> t RLIKE '[^\\\\s]'), cast(array() AS array<string>))"
 
 
 def parse_insight_replies(replies: DataFrame) -> DataFrame:
@@ -312,7 +312,8 @@ def parse_insight_replies(replies: DataFrame) -> DataFrame:
     Code fences are removed; text that is no JSON is retried from its first to its last brace.  The root must be an
     object with a list ``insights`` of objects.  A reply that is not gives one row with ``is_valid`` false.
     """
-    fenced = r"regexp_replace(regexp_replace(trim(raw_text), '^```(?:json)?\\s*', ''), '\\s*```$', '')"
+    bare_text = r"regexp_replace(raw_text, '^\\s+|\\s+$', '')"
+    fenced = rf"regexp_replace(regexp_replace({bare_text}, '^```(?:json)?\\s*', ''), '\\s*```$', '')"
     bare = replies.selectExpr("reply_id", f"{fenced} AS body")
     parsed = bare.selectExpr(
         "reply_id",

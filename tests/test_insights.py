@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import random
-import re
 from datetime import datetime
 
 from stockrisk.operators import insights
@@ -12,61 +11,6 @@ from stockrisk.plans.reports import open_task_rows
 from stockrisk.schemas import STORED_ANALYSIS, STORED_TASKS
 
 
-def as_text(value):
-    return str(value)
-
-
-def expected_insights(raw):
-    """What a reply means, or None if it is unusable."""
-    text = raw.strip()
-    text = re.sub(r"^```(?:json)?\s*", "", text)
-    text = re.sub(r"\s*```$", "", text)
-    try:
-        data = json.loads(text)
-    except json.JSONDecodeError:
-        start, end = text.find("{"), text.rfind("}")
-        try:
-            data = json.loads(text[start : end + 1])
-        except json.JSONDecodeError:
-            return None
-    if not isinstance(data, dict) or not isinstance(data.get("insights"), list):
-        return None
-    if not all(isinstance(item, dict) for item in data["insights"]):
-        return None
-
-    def whole(value):
-        try:
-            return int(value)
-        except (TypeError, ValueError):
-            return 0
-
-    def texts(value):
-        values = value if isinstance(value, list) else []
-        return [as_text(v) for v in values if v is not None and as_text(v).strip()]
-
-    found = []
-    for position, item in enumerate(data["insights"]):
-        title = as_text(item.get("title") or f"Risk insight {position + 1}")
-        slug = re.sub(r"[^a-z0-9]+", "_", title.lower()).strip("_")
-        found.append(
-            (
-                as_text(item.get("id") or slug or f"risk_insight_{position + 1}"),
-                title,
-                as_text(item.get("risk_level") or "unknown"),
-                as_text(item.get("priority") or "P3"),
-                whole(item.get("affected_sku_count")),
-                whole(item.get("task_count")),
-                as_text(item.get("summary") or ""),
-                as_text(item.get("recommended_action") or "keep_monitoring"),
-                texts(item.get("risk_points")),
-                texts(item.get("solution")),
-                texts(item.get("related_skus")),
-                texts(item.get("related_task_ids")),
-            )
-        )
-    return found
-
-
 FULL = {
     "id": "x1",
     "title": "Title",
@@ -76,42 +20,80 @@ FULL = {
     "task_count": "12",
     "summary": "总结 {ok}",
     "recommended_action": "replenish_now",
-    "risk_points": ["a", "", "  ", None, 5, True],
+    "risk_points": ["a", "", "  ", "\t\n", None, 5, True],
     "solution": "not a list",
     "related_skus": ["S1", "S2"],
     "related_task_ids": [],
 }
-REPLIES = [
-    json.dumps({"insights": [FULL, {}]}, ensure_ascii=False),
-    "```json\n" + json.dumps({"insights": [FULL]}) + "\n```",
-    "```\n" + json.dumps({"insights": [{"title": "Só-So Ünïcode!!"}]}) + "\n```",
-    "Sure! Here it is:\n" + json.dumps({"insights": [{"title": "!!!", "id": ""}]}) + "\nBye",
-    json.dumps({"insights": []}),
-    json.dumps({"insights": [1, FULL]}),
-    json.dumps({"insights": [None]}),
-    json.dumps({"insights": {"a": 1}}),
-    json.dumps({"other": []}),
-    json.dumps([FULL]),
-    json.dumps("text"),
-    "no json at all",
-    '{"insights": [{"id": "cut"',
-    "",
-    json.dumps({"insights": [{"affected_sku_count": 9.7, "task_count": "9.7", "title": 12, "id": 0}]}),
-    json.dumps({"insights": [{"affected_sku_count": True, "task_count": " -4 ", "summary": False, "id": "0"}]}),
-    json.dumps({"insights": [{"affected_sku_count": None, "task_count": [], "priority": None, "id": True}]}),
+FULL_ROW = (
+    "x1", "Title", "high", "P1", 3, 12, "总结 {ok}", "replenish_now", ["a", "5", "True"], [], ["S1", "S2"], []
+)
+
+
+def row(**changed):
+    """The row of an empty first insight, with some values changed."""
+    values = {
+        "id": "risk_insight_1",
+        "title": "Risk insight 1",
+        "risk_level": "unknown",
+        "priority": "P3",
+        "affected_sku_count": 0,
+        "task_count": 0,
+        "summary": "",
+        "recommended_action": "keep_monitoring",
+        "risk_points": [],
+        "solution": [],
+        "related_skus": [],
+        "related_task_ids": [],
+    }
+    return tuple((values | changed).values())
+
+
+def reply(*items):
+    return json.dumps({"insights": list(items)}, ensure_ascii=False)
+
+
+BAD = None
+CASES = [
+    (reply(FULL, {}), [FULL_ROW, row(id="risk_insight_2", title="Risk insight 2")]),
+    ("```json\n" + reply(FULL) + "\n```", [FULL_ROW]),
+    ("\n\t```json" + reply(FULL) + "```\n ", [FULL_ROW]),
+    ("```\n" + reply({"title": "Too MANY -- parts!!"}) + "\n```", [row(id="too_many_parts", title="Too MANY -- parts!!")]),
+    ("Sure! Here it is:\n" + reply({"title": "!!!", "id": ""}) + "\nBye", [row(title="!!!")]),
+    ("two {objects} " + reply(FULL), BAD),
+    (reply(), []),
+    (reply(1, FULL), BAD),
+    (reply(None), BAD),
+    (json.dumps({"insights": {"a": 1}}), BAD),
+    (json.dumps({"other": []}), BAD),
+    (json.dumps([FULL]), BAD),
+    (json.dumps("text"), BAD),
+    ("no json at all", BAD),
+    ('{"insights": [{"id": "cut"', BAD),
+    ("", BAD),
+    (
+        reply({"affected_sku_count": 9.7, "task_count": "9.7", "title": 12, "id": 0}),
+        [row(id="12", title="12", affected_sku_count=9)],
+    ),
+    (
+        reply({"affected_sku_count": True, "task_count": " -4 ", "summary": False, "id": "0"}),
+        [row(id="0", affected_sku_count=1, task_count=-4)],
+    ),
+    (
+        reply({"affected_sku_count": None, "task_count": [], "priority": None, "id": True, "related_skus": {}}),
+        [row(id="True")],
+    ),
 ]
 
 
 def test_parse_replies(spark):
-    frame = spark.createDataFrame(list(enumerate(REPLIES)), "reply_id long, raw_text string")
+    frame = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(CASES)], "reply_id long, raw_text string")
     rows: dict[int, list] = {}
     for r in insights.parse_insight_replies(frame).orderBy("reply_id", "position").collect():
         rows.setdefault(r.reply_id, []).append(r)
-    for number, raw in enumerate(REPLIES):
-        expected = expected_insights(raw)
-        assert {r.is_valid for r in rows[number]} == {expected is not None}, raw
-        ours = [tuple(r)[3:] for r in rows[number] if r.id is not None]
-        assert ours == (expected or []), raw
+    for number, (raw, expected) in enumerate(CASES):
+        assert {r.is_valid for r in rows[number]} == {expected is not BAD}, raw
+        assert [tuple(r)[3:] for r in rows[number] if r.id is not None] == (expected or []), raw
 
 
 def sample_tasks(spark, count=400):
