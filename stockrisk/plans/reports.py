@@ -13,7 +13,7 @@ from stockrisk.operators.latest import latest_per_key
 from stockrisk.schemas import KEY
 from stockrisk.session import written
 
-MAX_TOP_ROWS = 10_000  # a top list is a short report; its keys are broadcast to look up the other columns
+MAX_BROADCAST_ROWS = 10_000  # keys of lists up to this limit are broadcast; Spark decides about longer ones
 
 # The columns of the list views, in the order clients expect.
 LIST_COLUMNS = """
@@ -138,24 +138,27 @@ def top_risk_skus(
 
     The order needs analysis columns only, so the rows are picked first.
     """
-    if not 0 < limit <= MAX_TOP_ROWS:
-        raise ValueError(f"limit must be between 1 and {MAX_TOP_ROWS}")
-    picked = analysis.orderBy(*risk_order()).limit(limit)
-    return enriched_for(picked, products, sales, configs).orderBy(*risk_order()).limit(limit)
+    picked = analysis.orderBy(*risk_order()).limit(_positive(limit))
+    return enriched_for(picked, limit, products, sales, configs).orderBy(*risk_order()).limit(limit)
+
+
+def _positive(limit: int) -> int:
+    if limit < 1:
+        raise ValueError("limit must be positive")
+    return limit
 
 
 def enriched_for(
-    picked: DataFrame, products: DataFrame, sales: DataFrame, configs: DataFrame
+    picked: DataFrame, limit: int, products: DataFrame, sales: DataFrame, configs: DataFrame
 ) -> DataFrame:
-    """``enriched_analysis`` for a limited number of rows.
+    """``enriched_analysis`` for at most ``limit`` rows.
 
     The large tables are reduced to the picked keys before the newest sales row is determined.  The picked rows are
     written first: four lookups use them, and each would pick them again from the whole analysis table.
     """
     few = written(picked, "picked-rows")
-    return enriched_analysis(
-        few, only_keys_of(products, few), only_keys_of(sales, few), only_keys_of(configs, few)
-    )
+    short = limit <= MAX_BROADCAST_ROWS
+    return enriched_analysis(few, *[only_keys_of(table, few, short) for table in (products, sales, configs)])
 
 
 def _contains(name: str, text: str) -> Column:
@@ -198,14 +201,12 @@ def analysis_detail(
     """Newest analysis row of one SKU; empty if there is none."""
     rows = analysis.filter(F.lower("seller_sku") == seller_sku.lower())
     picked = rows.orderBy(F.desc("created_at"), F.desc("id")).limit(1)
-    return enriched_for(picked, products, sales, configs).select(*LIST_COLUMNS)
+    return enriched_for(picked, 1, products, sales, configs).select(*LIST_COLUMNS)
 
 
 def open_task_rows(tasks: DataFrame, limit: int = 30) -> DataFrame:
     """Pending tasks in working order, all columns."""
-    if not 0 < limit <= MAX_TOP_ROWS:
-        raise ValueError(f"limit must be between 1 and {MAX_TOP_ROWS}")
-    return tasks.filter("task_status = 'pending'").orderBy(*open_order()).limit(limit)
+    return tasks.filter("task_status = 'pending'").orderBy(*open_order()).limit(_positive(limit))
 
 
 def open_tasks(tasks: DataFrame, limit: int = 30) -> DataFrame:
