@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from stockrisk.llm.blocks import mix
+
 ROW = "bucket int, owners binary, tags binary, counts binary, keys binary, low binary, high binary"
 _ROW = pa.schema(
     [("bucket", pa.int32())] + [(n, pa.binary()) for n in ("owners", "tags", "counts", "keys", "low", "high")]
@@ -28,15 +30,16 @@ def buckets_of(df: DataFrame) -> int:
 
 
 def pack(
-    keys: np.ndarray, choose: np.ndarray, owners: np.ndarray, tags: np.ndarray, places: np.ndarray, buckets: int
+    keys: np.ndarray | None, choose: np.ndarray, owners: np.ndarray, tags: np.ndarray, places: np.ndarray, buckets: int
 ) -> Iterator[dict]:
-    """Rows of one slice.  ``tags`` tells rows with the same owner apart.  ``choose`` decides the bucket and must be a function of the key's content, independent of
+    """Rows of one slice, without keys if there are none.  ``tags`` tells rows with the same owner apart.  ``choose`` decides the bucket and must be a function of the key's content, independent of
     ``keys``; together they tell keys apart."""
     bucket = (choose % np.uint64(buckets)).astype(np.int32)
     order = np.lexsort((places, tags, owners, bucket))
-    bucket, keys, owners, places = bucket[order], keys[order], owners[order], places[order].astype(np.uint32)
+    bucket, owners, places = bucket[order], owners[order], places[order].astype(np.uint32)
+    keys = None if keys is None else keys[order]
     tags = tags[order].astype(np.uint32)
-    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(keys) else np.zeros(1, int)
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, int)
     for a, b in zip(edges[:-1], edges[1:]):
         own, tag = owners[a:b], tags[a:b]
         heads = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (tag[1:] != tag[:-1])])
@@ -49,7 +52,7 @@ def pack(
             "owners": own[heads].astype(np.int64).tobytes(),
             "tags": tag[heads].tobytes(),
             "counts": np.diff(np.r_[heads, b - a]).astype(np.uint32).tobytes(),
-            "keys": keys[a:b].tobytes(),
+            "keys": b"" if keys is None else keys[a:b].tobytes(),
             "low": planes[:, 0].tobytes(),
             "high": np.ascontiguousarray(planes[:, 1:]).tobytes(),
         }
@@ -57,7 +60,7 @@ def pack(
 
 def unpack(owners: bytes, tags: bytes, counts: bytes, keys: bytes, low: bytes, high: bytes) -> tuple[np.ndarray, ...]:
     """Keys, owners, tags and places of one row."""
-    n = len(keys) // 8
+    n = len(low)
     planes = np.empty((n, 4), np.uint8)
     planes[:, 0] = np.frombuffer(low, np.uint8)
     planes[:, 1:] = np.frombuffer(high, np.uint8).reshape(-1, 3)
@@ -80,6 +83,22 @@ def packed_batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, _ROW)
 
 
+def to_documents(found: DataFrame) -> DataFrame:
+    """``doc_id, tag, places`` with one row per document, from rows of ``by_owner``."""
+    return found.groupBy("bucket").applyInArrow(_documents, FOUND)
+
+
+def by_owner(owners: np.ndarray, tags: np.ndarray, places: np.ndarray, buckets: int) -> pa.Table:
+    """Packed places without keys, dealt by owner."""
+    choose = mix(owners.astype(np.uint64))
+    return pa.Table.from_pylist(list(pack(None, choose, owners, tags, places, buckets)), _ROW)
+
+
+def _documents(group: pa.Table) -> pa.Table:
+    _, owners, tags, places = unpack_all(group)
+    return found_table(owners, tags, places)
+
+
 def found_table(owners: np.ndarray, tags: np.ndarray, places: np.ndarray) -> pa.Table:
     """One row per document with its found places in ascending order."""
     order = np.lexsort((places, tags, owners))

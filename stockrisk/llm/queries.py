@@ -4,24 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from functools import wraps
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
-from stockrisk.llm import substring_dedup
+from stockrisk.llm import embedding_dedup, minhash_dedup, substring_dedup, token_records
 from stockrisk.llm.blocks import table
 
+ROOT = str(Path(__file__).resolve().parents[2])
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_token_records(spark: SparkSession, folder: str) -> DataFrame:
+    return token_records.encode_documents(table(spark, folder, "documents"))
+
+
+def op5_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "n_removed", "kept_sha256"
     )
 
 
+def op9_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, folder, "documents"), shingle=4)
+
+
+def importable(query: Query) -> Query:
+    """Lets Python workers on this machine import the package whatever the current folder; a cluster gets it with the
+    job (``--py-files``)."""
+
+    @wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+        return query(spark, folder)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {
+    found = {
+        "op4_token_records": op4_token_records,
+        "op5_embedding_dedup": op5_embedding_dedup,
         "op8_substring_dedup": op8_substring_dedup,
+        "op9_minhash_dedup": op9_minhash_dedup,
     }
+    return {name: importable(query) for name, query in found.items()}
 
 
 # For fixed test sizes the windows of a document are lists of its words; ``starts`` has one row per window.

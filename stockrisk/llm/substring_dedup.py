@@ -21,17 +21,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from stockrisk.llm.blocks import id_bits, maybe_in, range_hash, slices, window_starts, words_of
 from stockrisk.llm.packed_keys import (
-    FOUND,
     ROW,
     after_smallest,
     buckets_of,
-    found_table,
+    by_owner,
     pack,
     packed_batch,
+    to_documents,
     unpack_all,
 )
 from stockrisk.session import written
@@ -64,18 +63,20 @@ def _window_rows(size: int, buckets: int):
             decided = after_smallest(keys, owners)
             open_ = ~decided
             out = list(pack(keys[open_], two[open_], owners[open_], tags[open_], places[open_], buckets))
-            rest = np.zeros(int(decided.sum()), np.uint64)  # keys that nobody reads
-            for row in pack(rest, rest, owners[decided], tags[decided], places[decided], 1):
+            for row in pack(None, np.zeros(int(decided.sum()), np.uint64), owners[decided], tags[decided], places[decided], 1):
                 out.append(row | {"bucket": -1 - int(two[0] % np.uint64(buckets))})
             yield packed_batch(out)
 
     return run
 
 
-def _repeats(key: tuple, group: pa.Table) -> pa.Table:
-    keys, owners, tags, places = unpack_all(group)
-    again = np.ones(len(keys), bool) if key[0].as_py() < 0 else after_smallest(keys, owners)
-    return found_table(owners[again], tags[again], places[again])
+def _repeats(buckets: int):
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        keys, owners, tags, places = unpack_all(group)
+        again = np.ones(len(owners), bool) if key[0].as_py() < 0 else after_smallest(keys, owners)
+        return by_owner(owners[again], tags[again], places[again], buckets)
+
+    return run
 
 
 def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -83,7 +84,7 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     buckets = buckets_of(docs)
     rows = docs.where("doc_id IS NOT NULL").selectExpr("cast(doc_id AS long) AS doc_id", "text")
     packed = rows.mapInArrow(_window_rows(size, buckets), ROW)
-    return packed.groupBy("bucket").applyInArrow(_repeats, FOUND)
+    return to_documents(packed.groupBy("bucket").applyInArrow(_repeats(buckets), ROW))
 
 
 def covered(places: np.ndarray, size: int, n: int) -> np.ndarray:
@@ -133,13 +134,12 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {name: [] for name in ("n_removed", "removed", "kept_text", "kept_sha256")}
-            for text, lists, digest in zip(*(batch.column(n).to_pylist() for n in ("text", "lists", "kept_sha256"))):
-                if text is None or not lists:
+            for text, packed, digest in zip(*(batch.column(n).to_pylist() for n in ("text", "places", "kept_sha256"))):
+                if text is None or not packed:
                     values = (0, [], None, hashlib.sha256(text.encode()).hexdigest() if text is not None else digest)
                 else:
                     words = text.encode().split()
-                    places = np.concatenate([np.frombuffer(x, np.uint32) for x in lists]).astype(np.int64)
-                    gone = covered(places, size, len(words))
+                    gone = covered(np.frombuffer(packed, np.uint32).astype(np.int64), size, len(words))
                     kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
                     runs = [{"start": a, "end": b} for a, b in intervals(gone)]
                     values = (int(gone.sum()), runs, kept.decode(), hashlib.sha256(kept).hexdigest())
@@ -155,8 +155,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     rows = docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(
         scan, "doc_id long, tag long, n_words long, kept_sha256 string, text string"
     )
-    lists = found.groupBy("doc_id", "tag").agg(F.collect_list("places").alias("lists"))
-    joined = rows.join(lists, ["doc_id", "tag"], "left").select("doc_id", "n_words", "kept_sha256", "text", "lists")
+    joined = rows.join(found, ["doc_id", "tag"], "left").select("doc_id", "n_words", "kept_sha256", "text", "places")
     return joined.mapInArrow(
         cut,
         "doc_id long, n_words long, n_removed long, removed array<struct<start: long, end: long>>, kept_text string,"
