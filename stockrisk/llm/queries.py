@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockrisk.llm import embedding_dedup, minhash_dedup, substring_dedup, token_records
+from stockrisk.llm import embedding_dedup, line_dedup, minhash_dedup, substring_dedup, token_records
 from stockrisk.llm.blocks import table
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -34,6 +34,12 @@ def op9_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, folder, "documents"), shingle=4)
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.remove_lines(table(spark, folder, "documents")).selectExpr(
+        "doc_id", "n_lines", "n_removed", "sha2(text, 256) AS kept_sha256"
+    )
+
+
 def importable(query: Query) -> Query:
     """Lets Python workers on this machine import the package whatever the current folder; a cluster gets it with the
     job (``--py-files``)."""
@@ -52,6 +58,7 @@ def queries() -> dict[str, Query]:
         "op5_embedding_dedup": op5_embedding_dedup,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_minhash_dedup": op9_minhash_dedup,
+        "op10_line_dedup": op10_line_dedup,
     }
     return {name: importable(query) for name, query in found.items()}
 
