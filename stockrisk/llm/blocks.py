@@ -41,6 +41,7 @@ def _bases(seed: int) -> tuple[np.ndarray, np.uint64, np.uint64]:
 
 
 _TABLES = {seed: _bases(seed) for seed in (1, 2, 3, 4)}
+BYTE_VALUES = _TABLES[1][0]
 _POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -56,12 +57,20 @@ def powers(seed: int, n: int, inverse: bool = False) -> np.ndarray:
     return have[:n]
 
 
+class RangeHash:
+    """Rabin-Karp hashes of ranges ``values[start:end]`` from one running sum."""
+
+    def __init__(self, values: np.ndarray, seed: int) -> None:
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * powers(seed, len(values)), out=self.sums[1:])
+        self.back = powers(seed, len(values) + 1, inverse=True)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
+
+
 def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    """Rabin-Karp hash of ``values[start:end]`` for every range, from one running sum."""
-    n = len(values)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * powers(seed, n), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(seed, n + 1, inverse=True)[starts] + (ends - starts).astype(np.uint64))
+    return RangeHash(values, seed)(starts, ends)
 
 
 @dataclass

@@ -9,13 +9,17 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockrisk.llm import embedding_dedup, line_dedup, minhash_dedup, substring_dedup, token_records
+from stockrisk.llm import decontamination, embedding_dedup, line_dedup, minhash_dedup, substring_dedup, token_records, toxicity
 from stockrisk.llm.blocks import table
 
 ROOT = str(Path(__file__).resolve().parents[2])
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op4_token_records(spark: SparkSession, folder: str) -> DataFrame:
     return token_records.encode_documents(table(spark, folder, "documents"))
 
@@ -24,6 +28,11 @@ def op5_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "spans")
+
+
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "n_removed", "kept_sha256"
@@ -54,8 +63,10 @@ def importable(query: Query) -> Query:
 
 def queries() -> dict[str, Query]:
     found = {
+        "op3_decontamination": op3_decontamination,
         "op4_token_records": op4_token_records,
         "op5_embedding_dedup": op5_embedding_dedup,
+        "op7_toxicity": op7_toxicity,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_minhash_dedup": op9_minhash_dedup,
         "op10_line_dedup": op10_line_dedup,

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stockrisk.llm.blocks import ragged, slices
+from stockrisk.llm.blocks import ragged, slices, words_of
 from stockrisk.session import shared_folder, written
 
 VOCABULARY = "word_bpe_49k.json"
@@ -71,6 +71,25 @@ def unframe(buffer: memoryview, at: int) -> tuple[bytes, int]:
     return payload, at + 16 + length
 
 
+class Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type) -> None:
+        self.data, self.n = np.zeros(1 << 12, kind), 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.data):
+            self.data = np.concatenate([self.view(), np.zeros(self.n + 2 * len(values), self.data.dtype)])
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    def view(self) -> np.ndarray:
+        return self.data[: self.n]
+
+
 class WordEncoder:
     """Encodes whole texts with the tokenizers library, each distinct word once.
 
@@ -78,7 +97,7 @@ class WordEncoder:
     pre-token of its own, so a text's ids are those of its words in order.  The words seen are kept up to a bound.
     """
 
-    KEEP = 400_000
+    KEEP = 1_000_000
 
     def __init__(self, path: str, end: int) -> None:
         from tokenizers import Tokenizer
@@ -90,54 +109,62 @@ class WordEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.joined: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-
-    def ids_of_words(self, words: list[bytes]) -> list[list[int]]:
-        plain = [i for i, w in enumerate(words) if w.isalpha()]  # ASCII letters only: one pre-token each
-        other = [i for i, w in enumerate(words) if not w.isalpha()]
-        out: list = [None] * len(words)
-        for a in range(0, len(plain), 2000):
-            part = plain[a : a + 2000]
-            coded = self.tokenizer.encode(" ".join(words[i].decode() for i in part), add_special_tokens=False)
-            ids, which = np.array(coded.ids), np.array(coded.word_ids)
-            cuts = np.searchsorted(which, np.arange(len(part) + 1))
-            for k, i in enumerate(part):
-                out[i] = ids[cuts[k] : cuts[k + 1]]
-        for i, coded in zip(other, self.tokenizer.encode_batch([words[i].decode() for i in other], add_special_tokens=False)):
-            out[i] = coded.ids
-        return out
+        self.index: dict[bytes, int] = {}  # word -> place in ``starts`` and ``sizes``
+        self.starts, self.sizes = Growing(np.int64), Growing(np.int32)
+        self.flat = Growing(np.uint16 if self.width == 2 else np.uint32)
+
+    def add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.index.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words))))
+        self.starts.extend(len(self.flat) + np.cumsum(sizes) - sizes)
+        self.sizes.extend(sizes)
+        self.flat.extend(ids)
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.index]
-        if not new:
-            return
-        cores = {w: (w[:-1], w[-1:]) for w in new if len(w) > 1 and w[-1:] in b".," and w[-2:-1].isalpha()}
-        need = sorted({c for pair in cores.values() for c in pair if c not in self.index} | {w for w in new if w not in cores})
-        for word, ids in zip(need, self.ids_of_words(need)):
-            self.index[word] = len(self.ids)
-            self.ids.append(np.asarray(ids, np.uint32))
-        for word, (core, mark) in cores.items():
-            self.index[word] = len(self.ids)
-            self.ids.append(np.concatenate([self.ids[self.index[core]], self.ids[self.index[mark]]]))
-        self.joined = None
-
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        new = words.difference(self.index)
+        ended = [w for w in new if w[-1] in b".," and len(w) > 1 and w[:-1].decode()[-1].isalpha()]
+        need = new.difference(ended)
+        need.update(core for core in [w[:-1] for w in ended] if core not in self.index)
+        need.update(m for m in (b".", b",") if m not in self.index)
+        # Letters only: one pre-token each, so that many are encoded as one text and told apart by its word numbers.
+        plain, other = [], []
+        for w in need:
+            (plain if w.decode().isalpha() else other).append(w)
+        for a in range(0, len(plain), 2000):
+            part = plain[a : a + 2000]
+            coded = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
+            sizes = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(part))
+            if len(sizes) == len(part) and sizes.all():
+                self.add(part, np.array(coded.ids, np.uint32), sizes)
+            else:  # the library takes one of these letters for none
+                other += part
+        if other:
+            coded = [c.ids for c in self.tokenizer.encode_batch([w.decode() for w in other], add_special_tokens=False)]
+            self.add(other, np.array([i for ids in coded for i in ids], np.uint32), np.array([len(ids) for ids in coded]))
+        if ended:
+            cores = np.array([self.index[w[:-1]] for w in ended])
+            marks = np.array([self.index[w[-1:]] for w in ended])
+            pairs = np.stack([cores, marks], axis=1).ravel()
+            ids = self.flat.view()[ragged(self.starts.view()[pairs], self.sizes.view()[pairs])]
+            self.add(ended, ids, self.sizes.view()[cores] + self.sizes.view()[marks])
+
+    def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text with the end id."""
-        split = [(t or "").encode().lower().split() for t in texts]
+        words = words_of(column, lower=True)
+        hashes, check = words.hashes(1), words.hashes(2)
+        _, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if (check[sample][which] != check).any():  # two words with one hash: every word for itself
+            sample = which = np.arange(len(hashes))
+        data = words.data.tobytes()
+        distinct = [data[a:b] for a, b in zip(words.starts[sample].tolist(), words.ends[sample].tolist())]
         if len(self.index) > self.KEEP:
             self.reset()
-        self.learn(set().union(*split))
-        if self.joined is None:
-            sizes = np.array([len(x) for x in self.ids], np.int64)
-            flat = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint32)
-            self.joined = flat, np.cumsum(sizes) - sizes, sizes
-        flat, starts, sizes = self.joined
-        get = self.index.__getitem__
-        for words in split:
-            which = np.fromiter(map(get, words), np.int64, len(words))
-            yield np.append(flat[ragged(starts[which], sizes[which])], np.uint32(self.end))
+        self.learn(set(distinct))
+        place = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[which]
+        flat, starts, sizes = self.flat.view(), self.starts.view()[place], self.sizes.view()[place]
+        ids = flat[ragged(starts, sizes)]
+        cuts = np.r_[0, np.cumsum(sizes)][words.first]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield np.append(ids[a:b], flat.dtype.type(self.end))
 
 
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
@@ -171,7 +198,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str | None = None, e
                 name = f"{base}/part-{shard:06d}-{uuid.uuid4().hex}"
                 files, index = system.open_output_stream(name + ".rec"), system.open_output_stream(name + ".idx")
             offsets = []
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text").to_pylist())):
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text"))):
                 record = frame(struct.pack("<q", NO_ID if doc_id is None else doc_id) + ids.astype(kind).tobytes())
                 files.write(record)
                 offsets.append(at)
