@@ -8,8 +8,9 @@ from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stockrisk.llm import decontamination, embedding_dedup, line_dedup, minhash_dedup, substring_dedup, token_records, toxicity
+from stockrisk.llm import decontamination, embedding_dedup, line_dedup, minhash_dedup, piece_lattice, substring_dedup, token_records, toxicity
 from stockrisk.llm.blocks import table
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -28,6 +29,12 @@ def op5_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
 
 
+def op6_piece_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_lattice.encode_digests(table(spark, folder, "documents")).select(
+        "doc_id", "best", F.col("decoded").alias("round_trip")
+    )
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", "spans")
@@ -66,6 +73,7 @@ def queries() -> dict[str, Query]:
         "op3_decontamination": op3_decontamination,
         "op4_token_records": op4_token_records,
         "op5_embedding_dedup": op5_embedding_dedup,
+        "op6_piece_lattice": op6_piece_lattice,
         "op7_toxicity": op7_toxicity,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_minhash_dedup": op9_minhash_dedup,
