@@ -3,7 +3,7 @@ and a hashed linear scorer learns from the labels that follow.
 
 Every rule votes clean, junk or nothing on each whole text.  The votes of all documents are counted per pattern (at most
 3 ** rules patterns, whatever the number of documents).  EM on these counts estimates the share of junk and, for each rule and
-class, how often it gives each vote; the posterior of a pattern is the weak label of its documents.  A logistic scorer on
+class, how often its votes are for either side; the posterior of a pattern is the weak label of its documents.  A logistic scorer on
 hashed shapes of words, pairs of shapes and text measures then learns from these soft labels, on at most ``train_rows``
 documents with the smallest hashed ids; it also judges texts on which the rules are silent or at odds.  All documents are
 counted and scored.
@@ -112,9 +112,9 @@ def weak_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) ->
         for share in (junk, 1 - junk):
             weight = counts * share
             # Counted in all patterns, with a little added so that no vote is impossible.
-            given = np.stack([[(weight * (patterns[:, r] == v)).sum() + 0.1 for v in range(3)] for r in range(patterns.shape[1])])
-            given /= given.sum(axis=1, keepdims=True)
-            logs = np.log(given)
+            # A silent rule says nothing: only its votes for one side or the other are compared.
+            given = np.stack([[(weight * (patterns[:, r] == v)).sum() + 0.1 for v in (1, 2)] for r in range(patterns.shape[1])])
+            logs = np.c_[np.zeros(len(given)), np.log(given / given.sum(axis=1, keepdims=True))]
             parts.append(np.log(weight.sum() + 1) + sum(logs[r, patterns[:, r]] for r in range(patterns.shape[1])))
         now = 1 / (1 + np.exp(np.clip(parts[1] - parts[0], -60, 60)))
         if np.abs(now - junk).max() < 1e-9:
