@@ -10,10 +10,11 @@ element.  Texts are linked if |intersection| * 100 >= ``percent`` * |union|, cou
 class, represented by its smallest id; only representatives are compared.
 
 Candidates are verified best first.  In each round, every member of a bucket names the members of *other* components that
-its signature finds most alike (2, then 16, 128, ... of them), the pairs not tested before are verified, and components
+its signature finds most alike (2, then all, in steps of 4096), the pairs not tested before are verified, and components
 are joined.  Rounds go on until no list was cut short, so that each candidate pair is verified or lies inside one
-component.  Signatures that agree in under ``SCREEN`` of their slots are no candidates (five standard deviations below
-0.8).  Buckets of more than ``BLOCK`` members are compared in pairs of blocks, one task each.
+component.  Signatures that agree in too few slots for a similarity of 0.8, by ``DEVIATIONS`` standard deviations of the
+estimate for sets of their size, are no candidates.  A pair that meets in several buckets is named in the first of them
+only.  Buckets of more than ``BLOCK`` members are compared in pairs of blocks, one task each.
 
 Defined results: a null or wordless text has an empty set, links with nothing and is kept; rows with one ``doc_id`` are one
 node; rows without ``doc_id`` link with nothing and are kept, with a null component; further columns are dropped.
@@ -40,10 +41,11 @@ from stockrisk.llm.blocks import (
 )
 from stockrisk.session import written
 
-SLOTS, BAND = 96, 4
-SCREEN = 0.6
+SLOTS, BAND, BANDS = 240, 5, 32
+DEVIATIONS = 4.5
 BLOCK = 2048
-FIRST, WIDER = 2, 8  # candidates named per member in the first round, and the growth of that number
+LARGE, PIVOTS = 64, 8  # buckets of more members begin with comparisons to their first ones
+FIRST, WIDER = 2, 4096  # candidates named per member in the first round, and the growth of that number
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -104,20 +106,39 @@ def super_minhash(elements: np.ndarray, first: np.ndarray, slots: int = SLOTS) -
     return table.reshape(sets, slots)
 
 
-def band_keys(signature: np.ndarray, band: int = BAND) -> np.ndarray:
-    sets, slots = signature.shape
-    parts = mix(signature).reshape(sets, slots // band, band)
-    keys = np.broadcast_to(np.arange(1, slots // band + 1, dtype=np.uint64), parts.shape[:2]).copy()
+def least_agreement(percent: int, slots: int = SLOTS, up_to: int = 4000) -> np.ndarray:
+    """For each size of a union, the slots in which signatures of ``percent`` similarity agree but for chance.
+
+    The variance is that of independent slots times 1 - c, where c falls from near 1 to 0 as the union outgrows the slots.
+    """
+    j = percent / 100
+    out = np.empty(up_to + 1)
+    levels = np.arange(1, slots, dtype=np.float64)
+    for u in range(up_to + 1):
+        c = 0.0
+        if u >= 2:
+            # Sum of l^u ((l+1)^u + (l-1)^u - 2 l^u) over (m-1)^(u-1) m^u (u-1), each factor scaled to stay in range.
+            scale = u * np.log(levels / slots) + u * np.log((levels + 1) / (slots - 1))
+            inner = 1 + ((levels - 1) / (levels + 1)) ** u - 2 * (levels / (levels + 1)) ** u
+            c = float((np.exp(scale) * inner).sum()) * (slots - 1) / (u - 1)
+        out[u] = slots * (j - DEVIATIONS * np.sqrt(j * (1 - j) / slots * min(1.0, max(1 - c, 0.02))))
+    return np.floor(out)
+
+
+def band_keys(signature: np.ndarray, band: int = BAND, bands: int = BANDS) -> np.ndarray:
+    sets = len(signature)
+    parts = mix(signature[:, : band * bands]).reshape(sets, bands, band)
+    keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), parts.shape[:2]).copy()
     for k in range(band):
         keys = mix(keys * _U(0x9E3779B97F4A7C15) + parts[:, :, k])
-    return keys
+    return (keys & ~_U(255)) | np.arange(bands, dtype=np.uint64)
 
 
-_SETS = "doc_id long, n long, d1 long, d2 long, bands binary, sig binary"
+_SETS = "doc_id long, n long, d1 long, d2 long, bands binary, sig binary, heads binary"
 
 
 def signatures(docs: DataFrame, shingle: int, slots: int = SLOTS) -> DataFrame:
-    """Per row: set size, 128-bit digest of the set, band keys, and one byte of each slot."""
+    """Per row: set size, 128-bit digest of the set, band keys, one byte of each slot, and four bytes of each band key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -133,46 +154,65 @@ def signatures(docs: DataFrame, shingle: int, slots: int = SLOTS) -> DataFrame:
                     pa.array(range_hash(elements, first[:-1], first[1:], 4).view(np.int64)),
                     pa.array([k.tobytes() for k in keys], pa.binary()),
                     pa.array([s.tobytes() for s in small], pa.binary()),
+                    pa.array([h.tobytes() for h in (keys >> _U(32)).astype(np.uint32)], pa.binary()),
                 ],
-                ["doc_id", "n", "d1", "d2", "bands", "sig"],
+                ["doc_id", "n", "d1", "d2", "bands", "sig", "heads"],
             )
 
     return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(run, _SETS)
 
 
 def _explode_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per band; ``band`` is stored in the lowest bits of the key."""
     for batch in batches:
         keys = [np.frombuffer(b, np.int64) for b in batch.column("bands").to_pylist()]
         if keys:
-            each = len(keys[0])
-            ids = np.repeat(batch.column("doc_id").to_numpy(), each)
+            ids = np.repeat(batch.column("doc_id").to_numpy(), len(keys[0]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids)], ["key", "doc_id"])
 
 
-def _best_pairs(take: int):
-    """For each member of a bucket the ``take`` most alike members of other components; ``more`` if there were others."""
-
-    def pairs_of(ids, comps, sigs, left, right, out):
-        for a in range(0, len(left), 256):
-            x = left[a : a + 256]
-            like = (sigs[x][:, None, :] == sigs[right][None, :, :]).sum(axis=2, dtype=np.int32)
-            like[comps[x][:, None] == comps[right][None, :]] = 0
-            like[like < SCREEN * sigs.shape[1]] = 0
+def _agreement(sigs: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Number of equal slots of every pair; ``sigs`` is slots x members."""
+    like = np.zeros((len(left), len(right)), np.uint8)
+    for slot in sigs:
+        like += slot[left][:, None] == slot[right][None, :]
+    return like
+
+
+def _best_pairs(take: int, least: np.ndarray):
+    """For each member of a bucket the ``take`` most alike members of other components; ``more`` if there were others.
+
+    In the first round the members of a large bucket look at its first ``PIVOTS`` members only.  Later, only members outside
+    the bucket's largest component have to look for partners.
+    """
+
+    def pairs_of(ids, comps, sizes, sigs, heads, band, left, right, out):
+        step = max(1, (1 << 20) // max(len(right), 1))
+        for a in range(0, len(left), step):
+            x = left[a : a + step]
+            like = _agreement(sigs, x, right)
+            union = (sizes[x][:, None] + sizes[right][None, :]) * 5 // 9  # of a pair of similarity 0.8
+            need = least[np.minimum(union, len(least) - 1)]
+            like[(comps[x][:, None] == comps[right][None, :]) | (like < need)] = 0
+            row, col = np.nonzero(like)
+            if len(row):
+                met = (heads[x[row], :band] == heads[right[col], :band]).any(axis=1)
+                like[row[met], col[met]] = 0
             count = (like > 0).sum(axis=1)
             hit = np.flatnonzero(count)
             if not len(hit):
                 continue
             n = min(take, like.shape[1])
-            best = np.argsort(-like[hit], axis=1, kind="stable")[:, :n]
+            best = np.argsort(255 - like[hit], axis=1, kind="stable")[:, :n]
             ok = np.take_along_axis(like[hit], best, axis=1) > 0
             ones = np.repeat(ids[x[hit]], n).reshape(len(hit), n)[ok]
-            twos = ids[right[best[ok]]]
-            out.append((ones, twos, np.repeat(count[hit] > n, n).reshape(len(hit), n)[ok]))
+            out.append((ones, ids[right[best[ok]]], np.repeat(count[hit] > n, n).reshape(len(hit), n)[ok]))
 
     def run(group: pa.Table) -> pa.Table:
-        ids, comps, key = (group.column(n).to_numpy() for n in ("doc_id", "c", "key"))
-        lo, hi, blk = (group.column(n).to_numpy() for n in ("lo", "hi", "blk"))
+        ids, comps, key, n, lo, hi, blk = (group.column(c).to_numpy() for c in ("doc_id", "c", "key", "n", "lo", "hi", "blk"))
         sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        sigs = np.ascontiguousarray(sigs.T)
+        heads = np.frombuffer(b"".join(group.column("heads").to_pylist()), np.uint32).reshape(len(ids), -1)
         order = np.lexsort((ids, hi, lo, key))
         k, l, h = key[order], lo[order], hi[order]
         edges = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (l[1:] != l[:-1]) | (h[1:] != h[:-1]), True])
@@ -181,20 +221,25 @@ def _best_pairs(take: int):
             own = order[a:b]
             if b - a < 2 or (comps[own] == comps[own[0]]).all():
                 continue
+            if take == FIRST and b - a > LARGE:
+                pairs_of(ids, comps, n, sigs, heads, int(k[a] & 255), own, own[:PIVOTS], out)
+                out.append((np.full(1, -1), np.full(1, -1), np.ones(1, bool)))  # the other pairs are still to do
+                continue
+            names, sizes = np.unique(comps[own], return_counts=True)
+            seeking = comps[own] != names[sizes.argmax()]
             if l[a] == h[a]:
-                pairs_of(ids, comps, sigs, own, own, out)
+                pairs_of(ids, comps, n, sigs, heads, int(k[a] & 255), own[seeking], own, out)
             else:
                 side = blk[own] == l[a]
-                if side.any() and not side.all():
-                    pairs_of(ids, comps, sigs, own[side], own[~side], out)
-                    pairs_of(ids, comps, sigs, own[~side], own[side], out)
+                pairs_of(ids, comps, n, sigs, heads, int(k[a] & 255), own[side & seeking], own[~side], out)
+                pairs_of(ids, comps, n, sigs, heads, int(k[a] & 255), own[~side & seeking], own[side], out)
         ones, twos, more = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
         a, b = np.minimum(ones, twos), np.maximum(ones, twos)
         if len(a):  # the same pair is often named in several buckets
             order = np.lexsort((~more, b, a))
             new = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
             a, b, more = a[order][new], b[order][new], more[order][new]
-        return pa.table({"a": a, "b": b, "more": more})
+        return pa.table({"a": a.astype(np.int64), "b": b.astype(np.int64), "more": more})
 
     return run
 
@@ -244,10 +289,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sizes = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = written(bands.join(sizes, "key"), "members")
     tested = links = None
-    take, label = FIRST, None
+    take, label, least = FIRST, None, least_agreement(percent)
     candidates = members.select("doc_id").distinct()
     full = written(_full_sets(docs, id_bits(candidates), shingle), "sets")
-    sigs = written(candidates.join(reps.select("doc_id", "sig"), "doc_id"), "sigs")
+    sigs = written(candidates.join(reps.select("doc_id", "n", "sig", "heads"), "doc_id"), "sigs")
     while True:
         own = members if label is None else members.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left")
         own = own.withColumn("c", F.col("doc_id") if label is None else F.coalesce("component_id", "doc_id"))
@@ -265,7 +310,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             "part", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(4 * partitions))
         )
         named = written(
-            dealt.groupBy("part").applyInArrow(_best_pairs(take), "a long, b long, more boolean"), "named"
+            dealt.groupBy("part").applyInArrow(_best_pairs(take, least), "a long, b long, more boolean"), "named"
         )
         pairs = named.select("a", "b").where("a < b").distinct()
         if tested is not None:
