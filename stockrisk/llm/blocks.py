@@ -182,6 +182,25 @@ def maybe_in(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return bits[np.mod(ids, SET_BITS)]
 
 
+def rows_by_bits(df: DataFrame, bits: np.ndarray, inside: bool, column: str = "doc_id") -> DataFrame:
+    """The rows whose id may be in the bit map, or all others (with those that have no id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index(column))
+            known = maybe_in(bits, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(known == inside))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def without_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """``df`` without the rows whose id is in ``ids`` (a written frame); only rows that may be among them are shuffled."""
+    bits = id_bits(ids, column)
+    left = rows_by_bits(df, bits, True, column).join(ids.select(column), column, "left_anti").select(df.columns)
+    return rows_by_bits(df, bits, False, column).union(left)
+
+
 # Connected components ------------------------------------------------------------------------------------------------
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockrisk.llm.blocks import id_bits, maybe_in, mix, powers, ragged, range_hash, slices, split_words, text_bytes
+from stockrisk.llm.blocks import id_bits, mix, powers, ragged, range_hash, rows_by_bits, slices, split_words, text_bytes
 from stockrisk.llm.packed_keys import ROW, buckets_of, by_owner, pack, packed_batch, to_documents, unpack_all
 from stockrisk.llm.substring_dedup import text_tags
 from stockrisk.session import written
@@ -237,22 +237,13 @@ def remove_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
     found = written(to_documents(packed.groupBy("bucket").applyInArrow(_shared(buckets), ROW)), "lines")
     bits = id_bits(found)
 
-    def split(inside: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column("doc_id")
-                known = maybe_in(bits, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
-                part = batch.filter(pa.array(known == inside))
-                if inside:
-                    tags = pa.array(text_tags(part.column("text")), pa.int64())
-                    yield pa.RecordBatch.from_arrays([*part.columns, tags], [*part.schema.names, "tag"])
-                else:
-                    yield part
-
-        return run
+    def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tags = pa.array(text_tags(batch.column("text")), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, tags], [*batch.schema.names, "tag"])
 
     kind = rows.schema["rest"].dataType.simpleString()
-    inside = rows.mapInArrow(split(True), f"doc_id long, text string, rest {kind}, tag long")
+    inside = rows_by_bits(rows, bits, True).mapInArrow(tagged, f"doc_id long, text string, rest {kind}, tag long")
     marked = written(inside.join(found, ["doc_id", "tag"], "left"), "marked")
     variants = marked.where("places IS NOT NULL").select("doc_id", "text", "places").mapInArrow(_variant_rows(edit_words, buckets), ROW)
     more = to_documents(variants.groupBy("bucket").applyInArrow(_linked(buckets), ROW)).withColumnRenamed("places", "near")
@@ -273,7 +264,7 @@ def remove_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
 
     changed = marked.join(more, ["doc_id", "tag"], "left").select("doc_id", "text", "places", "near", "rest")
     changed = changed.mapInArrow(cut, f"doc_id long, text string, n_lines long, n_removed long, rest {kind}")
-    same = rows.mapInArrow(split(False), f"doc_id long, text string, rest {kind}").select(
+    same = rows_by_bits(rows, bits, False).select(
         "doc_id",
         "text",
         F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"),

@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockrisk.llm import decontamination, embedding_dedup, line_dedup, minhash_dedup, piece_lattice, quality, substring_dedup, token_records, toxicity
+from stockrisk.llm import context_mixing, decontamination, embedding_dedup, line_dedup, minhash_dedup, piece_lattice, quality, substring_dedup, token_records, toxicity
 from stockrisk.llm.blocks import table
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -21,6 +21,10 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents")).select("doc_id", "junk_label", "score", "kept")
 
 
+def op2_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return context_mixing.score_documents(table(spark, folder, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -75,6 +79,7 @@ def importable(query: Query) -> Query:
 def queries() -> dict[str, Query]:
     found = {
         "op1_quality": op1_quality,
+        "op2_context_mixing": op2_context_mixing,
         "op3_decontamination": op3_decontamination,
         "op4_token_records": op4_token_records,
         "op5_embedding_dedup": op5_embedding_dedup,

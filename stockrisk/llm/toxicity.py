@@ -31,7 +31,7 @@ from stockrisk.llm.blocks import BYTE_VALUES, RangeHash, Words, mix, slices, wor
 from stockrisk.llm.line_dedup import with_rest
 
 BITS = 20
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 1500, 3000, 24 << 20
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 1000, 2000, 8 << 20
 STRONG, SURE = 20.0, 15.0
 EPOCHS, BATCH_DOCS, RATE = 4, 64, 0.5
 LANE = 256
@@ -223,7 +223,7 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     if not 0 < labels.sum() < len(labels):
         return empty
     words = words_of(pa.array(texts, pa.string()), lower=True)
-    x, y = np.stack(features(words), axis=1), word_labels(words, labels)
+    x, y = np.stack([f.astype(np.int32) for f in features(words)], axis=1), word_labels(words, labels)
     # Every third document calibrates; the field learns from the others, if there are enough.
     docs = np.arange(len(texts))
     learn = docs % 3 != 2 if len(texts) >= 60 else np.ones(len(texts), bool)
