@@ -772,14 +772,16 @@ ORACLE_SQL = {
         CASE WHEN bool_or(impact_level = 'high') THEN 'high' WHEN bool_or(impact_level = 'medium') THEN 'medium'
           WHEN bool_or(impact_level = 'low') THEN 'low' ELSE 'unknown' END AS impact_level,
         CASE WHEN bool_or(approval_level = 'manager') THEN 'manager' WHEN bool_or(approval_level = 'operator')
-          THEN 'operator' ELSE 'none' END AS approval_level FROM related GROUP BY insight_id""",
+          THEN 'operator' ELSE 'none' END AS approval_level FROM related GROUP BY insight_id
+        UNION ALL SELECT 'no_tasks', 0, 0, 'unknown', 'none'""",
     "insight_first_value": f"""WITH {CARDS}, placed AS (SELECT *, row_number() OVER (PARTITION BY insight_id
           ORDER BY created_at DESC, seller_sku DESC, seller_id DESC, marketplace_id DESC, task_order DESC) AS ord
         FROM related)
         SELECT insight_id, arg_min(impact_level, ord) AS impact_level,
           coalesce(arg_min(estimated_impact_value, ord) FILTER (estimated_impact_value <> 0), 0)
             AS estimated_impact_value,
-          arg_min(approval_level, ord) AS approval_level FROM placed GROUP BY insight_id""",
+          arg_min(approval_level, ord) AS approval_level FROM placed GROUP BY insight_id
+        UNION ALL SELECT 'no_tasks', 'unknown', 0, 'none'""",
     "insight_json_parse": f"""WITH {TASKS}, grouped AS (
           SELECT substr(seller_sku, 5)::BIGINT AS reply_id, seller_sku, {GROUP_OF_TASK} AS insight_id,
             count(*) AS n, string_agg(task_id, '|' ORDER BY task_id) AS ids
@@ -826,3 +828,8 @@ ORACLE_SQL = {
         WHERE task_type = 'stockout_warning' AND a.inventory_snapshot_id IS NOT NULL""",
 }
 # The stand-alone cascade counts a missing status as not complete; the Spark query blanks one status to show it.
+
+# The newest of two stored batches gives the same reports as that batch alone.
+for _name in ("dashboard_summary", "risk_distribution", "top_risk_skus", "open_tasks", "insight_groups", "explain_context_sku"):
+    ORACLE_SQL[f"current_{_name}"] = ORACLE_SQL[_name]
+ORACLE_SQL["batch_replace"] = ORACLE_SQL["batch_stats"]

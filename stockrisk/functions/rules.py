@@ -84,11 +84,13 @@ def cover_days(quantity: str, sales_per_day: str) -> str:
 
 def effective_inbound(shipped: str, receiving: str) -> str:
     """Units that are certain to arrive: shipped and receiving, not those still being prepared."""
-    return f"cast({to_double(shipped)} + {to_double(receiving)} AS int)"
+    return f"try_cast({to_double(shipped)} + {to_double(receiving)} AS int)"
 
 
 def stockout_date(today: str, available_days: str) -> str:
-    return f"date_add({today}, cast(floor({available_days}) AS int))"
+    # No date for covers beyond the year 9999.
+    days = f"CASE WHEN {available_days} < 2900000D THEN cast(floor({available_days}) AS int) END"
+    return f"date_add({today}, {days})"
 
 
 def stockout_level(fulfillable: str, available_days: str, safety_days: str, lead_days: str) -> str:

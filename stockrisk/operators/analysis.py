@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stockrisk.functions import rules
 from stockrisk.functions.numeric import to_double
 from stockrisk.schemas import ANALYSIS, KEY, STORED_ANALYSIS
+from stockrisk.sources.align import align_to, misfits
 
 
 def rule_steps(today: str, eta: str) -> list[dict[str, str]]:
@@ -138,6 +139,11 @@ ANALYSIS_ID = f"md5(concat_ws(';', analysis_batch_id, {', '.join(KEY)}))"
 
 def stored_analysis(analysis: DataFrame, created_at: datetime) -> DataFrame:
     """The rows as the analysis table holds them: rounded to the table's types, with id and creation time."""
-    return analysis.selectExpr(
-        "*", f"{ANALYSIS_ID} AS id", f"timestamp_ntz'{created_at}' AS created_at"
-    ).to(STORED_ANALYSIS)
+    rows = analysis.selectExpr("*", f"{ANALYSIS_ID} AS id", f"timestamp_ntz'{created_at}' AS created_at")
+    return align_to(rows, STORED_ANALYSIS)
+
+
+def rejected_values(analysis: DataFrame) -> DataFrame:
+    """Values of analysis rows that the table's types cannot hold, with row id and column; the table has NULL there."""
+    rows = analysis.selectExpr("*", f"{ANALYSIS_ID} AS id")
+    return misfits(rows, STORED_ANALYSIS, ["id", "analysis_batch_id", *KEY])

@@ -153,11 +153,11 @@ def enriched_analysis(
     )
 
 
-def only_keys_of(df: DataFrame, few: DataFrame, is_short: bool) -> DataFrame:
-    """Rows of a large table whose key occurs in ``few``; its keys are broadcast if it is known to be short."""
+def only_keys_of(df: DataFrame, few: DataFrame) -> DataFrame:
+    """Rows of a large table whose key occurs in ``few``."""
     wanted = _keyed(few.select(*KEY)).alias("few")
     on = " AND ".join(f"lower(big.{name}) = few._{name}" for name in KEY)
-    return df.alias("big").join(F.broadcast(wanted) if is_short else wanted, F.expr(on), "left_semi")
+    return df.alias("big").join(wanted, F.expr(on), "left_semi")
 
 
 def analysis_lineage(

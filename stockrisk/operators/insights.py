@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockrisk.functions.ranks import OVERSTOCK_RANK, PRIORITY_RANK, STOCKOUT_RANK
+
 # The problem groups in display order, with their static texts.
 GROUPS = [
     {
@@ -80,10 +82,20 @@ GROUPS = [
         "solution": ["按优先级逐项处理", "处理后刷新任务状态", "必要时重新运行库存 Agent"],
     },
 ]
-CARD_COLUMNS = """
-id title risk_level priority affected_sku_count task_count summary recommended_action risk_points solution
-related_skus related_task_ids
-""".split()
+CARD_COLUMNS = [
+    "id",
+    "title",
+    "risk_level",
+    "priority",
+    "affected_sku_count",
+    "task_count",
+    "summary",
+    "recommended_action",
+    "risk_points",
+    "solution",
+    "related_skus",
+    "related_task_ids",
+]
 SKUS_WITH_SENTENCE = 3
 
 # First matching line wins.
@@ -95,8 +107,7 @@ GROUP_OF_TASK = """CASE
     WHEN task_type = 'unfulfillable_inventory_alert' THEN 'unfulfillable_inventory'
     ELSE 'other_pending_tasks' END"""
 # Position of a task in the open list; comparable as a struct.
-OPEN_POSITION = """struct(
-    CASE priority WHEN 'P0' THEN 1 WHEN 'P1' THEN 2 WHEN 'P2' THEN 3 ELSE 4 END AS r,
+OPEN_POSITION = f"""struct({PRIORITY_RANK} AS r,
     created_at AS c, seller_sku AS k, seller_id AS s, marketplace_id AS m, task_order AS t)"""
 
 
@@ -168,11 +179,7 @@ def sku_sentences(members: DataFrame, top_risk: DataFrame) -> DataFrame:
     # A SKU name listed twice (several sellers) counts with its last entry.
     days = top_risk.groupBy("seller_sku").agg(
         F.expr(
-            """max_by(available_days, struct(
-            CASE stockout_risk_level WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3
-                WHEN 'unknown' THEN 4 ELSE 5 END,
-            CASE overstock_risk_level WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END,
-            available_days, seller_id, marketplace_id))"""
+            f"max_by(available_days, struct({STOCKOUT_RANK}, {OVERSTOCK_RANK}, available_days, seller_id, marketplace_id))"
         ).alias("available_days")
     )
     return first.join(days, "seller_sku", "left").selectExpr(
@@ -223,8 +230,15 @@ def related_tasks(insights: DataFrame, tasks: DataFrame) -> DataFrame:
     return matched.dropDuplicates(["insight_id", "task_id"])
 
 
-def insight_rollup(related: DataFrame) -> DataFrame:
-    """Total impact, highest impact level and highest approval level of the related tasks."""
+def _for_each(insights: DataFrame, found: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """One row per insight: the values found for it, or the defaults if it has no related task."""
+    ids = insights.selectExpr("id AS insight_id").distinct()
+    values = [f"coalesce({name}, {default}) AS {name}" for name, default in defaults.items()]
+    return ids.join(found, "insight_id", "left").selectExpr("insight_id", *values)
+
+
+def insight_rollup(insights: DataFrame, related: DataFrame) -> DataFrame:
+    """Total impact, highest impact level and highest approval level of the related tasks, for every insight."""
     ranks = related.groupBy("insight_id").agg(
         F.count(F.lit(1)).alias("related_task_count"),
         F.expr("sum(coalesce(estimated_impact_value, 0))").alias("estimated_impact_value"),
@@ -235,28 +249,38 @@ def insight_rollup(related: DataFrame) -> DataFrame:
             "max(CASE approval_level WHEN 'owner' THEN 4 WHEN 'manager' THEN 3 WHEN 'operator' THEN 2 ELSE 1 END)"
         ).alias("approval_rank"),
     )
-    return ranks.selectExpr(
+    found = ranks.selectExpr(
         "insight_id",
         "related_task_count",
         "estimated_impact_value",
         "element_at(array('unknown', 'low', 'medium', 'high'), impact_rank + 1) AS impact_level",
         "element_at(array('none', 'operator', 'manager', 'owner'), approval_rank) AS approval_level",
     )
+    defaults = {
+        "related_task_count": "0L",
+        "estimated_impact_value": "0",
+        "impact_level": "'unknown'",
+        "approval_level": "'none'",
+    }
+    return _for_each(insights, found, defaults)
 
 
-def insight_first_value(related: DataFrame) -> DataFrame:
-    """First filled impact level, impact value and approval level in list order (newest task first)."""
+def insight_first_value(insights: DataFrame, related: DataFrame) -> DataFrame:
+    """First filled impact level, impact value and approval level in list order (newest task first), for every insight."""
     newest = "struct(created_at, seller_sku, seller_id, marketplace_id, task_order)"
 
     def first(name: str, filled: str, default: str) -> str:
         value = f"max_by({name}, {newest}) FILTER (WHERE {filled})"
         return f"coalesce({value}, {default}) AS {name}"
 
-    return related.groupBy("insight_id").agg(
+    found = related.groupBy("insight_id").agg(
         F.expr(first("impact_level", "impact_level <> ''", "'unknown'")),
         F.expr(first("estimated_impact_value", "estimated_impact_value <> 0", "0")),
         F.expr(first("approval_level", "approval_level <> ''", "'none'")),
     )
+    return _for_each(
+        insights, found, {"impact_level": "'unknown'", "estimated_impact_value": "0", "approval_level": "'none'"}
+    )
 
 
 def _kind(value: str) -> str:

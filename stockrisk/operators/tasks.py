@@ -11,7 +11,9 @@ from stockrisk.functions.numeric import to_double
 from stockrisk.functions.rules import money
 from stockrisk.operators.analysis import ANALYSIS_ID
 from stockrisk.operators.latest import latest_per_key
+from stockrisk.sources.align import align_to
 from stockrisk.schemas import KEY, STORED_TASKS
+from stockrisk.session import written
 
 # Task types in the order in which a SKU's tasks are created.
 TASK_TYPES = [
@@ -152,13 +154,13 @@ def generate_tasks(analysis: DataFrame, created_at: datetime) -> DataFrame:
         "task_order",
         f"timestamp_ntz'{created_at}' AS created_at",
     )
-    return rows.to(STORED_TASKS)
+    return align_to(rows, STORED_TASKS)
 
 
 def apply_status_updates(tasks: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Apply the newest status change per task; also return the changes whose task does not exist.
 
-    A change may overwrite any status.  It sets status, operator and note, and its time becomes ``resolved_at``.
+    One join of tasks and changes, written once, gives both results.  A change may overwrite any status.  It sets status, operator and note, and its time becomes ``resolved_at``.
     """
     newest = latest_per_key(
         updates,
@@ -171,9 +173,12 @@ def apply_status_updates(tasks: DataFrame, updates: DataFrame) -> tuple[DataFram
         F.col("operator_id").alias("_operator"),
         F.col("operator_note").alias("_note"),
         F.col("updated_at").alias("_at"),
+        F.lit(True).alias("_changed"),
     )
-    hit = F.col("_status").isNotNull()
-    after = tasks.join(changed, "task_id", "left").withColumns(
+    hit = F.col("_changed")
+    both = tasks.withColumn("_known", F.lit(True)).join(changed, "task_id", "full")
+    both = written(both, "status-changes")
+    after = both.where("_known").withColumns(
         {
             "task_status": F.coalesce("_status", "task_status"),
             "operator_id": F.when(hit, F.col("_operator")).otherwise(F.col("operator_id")),
@@ -181,5 +186,11 @@ def apply_status_updates(tasks: DataFrame, updates: DataFrame) -> tuple[DataFram
             "resolved_at": F.when(hit, F.col("_at")).otherwise(F.col("resolved_at")),
         }
     )
-    rejected = newest.join(tasks.select("task_id"), "task_id", "left_anti")
+    rejected = both.where("_known IS NULL").selectExpr(
+        "task_id",
+        "_status AS task_status",
+        "_operator AS operator_id",
+        "_note AS operator_note",
+        "_at AS updated_at",
+    )
     return after.select(*tasks.columns), rejected

@@ -36,7 +36,7 @@ from stockrisk.session import shared_folder, written
 from stockrisk.sources import order_history as oh
 from stockrisk.sources.tables import coerce_columns, ensure_columns, upsert_products
 from stockrisk.streaming import jobs
-from stockrisk.plans.pipeline import Sources
+from stockrisk.plans.pipeline import Sources, publish, read_current, read_results
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEARCH = "ku-1"  # SKU search text of the list queries; letter case does not matter
@@ -89,18 +89,36 @@ class Model:
         return generate_tasks(self.analysis, oh.CREATED_AT)
 
     @cached_property
-    def prior_stored(self) -> DataFrame:
+    def prior_analysis(self) -> DataFrame:
         """Analysis of the batch one week earlier, on the data known then."""
         inventory = oh.inventory_snapshots(self.spark, self.folder, oh.PRIOR_AS_OF)
         sales = oh.sales_summaries(self.spark, self.folder, oh.PRIOR_AS_OF)
         facts = sku_facts(self.products, inventory, sales, self.configs)
-        rows = analyse(facts, oh.PRIOR_BATCH_ID, oh.PRIOR_AS_OF)
-        return stored_analysis(rows, oh.PRIOR_CREATED_AT)
+        return analyse(facts, oh.PRIOR_BATCH_ID, oh.PRIOR_AS_OF)
+
+    @cached_property
+    def prior_stored(self) -> DataFrame:
+        return stored_analysis(self.prior_analysis, oh.PRIOR_CREATED_AT)
 
     @property
     def both_batches(self) -> DataFrame:
         return self.stored.unionByName(self.prior_stored)
 
+    @cached_property
+    def published(self) -> str:
+        """Folder with two published batches of unequal data: this one and that of the week before."""
+        out = shared_folder(self.spark, "results")
+        for rows, batch, at in (
+            (self.analysis, oh.BATCH_ID, oh.CREATED_AT),
+            (self.prior_analysis, oh.PRIOR_BATCH_ID, oh.PRIOR_CREATED_AT),
+        ):
+            kept = written(rows, "analysis")
+            publish(out, batch, at, {"analysis": stored_analysis(kept, at), "tasks": generate_tasks(kept, at)})
+        return out
+
+    def current(self) -> tuple[DataFrame, DataFrame]:
+        return read_current(self.spark, self.published)
+
     def written_results(self) -> tuple[DataFrame, DataFrame]:
         """Analysis and task tables over one written copy of the analysis rows, for reports that read them often."""
         rows = written(self.analysis, "analysis")
@@ -566,6 +584,46 @@ def analysis_page(m: Model) -> DataFrame:
     return reports.page(rows, ["seller_sku", "seller_id", "marketplace_id"], limit=25, offset=50)
 
 
+# Reports over published results: two batches are stored, and the newest one counts -----------------------------------
+
+
+@query
+def current_dashboard_summary(m: Model) -> DataFrame:
+    return reports.dashboard_summary(m.products, *m.current())
+
+
+@query
+def current_risk_distribution(m: Model) -> DataFrame:
+    return reports.risk_distribution(m.current()[0])
+
+
+@query
+def current_top_risk_skus(m: Model) -> DataFrame:
+    return reports.top_risk_skus(m.current()[0], m.products, m.sales, m.configs, 20)
+
+
+@query
+def current_open_tasks(m: Model) -> DataFrame:
+    return reports.open_tasks(m.current()[1], 50)
+
+
+@query
+def current_insight_groups(m: Model) -> DataFrame:
+    return insights.insight_groups(m.current()[1])
+
+
+@query
+def current_explain_context_sku(m: Model) -> DataFrame:
+    analysis, tasks = m.current()
+    return context.sku_contexts(analysis, m.products, m.sales, m.configs, tasks)
+
+
+@query
+def batch_replace(m: Model) -> DataFrame:
+    """Batch counts of the published results, where the older batch was published last."""
+    return reports.batch_stats(read_results(m.spark, m.published)[0])
+
+
 # Insights ----------------------------------------------------------------------------------------------------------
 
 
@@ -600,14 +658,22 @@ def insight_related_tasks(m: Model) -> DataFrame:
     return insights.related_tasks(*_cards(m)).select("insight_id", "task_id", "seller_sku", "task_type", "priority")
 
 
+def _insights_and_tasks(m: Model) -> tuple[DataFrame, DataFrame]:
+    """Cards and an insight that names unknown tasks only, with the related tasks."""
+    cards, tasks = _cards(m)
+    unknown = m.spark.sql("SELECT 'no_tasks' AS id, array('none') AS related_skus, array('none') AS related_task_ids")
+    listed = written(cards.select("id", "related_skus", "related_task_ids").unionByName(unknown), "insights")
+    return listed, insights.related_tasks(listed, tasks)
+
+
 @query
 def insight_rollup(m: Model) -> DataFrame:
-    return insights.insight_rollup(insights.related_tasks(*_cards(m)))
+    return insights.insight_rollup(*_insights_and_tasks(m))
 
 
 @query
 def insight_first_value(m: Model) -> DataFrame:
-    return insights.insight_first_value(insights.related_tasks(*_cards(m)))
+    return insights.insight_first_value(*_insights_and_tasks(m))
 
 
 def sku_replies(tasks: DataFrame) -> DataFrame:

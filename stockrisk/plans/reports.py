@@ -8,44 +8,100 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockrisk.functions.ranks import OVERSTOCK_RANK, PRIORITY_RANK, STATUS_RANK, STOCKOUT_RANK
 from stockrisk.operators.facts import active_products, enriched_analysis, only_keys_of
 from stockrisk.operators.latest import latest_per_key
 from stockrisk.schemas import KEY
 from stockrisk.session import written
 
-MAX_BROADCAST_ROWS = 10_000  # keys of lists up to this limit are broadcast; Spark decides about longer ones
-
-# The columns of the list views, in the order clients expect.
-LIST_COLUMNS = """
-seller_sku asin fulfillable_quantity total_quantity effective_inbound_quantity avg_daily_sales_7d
-avg_daily_sales_30d available_days total_cover_days estimated_stockout_date stockout_risk_level
-overstock_risk_level recommended_replenishment_quantity recommended_action action_reason data_quality_status
-created_at current_price landed_cost gross_margin sales_7d sales_30d sales_trend sales_trend_rate
-total_replenishment_lead_time_days target_cover_days safety_stock_days moq stockout_risk_score
-overstock_risk_score estimated_lost_revenue decision_confidence decision_explanation
-""".split()
-OPEN_TASK_COLUMNS = """
-task_id seller_sku asin task_type task_title task_description priority risk_level suggested_action
-expected_impact approval_required task_status problem_type impact_level estimated_impact_value approval_level
-created_at
-""".split()
-TASK_LIST_COLUMNS = """
-task_id seller_sku asin task_type task_title task_description priority risk_level suggested_action
-approval_required task_status created_at problem_type impact_level estimated_impact_value approval_level
-""".split()
-
-DASHBOARD_COLUMNS = """
-total_skus critical_stockout_count high_stockout_count overstock_high_count data_missing_count
-pending_task_count total_tasks estimated_lost_revenue_total high_impact_task_count avg_decision_confidence
-stockout_risk_score_avg overstock_risk_score_avg
-""".split()
-
-STOCKOUT_RANK = """CASE stockout_risk_level WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3
-    WHEN 'unknown' THEN 4 ELSE 5 END"""
-OVERSTOCK_RANK = "CASE overstock_risk_level WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
-PRIORITY_RANK = "CASE priority WHEN 'P0' THEN 1 WHEN 'P1' THEN 2 WHEN 'P2' THEN 3 ELSE 4 END"
-STATUS_RANK = "CASE task_status WHEN 'pending' THEN 1 WHEN 'resolved' THEN 2 ELSE 3 END"
-
+# The columns of the views, in the order clients expect.
+LIST_COLUMNS = [
+    "seller_sku",
+    "asin",
+    "fulfillable_quantity",
+    "total_quantity",
+    "effective_inbound_quantity",
+    "avg_daily_sales_7d",
+    "avg_daily_sales_30d",
+    "available_days",
+    "total_cover_days",
+    "estimated_stockout_date",
+    "stockout_risk_level",
+    "overstock_risk_level",
+    "recommended_replenishment_quantity",
+    "recommended_action",
+    "action_reason",
+    "data_quality_status",
+    "created_at",
+    "current_price",
+    "landed_cost",
+    "gross_margin",
+    "sales_7d",
+    "sales_30d",
+    "sales_trend",
+    "sales_trend_rate",
+    "total_replenishment_lead_time_days",
+    "target_cover_days",
+    "safety_stock_days",
+    "moq",
+    "stockout_risk_score",
+    "overstock_risk_score",
+    "estimated_lost_revenue",
+    "decision_confidence",
+    "decision_explanation",
+]
+OPEN_TASK_COLUMNS = [
+    "task_id",
+    "seller_sku",
+    "asin",
+    "task_type",
+    "task_title",
+    "task_description",
+    "priority",
+    "risk_level",
+    "suggested_action",
+    "expected_impact",
+    "approval_required",
+    "task_status",
+    "problem_type",
+    "impact_level",
+    "estimated_impact_value",
+    "approval_level",
+    "created_at",
+]
+TASK_LIST_COLUMNS = [
+    "task_id",
+    "seller_sku",
+    "asin",
+    "task_type",
+    "task_title",
+    "task_description",
+    "priority",
+    "risk_level",
+    "suggested_action",
+    "approval_required",
+    "task_status",
+    "created_at",
+    "problem_type",
+    "impact_level",
+    "estimated_impact_value",
+    "approval_level",
+]
+
+DASHBOARD_COLUMNS = [
+    "total_skus",
+    "critical_stockout_count",
+    "high_stockout_count",
+    "overstock_high_count",
+    "data_missing_count",
+    "pending_task_count",
+    "total_tasks",
+    "estimated_lost_revenue_total",
+    "high_impact_task_count",
+    "avg_decision_confidence",
+    "stockout_risk_score_avg",
+    "overstock_risk_score_avg",
+]
 
 def risk_order() -> list[Column]:
     """Worst first; unknown cover sorts before any number."""
@@ -139,7 +195,7 @@ def top_risk_skus(
     The order needs analysis columns only, so the rows are picked first.
     """
     picked = analysis.orderBy(*risk_order()).limit(_positive(limit))
-    return enriched_for(picked, limit, products, sales, configs).orderBy(*risk_order()).limit(limit)
+    return enriched_for(picked, products, sales, configs).orderBy(*risk_order()).limit(limit)
 
 
 def _positive(limit: int) -> int:
@@ -148,17 +204,15 @@ def _positive(limit: int) -> int:
     return limit
 
 
-def enriched_for(
-    picked: DataFrame, limit: int, products: DataFrame, sales: DataFrame, configs: DataFrame
-) -> DataFrame:
-    """``enriched_analysis`` for at most ``limit`` rows.
+def enriched_for(picked: DataFrame, products: DataFrame, sales: DataFrame, configs: DataFrame) -> DataFrame:
+    """``enriched_analysis`` for a few picked rows.
 
     The large tables are reduced to the picked keys before the newest sales row is determined.  The picked rows are
-    written first: four lookups use them, and each would pick them again from the whole analysis table.
+    written first: four lookups use them, and each would pick them again from the whole analysis table.  So Spark also
+    knows their size when it chooses the joins.
     """
     few = written(picked, "picked-rows")
-    short = limit <= MAX_BROADCAST_ROWS
-    return enriched_analysis(few, *[only_keys_of(table, few, short) for table in (products, sales, configs)])
+    return enriched_analysis(few, *[only_keys_of(table, few) for table in (products, sales, configs)])
 
 
 def _contains(name: str, text: str) -> Column:
@@ -201,7 +255,7 @@ def analysis_detail(
     """Newest analysis row of one SKU; empty if there is none."""
     rows = analysis.filter(F.lower("seller_sku") == seller_sku.lower())
     picked = rows.orderBy(F.desc("created_at"), F.desc("id")).limit(1)
-    return enriched_for(picked, 1, products, sales, configs).select(*LIST_COLUMNS)
+    return enriched_for(picked, products, sales, configs).select(*LIST_COLUMNS)
 
 
 def open_task_rows(tasks: DataFrame, limit: int = 30) -> DataFrame:

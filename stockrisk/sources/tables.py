@@ -92,11 +92,6 @@ def ensure_columns(df: DataFrame, table: str) -> DataFrame:
     return df.withColumns(missing) if missing else df
 
 
-def align_to(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Exactly the target's columns and types: unknown columns are dropped, unset ones become NULL."""
-    return df.to(schema)
-
-
 def replace_table(df: DataFrame, path: str) -> None:
     """Full refresh of a table."""
     df.write.mode("overwrite").parquet(path)
@@ -112,12 +107,15 @@ def replace_bucketed(df: DataFrame, table: str, buckets: int) -> None:
     writer.bucketBy(buckets, *KEY).sortBy(*KEY).saveAsTable(table)
 
 
-def replace_batch(df: DataFrame, path: str, batch_id: str) -> None:
-    """Replace the rows of one analysis batch and leave other batches alone, also when the batch is empty now."""
+def batch_folder(path: str, batch_id: str, attempt: str) -> str:
     if not re.fullmatch(r"[A-Za-z0-9._-]+", batch_id):
         raise ValueError(f"batch id not usable as a folder name: {batch_id!r}")
-    target = f"{path.rstrip('/')}/analysis_batch_id={batch_id}"
-    df.drop("analysis_batch_id").write.mode("overwrite").parquet(target)
+    return f"{path.rstrip('/')}/analysis_batch_id={batch_id}/attempt={attempt}"
+
+
+def write_attempt(df: DataFrame, path: str, batch_id: str, attempt: str) -> None:
+    """Write the rows of a batch to a folder of their own; nobody reads it before the attempt is published."""
+    df.drop("analysis_batch_id").write.parquet(batch_folder(path, batch_id, attempt))
 
 
 def upsert_products(current: DataFrame, incoming: DataFrame) -> DataFrame:

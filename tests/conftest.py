@@ -17,9 +17,13 @@ MEDIUM = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     warehouse = str(tmp_path_factory.mktemp("warehouse"))
-    session = local_session(
-        8, "tests", **{"spark.sql.shuffle.partitions": "4", "spark.sql.warehouse.dir": warehouse}
-    )
+    shared = str(tmp_path_factory.mktemp("shared"))
+    settings = {
+        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.warehouse.dir": warehouse,
+        "spark.checkpoint.dir": shared,
+    }
+    session = local_session(8, "tests", **settings)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

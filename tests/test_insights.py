@@ -188,10 +188,14 @@ def test_cards_related_tasks_and_rollups(spark):
     }
     assert pairs == expected and related.count() == len(expected)
 
+    unknown = spark.sql("SELECT 'nothing' AS id, array('none') AS related_skus, array('none') AS related_task_ids")
+    listed = cards.select("id", "related_skus", "related_task_ids").unionByName(unknown)
     impact = {"high": 3, "medium": 2, "low": 1}
     approval = {"owner": 4, "manager": 3, "operator": 2}
-    rollups = {r.insight_id: r for r in insights.insight_rollup(related).collect()}
-    firsts = {r.insight_id: r for r in insights.insight_first_value(related).collect()}
+    rollups = {r.insight_id: r for r in insights.insight_rollup(listed, related).collect()}
+    firsts = {r.insight_id: r for r in insights.insight_first_value(listed, related).collect()}
+    assert tuple(rollups["nothing"]) == ("nothing", 0, 0, "unknown", "none")
+    assert tuple(firsts["nothing"]) == ("nothing", "unknown", 0, "none")
     for card in found:
         mine = [t for t in rows if (card.id, t["task_id"]) in expected]
         best = max((impact.get(t["impact_level"], 0) for t in mine))

@@ -14,6 +14,7 @@ from stockrisk.operators.measures import trailing_sales
 from stockrisk.operators.tasks import apply_status_updates
 from stockrisk.plans import catalog, pipeline, reports
 from stockrisk.schemas import CONFIGS, INVENTORY, PRODUCTS, SOURCE_TABLES, STATUS_UPDATES, STORED_TASKS
+from stockrisk.sources.align import align_to
 from stockrisk.sources import order_history as oh
 from stockrisk.sources import tables
 
@@ -86,7 +87,7 @@ def test_ensure_columns_and_align(spark):
     old = spark.createDataFrame([("a", 5)], "seller_sku string, moq int")
     row = tables.ensure_columns(old, "replenishment_config").first()
     assert (row.moq, row.target_cover_days, row.safety_stock_days) == (5, 45, 7)
-    aligned = tables.align_to(old, CONFIGS)
+    aligned = align_to(old, CONFIGS)
     assert aligned.columns == CONFIGS.names and aligned.first().moq == 5
     assert aligned.first().supplier_name is None
 
@@ -149,7 +150,27 @@ def test_run_is_idempotent_and_keeps_other_batches(spark, tmp_path):
     counts = pipeline.run_analysis(empty, out, "batch-2", oh.AS_OF, oh.CREATED_AT).first().asDict()
     assert counts["analyzed_skus"] == 0 and counts["generated_tasks"] == 0
     with pytest.raises(ValueError):
-        tables.replace_batch(tasks, out, "../elsewhere")
+        tables.write_attempt(tasks, out, "../elsewhere", "a")
+
+
+def test_readers_see_a_batch_only_when_it_is_published(spark, tmp_path):
+    model = catalog.model(spark, SMALL)
+    sources = pipeline.Sources(model.products, model.inventory, model.sales, model.configs)
+    out = str(tmp_path / "results")
+    pipeline.run_analysis(sources, out, "batch-1", oh.AS_OF, oh.CREATED_AT)
+    before = [sorted(map(repr, frame.collect())) for frame in pipeline.read_current(spark, out)]
+    # A newer run that fails between its tables.
+    with pytest.raises(Exception, match="division|DIVIDE"):
+        bad = model.tasks.withColumn("task_order", F.expr("cast(1 / (task_order - task_order) AS int)"))
+        later = oh.CREATED_AT + timedelta(days=1)
+        pipeline.publish(out, "batch-2", later, {"analysis": model.stored, "tasks": bad})
+    assert [sorted(map(repr, frame.collect())) for frame in pipeline.read_current(spark, out)] == before
+    # The newest batch only, and only its folder.
+    pipeline.publish(out, "batch-2", later, {"analysis": model.stored.limit(5), "tasks": model.tasks.limit(3)})
+    analysis, tasks = pipeline.read_current(spark, out)
+    assert (analysis.count(), tasks.count()) == (5, 3)
+    assert all("batch-2" in name for name in analysis.inputFiles())
+    assert pipeline.read_results(spark, out)[0].count() == 196 + 5
 
 
 def test_sources_round_trip_as_parquet(spark, tmp_path):

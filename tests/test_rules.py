@@ -6,12 +6,11 @@ import random
 from datetime import date, datetime, timedelta
 
 import pytest
-import row_rules
 
 from stockrisk.functions import rules
 from stockrisk.functions.numeric import fixed_text
-from stockrisk.operators.analysis import analyse, evaluate_rules
-from stockrisk.operators.tasks import generate_tasks
+from stockrisk.operators.analysis import analyse, evaluate_rules, rejected_values, stored_analysis
+from stockrisk.operators.tasks import TASK_TYPES, generate_tasks
 from stockrisk.schemas import STORED_ANALYSIS
 
 NULL = "cast(NULL AS double)"
@@ -235,33 +234,102 @@ def random_facts(count: int) -> list[dict]:
     return rows
 
 
-def test_rules_agree_with_plain_python_on_random_rows(spark):
-    facts = random_facts(3000)
+LEVELS = ["low", "medium", "high", "critical"]
+
+
+def evaluated(spark, facts: list[dict]) -> list:
     names = [part.split()[0] for part in FACT_SCHEMA.replace("\n", " ").split(",")]
     frame = spark.createDataFrame([tuple(row[n] for n in names) for row in facts], FACT_SCHEMA)
-    results = {r.seller_sku: r for r in evaluate_rules(frame, TODAY).collect()}
-    wrong = []
-    for row in facts:
-        eta = row["inbound_eta_date"]
-        expected = row_rules.evaluate(row, None if eta is None else (eta - TODAY).days)
-        ours = results[row["seller_sku"]]
-        wrong += [(row["seller_sku"], n, ours[n], v) for n, v in expected.items() if ours[n] != v]
-    assert not wrong[:5]
+    found = {r.seller_sku: r for r in evaluate_rules(frame, TODAY).collect()}
+    return [found[row["seller_sku"]] for row in facts]
+
+
+def test_quantities_fill_cartons_and_reach_the_minimum(spark):
+    facts = random_facts(2000)
+    for row, result in zip(facts, evaluated(spark, facts), strict=True):
+        quantity, carton, minimum = result.recommended_replenishment_quantity, row["carton_quantity"], row["moq"]
+        assert quantity >= 0
+        if quantity and carton:
+            assert quantity % carton == 0
+        if quantity and minimum:
+            assert quantity >= minimum
+
+
+def test_more_stock_never_raises_the_risk(spark):
+    facts = [row for row in random_facts(2000) if row["avg_daily_sales_30d"] > 0]
+    richer = [row | {"fulfillable_quantity": row["fulfillable_quantity"] + 40} for row in facts]
+    for before, after in zip(evaluated(spark, facts), evaluated(spark, richer), strict=True):
+        assert after.recommended_replenishment_quantity <= before.recommended_replenishment_quantity
+        if "unknown" not in (before.base_stockout_level, after.base_stockout_level):
+            assert LEVELS.index(after.base_stockout_level) <= LEVELS.index(before.base_stockout_level)
+        assert after.available_days is None or after.available_days >= before.available_days
+
+
+def test_a_coming_delivery_never_raises_the_risk(spark):
+    facts = random_facts(2000)
+    alone = [row | {"inbound_eta_date": None} for row in facts]
+    for with_delivery, without in zip(evaluated(spark, facts), evaluated(spark, alone), strict=True):
+        assert with_delivery.stockout_risk_score <= without.stockout_risk_score
+        if "unknown" not in (with_delivery.stockout_risk_level, without.stockout_risk_level):
+            assert LEVELS.index(with_delivery.stockout_risk_level) <= LEVELS.index(without.stockout_risk_level)
+
 
+# Units in stock at one unit a day, seven days of safety and thirty of lead time -> level; both sides of each bound.
+@pytest.mark.parametrize(
+    ("units", "level"),
+    [(0, "critical"), (7, "critical"), (8, "high"), (30, "high"), (31, "medium"), (37, "medium"), (38, "low"), (900, "low")],
+)
+def test_stockout_levels_at_their_bounds(spark, units, level):
+    row = random_facts(1)[0] | {
+        "fulfillable_quantity": units,
+        "avg_daily_sales_7d": 1.0,
+        "avg_daily_sales_30d": 1.0,
+        "safety_stock_days": 7,
+        "total_replenishment_days": 30,
+        "inbound_eta_date": None,
+    }
+    assert evaluated(spark, [row])[0].stockout_risk_level == level
 
-def test_tasks_agree_with_plain_python_on_random_rows(spark):
+
+def test_incomplete_data_decides_the_action(spark):
+    facts = random_facts(2000)
+    for row, result in zip(facts, evaluated(spark, facts), strict=True):
+        missing = [kind for kind in ("inventory", "sales", "config") if not row[f"has_{kind}"]]
+        if missing:
+            assert result.data_quality_status == f"missing_{missing[0]}"
+        assert (result.recommended_action == "complete_missing_data") == (result.data_quality_status != "complete")
+
+
+def test_tasks_follow_from_the_analysis(spark):
     facts = [row | {"inbound_eta_date": None} for row in random_facts(1500)]
     names = [part.split()[0] for part in FACT_SCHEMA.replace("\n", " ").split(",")]
     frame = spark.createDataFrame([tuple(row[n] for n in names) for row in facts], FACT_SCHEMA)
-    rows = generate_tasks(analyse(frame, "b-1", TODAY), datetime(2026, 6, 7)).orderBy("seller_sku", "task_order")
-    ours: dict[str, list] = {}
-    for r in rows.collect():
-        ours.setdefault(r.seller_sku, []).append(
-            (r.task_type, r.risk_level, float(r.estimated_impact_value), r.priority)
-        )
-    for row in facts:
-        expected = row_rules.tasks(row, row_rules.evaluate(row, None))
-        assert ours.get(row["seller_sku"], []) == expected
+    analysed = {r.seller_sku: r for r in analyse(frame, "b-1", TODAY).collect()}
+    kinds: dict[str, list] = {sku: [] for sku in analysed}
+    for r in generate_tasks(analyse(frame, "b-1", TODAY), datetime(2026, 6, 7)).orderBy("seller_sku", "task_order").collect():
+        kinds[r.seller_sku].append(r.task_type)
+        assert r.estimated_impact_value >= 0 and r.priority in ("P0", "P1", "P2", "P3")
+        assert (r.impact_level == "high") == (r.estimated_impact_value >= 5000)
+    for sku, found in kinds.items():
+        row = analysed[sku]
+        assert found == [kind for kind in TASK_TYPES if kind in found]
+        assert ("data_missing_alert" in found) == (row.data_quality_status != "complete")
+        assert ("overstock_warning" in found) == (row.overstock_risk_level == "high")
+        assert ("unfulfillable_inventory_alert" in found) == (row.total_unfulfillable_quantity > 0)
+
+
+def test_outliers_leave_the_run_and_are_listed(spark):
+    facts = random_facts(50)
+    facts[7] |= {"fulfillable_quantity": 2_000_000_000, "avg_daily_sales_7d": 0.0001, "avg_daily_sales_30d": 0.0001}
+    facts[9] |= {"current_price": 1e300, "fulfillable_quantity": 0, "avg_daily_sales_7d": 5.0, "avg_daily_sales_30d": 5.0}
+    names = [part.split()[0] for part in FACT_SCHEMA.replace("\n", " ").split(",")]
+    frame = spark.createDataFrame([tuple(row[n] for n in names) for row in facts], FACT_SCHEMA)
+    rows = analyse(frame, "b-1", TODAY)
+    stored = {r.seller_sku: r for r in stored_analysis(rows, datetime(2026, 6, 7)).collect()}
+    listed = {(r.seller_sku, r.column_name) for r in rejected_values(rows).collect()}
+    assert len(stored) == 50 and {sku for sku, _ in listed} == {"SKU-7", "SKU-9"}
+    assert all(stored[sku][column] is None for sku, column in listed)
+    assert ("SKU-7", "available_days") in listed and generate_tasks(rows, datetime(2026, 6, 7)).count() > 0
 
 
 def test_stored_analysis_has_the_table_columns(spark):
