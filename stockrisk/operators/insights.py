@@ -327,22 +327,24 @@ def _text_list(name: str) -> str:
     """Texts of a list field without null and blank entries; anything but a list is empty."""
     items = f"try_variant_get({_field(name)}, '$', 'array<variant>')"
     texts = f"transform(filter({items}, x -> x IS NOT NULL AND {_kind('x')} <> 'VOID'), x -> {_scalar_text('x')})"
-    return f"coalesce(filter({texts}, t -> t RLIKE '[^\\\\s]'), cast(array() AS array<string>))"
+    return f"coalesce(filter({texts}, t -> t RLIKE '(?U)[^\\\\s]'), cast(array() AS array<string>))"
 
 
 def parse_insight_replies(replies: DataFrame) -> DataFrame:
     """Turn model replies (``reply_id``, ``raw_text``) into insight rows.
 
     Code fences are removed; text that is no JSON is retried from its first to its last brace.  The root must be an
-    object with a list ``insights`` of objects.  A reply that is not gives one row with ``is_valid`` false.
+    object with a list ``insights`` of objects.  A reply that is not gives one row with ``is_valid`` false; so does one
+    whose object repeats a key, since its meaning is not defined.  Blanks are all of Unicode's.
     """
-    bare_text = r"regexp_replace(raw_text, '^\\s+|\\s+$', '')"
-    fenced = rf"regexp_replace(regexp_replace({bare_text}, '^```(?:json)?\\s*', ''), '\\s*```$', '')"
+    bare_text = r"regexp_replace(raw_text, '(?U)^\\s+|\\s+$', '')"
+    fenced = rf"regexp_replace(regexp_replace({bare_text}, '(?U)^```(?:json)?\\s*', ''), '(?U)\\s*```$', '')"
+    braces = r"regexp_extract(body, '(?s)\\{.*\\}', 0)"
+    # Writers of replies may put NaN or Infinity where a number belongs; as numbers they count 0.
+    finite = r"regexp_replace({}, '(?<=[:\\[,])\\s*-?(?:NaN|Infinity)(?=\\s*[,\\]}}])', ' 0')"
+    tries = ["body", braces, finite.format("body"), finite.format(braces)]
     bare = replies.selectExpr("reply_id", f"{fenced} AS body")
-    parsed = bare.selectExpr(
-        "reply_id",
-        r"coalesce(try_parse_json(body), try_parse_json(regexp_extract(body, '(?s)\\{.*\\}', 0))) AS root",
-    )
+    parsed = bare.selectExpr("reply_id", f"coalesce({', '.join(f'try_parse_json({t})' for t in tries)}) AS root")
     listed = parsed.selectExpr(
         "reply_id",
         f"""CASE WHEN {_kind('root')} LIKE 'OBJECT%'

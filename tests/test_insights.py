@@ -96,6 +96,15 @@ def test_parse_replies(spark):
         assert [tuple(r)[3:] for r in rows[number] if r.id is not None] == (expected or []), raw
 
 
+def test_odd_replies(spark):
+    wide = '\u3000{"insights": [{"id": "a", "risk_points": ["\u3000\u00a0", "x"], "task_count": NaN, "summary": "is NaN, so"}]}\u3000'
+    twice = '{"insights": [{"id": "a", "id": "b"}]}'
+    frame = spark.createDataFrame([(0, wide), (1, twice)], "reply_id long, raw_text string")
+    first, second = insights.parse_insight_replies(frame).orderBy("reply_id").collect()
+    assert (first.is_valid, first.risk_points, first.task_count, first.summary) == (True, ["x"], 0, "is NaN, so")
+    assert not second.is_valid
+
+
 def sample_tasks(spark, count=400):
     rng = random.Random(11)
     rows = []

@@ -321,7 +321,7 @@ def test_tasks_follow_from_the_analysis(spark):
 def test_outliers_leave_the_run_and_are_listed(spark):
     facts = random_facts(50)
     facts[7] |= {"fulfillable_quantity": 2_000_000_000, "avg_daily_sales_7d": 0.0001, "avg_daily_sales_30d": 0.0001}
-    facts[9] |= {"current_price": 1e300, "fulfillable_quantity": 0, "avg_daily_sales_7d": 5.0, "avg_daily_sales_30d": 5.0}
+    facts[9] |= {"total_replenishment_days": 30, "current_price": 1e300, "fulfillable_quantity": 0, "avg_daily_sales_7d": 5.0, "avg_daily_sales_30d": 5.0}
     names = [part.split()[0] for part in FACT_SCHEMA.replace("\n", " ").split(",")]
     frame = spark.createDataFrame([tuple(row[n] for n in names) for row in facts], FACT_SCHEMA)
     rows = analyse(frame, "b-1", TODAY)
