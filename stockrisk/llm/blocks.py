@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from stockrisk.session import written
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -52,7 +52,7 @@ def powers(seed: int, n: int, inverse: bool = False) -> np.ndarray:
         steps = np.full(n, _TABLES[seed][2 if inverse else 1], np.uint64)
         steps[:1] = 1
         have = np.multiply.accumulate(steps)
-        if n <= 2 * SLICE_BYTES:
+        if n <= SLICE_BYTES + (SLICE_BYTES >> 2):  # longer ones serve one text only
             _POWERS[seed, inverse] = have
     return have[:n]
 

@@ -31,7 +31,7 @@ from stockrisk.llm.blocks import BYTE_VALUES, RangeHash, Words, mix, slices, wor
 from stockrisk.llm.line_dedup import with_rest
 
 BITS = 20
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 1000, 2000, 8 << 20
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 1000, 2000, 6 << 20
 STRONG, SURE = 20.0, 15.0
 EPOCHS, BATCH_DOCS, RATE = 4, 64, 0.5
 LANE = 256
@@ -175,9 +175,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def without_copies(words: Words) -> np.ndarray:
-    """Rows that do not repeat most of an earlier row: of four smallest word hashes at most one is another's."""
-    hashes, seen, keep = words.hashes(1), [set() for _ in range(4)], []
+def without_copies(words: Words, seen: list[set[int]]) -> np.ndarray:
+    """Rows that do not repeat most of an earlier row: of four smallest word hashes at most one is in ``seen``, one set each."""
+    hashes, keep = words.hashes(1), []
     for i, (a, b) in enumerate(zip(words.first[:-1], words.first[1:])):
         if a == b:
             continue
@@ -192,12 +192,11 @@ def without_copies(words: Words) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
-def word_labels(words: Words, toxic: np.ndarray) -> np.ndarray:
-    """1 for the words of toxic rows that, or whose beginnings, are typical of toxic rows."""
-    rows = words.rows
+def word_labels(rows: np.ndarray, marks: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """1 for the words of toxic rows that, or whose beginnings, are typical of toxic rows.  ``rows``: row of each word."""
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
     out = np.zeros(len(rows), bool)
-    for mark in word_marks(words)[:4]:
+    for mark in marks:
         names, which = np.unique(mark, return_inverse=True)
         pairs = np.unique(rows * len(names) + which)  # each row counts once
         row, name = pairs // len(names), pairs % len(names)
@@ -218,15 +217,26 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     empty = Model(np.zeros(1 << BITS, np.float32), 0.0, np.ones((2, 2)), 1.0, None, share)
     if not 0 < labels.sum() < len(labels):
         return empty
-    keep = without_copies(words_of(pa.array(texts, pa.string()), lower=True))
-    texts, labels = [texts[i] for i in keep], labels[keep]
+    # Slice by slice, so that only numbers of the words stay in memory.
+    column, seen, kept, counts, parts, marks = pa.array(texts, pa.string()), [set() for _ in range(4)], [], [], [], []
+    at = 0
+    for part in slices([pa.RecordBatch.from_arrays([column], ["text"])]):
+        keep = without_copies(words_of(part.column("text"), lower=True), seen)
+        words = words_of(part.column("text").take(pa.array(keep)), lower=True)
+        kept.append(at + keep)
+        counts.append(words.counts)
+        parts.append(np.stack([f.astype(np.int32) for f in features(words)], axis=1))
+        marks.append(word_marks(words)[:4])
+        at += part.num_rows
+    labels, counts, x = labels[np.concatenate(kept)], np.concatenate(counts), np.concatenate(parts)
     if not 0 < labels.sum() < len(labels):
         return empty
-    words = words_of(pa.array(texts, pa.string()), lower=True)
-    x, y = np.stack([f.astype(np.int32) for f in features(words)], axis=1), word_labels(words, labels)
+    starts = np.r_[0, np.cumsum(counts)]
+    y = word_labels(np.repeat(np.arange(len(counts)), counts), [np.concatenate(m) for m in zip(*marks)], labels)
+    del parts, marks
     # Every third document calibrates; the field learns from the others, if there are enough.
-    docs = np.arange(len(texts))
-    learn = docs % 3 != 2 if len(texts) >= 60 else np.ones(len(texts), bool)
+    docs = np.arange(len(counts))
+    learn = docs % 3 != 2 if len(counts) >= 60 else np.ones(len(counts), bool)
     rng = np.random.default_rng(7)
     weights, grad_sq = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2)
     bias, bias_sq = -4.0, 1e-2
@@ -236,8 +246,8 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
         order = rng.permutation(docs[learn])
         for a in range(0, len(order), BATCH_DOCS):
             own = order[a : a + BATCH_DOCS]
-            at = np.concatenate([np.arange(words.first[i], words.first[i + 1]) for i in own])
-            first = np.r_[0, np.cumsum(words.counts[own])]
+            at = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in own])
+            first = np.r_[0, np.cumsum(counts[own])]
             if not len(at):
                 continue
             tags, feats = y[at].astype(float), x[at]
@@ -269,8 +279,8 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
                 log_move -= 0.1 * grad_move / np.sqrt(move_sq)
                 log_move = np.clip(log_move - log_move[0, 0], -6, 6)
     model = Model(weights.astype(np.float32), bias, np.exp(log_move), float(np.exp(log_begin)), None, share)
-    p, _, _ = tag(model, words)
-    s = summary(p, words.first)
+    p, _, _ = marginals(_log_odds(model, x.T), starts, model.move, model.begin)
+    s = summary(p, starts)
     hold = ~learn if (~learn).any() and 0 < labels[~learn].sum() < (~learn).sum() else np.ones(len(labels), bool)
     model.doc = _logistic(s[hold], labels[hold].astype(float))
     return model
@@ -290,11 +300,15 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def tag(model: Model, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    total = np.full(len(words.starts), model.bias)
-    for numbers in features(words):
+def _log_odds(model: Model, kinds: list[np.ndarray] | np.ndarray) -> np.ndarray:
+    total = np.full(len(kinds[0]), model.bias)
+    for numbers in kinds:
         total += model.weights[numbers]
-    return marginals(total, words.first, model.move, model.begin)
+    return total
+
+
+def tag(model: Model, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return marginals(_log_odds(model, features(words)), words.first, model.move, model.begin)
 
 
 def score(model: Model, words: Words) -> tuple[np.ndarray, np.ndarray]:
