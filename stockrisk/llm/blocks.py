@@ -6,6 +6,8 @@ computed at once; slices hold about ``SLICE_BYTES`` of text, or one longer text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from stockrisk.session import written
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -137,6 +139,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    release()
+
+
+def release() -> None:
+    """Give memory back at the end of a task: worker processes live on, beside those of the stages that follow."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library keeps freed memory back
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def window_starts(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
