@@ -13,7 +13,7 @@ bits on average, with a standard deviation of 3; equal texts never differ.  The
 smaller weights over sum of the larger ones, at least ``percent`` of 100.
 
 Defined results: null or wordless texts and items match nothing; of equal documents each is reported; rows that repeat a
-``doc_id`` are looked at one by one and reported once for equal places; a null ``doc_id`` or ``item_id`` is reported as null.
+``doc_id`` are looked at one by one (equal rows once) and reported once for equal places; a null ``doc_id`` or ``item_id`` is reported as null.
 """
 
 from __future__ import annotations
@@ -103,6 +103,8 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
 
     near = small(windows.withColumnRenamed("doc_id", "found_id").withColumnRenamed("tag", "found_tag"))
     found = texts.join(near, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("tag") == F.col("found_tag")))
+    # Equal rows have the same windows: one of them stands for all, or each shingle would count once per copy.
+    found = found.dropDuplicates(["doc_id", "tag"])
     cut = found.select("doc_id", "tag", word_hashes(F.col("text")).alias("hashes"), F.explode("places").alias("p")).select(
         "doc_id", "tag", "p.start", "p.n", "p.k", F.slice("hashes", F.col("p.start") + 1, F.col("p.n")).alias("hashes")
     )

@@ -155,6 +155,16 @@ def test_leaks(spark):
     assert decontamination.leaks(frame.where("false"), bench).count() == 0
 
 
+def test_leaks_of_repeated_rows(spark):
+    item = words(40, 94, 10**6)
+    text = " ".join(["before", *item, "after"])
+    docs = [(60, text)] + [(61, text)] * 2 + [(62, text)] * 3 + [(None, text)] * 2 + [(62, "another text")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = by_row(decontamination.leaks(frame, bench), "doc_id", "item_id", "start", "n_words", "similarity")
+    assert found == sorted([(i, 1, 1, 40, 1.0) for i in (60, 61, 62, None)], key=repr)
+
+
 def test_no_python_in_the_plan(spark):
     plan = decontamination.leaks(documents(spark), table(spark, "/root/testdata/sf0.001", "benchmark"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
