@@ -114,6 +114,20 @@ def test_language_model_of_nothing(spark):
     assert context_mixing.score_documents(empty(spark)).count() == 0
 
 
+def test_weights_learn_from_all_training_texts(spark, monkeypatch):
+    bits, freeze = [], context_mixing.Mixer.freeze
+
+    def spy(mixer):
+        bits.append((mixer.map_total.sum(), mixer.counts[0].sum()))
+        return freeze(mixer)
+
+    monkeypatch.setattr(context_mixing.Mixer, "freeze", spy)
+    docs = table(spark, FOLDER, "documents").unionByName(spark.createDataFrame([(10**6, "one long text " * 6000)], "doc_id long, text string"), True)
+    held = [r for r in context_mixing.score_documents(docs).collect() if r.held_out]
+    assert bits[0][0] == bits[0][1] > 0
+    assert sum(r.score for r in held) > 1.08 * sum(r.base_score for r in held)
+
+
 def test_code_is_complete():
     code = context_mixing.huffman(np.array([50, 20, 20, 5, 4, 1]))
     assert math.isclose(sum(2.0 ** -n for n in np.diff(code.first)), 1.0)
