@@ -10,9 +10,6 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
 from stockrisk.session import local_session  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-MEDIUM = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

@@ -6,7 +6,7 @@ import random
 from datetime import date, datetime, timedelta
 
 import pytest
-from conftest import SMALL
+from places import SMALL
 from pyspark.sql import functions as F
 
 from stockrisk.operators.latest import latest_inventory, latest_per_key

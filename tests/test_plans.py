@@ -5,9 +5,8 @@ from __future__ import annotations
 import re
 
 import pytest
-from conftest import SMALL
+from places import SMALL
 
-import __spark_entry__ as entry
 from stockrisk.operators.facts import sku_facts
 from stockrisk.plans import catalog
 from stockrisk.sources.tables import replace_bucketed
@@ -17,23 +16,23 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-LAZY = sorted(name for name in entry.queries() if not name.startswith("stream_"))
+LAZY = sorted(name for name in catalog.queries() if not name.startswith("stream_"))
 
 
 @pytest.mark.parametrize("name", LAZY)
 def test_no_nested_loop_and_no_python(spark, name):
-    plan = plan_of(entry.queries()[name](spark, SMALL))
+    plan = plan_of(catalog.queries()[name](spark, SMALL))
     for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
         assert bad not in plan
 
 
 def test_scans_read_needed_columns_only(spark):
-    plan = plan_of(entry.queries()["analysis"](spark, SMALL))
+    plan = plan_of(catalog.queries()["analysis"](spark, SMALL))
     scans = re.findall(r"FileScan parquet \[(.*?)\]", plan)
     lines = [s for s in scans if "l_partkey" in s]
     assert lines and all("l_extendedprice" not in s and "l_orderkey" not in s for s in lines)
     assert all("p_name" not in s for s in scans)
-    assert "PushedFilters" in entry.queries()["analysis"](spark, SMALL)._jdf.queryExecution().toString()
+    assert "PushedFilters" in catalog.queries()["analysis"](spark, SMALL)._jdf.queryExecution().toString()
 
 
 def test_large_joins_share_the_window_partitioning(spark):
@@ -67,7 +66,7 @@ def test_bucketed_tables_are_joined_without_a_shuffle(spark):
 
 
 def test_top_list_is_a_top_k_and_reduces_the_large_tables(spark):
-    plan = plan_of(entry.queries()["top_risk_skus"](spark, SMALL))
+    plan = plan_of(catalog.queries()["top_risk_skus"](spark, SMALL))
     assert "TakeOrderedAndProject" in plan and "LeftSemi" in plan
 
 

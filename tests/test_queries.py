@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import pytest
 from compare import connect, difference
-from conftest import MEDIUM, SMALL
+from places import MEDIUM, SMALL
 
 import __spark_entry__ as entry
+from oracle.sql import ORACLE_SQL
 from stockrisk.plans import catalog
 
-NAMES = sorted(entry.oracle_sql())
+NAMES = sorted(catalog.queries())
 
 
 @pytest.fixture(scope="session")
@@ -18,13 +19,13 @@ def database():
 
 
 def test_every_query_of_the_catalog_has_a_twin():
-    assert set(catalog.queries()) <= set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(catalog.queries()) == set(ORACLE_SQL)
+    assert set(catalog.queries()) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_twin(spark, database, name):
-    query, sql = entry.queries()[name], entry.oracle_sql()[name]
-    assert difference(spark, database, SMALL, name, query, sql) is None
+    assert difference(spark, database, SMALL, name, catalog.queries()[name], ORACLE_SQL[name]) is None
 
 
 def counts(df, column):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from conftest import SMALL
+from places import SMALL
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
