@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockrisk.llm import context_mixing, decontamination, embedding_dedup, line_dedup, minhash_dedup, piece_lattice, quality, substring_dedup, token_records, toxicity
+from stockrisk.llm import context_mixing, decontamination, embedding_dedup, line_dedup, minhash_dedup, periodic_runs, piece_lattice, quality, substring_dedup, token_records, toxicity
 from stockrisk.llm.blocks import table
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -64,6 +64,10 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(table(spark, folder, "documents"), periodic_runs.repeated_tail))
+
+
 def importable(query: Query) -> Query:
     """Lets Python workers on this machine import the package whatever the current folder; a cluster gets it with the
     job (``--py-files``)."""
@@ -88,6 +92,7 @@ def queries() -> dict[str, Query]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_minhash_dedup": op9_minhash_dedup,
         "op10_line_dedup": op10_line_dedup,
+        "op12_periodic_runs": op12_periodic_runs,
     }
     return {name: importable(query) for name, query in found.items()}
 
