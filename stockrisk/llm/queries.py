@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockrisk.llm import context_mixing, decontamination, embedding_dedup, line_dedup, minhash_dedup, periodic_runs, piece_lattice, quality, substring_dedup, token_records, toxicity
+from stockrisk.llm import context_mixing, decontamination, embedding_dedup, language_ppm, lexical_search, line_dedup, minhash_dedup, periodic_runs, piece_lattice, quality, substring_dedup, token_records, toxicity
 from stockrisk.llm.blocks import table
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -64,10 +64,18 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_language_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    return language_ppm.predict(table(spark, folder, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.periodic_runs(table(spark, folder, "documents"), periodic_runs.repeated_tail))
 
 
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def importable(query: Query) -> Query:
     """Lets Python workers on this machine import the package whatever the current folder; a cluster gets it with the
     job (``--py-files``)."""
@@ -92,7 +100,9 @@ def queries() -> dict[str, Query]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_minhash_dedup": op9_minhash_dedup,
         "op10_line_dedup": op10_line_dedup,
+        "op11_language_ppm": op11_language_ppm,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_lexical_search": op13_lexical_search,
     }
     return {name: importable(query) for name, query in found.items()}
 
@@ -174,5 +184,25 @@ part AS (
 SELECT total.doc_id, cast(total.n AS BIGINT) AS n_lines, cast(total.n - coalesce(text_of.n, 0) AS BIGINT) AS n_removed,
   sha256(coalesce(t, '')) AS kept_sha256
 FROM total LEFT JOIN text_of USING (doc_id)
+""",
+    "op13_lexical_search": r"""
+WITH doc_terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), item_terms AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), tf AS (SELECT doc_id, term, count(*) AS tf FROM doc_terms GROUP BY ALL),
+size AS (SELECT doc_id, count(*) AS n FROM doc_terms GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, cast(sum(n) AS BIGINT) AS terms FROM size),
+factor AS (SELECT doc_id, 100 - 25 + (25 * n * docs) // terms AS m FROM size, total),
+weight AS (
+  SELECT term, cast(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term
+), scored AS (
+  SELECT item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM item_terms JOIN weight USING (term) JOIN tf USING (term) JOIN factor USING (doc_id) GROUP BY ALL
+)
+SELECT item_id, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
 """,
 }
