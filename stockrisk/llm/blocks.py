@@ -193,14 +193,18 @@ def maybe_in(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return bits[np.mod(ids, SET_BITS)]
 
 
+def maybe_rows(bits: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """For each id of a column whether the bit map may hold it; a null is in no map."""
+    return maybe_in(bits, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
+
+
 def rows_by_bits(df: DataFrame, bits: np.ndarray, inside: bool, column: str = "doc_id") -> DataFrame:
     """The rows whose id may be in the bit map, or all others (with those that have no id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(column))
-            known = maybe_in(bits, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ids.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(known == inside))
+        for part in slices(batches) if "text" in df.columns else batches:
+            yield part.filter(pa.array(maybe_rows(bits, part.column(column)) == inside))
+        release()
 
     return df.mapInArrow(run, df.schema)
 

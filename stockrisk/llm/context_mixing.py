@@ -465,7 +465,7 @@ def score_documents(docs: DataFrame, head: int = HEAD) -> DataFrame:
         "doc_id",
         held.alias("held_out"),
         "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        (F.col("known") + F.coalesce("more", F.lit(0)) if tokens else F.lit(0).cast("long")).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         base.alias("base_score"),
         "score",

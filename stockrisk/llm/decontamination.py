@@ -28,7 +28,6 @@ from stockrisk.session import written
 SHINGLE = 5
 RADIUS = 18
 BITS = 64
-BROADCAST_ROWS = 500_000  # of at most 40 bytes: beyond it, Spark joins by shuffling
 
 
 def word_hashes(text: Column) -> Column:
@@ -45,11 +44,6 @@ def shingles(hashes: Column, size: int) -> Column:
     return F.when(F.size(hashes) >= size, runs).otherwise(F.array().cast("array<bigint>"))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcasting if it has few rows; its size is counted, not guessed."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def fingerprints(weighted: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, fp, total`` from rows of ``keys, h, w``.  One sum counts two bits: their counts share a long."""
     half = BITS // 2
@@ -87,7 +81,7 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
         )
     parts = [own.where(F.col("k") == k).select("item", "n", "k", F.posexplode(shingles(F.col("hashes"), k)).alias("at", "h")) for k in sizes]
     item_rows = written(reduce(DataFrame.union, parts).distinct(), "items")
-    anchors = small(item_rows.select("k", "h", "n", "at").distinct())
+    anchors = written(item_rows.select("k", "h", "n", "at").distinct(), "anchors")
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
     hashed = texts.select("doc_id", "tag", word_hashes(F.col("text")).alias("hashes"))
@@ -101,10 +95,13 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
     # The places of one text are at most its words times the number of item sizes.
     windows = written(places.groupBy("doc_id", "tag").agg(F.collect_set("place").alias("places")), "places")
 
-    near = small(windows.withColumnRenamed("doc_id", "found_id").withColumnRenamed("tag", "found_tag"))
-    found = texts.join(near, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("tag") == F.col("found_tag")))
+    # Ids and tags alone pick the texts; the places, which may be many, are brought to the few texts that are left.
+    near = written(windows.selectExpr("doc_id AS found_id", "tag AS found_tag"), "near")
+    same_row = F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("tag") == F.col("found_tag"))
     # Equal rows have the same windows: one of them stands for all, or each shingle would count once per copy.
-    found = found.dropDuplicates(["doc_id", "tag"])
+    found = texts.join(near, same_row, "left_semi").dropDuplicates(["doc_id", "tag"])
+    placed = windows.withColumnsRenamed({"doc_id": "found_id", "tag": "found_tag"})
+    found = found.join(placed.hint("merge"), same_row)
     cut = found.select("doc_id", "tag", word_hashes(F.col("text")).alias("hashes"), F.explode("places").alias("p")).select(
         "doc_id", "tag", "p.start", "p.n", "p.k", F.slice("hashes", F.col("p.start") + 1, F.col("p.n")).alias("hashes")
     )

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockrisk.llm.blocks import id_bits, mix, powers, ragged, range_hash, rows_by_bits, slices, split_words, text_bytes
+from stockrisk.llm.blocks import id_bits, maybe_rows, mix, powers, ragged, range_hash, rows_by_bits, slices, split_words, text_bytes
 from stockrisk.llm.packed_keys import ROW, buckets_of, by_owner, pack, packed_batch, to_documents, unpack_all
 from stockrisk.llm.substring_dedup import text_tags
 from stockrisk.session import written
@@ -238,18 +238,19 @@ def remove_lines(docs: DataFrame, edit_words: int = EDIT_WORDS) -> DataFrame:
     bits = id_bits(found)
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tags = pa.array(text_tags(batch.column("text")), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, tags], [*batch.schema.names, "tag"])
+        for part in slices(batches):
+            part = part.filter(pa.array(maybe_rows(bits, part.column("doc_id"))))
+            tags = pa.array(text_tags(part.column("text")), pa.int64())
+            yield pa.RecordBatch.from_arrays([*part.columns, tags], [*part.schema.names, "tag"])
 
     kind = rows.schema["rest"].dataType.simpleString()
-    inside = rows_by_bits(rows, bits, True).mapInArrow(tagged, f"doc_id long, text string, rest {kind}, tag long")
+    inside = rows.mapInArrow(tagged, f"doc_id long, text string, rest {kind}, tag long")
     marked = written(inside.join(found, ["doc_id", "tag"], "left"), "marked")
     variants = marked.where("places IS NOT NULL").select("doc_id", "text", "places").mapInArrow(_variant_rows(edit_words, buckets), ROW)
     more = to_documents(variants.groupBy("bucket").applyInArrow(_linked(buckets), ROW)).withColumnRenamed("places", "near")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, total, gone = [], [], []
             for text, places, near in zip(*(batch.column(n).to_pylist() for n in ("text", "places", "near"))):
                 drop = set(marked_lines(places)[0].tolist()) | set(np.frombuffer(near or b"", np.uint32).tolist())

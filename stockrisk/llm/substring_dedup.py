@@ -132,7 +132,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
             )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: dict[str, list] = {name: [] for name in ("n_removed", "removed", "kept_text", "kept_sha256")}
             for text, packed, digest in zip(*(batch.column(n).to_pylist() for n in ("text", "places", "kept_sha256"))):
                 if text is None or not packed:

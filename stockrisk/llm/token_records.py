@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stockrisk.llm.blocks import ragged, slices, words_of
+from stockrisk.llm.blocks import ragged, slices, text_bytes, words_of
 from stockrisk.session import shared_folder, written
 
 VOCABULARY = "word_bpe_49k.json"
@@ -150,6 +150,11 @@ class WordEncoder:
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text with the end id."""
         words = words_of(column, lower=True)
+        # The library finds special tokens in the text as it is, before it lowers the rest.
+        raw, _ = text_bytes(column)
+        special = np.unique(np.searchsorted(words.starts, np.flatnonzero(raw == ord("<")), side="right") - 1)
+        kept = ragged(words.starts[special], words.ends[special] - words.starts[special])
+        words.data[kept] = raw[kept]
         hashes, check = words.hashes(1), words.hashes(2)
         _, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
         if (check[sample][which] != check).any():  # two words with one hash: every word for itself
