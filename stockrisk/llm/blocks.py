@@ -201,8 +201,10 @@ def maybe_rows(bits: np.ndarray, ids: pa.Array) -> np.ndarray:
 def rows_by_bits(df: DataFrame, bits: np.ndarray, inside: bool, column: str = "doc_id") -> DataFrame:
     """The rows whose id may be in the bit map, or all others (with those that have no id)."""
 
+    sliced = "text" in df.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches) if "text" in df.columns else batches:
+        for part in slices(batches) if sliced else batches:
             yield part.filter(pa.array(maybe_rows(bits, part.column(column)) == inside))
         release()
 
