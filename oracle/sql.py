@@ -588,6 +588,25 @@ def rule_select(columns: str, source: str = "rules", base: str = RULES) -> str:
 
 
 LEGACY_CONFIG_LEAD = "c.total_replenishment_days"
+DASHBOARD_KEYS = (
+    ',"skill_output_fields":["estimated_lost_revenue_total","high_impact_task_count","avg_decision_confidence",'
+    '"stockout_risk_score_avg","overstock_risk_score_avg","stockout_risk_score","overstock_risk_score",'
+    '"estimated_lost_revenue","decision_confidence"],"ai_constraints":["Do not recalculate risk scores.",'
+    '"Do not recalculate replenishment quantity.","Do not recalculate approval level or task priority.",'
+    '"Only explain the existing rule Skill outputs."]}'
+)
+SKU_KEYS = (
+    ',"skill_output_fields":["gross_margin","sales_trend","stockout_risk_score","overstock_risk_score",'
+    '"estimated_lost_revenue","decision_confidence","decision_explanation"],"ai_constraints":["Do not recalculate risk scores.",'
+    '"Do not change the recommended action.","Do not change approval decisions.",'
+    '"Only explain the evidence already provided by the rule Skill outputs."]}'
+)
+INSIGHT_KEYS = (
+    ',"skill_output_fields":["problem_type","impact_level","estimated_impact_value","approval_level","stockout_risk_score",'
+    '"overstock_risk_score","estimated_lost_revenue","decision_confidence"],"ai_constraints":["Do not recalculate task priority.",'
+    '"Do not recalculate approval level.","Do not invent new task ids or SKUs.",'
+    '"Only group and explain the existing task and Skill outputs."]}'
+)
 ORACLE_SQL = {
     "source_scan": f"""WITH {SOURCES} SELECT {KEY}, id, asin, product_name, brand, current_price::DOUBLE AS current_price,
         purchase_cost::DOUBLE AS purchase_cost, landed_cost::DOUBLE AS landed_cost,
@@ -803,16 +822,16 @@ ORACLE_SQL = {
         SELECT 'dashboard_summary' AS context, '{{"dashboard_summary":'
           || (SELECT to_json(x)::VARCHAR FROM ({DASHBOARD}) x)
           || ',"risk_distribution":' || {DIST_LIST} || ',"top_risk_skus":' || {TOP_LIST.format(n=10)}
-          || ',"open_tasks":' || {OPEN_JSON.format(n=20)} || '}}' AS payload
+          || ',"open_tasks":' || {OPEN_JSON.format(n=20)} || '{DASHBOARD_KEYS}' AS payload
         UNION ALL SELECT 'task_priority', '{{"open_tasks":' || {OPEN_JSON.format(n=40)} || '}}'
         UNION ALL SELECT 'task_insights', '{{"open_tasks":' || {OPEN_JSON.format(n=50)}
-          || ',"top_risk_skus":' || {TOP_LIST.format(n=20)} || ',"risk_distribution":' || {DIST_LIST} || '}}'""",
+          || ',"top_risk_skus":' || {TOP_LIST.format(n=20)} || ',"risk_distribution":' || {DIST_LIST} || '{INSIGHT_KEYS}'""",
     "explain_context_sku": f"""WITH {TASKS}, listed AS (
           SELECT analysis_id, list(struct_pack(
             {', '.join(f'{c.strip()} := {c.strip()}' for c in OPEN_COLUMNS.split(','))}) ORDER BY task_order DESC) AS l
           FROM (SELECT * REPLACE ({iso('created_at')}) FROM tasks) GROUP BY analysis_id)
         SELECT {KEY}, '{{"sku_detail":' || to_json(e)::VARCHAR || ',"sku_tasks":'
-          || coalesce(to_json(l)::VARCHAR, '[]') || '}}' AS payload
+          || coalesce(to_json(l)::VARCHAR, '[]') || '{SKU_KEYS}' AS payload
         FROM (SELECT * REPLACE (analysis_date::VARCHAR AS analysis_date,
             estimated_stockout_date::VARCHAR AS estimated_stockout_date,
             recommended_replenishment_date::VARCHAR AS recommended_replenishment_date, {iso('created_at')})
@@ -833,3 +852,45 @@ ORACLE_SQL = {
 for _name in ("dashboard_summary", "risk_distribution", "top_risk_skus", "open_tasks", "insight_groups", "explain_context_sku"):
     ORACLE_SQL[f"current_{_name}"] = ORACLE_SQL[_name]
 ORACLE_SQL["batch_replace"] = ORACLE_SQL["batch_stats"]
+
+ORACLE_SQL["insight_json_repair"] = f"""WITH {TASKS} SELECT substr(seller_sku, 5)::BIGINT AS reply_id, true AS is_valid,
+    0 AS position, 'nan_infinity' AS id, seller_sku || ', NaN, "' || chr(92) || '", -Infinity' AS title, 'unknown' AS risk_level,
+    'P3' AS priority, 0 AS affected_sku_count, count(*) AS task_count, '[NaN]' AS summary,
+    'keep_monitoring' AS recommended_action, '' AS risk_points, '' AS solution, seller_sku AS related_skus, '' AS related_task_ids
+    FROM tasks GROUP BY seller_sku"""
+
+ORACLE_SQL["insight_cards_of_sellers"] = f"""WITH {TASKS}, {GROUP_TEXTS},
+    grouped AS (SELECT *, {GROUP_OF_TASK} AS insight_id FROM tasks WHERE task_status = 'pending'),
+    ids AS (SELECT seller_id, insight_id, string_agg(task_id, '|' ORDER BY ord) FILTER (ord <= 10) AS related_task_ids,
+        count(*)::INT AS task_count, count(DISTINCT seller_sku)::INT AS affected_sku_count
+      FROM (SELECT *, row_number() OVER (PARTITION BY seller_id, insight_id ORDER BY {OPEN_ORDER}) AS ord FROM grouped)
+      GROUP BY ALL),
+    skus AS (SELECT seller_id, insight_id, seller_sku, row_number() OVER (PARTITION BY seller_id, insight_id
+      ORDER BY seller_sku) AS place FROM (SELECT DISTINCT seller_id, insight_id, seller_sku FROM grouped)),
+    worst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seller_id ORDER BY {RISK_ORDER}) AS ord FROM stored)
+      WHERE ord <= 20),
+    told AS (SELECT s.*, CASE WHEN place <= 3 THEN s.seller_sku || ' 当前可售天数约为 ' || printf('%.2f', w.available_days) || ' 天' END AS text
+      FROM skus s LEFT JOIN (SELECT seller_id, seller_sku, available_days FROM worst
+        QUALIFY row_number() OVER (PARTITION BY seller_id, seller_sku ORDER BY ord DESC) = 1) w USING (seller_id, seller_sku)),
+    lists AS (SELECT seller_id, insight_id, string_agg(seller_sku, '|' ORDER BY place) FILTER (place <= 10) AS related_skus,
+      string_agg(text, '|' ORDER BY place) FILTER (text IS NOT NULL) AS texts FROM told GROUP BY ALL)
+    SELECT seller_id, g.id, g.title, g.risk_level, g.priority, affected_sku_count, task_count, g.summary, g.recommended_action,
+      concat_ws('|', g.points, texts) AS risk_points, g.solution, related_skus, related_task_ids
+    FROM ids JOIN lists USING (seller_id, insight_id) JOIN group_texts g ON g.id = insight_id"""
+
+# Stored tables give what their plain twins give.
+for _name in (
+    ["enriched_analysis", "top_risk_skus", "analysis_list", "analysis_detail", "tasks_by_sku"]
+    + ["latest_inventory", "latest_sales", "product_upsert"]
+):
+    ORACLE_SQL[f"stored_{_name}"] = ORACLE_SQL[_name]
+ORACLE_SQL["sales_windows_of_days"] = ORACLE_SQL["sales_windows"]
+ORACLE_SQL["stream_raised_alerts"] = ORACLE_SQL["stream_stockout_alerts"]
+ORACLE_SQL["stored_status_overlay"] = ORACLE_SQL["apply_status_updates"]
+ORACLE_SQL["stored_status_folded"] = f"""WITH {TASKS}, {STATUS_UPDATES}
+    SELECT task_id, coalesce(u.task_status, t.task_status) AS task_status, u.operator_id, u.operator_note,
+      u.updated_at AS resolved_at FROM tasks t LEFT JOIN newest_updates u USING (task_id)"""
+ORACLE_SQL["stored_full_refresh"] = f"WITH {SOURCES} " + " UNION ALL ".join(
+    f"SELECT '{_name}' AS table_name, count(*) AS row_count, count(DISTINCT id) AS id_count, sum(id)::BIGINT AS id_sum FROM {_name}"
+    for _name in ("product_master", "inventory_snapshot", "sales_summary", "replenishment_config")
+)

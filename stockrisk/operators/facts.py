@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stockrisk.operators.latest import latest_inventory, latest_per_key, latest_sales
 from stockrisk.schemas import KEY
 
+FOLDED = [f"{name}_folded" for name in KEY]
 DEFAULT_TARGET_COVER = "45"  # fixed value: days of cover without a setting
 STOCK_COUNTS = [
     "fulfillable_quantity",
@@ -32,24 +33,27 @@ def _typed(df: DataFrame, kind: str, names: list[str], default: str = "0") -> st
     return f"cast({first_present(df, names, default)} AS {kind}) AS {names[0]}"
 
 
-def product_values(products: DataFrame) -> DataFrame:
+def product_values(products: DataFrame, *more: str) -> DataFrame:
+    """What the rules need of a product, and further columns as asked."""
     amounts = ["current_price", "purchase_cost", "landed_cost", "gross_margin"]
-    return products.selectExpr(*KEY, "asin", *[_typed(products, "double", [name]) for name in amounts])
+    return products.selectExpr(*KEY, *more, "asin", *[_typed(products, "double", [name]) for name in amounts])
 
 
-def inventory_values(snapshots: DataFrame) -> DataFrame:
+def inventory_values(snapshots: DataFrame, *more: str) -> DataFrame:
     return snapshots.selectExpr(
         *KEY,
+        *more,
         "id AS inventory_snapshot_id",
         *[_typed(snapshots, "int", [name]) for name in STOCK_COUNTS],
         "true AS has_inventory",
     )
 
 
-def sales_values(sales: DataFrame) -> DataFrame:
+def sales_values(sales: DataFrame, *more: str) -> DataFrame:
     """Units, trend and averages of a sales row, from new or legacy columns."""
     return sales.selectExpr(
         *KEY,
+        *more,
         "id AS sales_summary_id",
         _typed(sales, "int", ["sales_7d", "sales_units_7d"]),
         _typed(sales, "int", ["sales_30d", "sales_units_30d"]),
@@ -62,11 +66,12 @@ def sales_values(sales: DataFrame) -> DataFrame:
     )
 
 
-def config_values(configs: DataFrame) -> DataFrame:
+def config_values(configs: DataFrame, *more: str) -> DataFrame:
     """Replenishment settings, from new or legacy columns."""
     lead = first_present(configs, ["total_replenishment_lead_time_days", "total_replenishment_days"])
     return configs.selectExpr(
         *KEY,
+        *more,
         "id AS replenishment_config_id",
         f"cast({lead} AS int) AS total_replenishment_days",
         _typed(configs, "int", ["target_cover_days", "target_stock_days"], DEFAULT_TARGET_COVER),
@@ -91,6 +96,11 @@ def sku_facts(
         .join(sales_values(latest_sales(sales)), KEY, "left")
         .join(config_values(configs), KEY, "left")
     )
+    return with_fact_defaults(joined)
+
+
+def with_fact_defaults(joined: DataFrame) -> DataFrame:
+    """Defaults for what a SKU without stock, sales or settings lacks."""
     defaults = dict.fromkeys(
         [*STOCK_COUNTS, "sales_7d", "sales_30d", "safety_stock_days"]
         + ["sales_trend_rate", "avg_daily_sales_7d", "avg_daily_sales_30d"],
@@ -111,9 +121,15 @@ def sku_facts(
     )
 
 
-def _keyed(df: DataFrame) -> DataFrame:
-    """Add lower-case keys: stored tables compare keys without regard to case."""
-    return df.selectExpr("*", *[f"lower({name}) AS _{name}" for name in KEY])
+def with_folded_keys(df: DataFrame) -> DataFrame:
+    """Add lower-case keys where a table does not store them: stored tables compare keys without regard to case."""
+    missing = [f"lower({name}) AS {folded}" for name, folded in zip(KEY, FOLDED) if folded not in df.columns]
+    return df.selectExpr("*", *missing) if missing else df
+
+
+def of_sku(df: DataFrame, seller_sku: str) -> DataFrame:
+    """Rows of one SKU name in any case; with stored folded keys the name reaches the scan, which opens one bucket."""
+    return with_folded_keys(df).where(F.col("seller_sku_folded") == F.lower(F.lit(seller_sku))).select(df.columns)
 
 
 def enriched_analysis(
@@ -123,15 +139,14 @@ def enriched_analysis(
 
     Missing columns of older tables are replaced by a default or by the column they superseded.
     """
-    folded = [f"_{name}" for name in KEY]
     current_rows = {
-        "p": _keyed(products),
-        "s": latest_per_key(_keyed(sales), folded, [F.desc("stat_date"), F.desc("id")]),
-        "c": _keyed(configs),
+        "p": with_folded_keys(products),
+        "s": latest_per_key(with_folded_keys(sales), FOLDED, [F.desc("stat_date"), F.desc("id")]),
+        "c": with_folded_keys(configs),
     }
-    joined = _keyed(analysis).alias("a")
+    joined = with_folded_keys(analysis).alias("a")
     for alias, df in current_rows.items():
-        on = " AND ".join(f"a.{name} = {alias}.{name}" for name in folded)
+        on = " AND ".join(f"a.{name} = {alias}.{name}" for name in FOLDED)
         joined = joined.join(df.alias(alias), F.expr(on), "left")
 
     def current(alias: str, df: DataFrame, name: str, fallback: str) -> str:
@@ -139,7 +154,7 @@ def enriched_analysis(
 
     scores = ["stockout_risk_score", "overstock_risk_score", "estimated_lost_revenue", "decision_confidence"]
     return joined.selectExpr(
-        *[f"a.{name} AS {name}" for name in analysis.columns],
+        *[f"a.{name} AS {name}" for name in analysis.columns if name not in FOLDED],
         *[current("p", products, name, "0") for name in ("current_price", "landed_cost", "gross_margin")],
         current("s", sales, "sales_7d", "coalesce(s.sales_units_7d, 0)"),
         current("s", sales, "sales_30d", "coalesce(s.sales_units_30d, 0)"),
@@ -154,10 +169,14 @@ def enriched_analysis(
 
 
 def only_keys_of(df: DataFrame, few: DataFrame) -> DataFrame:
-    """Rows of a large table whose key occurs in ``few``."""
-    wanted = _keyed(few.select(*KEY)).alias("few")
-    on = " AND ".join(f"lower(big.{name}) = few._{name}" for name in KEY)
-    return df.alias("big").join(wanted, F.expr(on), "left_semi")
+    """Rows of a large table whose key occurs in ``few``, a short picked list.
+
+    The list's SKU names go to the scan as literals, so that a table bucketed by them opens the buckets of these names only.
+    """
+    wanted = with_folded_keys(few.select(*KEY)).select(*FOLDED)
+    names = [row[0] for row in wanted.select("seller_sku_folded").distinct().collect()]
+    rows = with_folded_keys(df).where(F.col("seller_sku_folded").isin(names))
+    return rows.join(wanted, FOLDED, "left_semi").select(df.columns)
 
 
 def analysis_lineage(

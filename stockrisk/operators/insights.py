@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockrisk.functions.ranks import OVERSTOCK_RANK, PRIORITY_RANK, STOCKOUT_RANK
+from stockrisk.operators.latest import first_per_key
 
 # The problem groups in display order, with their static texts.
 GROUPS = [
@@ -97,8 +98,9 @@ CARD_COLUMNS = [
     "related_task_ids",
 ]
 SKUS_WITH_SENTENCE = 3
+SENTENCE = "concat(seller_sku, ' 当前可售天数约为 ', {}, ' 天')"  # fixed value: the text about a SKU's days left
 
-# First matching line wins.
+# Fixed value: the order in which the groups are tried; the first matching line wins.
 GROUP_OF_TASK = """CASE
     WHEN risk_level = 'critical' OR priority = 'P0' THEN 'critical_stockout'
     WHEN risk_level = 'high' OR task_type = 'stockout_warning' THEN 'high_stockout'
@@ -187,10 +189,56 @@ def sku_sentences(members: DataFrame, top_risk: DataFrame) -> DataFrame:
         "position",
         "seller_sku",
         "available_days",
-        "concat(seller_sku, ' 当前可售天数约为 ', available_days, ' 天') AS sentence",
+        f"{SENTENCE.format('available_days')} AS sentence",
     )
 
 
+def seller_members(tasks: DataFrame, size: int) -> DataFrame:
+    """One row per seller and group: counts over all its pending tasks, its first SKUs and its first task ids.
+
+    Which rows belong to a list is decided on rows, by a rank that is cut on both sides of its shuffle, so that a seller with
+    a third of all tasks sends ``size`` rows per group and map task; arrays are built of at most ``size`` rows at the end.
+    """
+    pending = classified(tasks)
+    group = ["seller_id", "insight_id"]
+    per_sku = pending.groupBy(*group, "seller_sku").agg(F.count(F.lit(1)).alias("n"))
+    counts = per_sku.groupBy(*group).agg(F.count(F.lit(1)).cast("int").alias("affected_sku_count"), F.sum("n").cast("int").alias("task_count"))
+    skus = first_per_key(per_sku, group, [F.asc("seller_sku")], size).groupBy(*group).agg(
+        F.expr("array_sort(collect_list(seller_sku))").alias("related_skus")
+    )
+    placed = pending.select(*group, "task_id", F.expr(OPEN_POSITION).alias("at"))
+    ids = first_per_key(placed, group, [F.asc("at"), F.asc("task_id")], size).groupBy(*group).agg(
+        F.expr("transform(array_sort(collect_list(struct(at, task_id))), x -> x.task_id)").alias("related_task_ids")
+    )
+    return counts.join(skus, group).join(ids, group)
+
+
+def seller_cards(tasks: DataFrame, analysis: DataFrame, size: int, top: int) -> DataFrame:
+    """Cards of every seller over all its pending tasks, with lists of at most ``size`` entries and sentences for its first
+    SKUs that are among its ``top`` riskiest, in display order."""
+    members = seller_members(tasks, size)
+    worst = [F.expr(STOCKOUT_RANK), F.expr(OVERSTOCK_RANK), F.col("available_days").asc_nulls_first(), F.asc("seller_sku"), F.asc("marketplace_id")]
+    listed = first_per_key(analysis, ["seller_id"], worst, top)
+    days = listed.groupBy("seller_id", "seller_sku").agg(
+        F.expr(f"max_by(available_days, struct({STOCKOUT_RANK}, {OVERSTOCK_RANK}, available_days, marketplace_id))").alias("days")
+    )
+    first = members.selectExpr(
+        "seller_id", "insight_id", f"posexplode(slice(related_skus, 1, {SKUS_WITH_SENTENCE})) AS (position, seller_sku)"
+    )
+    told = first.join(days, ["seller_id", "seller_sku"]).where("days IS NOT NULL")
+    sentences = told.groupBy("seller_id", "insight_id").agg(
+        F.expr(f"transform(array_sort(collect_list(struct(position, {SENTENCE.format('days')} AS text))), x -> x.text)").alias("sentences")
+    )
+    attributes = group_attributes(tasks.sparkSession).withColumnRenamed("id", "insight_id")
+    joined = (
+        members.join(sentences, ["seller_id", "insight_id"], "left")
+        .join(F.broadcast(attributes), "insight_id")
+        .withColumn("risk_points", F.expr("concat(risk_points, coalesce(sentences, array()))"))
+        .withColumnRenamed("insight_id", "id")
+    )
+    return joined.orderBy("seller_id", "position").select("seller_id", *CARD_COLUMNS)
+
+
 def insight_cards(open_rows: DataFrame, top_risk: DataFrame) -> DataFrame:
     """Cards of a limited open list and a limited top list, in display order."""
     members = insight_members(open_rows)
@@ -330,19 +378,31 @@ def _text_list(name: str) -> str:
     return f"coalesce(filter({texts}, t -> t RLIKE '(?U)[^\\\\s]'), cast(array() AS array<string>))"
 
 
+def finite_numbers(text: str) -> str:
+    """JSON text in which bare NaN and Infinity are 0; those inside of strings stay.
+
+    Escaped backslashes and quotes are set aside first, so that a quote is the end of a string and nothing else.  Then a mark is
+    put behind every string and in place of every such number: a mark without a string before it is a number.
+    """
+    aside = rf"""replace(replace({text}, r'\\', '\u0001'), r'\"', '\u0002')"""
+    marked = rf"""regexp_replace({aside}, '("[^"]*+")|-?(?:NaN|Infinity)', '$1\u0003')"""
+    filled = rf"""replace(replace({marked}, '"\u0003', '"'), '\u0003', '0')"""
+    return rf"""replace(replace({filled}, '\u0002', r'\"'), '\u0001', r'\\')"""
+
+
 def parse_insight_replies(replies: DataFrame) -> DataFrame:
     """Turn model replies (``reply_id``, ``raw_text``) into insight rows.
 
     Code fences are removed; text that is no JSON is retried from its first to its last brace.  The root must be an
-    object with a list ``insights`` of objects.  A reply that is not gives one row with ``is_valid`` false; so does one
-    whose object repeats a key, since its meaning is not defined.  Blanks are all of Unicode's.
+    object with a list ``insights`` of objects; a reply that is not gives one row with ``is_valid`` false.  Of a key that an
+    object repeats, the last value counts; Spark decides that by a session setting, which this function sets.  Bare NaN and
+    Infinity count 0.  Blanks are all of Unicode's.
     """
+    replies.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     bare_text = r"regexp_replace(raw_text, '(?U)^\\s+|\\s+$', '')"
     fenced = rf"regexp_replace(regexp_replace({bare_text}, '(?U)^```(?:json)?\\s*', ''), '(?U)\\s*```$', '')"
     braces = r"regexp_extract(body, '(?s)\\{.*\\}', 0)"
-    # Writers of replies may put NaN or Infinity where a number belongs; as numbers they count 0.
-    finite = r"regexp_replace({}, '(?<=[:\\[,])\\s*-?(?:NaN|Infinity)(?=\\s*[,\\]}}])', ' 0')"
-    tries = ["body", braces, finite.format("body"), finite.format(braces)]
+    tries = ["body", braces, finite_numbers("body"), finite_numbers(braces)]
     bare = replies.selectExpr("reply_id", f"{fenced} AS body")
     parsed = bare.selectExpr("reply_id", f"coalesce({', '.join(f'try_parse_json({t})' for t in tries)}) AS root")
     listed = parsed.selectExpr(

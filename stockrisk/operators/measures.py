@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockrisk.functions import measures as m
+from stockrisk.sources.versions import VersionedTable
 
 SALES_WINDOWS = [1, 3, 7, 14, 30]  # fixed values: days per trailing window
 AMOUNT_WINDOWS = [7, 30]
@@ -51,6 +52,36 @@ def trailing_sales(
     return unfold(totals, keys, wide).filter("lines > 0").drop("lines")
 
 
+def daily_totals(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Units and amount per key and day: the partial sums that every trailing window is made of."""
+    day = F.col("sold_on").cast("date").alias("sold_on")
+    return lines.groupBy(*keys, day).agg(F.sum("units").alias("units"), F.sum("amount").alias("amount"))
+
+
+def months_of(after: date, until: date) -> list[str]:
+    """The months of the days after ``after`` up to ``until``, as ``yyyy-MM``."""
+    first = after + timedelta(days=1)
+    numbers = range(first.year * 12 + first.month - 1, until.year * 12 + until.month)
+    return [f"{number // 12:04d}-{number % 12 + 1:02d}" for number in numbers]
+
+
+def trailing_sales_of_days(
+    daily: VersionedTable,
+    keys: list[str],
+    stat_dates: list[date],
+    day_length: int = 1,
+    history_days: int | None = None,
+) -> DataFrame:
+    """``trailing_sales`` out of a stored table of daily totals that is split by month.
+
+    Order lines are not read again, and only the months that the windows span are opened.  The table may come from
+    ``daily_totals`` or from the stream of daily sales.
+    """
+    history = history_days or max(SALES_WINDOWS) * day_length
+    months = months_of(min(stat_dates) - timedelta(days=history), max(stat_dates))
+    return trailing_sales(daily.rows(parts=months), keys, stat_dates, day_length, history_days)
+
+
 def unfold(df: DataFrame, keys: list[str], wide: dict[str, list[str]]) -> DataFrame:
     """One row per slot from columns that exist once per slot; ``wide`` names the source of each slot.
 

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockrisk.functions.numeric import to_double
 from stockrisk.functions.rules import money
 from stockrisk.operators.analysis import ANALYSIS_ID
 from stockrisk.operators.latest import latest_per_key
+from stockrisk.schemas import KEY, STATUS_UPDATES, STORED_TASKS
 from stockrisk.sources.align import align_to
-from stockrisk.schemas import KEY, STORED_TASKS
-from stockrisk.session import written
+from stockrisk.sources.versions import FoldedLog, VersionedTable
 
 # Task types in the order in which a SKU's tasks are created.
 TASK_TYPES = [
@@ -157,40 +157,87 @@ def generate_tasks(analysis: DataFrame, created_at: datetime) -> DataFrame:
     return align_to(rows, STORED_TASKS)
 
 
-def apply_status_updates(tasks: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply the newest status change per task; also return the changes whose task does not exist.
+def newest_changes(updates: DataFrame) -> DataFrame:
+    """The newest status change per task."""
+    order = [F.desc("updated_at"), F.desc("task_status"), F.desc("operator_id"), F.desc("operator_note")]
+    return latest_per_key(updates, ["task_id"], order)
+
+
+def with_status_changes(tasks: DataFrame, updates: DataFrame) -> DataFrame:
+    """Tasks with the newest change of each, and ``is_known``; changes without a task are rows that are not known.
 
-    One join of tasks and changes, written once, gives both results.  A change may overwrite any status.  It sets status, operator and note, and its time becomes ``resolved_at``.
+    A change may overwrite any status.  It sets status, operator and note, and its time becomes ``resolved_at``; a change
+    older than the one a task records already comes too late.  Nothing is written in between: the join carries the columns
+    that are asked of its result, so that a list of statuses shuffles ids and statuses only.
     """
-    newest = latest_per_key(
-        updates,
-        ["task_id"],
-        [F.desc("updated_at"), F.desc("task_status"), F.desc("operator_id"), F.desc("operator_note")],
-    )
-    changed = newest.select(
+    changed = newest_changes(updates).select(
         "task_id",
         F.col("task_status").alias("_status"),
         F.col("operator_id").alias("_operator"),
         F.col("operator_note").alias("_note"),
         F.col("updated_at").alias("_at"),
-        F.lit(True).alias("_changed"),
     )
-    hit = F.col("_changed")
-    both = tasks.withColumn("_known", F.lit(True)).join(changed, "task_id", "full")
-    both = written(both, "status-changes")
-    after = both.where("_known").withColumns(
-        {
-            "task_status": F.coalesce("_status", "task_status"),
-            "operator_id": F.when(hit, F.col("_operator")).otherwise(F.col("operator_id")),
-            "operator_note": F.when(hit, F.col("_note")).otherwise(F.col("operator_note")),
-            "resolved_at": F.when(hit, F.col("_at")).otherwise(F.col("resolved_at")),
-        }
+    both = tasks.withColumn("is_known", F.lit(True)).join(changed, "task_id", "full")
+    values = {"task_status": "_status", "operator_id": "_operator", "operator_note": "_note", "resolved_at": "_at"}
+    recorded, new = "struct(resolved_at, task_status, operator_id, operator_note)", "struct(_at, _status, _operator, _note)"
+    holds = F.expr(f"_status IS NOT NULL AND (resolved_at IS NULL OR {new} >= {recorded})")
+    return both.select(
+        *[
+            F.when(holds, F.col(values[name])).otherwise(F.col(name)).alias(name) if name in values else F.col(name)
+            for name in tasks.columns
+        ],
+        F.coalesce("is_known", F.lit(False)).alias("is_known"),
     )
-    rejected = both.where("_known IS NULL").selectExpr(
-        "task_id",
-        "_status AS task_status",
-        "_operator AS operator_id",
-        "_note AS operator_note",
-        "_at AS updated_at",
+
+
+def apply_status_updates(tasks: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tasks after their changes, and the changes whose task does not exist."""
+    both = with_status_changes(tasks, updates)
+    rejected = both.where("NOT is_known").selectExpr(
+        "task_id", "task_status", "operator_id", "operator_note", "resolved_at AS updated_at"
     )
-    return after.select(*tasks.columns), rejected
+    return both.where("is_known").drop("is_known"), rejected
+
+
+TASK_PART = "substr(task_id, 1, 2)"  # task ids are hexadecimal digests: up to 256 even parts
+
+
+class TaskTable:
+    """Stored tasks and the changes to them.  Changes are appended as small folders and merged by task id when tasks are
+    read; after ``fold_every`` folders they are folded into the parts of the table that hold their tasks."""
+
+    def __init__(self, spark: SparkSession, root: str, fold_every: int = 20) -> None:
+        table = VersionedTable(spark, f"{root}/table", STORED_TASKS, TASK_PART)
+        self.fold_every = fold_every
+        self.log = FoldedLog(table, f"{root}/changes", STATUS_UPDATES, self._fold)
+
+    @staticmethod
+    def _fold(tasks: DataFrame, changes: DataFrame) -> DataFrame:
+        return apply_status_updates(tasks, changes.drop("change"))[0]
+
+    def replace(self, tasks: DataFrame) -> None:
+        """Store tasks; what was changed before belongs to the tasks of then."""
+        self.log.table.replace(tasks, self.last())
+
+    def last(self) -> int:
+        """Number of the last folder of changes, -1 without any."""
+        folded = self.log.table.head().mark
+        return max([-1 if folded is None else folded, *self.log.pending()])
+
+    def change(self, updates: DataFrame) -> None:
+        """Append changes; one writer at a time."""
+        number = self.last() + 1
+        pending = self.log.pending()
+        if len(pending) >= self.fold_every:
+            self.log.fold(pending[-1])
+        updates.select(*STATUS_UPDATES.names).write.mode("overwrite").parquet(self.log.folder(number))
+
+    def tasks(self) -> DataFrame:
+        """Tasks as they are now."""
+        return self.log.current()
+
+    def statuses(self) -> DataFrame:
+        """Tasks as they are now with ``is_known``, followed by the pending changes without a task."""
+        version = self.log.table.head()
+        changes = self.log.table.unread(self.log.changes(), "change", version).drop("change")
+        return with_status_changes(self.log.table.rows(version), changes)

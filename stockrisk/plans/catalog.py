@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import cached_property, lru_cache
+from datetime import date
+from functools import cached_property, lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,26 +23,37 @@ from stockrisk.operators.facts import (
     config_values,
     sku_facts,
 )
-from stockrisk.operators.latest import latest_inventory, latest_sales
+from stockrisk.operators.latest import latest_inventory, latest_sales, refresh_latest_inventory, refresh_latest_sales
 from stockrisk.operators.tasks import (
+    TaskTable,
     approval_level,
-    apply_status_updates,
     generate_tasks,
     impact_level,
     overstock_value,
     priority,
+    with_status_changes,
 )
 from stockrisk.plans import context, reports
-from stockrisk.schemas import KEY, LATER_COLUMNS
+from stockrisk.schemas import INVENTORY, KEY, LATER_COLUMNS, SALES
 from stockrisk.session import shared_folder, written
 from stockrisk.sources import order_history as oh
-from stockrisk.sources.tables import coerce_columns, ensure_columns, upsert_products
+from stockrisk.sources.keyed import write_keyed
+from stockrisk.sources.tables import (
+    coerce_columns,
+    ensure_columns,
+    full_refresh,
+    source_tables,
+    upsert_into,
+    upsert_products,
+)
+from stockrisk.sources.versions import VersionedTable, key_bucket
 from stockrisk.streaming import jobs
-from stockrisk.plans.pipeline import Sources, publish, read_current, read_results
+from stockrisk.plans.pipeline import publish, read_current, read_results
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEARCH = "ku-1"  # SKU search text of the list queries; letter case does not matter
 ONE_SKU = "SKU-12"
+KEYED_BUCKETS = 8
 
 
 class Model:
@@ -116,6 +129,25 @@ class Model:
             publish(out, batch, at, {"analysis": stored_analysis(kept, at), "tasks": generate_tasks(kept, at)})
         return out
 
+    @cached_property
+    def keyed(self) -> dict[str, DataFrame]:
+        """The source tables and the results of both batches as keyed tables."""
+        analysis = written(self.both_batches, "stored-analysis")
+        newest = analysis.where(F.col("analysis_batch_id") == oh.BATCH_ID)
+        frames = {
+            "products": self.products,
+            "sales": self.sales,
+            "configs": self.configs,
+            "analysis": newest,
+            "history": analysis,
+            "tasks": self.tasks,
+        }
+        name = f"keyed_{uuid.uuid4().hex}"
+        return {
+            key: write_keyed(frame, f"{name}_{key}", KEYED_BUCKETS, shared_folder(self.spark, f"keyed-{key}"))
+            for key, frame in frames.items()
+        }
+
     def current(self) -> tuple[DataFrame, DataFrame]:
         return read_current(self.spark, self.published)
 
@@ -243,16 +275,77 @@ def ensure_columns_(m: Model) -> DataFrame:
     return ensure_columns(old, "replenishment_config").select(*KEY, *names)
 
 
-@query
-def product_upsert(m: Model) -> DataFrame:
+def _product_changes(m: Model) -> DataFrame:
     changed = m.products.filter("id % 10 = 0").withColumn(
         "current_price", F.expr("cast(current_price + 1 AS decimal(10,2))")
     )
     added = m.products.filter("id % 100 = 1").withColumns(
         {"id": F.col("id") + 1_000_000_000, "seller_sku": F.concat("seller_sku", F.lit("-B"))}
     )
-    merged = upsert_products(m.products, changed.unionByName(added))
-    return merged.select(*KEY, "id", "asin", "current_price")
+    return changed.unionByName(added)
+
+
+@query
+def product_upsert(m: Model) -> DataFrame:
+    return upsert_products(m.products, _product_changes(m)).select(*KEY, "id", "asin", "current_price")
+
+
+@query
+def stored_product_upsert(m: Model) -> DataFrame:
+    """The same written back to the table that holds the products, twice: the second time changes nothing."""
+    table = source_tables(m.spark, shared_folder(m.spark, "sources"), buckets=8)["product_master"]
+    table.replace(m.products)
+    incoming = written(_product_changes(m), "incoming")
+    for _ in range(2):
+        upsert_into(table, incoming)
+    return table.rows().select(*KEY, "id", "asin", "current_price")
+
+
+@query
+def stored_full_refresh(m: Model) -> DataFrame:
+    """Rows of the four stored source tables after two refreshes from raw texts, the first with half of the rows."""
+    tables = source_tables(m.spark, shared_folder(m.spark, "sources"), buckets=8)
+    frames = (m.products, m.inventory, m.sales, m.configs)
+    counts = []
+    for (name, table), frame in zip(tables.items(), frames):
+        raw = written(frame.selectExpr(*[f"cast({column} AS string) AS {column}" for column in frame.columns]), "raw")
+        full_refresh(raw.where("cast(id AS long) % 2 = 0"), table, name)
+        full_refresh(raw, table, name)
+        table.vacuum()
+        stored = table.rows()
+        numbers = f"'{name}' AS table_name", "count(1) AS row_count", "count(DISTINCT id) AS id_count", "sum(id) AS id_sum"
+        counts.append(stored.selectExpr(*numbers))
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _arrivals(m: Model, rows: DataFrame) -> DataFrame:
+    """A source table stored by day of arrival; a third of the rows arrive on a later day than newer ones."""
+    folder = shared_folder(m.spark, "arrivals")
+    arrived = "date_add(date'2001-07-01', cast(id % 10 + 6 * pmod(hash(id), 3) AS int) % 4) AS arrived_on"
+    rows.selectExpr("*", arrived).write.partitionBy("arrived_on").parquet(folder)
+    layout = T.StructType([*rows.schema.fields, T.StructField("arrived_on", T.DateType())])
+    return m.spark.read.schema(layout).parquet(folder)
+
+
+@query
+def stored_latest_inventory(m: Model) -> DataFrame:
+    """Newest snapshots kept up to date over four days of arrival."""
+    table = VersionedTable(m.spark, shared_folder(m.spark, "newest"), INVENTORY, key_bucket(8))
+    arrivals = _arrivals(m, m.inventory)
+    for day in range(1, 5):
+        refresh_latest_inventory(table, arrivals, through=date(2001, 7, day))
+    return table.rows().select(*KEY, "id", "sync_time", "sync_batch_id", "fulfillable_quantity", "total_quantity")
+
+
+@query
+def stored_latest_sales(m: Model) -> DataFrame:
+    table = VersionedTable(m.spark, shared_folder(m.spark, "newest"), SALES, key_bucket(8))
+    arrivals = _arrivals(m, m.sales)
+    refresh_latest_sales(table, arrivals, through=date(2001, 7, 2))
+    refresh_latest_sales(table, arrivals)
+    return table.rows().select(
+        *KEY, "id", "stat_date", "sales_7d", "sales_30d", "sales_amount_7d", "sales_amount_30d", "sales_trend"
+    )
 
 
 # Measures ----------------------------------------------------------------------------------------------------------
@@ -272,6 +365,17 @@ def sales_windows(m: Model) -> DataFrame:
     )
 
 
+PART_DAYS = "part bigint, sold_on date, units double, amount decimal(22,2)"
+
+
+@query
+def sales_windows_of_days(m: Model) -> DataFrame:
+    """The same windows out of a stored table of daily totals."""
+    daily = VersionedTable(m.spark, shared_folder(m.spark, "daily"), T.StructType.fromDDL(PART_DAYS), jobs.MONTH)
+    daily.replace(measure_jobs.daily_totals(oh.order_lines(m.spark, m.folder), ["part"]))
+    return measure_jobs.trailing_sales_of_days(daily, ["part"], oh.STAT_DATES, oh.MODEL_DAY, oh.SALES_HISTORY_DAYS)
+
+
 @query
 def avg_daily_sales(m: Model) -> DataFrame:
     return measure_jobs.with_sales_averages(sales_windows(m)).select(
@@ -495,11 +599,32 @@ def task_payload(m: Model) -> DataFrame:
 @query
 def apply_status_updates_(m: Model) -> DataFrame:
     """Tasks after the changes, followed by the changes without a task."""
-    after, rejected = apply_status_updates(m.tasks, oh.status_updates(m.spark, m.folder))
-    columns = ["task_id", "task_status", "operator_id", "operator_note"]
-    return after.select(*columns, "resolved_at", F.lit(True).alias("is_known")).unionByName(
-        rejected.select(*columns, F.col("updated_at").alias("resolved_at"), F.lit(False).alias("is_known"))
-    )
+    return with_status_changes(m.tasks, oh.status_updates(m.spark, m.folder)).select(*STATUS_COLUMNS)
+
+
+STATUS_COLUMNS = ["task_id", "task_status", "operator_id", "operator_note", "resolved_at", "is_known"]
+
+
+@query
+def stored_status_overlay(m: Model) -> DataFrame:
+    """The same out of a stored task table: changes come in three folders, merged when the tasks are read."""
+    table = TaskTable(m.spark, shared_folder(m.spark, "tasks"))
+    table.replace(m.tasks)
+    updates = written(oh.status_updates(m.spark, m.folder), "updates")
+    for third in range(3):
+        table.change(updates.where(f"pmod(hash(task_id, updated_at), 3) = {third}"))
+    return table.statuses().select(*STATUS_COLUMNS)
+
+
+@query
+def stored_status_folded(m: Model) -> DataFrame:
+    """Tasks alone, after every folder of changes but the last is folded into the parts of the table."""
+    table = TaskTable(m.spark, shared_folder(m.spark, "tasks"), fold_every=2)
+    table.replace(m.tasks)
+    updates = written(oh.status_updates(m.spark, m.folder), "updates")
+    for third in range(3):
+        table.change(updates.where(f"pmod(hash(task_id, updated_at), 3) = {third}"))
+    return table.tasks().select(*STATUS_COLUMNS[:-1])
 
 
 # Reports -----------------------------------------------------------------------------------------------------------
@@ -624,6 +749,38 @@ def batch_replace(m: Model) -> DataFrame:
     return reports.batch_stats(read_results(m.spark, m.published)[0])
 
 
+# Reports over keyed tables: lookups reach the scan, joins need no shuffle ------------------------------------------------
+
+
+def _keyed_sources(m: Model) -> list[DataFrame]:
+    return [m.keyed[name] for name in ("products", "sales", "configs")]
+
+
+@query
+def stored_enriched_analysis(m: Model) -> DataFrame:
+    return enriched_analysis(m.keyed["analysis"], *_keyed_sources(m))
+
+
+@query
+def stored_top_risk_skus(m: Model) -> DataFrame:
+    return reports.top_risk_skus(m.keyed["analysis"], *_keyed_sources(m), 20)
+
+
+@query
+def stored_analysis_list(m: Model) -> DataFrame:
+    return reports.analysis_list(m.keyed["analysis"], *_keyed_sources(m), stockout_risk_level="high", seller_sku=SEARCH)
+
+
+@query
+def stored_analysis_detail(m: Model) -> DataFrame:
+    return reports.analysis_detail(m.keyed["history"], *_keyed_sources(m), ONE_SKU)
+
+
+@query
+def stored_tasks_by_sku(m: Model) -> DataFrame:
+    return reports.tasks_by_sku(m.keyed["tasks"], ONE_SKU)
+
+
 # Insights ----------------------------------------------------------------------------------------------------------
 
 
@@ -645,6 +802,13 @@ def insight_cards(m: Model) -> DataFrame:
     return _cards(m)[0]
 
 
+@query
+def insight_cards_of_sellers(m: Model) -> DataFrame:
+    """Cards of every seller; all groups that tasks can fall into occur."""
+    analysis, tasks = m.written_results()
+    return insights.seller_cards(tasks, analysis, size=10, top=context.TOP_OF_INSIGHTS)
+
+
 @query
 def insight_sku_lookup(m: Model) -> DataFrame:
     analysis, tasks = m.written_results()
@@ -714,6 +878,21 @@ def insight_json_parse(m: Model) -> DataFrame:
     return insights.parse_insight_replies(sku_replies(m.tasks))
 
 
+@query
+def insight_json_repair(m: Model) -> DataFrame:
+    """Replies that no JSON reader takes as they are: bare NaN and Infinity beside the same words in texts with quotes and
+    backslashes, and keys that are given twice."""
+    counted = m.tasks.groupBy("seller_sku").agg(F.count(F.lit(1)).alias("n"))
+    quoted = r"""concat('"', seller_sku, r', NaN, \"\\\", -Infinity"')"""
+    texts = counted.selectExpr(
+        "cast(substr(seller_sku, 5) AS bigint) AS reply_id",
+        f"""concat('{{"insights":[1], "insights":[{{"title":"first", "id":"nan_infinity", "summary":"[NaN]", "title":', {quoted},
+            ', "affected_sku_count": -Infinity, "task_count":NaN, "task_count":', n, ', "risk_points":[], "solution":NaN,
+            "related_skus":["', seller_sku, '"]}}]}}') AS raw_text""",
+    )
+    return insights.parse_insight_replies(texts)
+
+
 @query
 def explain_context(m: Model) -> DataFrame:
     analysis, tasks = m.written_results()
@@ -737,41 +916,59 @@ def stream_sales_daily(m: Model) -> DataFrame:
         .option("pathGlobFilter", "events.parquet")
         .parquet(m.folder)
     )
-    sold = oh.purchases(events, m.raw("part"))
-    jobs.stream_sales_daily(sold, f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
-    return jobs.current_daily_sales(m.spark.read.parquet(f"{folder}/log"))
+    log = jobs.daily_sales_log(m.spark, folder)
+    jobs.stream_sales_daily(oh.purchases(events, m.raw("part")), log, f"{folder}/checkpoint").awaitTermination()
+    return log.current()
 
 
-def _snapshot_stream(m: Model, folder: str) -> DataFrame:
-    m.inventory.write.parquet(f"{folder}/snapshots")
-    return m.spark.readStream.schema(m.inventory.schema).parquet(f"{folder}/snapshots")
+def _stream(m: Model, name: str, rows: DataFrame, files: int | None = None) -> DataFrame:
+    """A table as a stream of files, all at once or some at a time."""
+    folder = shared_folder(m.spark, name)
+    (rows.repartition(files) if files else rows).write.parquet(folder)
+    reader = m.spark.readStream.schema(rows.schema)
+    return (reader.option("maxFilesPerTrigger", 1) if files else reader).parquet(folder)
 
 
 @query
 def stream_latest_inventory(m: Model) -> DataFrame:
     folder = shared_folder(m.spark, "latest-inventory")
-    stream = _snapshot_stream(m, folder)
-    jobs.stream_latest_inventory(stream, f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
-    current = jobs.current_inventory(m.spark.read.parquet(f"{folder}/log"))
-    return current.select(*KEY, "id", "sync_time", "sync_batch_id", "fulfillable_quantity", "total_quantity")
+    log = jobs.inventory_log(m.spark, folder, buckets=4)
+    stream = _stream(m, "snapshots", m.inventory, files=5)
+    jobs.stream_latest_inventory(stream, log, f"{folder}/checkpoint", fold_every=2).awaitTermination()
+    return log.current().select(*KEY, "id", "sync_time", "sync_batch_id", "fulfillable_quantity", "total_quantity")
 
 
-@query
-def stream_stockout_alerts(m: Model) -> DataFrame:
+def _alerts(m: Model) -> jobs.FoldedLog:
     folder = shared_folder(m.spark, "stockout-alerts")
-    static = Sources(m.products, m.inventory, m.sales, m.configs)
+    log = jobs.alert_log(m.spark, folder, buckets=4)
     jobs.stream_stockout_alerts(
-        _snapshot_stream(m, folder),
-        static,
-        f"{folder}/inventory",
-        f"{folder}/alerts",
+        _stream(m, "products", m.products),
+        _stream(m, "snapshots", m.inventory),
+        _stream(m, "sales", m.sales),
+        _stream(m, "configs", m.configs),
+        log,
         f"{folder}/checkpoint",
         oh.BATCH_ID,
         oh.AS_OF,
         oh.CREATED_AT,
     ).awaitTermination()
-    alerts = jobs.current_alerts(m.spark.read.parquet(f"{folder}/alerts"))
-    return alerts.select("task_id", *KEY, "task_title", "priority", "risk_level", "estimated_impact_value")
+    return log
+
+
+ALERT_COLUMNS = ["task_id", *KEY, "task_title", "priority", "risk_level", "estimated_impact_value"]
+
+
+@query
+def stream_stockout_alerts(m: Model) -> DataFrame:
+    return jobs.current_alerts(_alerts(m)).select(*ALERT_COLUMNS)
+
+
+@query
+def stream_raised_alerts(m: Model) -> DataFrame:
+    """Alerts raised by a run over all data, each once, read back from the table of raised alerts."""
+    folder = shared_folder(m.spark, "raised-alerts")
+    jobs.stream_raised_alerts(_alerts(m), f"{folder}/raised", f"{folder}/checkpoint").awaitTermination()
+    return m.spark.read.parquet(f"{folder}/raised").select(*ALERT_COLUMNS)
 
 
 def queries() -> dict[str, Query]:

@@ -25,6 +25,7 @@ from stockrisk.sources.tables import (
     replace_table,
     write_attempt,
 )
+from stockrisk.sources.versions import folders_below, remove_folder
 
 
 @dataclass(frozen=True)
@@ -81,8 +82,9 @@ def run_analysis(
         },
     )
     spark = rows.sparkSession
-    rejected = _read(spark, out, "rejects", _schema(REJECTS), batch_id)
-    counts = run_summary(*(_read(spark, out, name, schema, batch_id) for name, schema in TABLES.items()))
+    runs = [run for run in published(spark, out) if run.analysis_batch_id == batch_id]
+    rejected = _read(spark, out, "rejects", _schema(REJECTS), runs)
+    counts = run_summary(*(_read(spark, out, name, schema, runs) for name, schema in TABLES.items()))
     return counts.crossJoin(F.broadcast(rejected.agg(F.count("*").alias("rejected_values"))))  # one row each
 
 
@@ -110,17 +112,37 @@ def published(spark: SparkSession, out: str) -> list[Row]:
     return last.orderBy(F.desc("created_at"), F.desc("analysis_batch_id")).collect()
 
 
-def _read(spark: SparkSession, out: str, name: str, schema: T.StructType, batch_id: str | None = None, newest: bool = False) -> DataFrame:
-    runs = [run for run in published(spark, out) if batch_id is None or run.analysis_batch_id == batch_id]
-    folders = [batch_folder(f"{out}/{name}", run.analysis_batch_id, run.attempt) for run in runs[: 1 if newest else None]]
+def _read(spark: SparkSession, out: str, name: str, schema: T.StructType, runs: list[Row]) -> DataFrame:
+    folders = [batch_folder(f"{out}/{name}", run.analysis_batch_id, run.attempt) for run in runs]
     return spark.read.schema(schema).option("basePath", f"{out}/{name}").parquet(*folders).select(*schema.names)
 
 
 def read_results(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
     """The stored analysis and task tables with all published batches, for reports over the history."""
-    return tuple(_read(spark, out, name, schema) for name, schema in TABLES.items())
+    runs = published(spark, out)
+    return tuple(_read(spark, out, name, schema, runs) for name, schema in TABLES.items())
 
 
 def read_current(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
-    """Analysis and tasks of the newest batch, which all other reports are about; only its folders are read."""
-    return tuple(_read(spark, out, name, schema, newest=True) for name, schema in TABLES.items())
+    """Analysis and tasks of the newest batch, which all other reports are about; only its folders are read, and both are
+    of one batch whatever is published meanwhile."""
+    runs = published(spark, out)[:1]
+    return tuple(_read(spark, out, name, schema, runs) for name, schema in TABLES.items())
+
+
+def remove_superseded(spark: SparkSession, out: str, running: set[str] = frozenset()) -> list[str]:
+    """Remove the folders of attempts that a later attempt of their batch has replaced, or that were never published.
+
+    ``running`` names attempts that are being written now.  Returns what was removed.
+    """
+    last = {(run.analysis_batch_id, run.attempt) for run in published(spark, out)}
+    gone = []
+    for name in (*TABLES, "rejects"):
+        for batch in folders_below(spark, f"{out}/{name}"):
+            for attempt in folders_below(spark, f"{out}/{name}/{batch}"):
+                key = batch.removeprefix("analysis_batch_id="), attempt.removeprefix("attempt=")
+                if key not in last and key[1] not in running:
+                    gone.append(f"{out}/{name}/{batch}/{attempt}")
+    for folder in gone:
+        remove_folder(spark, folder)
+    return gone

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockrisk.functions.ranks import OVERSTOCK_RANK, PRIORITY_RANK, STATUS_RANK, STOCKOUT_RANK
-from stockrisk.operators.facts import active_products, enriched_analysis, only_keys_of
+from stockrisk.operators.facts import active_products, enriched_analysis, of_sku, only_keys_of
 from stockrisk.operators.latest import latest_per_key
 from stockrisk.schemas import KEY
 from stockrisk.session import written
@@ -207,9 +207,9 @@ def _positive(limit: int) -> int:
 def enriched_for(picked: DataFrame, products: DataFrame, sales: DataFrame, configs: DataFrame) -> DataFrame:
     """``enriched_analysis`` for a few picked rows.
 
-    The large tables are reduced to the picked keys before the newest sales row is determined.  The picked rows are
-    written first: four lookups use them, and each would pick them again from the whole analysis table.  So Spark also
-    knows their size when it chooses the joins.
+    The large tables are reduced to the picked keys before the newest sales row is determined.  The picked rows, at most
+    a list's limit, are written first: the lookups use them, and each would pick them again from the whole analysis table.
+    So Spark also knows their size when it chooses the joins.
     """
     few = written(picked, "picked-rows")
     return enriched_analysis(few, *[only_keys_of(table, few) for table in (products, sales, configs)])
@@ -253,8 +253,7 @@ def analysis_detail(
     analysis: DataFrame, products: DataFrame, sales: DataFrame, configs: DataFrame, seller_sku: str
 ) -> DataFrame:
     """Newest analysis row of one SKU; empty if there is none."""
-    rows = analysis.filter(F.lower("seller_sku") == seller_sku.lower())
-    picked = rows.orderBy(F.desc("created_at"), F.desc("id")).limit(1)
+    picked = of_sku(analysis, seller_sku).orderBy(F.desc("created_at"), F.desc("id")).limit(1)
     return enriched_for(picked, products, sales, configs).select(*LIST_COLUMNS)
 
 
@@ -268,8 +267,7 @@ def open_tasks(tasks: DataFrame, limit: int = 30) -> DataFrame:
 
 
 def tasks_by_sku(tasks: DataFrame, seller_sku: str) -> DataFrame:
-    rows = tasks.filter(F.lower("seller_sku") == seller_sku.lower())
-    return rows.orderBy(F.expr(STATUS_RANK), *newest_task_first()).select(*OPEN_TASK_COLUMNS)
+    return of_sku(tasks, seller_sku).orderBy(F.expr(STATUS_RANK), *newest_task_first()).select(*OPEN_TASK_COLUMNS)
 
 
 def task_list(

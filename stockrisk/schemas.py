@@ -226,6 +226,26 @@ STORED_TASKS = T.StructType(
     ]
 )
 
+# Tables that the streams keep: sales per SKU and day, and the alert that a SKU calls for, if any.
+DAILY_SALES = _layout(
+    """
+seller_id string
+marketplace_id string
+seller_sku string
+sold_on date
+units bigint
+amount decimal(22,2)
+"""
+)
+ALERT_STATES = T.StructType(
+    [
+        *[field for field in STORED_TASKS.fields if field.name in KEY],
+        T.StructField("sync_time", T.TimestampNTZType()),
+        T.StructField("snapshot_id", T.LongType()),
+        *[field for field in STORED_TASKS.fields if field.name not in KEY],
+    ]
+)
+
 SOURCE_TABLES = {
     "product_master": PRODUCTS,
     "inventory_snapshot": INVENTORY,

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from stockrisk.operators.latest import latest_per_key
 from stockrisk.schemas import KEY, LATER_COLUMNS, SOURCE_TABLES
+from stockrisk.sources.versions import VersionedTable, key_bucket
 
 
 def read_table(
@@ -118,6 +119,25 @@ def write_attempt(df: DataFrame, path: str, batch_id: str, attempt: str) -> None
     df.drop("analysis_batch_id").write.parquet(batch_folder(path, batch_id, attempt))
 
 
+def source_tables(spark: SparkSession, root: str, buckets: int = 64) -> dict[str, VersionedTable]:
+    """The four stored source tables, each split into buckets of the key."""
+    return {name: VersionedTable(spark, f"{root}/{name}", schema, key_bucket(buckets)) for name, schema in SOURCE_TABLES.items()}
+
+
+def full_refresh(raw: DataFrame, table: VersionedTable, name: str) -> None:
+    """Clean a raw table, complete its columns and make it the newest version; readers see the old or the new one."""
+    cleaned = coerce_columns(raw, name)
+    completed = ensure_columns(cleaned, name) if name in LATER_COLUMNS else cleaned
+    table.replace(completed.to(SOURCE_TABLES[name]))
+
+
+def upsert_into(table: VersionedTable, incoming: DataFrame) -> None:
+    """Write product changes back to the table they change.  Only the buckets of the incoming keys are read and rewritten;
+    ``incoming`` should be stored, as it is read twice."""
+    table.merge(incoming, upsert_products)
+    table.vacuum()
+
+
 def upsert_products(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Union of both tables with one row per key; the incoming row wins, its newest version if there are several."""
     both = current.withColumn("_incoming", F.lit(0)).unionByName(

@@ -99,10 +99,18 @@ def test_parse_replies(spark):
 def test_odd_replies(spark):
     wide = '\u3000{"insights": [{"id": "a", "risk_points": ["\u3000\u00a0", "x"], "task_count": NaN, "summary": "is NaN, so"}]}\u3000'
     twice = '{"insights": [{"id": "a", "id": "b"}]}'
-    frame = spark.createDataFrame([(0, wide), (1, twice)], "reply_id long, raw_text string")
-    first, second = insights.parse_insight_replies(frame).orderBy("reply_id").collect()
+    inside = r'{"insights": [{"title": "a, NaN, b", "id": "x:NaN", "summary": "\"[Infinity\\", "task_count": -Infinity, "solution": ["NaN", NaN, "\\\" ,NaN"]}]}'
+    last = '{"insights": 3, "insights": [{"id": "a", "summary": {"q": 1, "q": NaN}}, {"id": "b", "title": "t", "title": NaN}]}'
+    long = '{"insights": [{"id": "l", "title": "' + 'x NaN \\n' * 20_000 + '", "task_count": NaN}]}'
+    frame = spark.createDataFrame([(0, wide), (1, twice), (2, inside), (3, last), (4, long)], "reply_id long, raw_text string")
+    first, second, third, fourth, fifth, sixth = insights.parse_insight_replies(frame).orderBy("reply_id", "position").collect()
     assert (first.is_valid, first.risk_points, first.task_count, first.summary) == (True, ["x"], 0, "is NaN, so")
-    assert not second.is_valid
+    assert second.is_valid and second.id == "b"
+    assert (third.title, third.id, third.summary, third.task_count) == ("a, NaN, b", "x:NaN", '"[Infinity\\', 0)
+    assert third.solution == ["NaN", "0", '\\" ,NaN']
+    assert (fourth.id, fourth.summary, fifth.id, fifth.title) == ("a", '{"q":0}', "b", "Risk insight 2")
+    assert sixth.task_count == 0 and sixth.title == "x NaN \n" * 20_000
+
 
 
 def sample_tasks(spark, count=400):
