@@ -42,7 +42,7 @@ _FAR = -1e300
 
 
 class Lattice:
-    KEEP = 800_000
+    KEEP = 250_000
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -244,7 +244,7 @@ class Lattice:
         return out
 
     def best_paths(self, unit: int, n: int) -> list[tuple[float, list[int]]]:
-        if len(self.found) > 200_000:
+        if len(self.found) > 50_000:
             self.found.clear()
         if (unit, n) not in self.found:
             self.found[unit, n] = self.search(self.names[unit], n)
