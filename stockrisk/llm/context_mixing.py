@@ -1,327 +1,364 @@
-"""Language-model scores by logistic context mixing: hashed-context bit predictors, gated weights, adaptive refinement.
+"""Language-model scores by online logistic context mixing: hashed-context bit predictors, gated weights, adaptive refinement.
 
-A text is its words (A-Z lowered) and one end.  Frequent words (the ``HEAD`` most frequent of the training texts, a bounded
-list) and the end are symbols with Huffman codes; other words are an escape and their bytes, which have Huffman codes, too.
-So each text is a sequence of bits, and its probability the product of theirs.  Three predictors see each bit: a word's bit is
-counted under its place in the code
-tree, with the last frequent word before, and with the one before that; a byte's bit with the last 2 and 3 bytes of the
-word, and with the last one and the last frequent word.  Contexts are hashed into tables of ``2 ** BITS`` pairs of counts, gathered over all training
-texts.  Their log odds are added with weights; how often the longer contexts have been seen selects (gates) the set of
-weights.  The mixed probability is refined by what came of like mixtures (an adaptive map per gate).  Bits deep in the tree,
-under rare places, have the first predictor only, so that they are one number per word.
+A text is its words (A-Z lowered), each followed by a blank, and one end, as bytes.  A byte is eight bits, from the upper one
+down.  Six predictors see each bit: the counts of zeros and ones under the bits before it in its byte and the last 0 to
+``ORDER`` bytes.  Their log odds are added with weights; the longest context seen, how often it has been seen, and whether it
+has always given the same bit select (gate) the set of weights.  The mixed probability is averaged with what came of like
+mixtures before (an adaptive map per gate).  A bit and its complement have probabilities that add up to one, so all texts do.
 
-Within a text, two more decisions learn as it is read: whether a word repeats the word before it, and whether an escaped
-word has been seen in this text, in which case it is one of these.
+What a byte costs depends on it and the ``ORDER`` bytes before it, its window, alone.  So the work is done on windows:
 
-Weights and maps are learned from all training texts, with each bit's own count taken out of the tables.  In each of
-``ROUNDS`` rounds the tasks sum gradients and curvatures by gate, Spark adds them up, and the driver takes one Newton step per
-gate; the last round counts the maps under the final weights.  A round brings a number of sums to the driver that does not
-depend on the texts.  All counts cover all training texts.  The score of a text depends on the training texts and on itself only.
+1. every task counts the windows of its training texts and notes those of the others; they are added up by hashed context,
+   so that a bucket holds all that follows the last two bytes of a context, and with them all longer contexts.  The
+   counts under one byte or none are 65,536 numbers that every task gets;
+2. online mixing: a task reads its buckets' windows in a scattered order, predicts each bit of a few thousand without their
+   own occurrence, and moves the weights of each gate by a Newton step on all that the gate has seen, so that steps grow
+   smaller as it reads; the maps take in what came.  Spark averages weights by what their gates saw, and adds up the maps;
+3. the code length of every window is written, in units of 2**-16 bits, so that sums do not depend on slices;
+4. every text is read and its windows added up.  The ``HOT`` most frequent windows are held by every task; the others of
+   each text are joined with the written ones.
 
-What does not grow with the input: the list of ``HEAD`` words, the tables of ``2 ** BITS`` slots (without a check for contexts
-that share one), the ``SHALLOW`` places and classes, weights and maps.
+All that is gathered grows with the texts: the windows with their counts and the words.  ``HOT`` and ``HEAD`` only decide which
+of them are looked up in a task and which by a join; scores are the same.  The score of a text depends on its own words and
+on the training texts.
 
-``base_score`` is the sum over tokens of log10((c + 1) / (N + V + 1)).  Counts of words outside the bounded list come from an
-exact join.
+``base_score`` is the sum over tokens of log10((c + 1) / (N + V + 1)); counts of words beyond the ``HEAD`` most frequent come from
+a join.
 
 Defined results: a null text is empty (an end only); rows with a null id are scored, are not held out, and train; rows that
-repeat an id are scored one by one; an empty table gives an empty table; further columns are dropped.
+repeat an id are scored one by one; without training texts nothing is known and all bytes are equally likely; an empty
+table gives an empty table; further columns are dropped.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockrisk.llm.blocks import Words, ragged, slices, words_of
+from stockrisk.llm.blocks import Words, mix, ragged, slices, words_of
+from stockrisk.llm.language_ppm import windows
 from stockrisk.llm.toxicity import fold
 from stockrisk.session import written
 
+ORDER = 5
 HEAD = 1 << 17
-BITS = 20
-SHALLOW = 1024  # places of the code tree with mixed predictions; classes of words as contexts
-ROUNDS = 2  # Newton steps of the weights, before one round for the maps
-CHUNK = 1 << 14
-BIT_SLICE = 1 << 18  # bytes of text whose bits are in memory at once; results do not depend on it
+HOT = 1 << 20
+TASK_WINDOWS = 1 << 21  # windows that a task counts before it passes them on
+BUCKET_TOKENS = 1 << 22
+MOST_BUCKETS = 1 << 16
+CHUNK = 1 << 20
+STEP = 4096  # windows whose bits are predicted with the same weights
 FOLDS, HELD_OUT = 7, 2
-LEVELS = 24
+GATES = (ORDER + 1) * 8
+INPUTS = ORDER + 2
+CELLS = 33
+HOLD = 50.0  # what a gate must have seen before its weights move freely
+UNIT = 65536.0
+LEAST = 2.0**-20  # no bit is less likely
+_BLANK, _END = 32, 10
 _U = np.uint64
 
 
-@dataclass
-class Code:
-    """A Huffman code: for each symbol its places (0: the root's number in order of weight) and bits, ragged."""
-
-    first: np.ndarray
-    place: np.ndarray
-    bit: np.ndarray
-    ones: np.ndarray  # weight below each place on the side of bit 1, and on both
-    both: np.ndarray
-
-
-def huffman(weights: np.ndarray) -> Code:
-    n = len(weights)
-    queue = [(int(w), i) for i, w in enumerate(weights)]
-    heapq.heapify(queue)
-    total = [int(w) for w in weights] + [0] * (n - 1)
-    parent, side = np.full(2 * n - 1, -1, np.int64), np.zeros(2 * n - 1, np.int8)
-    for node in range(n, 2 * n - 1):
-        (wa, a), (wb, b) = heapq.heappop(queue), heapq.heappop(queue)
-        parent[[a, b]], side[b] = node, 1
-        total[node] = wa + wb
-        heapq.heappush(queue, (wa + wb, node))
-    inner = np.arange(n, 2 * n - 1)
-    both = np.array(total[n:], np.float64)
-    rank = np.empty(n - 1, np.int64)
-    rank[np.lexsort((-inner, -both))] = np.arange(n - 1)  # parents come before their children
-    ones = np.zeros(n - 1)
-    for node in range(2 * n - 2):
-        if side[node]:
-            ones[rank[parent[node] - n]] = total[node]
-    order = np.empty(n - 1)
-    order[rank] = both
-    where, places, bits, rows = np.arange(n), [], [], []
-    at = np.arange(n)
-    while len(at):
-        up = parent[where]
-        go = up >= 0
-        at, where, up = at[go], where[go], up[go]
-        rows.append(at)
-        places.append(rank[up - n])
-        bits.append(side[where])
-        where = up
-    rows, places, bits = np.concatenate(rows), np.concatenate(places), np.concatenate(bits)
-    turn = np.lexsort((places, rows))  # from the root down: its places have ascending numbers
-    return Code(np.searchsorted(rows[turn], np.arange(n + 1)), places[turn], bits[turn].astype(np.int64), ones, order)
-
-
-class Coder:
-    """Symbols and bits of texts.  ``head``: frequent words and their counts."""
-
-    def __init__(self, head: list[tuple[bytes, int]], ends: int, escapes: int) -> None:
-        self.index = {w: i for i, (w, _) in enumerate(head)}
-        self.counts = np.array([n for _, n in head] + [ends, max(escapes, 1)], np.int64)
-        self.end, self.escape = len(head), len(head) + 1
-        self.code = huffman(np.maximum(self.counts, 1))
-        # Letters of rare words are about as frequent as in the frequent ones.
-        letters = np.ones(257)
-        for w, n in head[:20_000]:
-            for c in w:
-                letters[c] += 1
-            letters[256] += 1
-        self.letters = huffman((letters * 16).astype(np.int64))
-        code = self.code
-        shallow = code.place < SHALLOW
-        symbols = np.repeat(np.arange(len(self.counts)), np.diff(code.first))
-        p1 = (code.ones + 0.5) / (code.both + 1)
-        cost = np.log10(np.where(code.bit == 1, p1[code.place], 1 - p1[code.place]))
-        self.deep = np.bincount(symbols[~shallow], weights=cost[~shallow], minlength=len(self.counts))
-        keep = np.bincount(symbols[shallow], minlength=len(self.counts))
-        self.first, self.place, self.bit = np.r_[0, np.cumsum(keep)], code.place[shallow], code.bit[shallow]
-
-    def parse(self, words: Words) -> Parsed:
-        return Parsed(self, words)
-
-
-class Parsed:
-    """Tokens of a slice of texts (words and ends) and the bits that are left after the decisions inside the text."""
-
-    def __init__(self, coder: Coder, words: Words) -> None:
-        hashes = words.hashes(1)
-        _, sample, which = np.unique(hashes, return_index=True, return_inverse=True)
-        data = words.data.tobytes()
-        self.names = [data[a:b] for a, b in zip(words.starts[sample].tolist(), words.ends[sample].tolist())]
-        get = coder.index.get
-        known = np.fromiter((get(w, -1) for w in self.names), np.int64, len(self.names))
-        docs = len(words.first) - 1
-        n = words.counts + 1
-        self.first = np.r_[0, np.cumsum(n)]
-        self.rows = np.repeat(np.arange(docs), n)
-        is_end = np.zeros(len(self.rows), bool)
-        is_end[self.first[1:] - 1] = True
-        name = np.full(len(self.rows), -1, np.int64)
-        name[~is_end] = which
-        self.name = name
-        symbol = np.full(len(self.rows), coder.end, np.int64)
-        symbol[~is_end] = known[which]
-        self.rare = symbol < 0
-        symbol[self.rare] = coder.escape
-        self.symbol = symbol
-        # Does a word repeat the one before?  Learned inside the text.
-        inner = np.ones(len(symbol), bool)
-        inner[self.first[:-1]] = False
-        same = np.zeros(len(symbol), bool)
-        same[1:] = inner[1:] & (name[1:] == name[:-1]) & (name[1:] >= 0)
-        before = np.cumsum(same) - same
-        before -= before[self.first[:-1]][self.rows]
-        place = np.arange(len(symbol)) - self.first[:-1][self.rows]
-        p = (before + 0.02) / (place + 1)
-        gain = np.where(same, np.log10(p), np.log10(1 - p)) * inner
-        self.open = ~same
-        # Has an escaped word been seen in this text?
-        at = np.flatnonzero(self.rare & self.open)
-        row, word = self.rows[at], name[at]
-        order = np.lexsort((at, word, row))
-        fresh = np.ones(len(at), bool)
-        fresh[order[1:]] = (word[order][1:] != word[order][:-1]) | (row[order][1:] != row[order][:-1])
-        head = np.searchsorted(row, row)
-        tried = np.arange(len(at)) - head
-        kinds = np.cumsum(fresh) - fresh
-        kinds -= kinds[head] if len(at) else 0
-        p = (tried - kinds + 0.1) / (tried + 1.0)
-        p[tried == 0] = 0
-        with np.errstate(divide="ignore"):
-            step = np.where(fresh, np.log10(1 - p), np.log10(p / np.maximum(kinds, 1)))
-        self.spelt = at[fresh]
-        self.fixed = np.bincount(self.rows, weights=gain, minlength=docs) + np.bincount(row, weights=step, minlength=docs)
-        coded = np.flatnonzero(self.open)
-        self.fixed += np.bincount(self.rows[coded], weights=coder.deep[symbol[coded]], minlength=docs)
-        self.coder = coder
-        self.words = words
-
-    def bits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each bit its row, its value, its three slots (3 x bits), and its kind (0 word, 1 byte)."""
-        coder, symbol = self.coder, self.symbol
-        at = np.flatnonzero(self.open)
-        size = coder.first[symbol[at] + 1] - coder.first[symbol[at]]
-        pick = ragged(coder.first[symbol[at]], size)
-        place, value = coder.place[pick], coder.bit[pick]
-        group = np.minimum(symbol, SHALLOW - 1)
-        group[symbol >= coder.end] = SHALLOW + symbol[symbol >= coder.end] - coder.end
-        # The last frequent word before each token, and the one before that: they also tell the language.
-        here = np.arange(len(symbol))
-        last = np.full(len(symbol) + 1, -1, np.int64)
-        last[1:] = np.maximum.accumulate(np.where(group < SHALLOW - 1, here, -1))
-        last = last[:-1]
-        begin = self.first[:-1][self.rows]
-        last[last < begin] = -1
-        earlier = np.where(last >= 0, last[last], -1)
-        prev = np.where(last >= 0, group[last], SHALLOW + 2)
-        prev2 = np.where(earlier >= 0, group[earlier], SHALLOW + 2)
-        each = np.repeat(at, size)
-        contexts = [_slot(0, place, 0 * place), _slot(1, place, prev[each]), _slot(2, place, prev2[each])]
-        # Bytes of the words that are spelt, with an end of word.
-        spelt = self.spelt
-        index = spelt - self.rows[spelt]  # ends are no words
-        a, b = self.words.starts[index], self.words.ends[index]
-        n = b - a + 1
-        token = np.repeat(np.arange(len(spelt)), n)
-        offset = ragged(np.zeros(len(spelt), np.int64), n)
-        letter = np.full(len(token), 256, np.int64)
-        inside = offset < (b - a)[token]
-        letter[inside] = self.words.data[(a[token] + offset)[inside]]
-        behind = []
-        for k in (1, 2, 3):
-            back = np.full(len(letter), 257, np.int64)
-            back[k:] = letter[:-k]
-            back[offset < k] = 257
-            behind.append(back)
-        language = np.minimum(prev[spelt], 255)[token]
-        code = coder.letters
-        size2 = code.first[letter + 1] - code.first[letter]
-        pick2 = ragged(code.first[letter], size2)
-        each2 = np.repeat(np.arange(len(letter)), size2)
-        place2, value2 = code.place[pick2] + SHALLOW, code.bit[pick2]
-        one = behind[0][each2]
-        two = one * 258 + behind[1][each2]
-        more = [_slot(0, place2, two), _slot(1, place2, one * 256 + language[each2]), _slot(2, place2, two * 258 + behind[2][each2])]
-        rows = np.r_[self.rows[each], self.rows[spelt][token][each2]]
-        slots = np.stack([np.r_[x, y] for x, y in zip(contexts, more)])
-        kind = np.r_[np.zeros(len(value), np.int64), np.ones(len(value2), np.int64)]
-        return rows, np.r_[value, value2], slots, kind
-
-
-def _slot(order: int, place: np.ndarray, context: np.ndarray) -> np.ndarray:
-    key = (context * 4096 + place).astype(np.uint64) + _U(order << 60)
-    key = (key ^ (key >> _U(29))) * _U(0xBF58476D1CE4E5B9)
-    return (key >> _U(64 - BITS)).astype(np.int32)
+def stream(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a slice of texts, words followed by blanks and the texts by ends, and the offsets of the texts."""
+    sizes, rows = words.ends - words.starts, words.rows
+    places = np.cumsum(sizes + 1) - (sizes + 1) + rows
+    length = np.bincount(rows, weights=sizes + 1, minlength=len(words.first) - 1).astype(np.int64) + 1
+    offsets = np.r_[0, np.cumsum(length)]
+    data = np.full(offsets[-1], _BLANK, np.uint8)
+    data[ragged(places, sizes)] = words.data[ragged(words.starts, sizes)]
+    data[offsets[1:] - 1] = _END
+    return data, offsets
 
 
-def _squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
+# Counts ------------------------------------------------------------------------------------------------------------------
+
+_COUNTED = "bucket int, keys binary, counts binary"
+
+
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, which = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64)
 
 
-def _seen(n: np.ndarray) -> np.ndarray:
-    """How often a context has been seen, in four steps."""
-    return (n > 0).astype(np.int8) + (n > 5) + (n > 100)
+def _by_bucket(keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Windows dealt by a hash of the last two bytes of their context."""
+    bucket = (mix(((keys >> _U(8)) & _U(0xFFFF)) + _U(1)) % _U(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, keys, counts = bucket[order], keys[order], counts[order]
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else np.zeros(1, int)
+    spans = list(zip(edges[:-1], edges[1:]))
+    columns = [
+        pa.array([int(bucket[a]) for a, _ in spans], pa.int32()),
+        pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()),
+        pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "counts"])
+
+
+def _count_windows(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for part in slices(batches):
+            learns = ~part.column("held_out").to_numpy(zero_copy_only=False)
+            data, offsets = stream(words_of(part.column("text"), lower=True))
+            for begin in range(0, len(data), CHUNK):
+                window, row = windows(data, offsets, begin, min(begin + CHUNK, len(data)), ORDER)
+                which, distinct = pd.factorize(window)
+                keys.append(distinct)
+                counts.append(np.bincount(which, weights=learns[row], minlength=len(distinct)).astype(np.int64))
+                if sum(map(len, keys)) > TASK_WINDOWS:
+                    all_keys, all_counts = _added(np.concatenate(keys), np.concatenate(counts))
+                    if len(all_keys) > TASK_WINDOWS // 2:
+                        yield _by_bucket(all_keys, all_counts, buckets)
+                        all_keys, all_counts = all_keys[:0], all_counts[:0]
+                    keys, counts = [all_keys], [all_counts]
+        yield _by_bucket(*_added(np.concatenate(keys), np.concatenate(counts)), buckets)
+
+    return run
+
+
+def _merge(group: pa.Table) -> pa.Table:
+    keys, counts = (np.frombuffer(b"".join(group.column(n).to_pylist()), t) for n, t in (("keys", np.uint64), ("counts", np.int64)))
+    keys, counts = _added(keys, counts)
+    bucket = group.column("bucket").slice(0, 1)
+    return pa.table({"bucket": bucket, "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+
+def counted_windows(rows: DataFrame, buckets: int) -> DataFrame:
+    """``bucket, keys, counts``: the sorted windows of all texts and how often they stand in the training texts."""
+    packed = rows.select("held_out", "text").mapInArrow(_count_windows(buckets), _COUNTED)
+    return written(packed.groupBy("bucket").applyInArrow(_merge, _COUNTED), "windows")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Bucket by bucket."""
+    for batch in batches:
+        for bucket, keys, counts in zip(*(batch.column(n) for n in ("bucket", "keys", "counts"))):
+            yield bucket.as_py(), np.frombuffer(keys.as_buffer(), np.uint64), np.frombuffer(counts.as_buffer(), np.int64)
+
+
+def _sums(vectors: DataFrame, size: int) -> np.ndarray:
+    """Sums of ``cell, value`` rows; at most one number per cell reaches the driver."""
+    out = np.zeros(size)
+    for row in written(vectors.groupBy("cell").agg(F.sum("value").alias("value")), "sums").collect():
+        out[row.cell] = row.value
+    return out
+
+
+def _cells(values: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(values)
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(values[at])], ["cell", "value"])
+
+
+def pair_counts(counted: DataFrame) -> np.ndarray:
+    """How often each byte follows each byte."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16)
+        for _, keys, counts in _unpacked(batches):
+            total += np.bincount((keys & _U(0xFFFF)).astype(np.int64), weights=counts, minlength=1 << 16)
+        yield _cells(total)
+
+    return _sums(counted.mapInArrow(run, "cell int, value double"), 1 << 16).reshape(256, 256)
+
+
+# Mixing ------------------------------------------------------------------------------------------------------------------
+
+
+def bits_of(keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of the eight bits of the windows' bytes: the bit, and the zeros and ones that each context has seen there.
 
+    ``keys`` are all windows of their contexts of two bytes and more; the shorter contexts' counts are those of ``pairs``.
+    """
+    byte, last = (keys & _U(255)).astype(np.int64), ((keys >> _U(8)) & _U(255)).astype(np.int64)
+    orders = []
+    for k in range(2, ORDER + 1):
+        low = keys & ((_U(1) << _U(8 * (k + 1))) - _U(1))
+        orders.append((k, low, np.argsort(low, kind="stable")))
+    every = np.arange(256)
+    for i in range(8):
+        bit, node = (byte >> (7 - i)) & 1, (1 << i) | (byte >> (8 - i))
+        place, side = (1 << i) | (every >> (8 - i)), (every >> (7 - i)) & 1
+        after = np.zeros((2, 256, 256))
+        np.add.at(after, (side[None, :], every[:, None], place[None, :]), pairs)
+        seen = np.empty((2, ORDER + 1, len(keys)), np.float32)
+        seen[:, 0], seen[:, 1] = after.sum(axis=1)[:, node], after[:, last, node]
+        for k, low, order in orders:
+            group, times, ones = (low >> _U(8 - i))[order], counts[order].astype(np.float64), bit[order]
+            heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            spread = np.diff(np.r_[heads, len(group)])
+            for y in (0, 1):
+                seen[y, k, order] = np.repeat(np.add.reduceat(times * (ones == y), heads), spread)
+        yield bit, seen[0], seen[1]
+
+
+def _squash(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
 
-FIRST = np.array([0.4, 0.3, 0.3, 0.0])
-SUMS = 4 + 16 + 2 * LEVELS  # gradient, curvature, hits and totals of the map
+
+def _inputs(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the predictors say (inputs x bits), and the gate of each bit."""
+    x = np.full((INPUTS, zeros.shape[1]), 0.3, np.float32)
+    x[:-1] = np.log((ones + 0.3) / (zeros + 0.3))
+    total, here = zeros + ones, np.arange(zeros.shape[1])
+    longest = np.zeros(len(here), np.int64)
+    for k in range(1, ORDER + 1):
+        longest[total[k] > 0] = k
+    n = total[longest, here]
+    steps = (n > 1).astype(np.int64) + (n > 3) + (n > 12)
+    return x, longest * 8 + steps * 2 + (np.minimum(zeros, ones)[longest, here] == 0)
 
 
 class Mixer:
-    def __init__(self, counts: np.ndarray) -> None:
-        self.counts = counts  # 3 tables x slots x 2
-        self.weights = np.tile(FIRST, (32, 1))
-        self.map_hits, self.map_total = np.zeros((32, LEVELS)), np.zeros((32, LEVELS))
-
-    def freeze(self) -> Mixer:
-        """Log odds and steps per slot instead of counts, for scoring."""
-        n0, n1 = self.counts[:, :, 0].astype(np.float32), self.counts[:, :, 1].astype(np.float32)
-        self.odds = np.log((n1 + 0.4) / (n0 + 0.4)).astype(np.float32)
-        self.steps = _seen(n0 + n1)
-        self.counts = None
-        return self
-
-    def gather(self, value: np.ndarray, slots: np.ndarray, kind: np.ndarray, sums: np.ndarray) -> None:
-        """Adds to ``sums`` (gates x ``SUMS``) what bits that are counted in the tables say; each is predicted without its own count."""
-        for a in range(0, len(value), 1 << 16):
-            y, s, k = value[a : a + (1 << 16)], slots[:, a : a + (1 << 16)], kind[a : a + (1 << 16)]
-            n = np.stack([self.counts[t, s[t]] for t in range(3)]).astype(np.float64)
-            n[:, np.arange(len(y)), y] = np.maximum(n[:, np.arange(len(y)), y] - 1, 0)
-            x = np.concatenate([np.log((n[:, :, 1] + 0.4) / (n[:, :, 0] + 0.4)), np.full((1, len(y)), 0.3)])
-            steps = _seen(n.sum(axis=2))
-            gate = (k * 16 + steps[1] * 4 + steps[2]).astype(np.int8)
-            dot = (self.weights.T[:, gate] * x).sum(axis=0)
-            p = _squash(dot)
-            cell = gate.astype(np.int64) * LEVELS + _level(dot)
-            sums[:, 20 : 20 + LEVELS] += np.bincount(cell, weights=y, minlength=32 * LEVELS).reshape(32, LEVELS)
-            sums[:, 20 + LEVELS :] += np.bincount(cell, minlength=32 * LEVELS).reshape(32, LEVELS)
-            order = np.argsort(gate, kind="stable")
-            x, pull, bend = x[:, order], (y - p)[order], (p * (1 - p))[order]
-            edges = np.searchsorted(gate[order], np.arange(33))
-            for g in np.flatnonzero(np.diff(edges)):
-                own = slice(edges[g], edges[g + 1])
-                sums[g, :4] += x[:, own] @ pull[own]
-                sums[g, 4:20] += ((x[:, own] * bend[own]) @ x[:, own].T).ravel()
-
-    def step(self, sums: np.ndarray) -> None:
-        """A Newton step of each gate's weights, held near the first ones where bits are few."""
-        pull = sums[:, :4] - (self.weights - FIRST)
-        bend = sums[:, 4:20].reshape(-1, 4, 4) + np.eye(4)
-        move = np.linalg.solve(bend, pull[:, :, None])[:, :, 0]
-        self.weights = self.weights + move / np.maximum(np.abs(move).max(axis=1, keepdims=True), 1)
-
-    def cost(self, value: np.ndarray, slots: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """log10 probability of each bit."""
-        out = np.empty(len(value))
-        for a in range(0, len(value), 1 << 16):
-            y, s, k = value[a : a + (1 << 16)], slots[:, a : a + (1 << 16)], kind[a : a + (1 << 16)]
-            gate = k * 16 + self.steps[1, s[1]] * 4 + self.steps[2, s[2]]
-            w = self.weights32[:, gate]
-            dot = w[0] * self.odds[0, s[0]] + w[1] * self.odds[1, s[1]] + w[2] * self.odds[2, s[2]] + w[3]
-            refined = self.map[gate, _level(dot)]
-            p = 0.5 / (1 + np.exp(-np.clip(dot, -20, 20))) + 0.5 * refined
-            out[a : a + (1 << 16)] = np.log10(np.where(y == 1, p, 1 - p))
-        return out
-
-    def settle(self) -> None:
-        middle = (np.arange(LEVELS) - LEVELS / 2 + 0.5) / 1.5
-        self.map = ((self.map_hits + 20 * _squash(middle)) / (self.map_total + 20)).astype(np.float32)
-        self.weights32 = np.ascontiguousarray((self.weights * np.array([1, 1, 1, 0.3])).T.astype(np.float32))
-
-
-def _level(dot: np.ndarray) -> np.ndarray:
-    return np.clip(dot * 1.5 + LEVELS / 2, 0, LEVELS - 1).astype(np.int64)
+    """Weights and maps of all gates."""
+
+    def __init__(self) -> None:
+        self.weights = np.full((GATES, INPUTS), 0.3, np.float32)
+        self.weights[:, -1] = 0
+        self.bend = np.tile(np.eye(INPUTS) * HOLD, (GATES, 1, 1))
+        self.hits, self.total = np.zeros((GATES, CELLS)), np.zeros((GATES, CELLS))
+
+    def _mixed(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weighted log odds of each bit and its cell of the maps."""
+        dot = np.clip((self.weights[gate].T * x).sum(axis=0), -14, 14)
+        return dot, gate * CELLS + np.clip(dot * 2 + CELLS / 2, 0, CELLS - 1).astype(np.int64)
+
+    def learn(self, keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> None:
+        """Read the training windows of a bucket once: predict, look, and move."""
+        own = np.flatnonzero(counts > 0)
+        own = own[np.argsort(mix(keys[own]), kind="stable")]
+        for bit, zeros, ones in bits_of(keys, counts, pairs):
+            for a in range(0, len(own), STEP):
+                at = own[a : a + STEP]
+                y, times = bit[at].astype(np.float32), counts[at].astype(np.float64)
+                x, gate = _inputs(np.maximum(zeros[:, at] - (1 - y), 0), np.maximum(ones[:, at] - y, 0))
+                dot, cell = self._mixed(x, gate)
+                self.hits += np.bincount(cell, weights=times * y, minlength=GATES * CELLS).reshape(GATES, CELLS)
+                self.total += np.bincount(cell, weights=times, minlength=GATES * CELLS).reshape(GATES, CELLS)
+                p = _squash(dot)
+                pull, bend = (y - p) * times, np.maximum(p * (1 - p), 1e-4) * times
+                for j in range(INPUTS):
+                    for k in range(j, INPUTS):
+                        more = np.bincount(gate, weights=bend * x[j] * x[k], minlength=GATES)
+                        self.bend[:, j, k] += more
+                        if k > j:
+                            self.bend[:, k, j] += more
+                pulls = np.stack([np.bincount(gate, weights=pull * x[j], minlength=GATES) for j in range(INPUTS)], axis=1)
+                self.weights += np.linalg.solve(self.bend, pulls[:, :, None])[:, :, 0].astype(np.float32)
+
+    def vector(self) -> np.ndarray:
+        """Sums over tasks of these vectors make the mixer of all: what each gate saw, its weights times that, and its maps."""
+        seen = self.total.sum(axis=1, keepdims=True)
+        return np.concatenate([seen, seen * self.weights, self.hits, self.total], axis=1).ravel()
+
+    @classmethod
+    def of(cls, vector: np.ndarray) -> Mixer:
+        rows = vector.reshape(GATES, -1)
+        mixer = cls()
+        seen = rows[:, 0] > 0
+        mixer.weights[seen] = (rows[seen, 1 : INPUTS + 1] / rows[seen, :1]).astype(np.float32)
+        mixer.hits, mixer.total = rows[:, INPUTS + 1 : INPUTS + 1 + CELLS], rows[:, INPUTS + 1 + CELLS :]
+        return mixer
+
+    def lengths(self, keys: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Code length of the byte of every window of a bucket, in units."""
+        middle = (np.arange(CELLS) - CELLS / 2 + 0.5) / 2
+        refined = ((self.hits + 2 * _squash(middle)) / (self.total + 2)).ravel()
+        out = np.zeros(len(keys))
+        for bit, zeros, ones in bits_of(keys, counts, pairs):
+            for a in range(0, len(keys), CHUNK):
+                at = slice(a, a + CHUNK)
+                dot, cell = self._mixed(*_inputs(zeros[:, at], ones[:, at]))
+                p = np.clip((_squash(dot) + refined[cell]) / 2, LEAST, 1 - LEAST)
+                out[at] -= np.log2(np.where(bit[at] == 1, p, 1 - p))
+        return np.rint(out * UNIT).astype(np.int32)
+
+
+VECTOR = GATES * (1 + INPUTS + 2 * CELLS)
+
+
+def fit(counted: DataFrame, pairs: np.ndarray) -> Mixer:
+    """One reading of all training windows: every task mixes its buckets online, and their mixers are averaged."""
+    frozen = counted.sparkSession.sparkContext.broadcast(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(VECTOR)
+        for _, keys, counts in _unpacked(batches):
+            mixer = Mixer()
+            mixer.learn(keys, counts, frozen.value)
+            total += mixer.vector()
+        yield _cells(total)
+
+    return Mixer.of(_sums(counted.mapInArrow(run, "cell int, value double"), VECTOR))
+
+
+def window_lengths(counted: DataFrame, pairs: np.ndarray, mixer: Mixer) -> DataFrame:
+    """``bucket, keys, counts, units``: the counted windows with the code length of each."""
+    frozen = counted.sparkSession.sparkContext.broadcast((pairs, mixer))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, mixer = frozen.value
+        for bucket, keys, counts in _unpacked(batches):
+            columns = [[bucket], [keys.tobytes()], [counts.tobytes()], [mixer.lengths(keys, counts, pairs).tobytes()]]
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["bucket", "keys", "counts", "units"])
+
+    return written(counted.mapInArrow(run, _COUNTED + ", units binary"), "lengths")
+
+
+def _listed(lengths: DataFrame, least: int, most: int) -> DataFrame:
+    """``key, units`` of the windows that are counted ``least`` to ``most`` times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, packed in zip(_unpacked(iter([batch])), batch.column("units")):
+                _, keys, counts = part
+                use = (counts >= least) & (counts <= most)
+                units = np.frombuffer(packed.as_buffer(), np.int32)[use]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[use].astype(np.int64)), pa.array(units)], ["key", "units"])
+
+    return lengths.mapInArrow(run, "key long, units int")
+
+
+def hot_windows(lengths: DataFrame, hot: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The least count of a hot window, and the keys and code lengths of these, at most ``hot``, by key."""
+    top = 1 << 16
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(top + 1)
+        for _, _, counts in _unpacked(batches):
+            total += np.bincount(np.minimum(counts, top), minlength=top + 1)
+        yield _cells(total)
+
+    at_least = np.cumsum(_sums(lengths.mapInArrow(run, "cell int, value double"), top + 1)[::-1])[::-1]
+    fits = np.flatnonzero(at_least <= hot)
+    least = int(fits[0]) if len(fits) else top + 1
+    found = _listed(lengths, least, np.iinfo(np.int64).max).toArrow() if len(fits) else None
+    if found is None or not found.num_rows:
+        return least, np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    keys, units = (found.column(n).to_numpy() for n in ("key", "units"))
+    order = np.argsort(keys)
+    return least, keys[order].astype(np.uint64), units[order]
+
+
+# Scores ------------------------------------------------------------------------------------------------------------------
+
+
+def _distinct_words(words: Words) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words of a slice and which of them each word is."""
+    one, two = words.hashes(1), words.hashes(2)
+    _, sample, which = np.unique(one, return_index=True, return_inverse=True)
+    if (two[sample][which] != two).any():  # two words with one hash: every word for itself
+        sample = which = np.arange(len(one))
+    data = words.data.tobytes()
+    return [data[a:b] for a, b in zip(words.starts[sample].tolist(), words.ends[sample].tolist())], which
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,14 +370,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for part in slices(batches):
         ends += part.num_rows
-        words = words_of(part.column("text"), lower=True)
-        one, two = words.hashes(1), words.hashes(2)
-        _, sample, which = np.unique(one, return_index=True, return_inverse=True)
-        if (two[sample][which] != two).any():
-            sample = which = np.arange(len(one))
-        data, times = words.data.tobytes(), np.bincount(which, minlength=len(sample))
-        for a, b, n in zip(words.starts[sample].tolist(), words.ends[sample].tolist(), times.tolist()):
-            total[data[a:b]] += n
+        names, which = _distinct_words(words_of(part.column("text"), lower=True))
+        for name, n in zip(names, np.bincount(which, minlength=len(names)).tolist()):
+            total[name] += n
         if len(total) > 200_000:
             yield rows()
             total.clear()
@@ -349,144 +381,98 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def fit(mixer: Mixer, training: DataFrame, shared_coder: Broadcast) -> None:
-    """Weights and maps from all texts of ``training``."""
-    shared_counts = training.sparkSession.sparkContext.broadcast(mixer.counts)
-    for _ in range(ROUNDS):
-        mixer.step(_round(mixer.weights, training, shared_coder, shared_counts))
-    sums = _round(mixer.weights, training, shared_coder, shared_counts)
-    mixer.map_hits, mixer.map_total = sums[:, 20 : 20 + LEVELS], sums[:, 20 + LEVELS :]
-    mixer.settle()
-    shared_counts.unpersist()
-
-
-def _round(weights: np.ndarray, training: DataFrame, shared_coder: Broadcast, shared_counts: Broadcast) -> np.ndarray:
-    """Sums over all texts by gate."""
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer(shared_counts.value)
-        mixer.weights = weights
-        sums = np.zeros((32, SUMS))
-        for part in slices(batches, limit=BIT_SLICE):
-            _, value, slots, kind = shared_coder.value.parse(words_of(part.column("text"), lower=True)).bits()
-            mixer.gather(value, slots, kind, sums)
-        cell = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(sums.ravel()[cell])], ["cell", "value"])
+def _lists(row: np.ndarray, what: np.ndarray, n_rows: int, n_kinds: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Per row its distinct kinds and how often: offsets, kinds, times."""
+    pair, times = np.unique(row * max(n_kinds, 1) + what, return_counts=True)
+    owner, kind = pair // max(n_kinds, 1), pair % max(n_kinds, 1)
+    return pa.array(np.searchsorted(owner, np.arange(n_rows + 1)), pa.int32()), kind, times
+
+
+def _structs(offsets: pa.Array, name: str, values: pa.Array, times: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([values, pa.array(times.astype(np.int64))], [name, "n"]))
+
+
+_SCORED = (
+    "doc_id long, held_out boolean, n_tokens long, known long, logs double, units long, size long,"
+    " rare array<struct<word: binary, n: long>>, cold array<struct<key: long, n: long>>"
+)
+
+
+def _score(shared) -> object:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, hot_keys, hot_units = shared.value
+        for part in slices(batches):
+            words, n_rows = words_of(part.column("text"), lower=True), part.num_rows
+            names, which = _distinct_words(words)
+            count = np.fromiter((head.get(w, -1) for w in [*names, b""]), np.int64, len(names) + 1)
+            rows, mine = words.rows, count[:-1][which]
+            common = mine >= 0
+            known = np.bincount(rows[common], minlength=n_rows) + (count[-1] > 0)
+            logs = np.bincount(rows[common], weights=np.log10(mine[common] + 1.0), minlength=n_rows) + np.log10(max(count[-1], 0) + 1.0)
+            offsets, kind, times = _lists(rows[~common], which[~common], n_rows, len(names))
+            rare = _structs(offsets, "word", pa.array([names[k] for k in kind.tolist()], pa.binary()), times)
+            data, edges = stream(words)
+            units, cold = np.zeros(n_rows, np.int64), []
+            for begin in range(0, len(data), CHUNK):
+                window, row = windows(data, edges, begin, min(begin + CHUNK, len(data)), ORDER)
+                which, distinct = pd.factorize(window)
+                at = np.minimum(np.searchsorted(hot_keys, distinct), max(len(hot_keys) - 1, 0))
+                found = hot_keys[at] == distinct if len(hot_keys) else np.zeros(len(distinct), bool)
+                cost = np.zeros(len(distinct))
+                cost[found] = hot_units[at[found]]
+                units += np.bincount(row, weights=cost[which], minlength=n_rows).astype(np.int64)
+                open_ = ~found[which]
+                cold.append((row[open_], window[open_]))
+            row, window = (np.concatenate(x) for x in zip(*cold))
+            which, distinct = pd.factorize(window)
+            offsets, kind, times = _lists(row, which, n_rows, len(distinct))
+            size = np.bincount(rows, weights=words.ends - words.starts, minlength=n_rows).astype(np.int64)
+            arrays = [pa.array(x) for x in (words.counts + 1, known, logs, units, size)]
+            colds = _structs(offsets, "key", pa.array(distinct[kind].astype(np.int64), pa.int64()), times)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("held_out"), *arrays, rare, colds],
+                ["doc_id", "held_out", "n_tokens", "known", "logs", "units", "size", "rare", "cold"],
+            )
 
-    found = training.select("text").mapInArrow(gather, "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value"))
-    sums = np.zeros(32 * SUMS)
-    for row in written(found, "round").collect():  # at most 32 * SUMS
-        sums[row.cell] = row.value
-    return sums.reshape(32, SUMS)
+    return run
 
 
-def score_documents(docs: DataFrame, head: int = HEAD) -> DataFrame:
+def score_documents(docs: DataFrame, head: int = HEAD, hot: int = HOT) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` for every row."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held = F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False))
-    training = rows.where(~held)
-    counts = written(
-        training.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts"
-    )
+    held = F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", held, "text")
+    words = rows.where("NOT held_out").select("text").mapInArrow(_count_words, "word binary, n long")
+    counts = written(words.groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total = counts.agg(F.sum("n").alias("tokens"), F.count("*").alias("distinct")).first()
     tokens, distinct = total.tokens or 0, total.distinct
-    # At most ``head`` + 1 words; words seen once stay outside, so that the escape has their share, as unseen words need.
-    top = counts.where("n > 1 OR length(word) = 0").orderBy(F.desc("n"), "word").limit(head + 1).toArrow()
-    ends = sum(r.n for r in counts.where(F.length("word") == 0).collect())
-    words = [(w, n) for w, n in zip(top["word"].to_pylist(), top["n"].to_pylist()) if w][:head]
-    del top
-    coder = Coder(words, ends, tokens - ends - sum(n for _, n in words))
-    shared_coder = spark.sparkContext.broadcast(coder)
-
-    def count_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((3, 1 << BITS, 2), np.int32)
-        any_row = False
-        for part in slices(batches, limit=BIT_SLICE):
-            any_row = True
-            _, value, slots, _ = shared_coder.value.parse(words_of(part.column("text"), lower=True)).bits()
-            for t in range(3):
-                table[t] += np.bincount(slots[t] * 2 + value, minlength=2 << BITS).reshape(-1, 2).astype(np.int32)
-        if any_row:
-            for t in range(3):
-                for c in range((1 << BITS) // CHUNK):
-                    own = table[t, c * CHUNK : (c + 1) * CHUNK]
-                    if own.any():
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([t], pa.int32()), pa.array([c], pa.int32()), pa.array([_planes(own)], pa.binary())], ["t", "c", "cells"]
-                        )
-
-    packed = training.select("text").mapInArrow(count_bits, "t int, c int, cells binary")
-    summed = packed.groupBy("t", "c").applyInArrow(_add_tables, "t int, c int, cells binary")
-    table = np.zeros((3, 1 << BITS, 2), np.int64)
-    for row in summed.toLocalIterator():  # at most 3 * 2**BITS pairs of counts
-        table[row.t, row.c * CHUNK : (row.c + 1) * CHUNK] = _cells(row.cells)
-    mixer = Mixer(table.astype(np.int32) if table.max() < 1 << 31 else table)
-    del table
-    fit(mixer, training, shared_coder)
-    shared_mixer = spark.sparkContext.broadcast(mixer.freeze())
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, mixer = shared_coder.value, shared_mixer.value
-        log_count = np.log10(coder.counts + 1.0)
-        for part in slices(batches, limit=BIT_SLICE):
-            words = words_of(part.column("text"), lower=True)
-            parsed = coder.parse(words)
-            docs_n = part.num_rows
-            row, value, slots, kind = parsed.bits()
-            score = parsed.fixed + np.bincount(row, weights=mixer.cost(value, slots, kind), minlength=docs_n)
-            n = np.diff(parsed.first)
-            common = ~parsed.rare
-            known = np.bincount(parsed.rows[common], minlength=docs_n)
-            logs = np.bincount(parsed.rows[common], weights=log_count[parsed.symbol[common]], minlength=docs_n)
-            pair, times = np.unique(parsed.rows[parsed.rare] * len(parsed.names) + parsed.name[parsed.rare], return_counts=True)
-            owner, name = pair // max(len(parsed.names), 1), pair % max(len(parsed.names), 1)
-            cuts = np.searchsorted(owner, np.arange(docs_n + 1))
-            rare = pa.ListArray.from_arrays(
-                pa.array(cuts, pa.int32()),
-                pa.StructArray.from_arrays(
-                    [pa.array([parsed.names[i] for i in name.tolist()], pa.binary()), pa.array(times, pa.int64())], ["word", "n"]
-                ),
-            )
-            size = np.bincount(words.rows, weights=words.ends - words.starts, minlength=docs_n)
-            arrays = [pa.array(x) for x in (n, known.astype(np.int64), logs, score, size.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), *arrays, rare], ["doc_id", "n_tokens", "known", "logs", "score", "size", "rare"]
-            )
+    end = counts.where("length(word) = 0").toArrow().to_pylist()  # one row, or none without training texts
+    top = counts.where("length(word) > 0").orderBy(F.desc("n"), "word").limit(head).toArrow().to_pylist() + end
+
+    counted = counted_windows(rows, int(min(max(8, tokens // BUCKET_TOKENS), MOST_BUCKETS)))
+    pairs = pair_counts(counted)
+    lengths = window_lengths(counted, pairs, fit(counted, pairs))
+    least, keys, units = hot_windows(lengths, hot)
+    shared = spark.sparkContext.broadcast(({row["word"]: row["n"] for row in top}, keys, units))
+    scored = written(rows.mapInArrow(_score(shared), _SCORED).withColumn("row", F.monotonically_increasing_id()), "scores")
 
-    shape = "doc_id long, n_tokens long, known long, logs double, score double, size long, rare array<struct<word: binary, n: long>>"
-    scored = written(rows.mapInArrow(score, shape).withColumn("row", F.monotonically_increasing_id()), "scores")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
     met = rare.join(counts.select("word", F.col("n").alias("c")), "word")
     extra = met.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_logs"))
+    cold = scored.select("row", F.explode("cold").alias("r")).select("row", "r.key", "r.n")
+    told = cold.join(_listed(lengths, 0, least - 1), "key")
+    spelt = told.groupBy("row").agg(F.sum(F.col("n") * F.col("units")).alias("more_units"))
+    joined = scored.drop("rare", "cold").join(extra, "row", "left").join(spelt, "row", "left")
     norm = float(np.log10(tokens + distinct + 1))
-    base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)
-    return scored.drop("rare").join(extra, "row", "left").select(
+    log2 = float(np.log10(2)) / UNIT
+    score = -(F.col("units") + F.coalesce("more_units", F.lit(0))) * F.lit(log2)
+    return joined.select(
         "doc_id",
-        held.alias("held_out"),
+        "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0)) if tokens else F.lit(0).cast("long")).alias("n_known"),
+        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        "score",
-        F.when(F.col("size") > 0, -F.col("score") / F.lit(float(np.log10(2))) / F.col("size")).alias("bits_per_byte"),
-    )
-
-
-def _planes(cells: np.ndarray) -> bytes:
-    """Counts as planes of bytes: the upper planes are mostly zeros, which compress to nothing."""
-    return np.ascontiguousarray(cells.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _cells(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<i8").reshape(-1, 2)
-
-
-def _add_tables(group: pa.Table) -> pa.Table:
-    total = np.zeros((CHUNK, 2), np.int64)
-    for cells in group.column("cells").to_pylist():
-        total += _cells(cells)
-    return pa.table(
-        {"t": group.column("t").slice(0, 1), "c": group.column("c").slice(0, 1), "cells": pa.array([_planes(total)], pa.binary())}
+        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
+        score.alias("score"),
+        F.when(F.col("size") > 0, -score / F.lit(float(np.log10(2))) / F.col("size")).alias("bits_per_byte"),
     )

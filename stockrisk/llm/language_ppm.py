@@ -44,13 +44,13 @@ _U = np.uint64
 _LANG = _U(8 * (ORDER + 1))
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the bytes ``begin:end``: each with the ``ORDER`` bytes before it in its row as one number, and its row."""
+def windows(data: np.ndarray, offsets: np.ndarray, begin: int, end: int, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """For the bytes ``begin:end``: each with the ``order`` bytes before it in its row as one number, and its row."""
     at = np.arange(begin, end)
     row = np.searchsorted(offsets, at, side="right") - 1
     place = at - offsets[row]
     keys = data[begin:end].astype(np.uint64)
-    for d in range(1, ORDER + 1):
+    for d in range(1, order + 1):
         before = np.where(place >= d, data[np.maximum(at - d, 0)], BEFORE).astype(np.uint64)
         keys |= before << _U(8 * d)
     return keys, row

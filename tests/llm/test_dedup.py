@@ -163,6 +163,23 @@ def test_embeddings(spark, vectors, shard_rows):
     assert embedding_dedup.near_duplicates(frame.where("false")).count() == 0
 
 
+def test_huge_and_tiny_components_and_clashing_columns(spark):
+    data = [
+        (1, [1e200, 1e200], "a"),
+        (2, [1e-200, 1.0000001e-200], "a"),
+        (3, [5e-324, 5e-324], "a"),
+        (4, [-1.7e308, 1.7e308], "a"),
+        (5, [-1.0, 1.0], "a"),
+        (6, [0.0, 0.0], "a"),
+        (7, [float("inf"), 1.0], "a"),
+        (8, [1.0, None], "a"),
+        (9, [3.0, 3.0], "b"),
+    ]
+    frame = spark.createDataFrame([(*r, 1, "g", 2) for r in data], "vec_id long, embedding array<double>, label string, shard int, graph string, size int")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(frame).collect()}
+    assert found == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), **{i: (0, i) for i in (6, 7, 8, 9)}}
+
+
 def test_graph_recall():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 24)).astype(np.float32)

@@ -13,6 +13,7 @@ from fixtures import documents, empty, rows
 
 from stockrisk.llm import context_mixing, quality, toxicity
 from stockrisk.llm.blocks import table, words_of
+from stockrisk.llm.language_ppm import windows
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -115,20 +116,88 @@ def test_language_model_of_nothing(spark):
 
 
 def test_weights_learn_from_all_training_texts(spark, monkeypatch):
-    bits, freeze = [], context_mixing.Mixer.freeze
+    seen, real = [], context_mixing.window_lengths
 
-    def spy(mixer):
-        bits.append((mixer.map_total.sum(), mixer.counts[0].sum()))
-        return freeze(mixer)
+    def spy(counted, pairs, mixer):
+        seen.append((mixer.total.sum(), pairs.sum()))
+        return real(counted, pairs, mixer)
 
-    monkeypatch.setattr(context_mixing.Mixer, "freeze", spy)
+    monkeypatch.setattr(context_mixing, "window_lengths", spy)
     docs = table(spark, FOLDER, "documents").unionByName(spark.createDataFrame([(10**6, "one long text " * 6000)], "doc_id long, text string"), True)
     held = [r for r in context_mixing.score_documents(docs).collect() if r.held_out]
-    assert bits[0][0] == bits[0][1] > 0
-    assert sum(r.score for r in held) > 1.08 * sum(r.base_score for r in held)
-
-
-def test_code_is_complete():
-    code = context_mixing.huffman(np.array([50, 20, 20, 5, 4, 1]))
-    assert math.isclose(sum(2.0 ** -n for n in np.diff(code.first)), 1.0)
-    assert np.diff(code.first)[0] == 1
+    words = [(r.doc_id, (r.text or "").split()) for r in docs.collect()]
+    size = sum(1 + sum(len(w.encode()) + 1 for w in t) for i, t in words if zlib.crc32(str(i).encode()) % 7 != 2)
+    assert seen == [(8 * size, size)]  # every bit of every training text, once
+    assert sum(r.score for r in held) > 1.03 * sum(r.base_score for r in held)
+
+
+def test_held_out_rows_alone(spark):
+    """Without training texts nothing is known, not even the end."""
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    docs = spark.createDataFrame(list(zip(ids, ["two words", "", None])), "doc_id long, text string")
+    found = sorted(context_mixing.score_documents(docs).collect())
+    assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in found] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0), (1, 0, 0, 0.0)]
+    assert found[0].score == pytest.approx(-11 * 8 * math.log10(2), rel=1e-6)
+
+
+def test_stream_of_tokens():
+    words = words_of(pa.array(["Two  words", None, " x ", ""]), lower=True)
+    data, offsets = context_mixing.stream(words)
+    assert bytes(data) == b"two words \n\nx \n\n" and offsets.tolist() == [0, 11, 12, 15, 16]
+
+
+def window_counts(texts):
+    data, offsets = context_mixing.stream(words_of(pa.array(texts), lower=True))
+    keys, _ = windows(data, offsets, 0, len(data), context_mixing.ORDER)
+    keys, counts = np.unique(keys, return_counts=True)
+    pairs = np.zeros((256, 256))
+    np.add.at(pairs, ((keys >> np.uint64(8) & np.uint64(255)).astype(int), (keys & np.uint64(255)).astype(int)), counts)
+    return keys, counts, pairs
+
+
+def test_counts_of_bits_equal_plain_counting():
+    keys, counts, pairs = window_counts(["abra cadabra abra", "a cab", "banana bandana", ""])
+    strings = [(int(k).to_bytes(6, "big"), int(c)) for k, c in zip(keys, counts)]
+    for i, (bit, zeros, ones) in enumerate(context_mixing.bits_of(keys, counts, pairs)):
+        for at, (own, _) in enumerate(strings):
+            assert bit[at] == own[5] >> (7 - i) & 1
+            for k in range(context_mixing.ORDER + 1):
+                alike = [(s, c) for s, c in strings if s[5 - k : 5] == own[5 - k : 5] and s[5] >> (8 - i) == own[5] >> (8 - i)]
+                assert ones[k, at] == sum(c for s, c in alike if s[5] >> (7 - i) & 1)
+                assert zeros[k, at] + ones[k, at] == sum(c for _, c in alike)
+
+
+def test_probabilities_of_bytes_sum_to_one():
+    keys, counts, pairs = window_counts(["abra cadabra abra " * 3, "a cab", "banana bandana", "other words in here"])
+    mixer = context_mixing.Mixer()
+    mixer.learn(keys, counts, pairs)
+    merged = context_mixing.Mixer.of(2 * mixer.vector())
+    assert np.allclose(merged.weights, mixer.weights) and merged.total.sum() == 16 * counts.sum()
+    for context in (b"cadab", b"zzzzz", b"abra ", b"xband"):
+        all_bytes = np.uint64(int.from_bytes(context, "big") << 8) + np.arange(256, dtype=np.uint64)
+        every = np.union1d(keys, all_bytes)
+        times = np.zeros(len(every), np.int64)
+        times[np.searchsorted(every, keys)] = counts
+        units = merged.lengths(every, times, pairs)[np.searchsorted(every, all_bytes)]
+        assert np.exp2(-units / context_mixing.UNIT).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_what_is_looked_up_by_a_join_costs_the_same(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    few = context_mixing.score_documents(docs, head=50, hot=500).collect()
+    none = context_mixing.score_documents(docs, head=0, hot=0).collect()
+    many = context_mixing.score_documents(docs).collect()
+    for other in (few, none):
+        for x, y in zip(sorted(other), sorted(many)):
+            assert (x.doc_id, x.n_known, x.score) == (y.doc_id, y.n_known, pytest.approx(y.score, rel=1e-4))
+            assert x.base_score == pytest.approx(y.base_score, rel=1e-9)
+
+
+def test_what_is_gathered_grows_with_the_input(spark):
+    sizes = []
+    for folder in ("/root/testdata/sf0.001", FOLDER):
+        rows = table(spark, folder, "documents").selectExpr("doc_id", "false AS held_out", "text")
+        counted = context_mixing.counted_windows(rows, 8).collect()
+        assert len({r.bucket for r in counted}) == len(counted) <= 8
+        sizes.append(sum(len(r.keys) // 8 for r in counted))
+    assert sizes[1] > 2 * sizes[0]

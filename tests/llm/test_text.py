@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.fs as pafs
 import pytest
-from fixtures import by_row, documents, empty, rows, words
+from fixtures import by_row, closure, documents, empty, rows, words
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -30,6 +30,21 @@ def test_token_records(spark):
     assert token_records.encode_documents(empty(spark)).count() == 0
 
 
+def test_special_tokens_keep_their_case(spark):
+    """The library finds special tokens in the text as given and lowers the rest."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(token_records.VOCABULARY))
+    rnd = random.Random(3)
+    parts = ["<|EndOfText|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "Ab", "b.", "a<|endoftext|>B,", "<", "|>", "<|X|>", "É<b", " "]
+    texts = ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "<|endoftext|>"] + [" ".join(rnd.choices(parts, k=rnd.randint(1, 9))) for _ in range(300)]
+    texts += ["".join(rnd.choices(parts, k=4)) for _ in range(200)]
+    found = token_records.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    expected = [
+        (i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        for i, ids in enumerate([*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts)
+    ]
+    assert by_row(found, "doc_id", "n_tokens", "ids_crc32") == sorted(expected, key=repr)
+
+
 def test_records_are_framed_and_checked(spark, tmp_path):
     folder = f"file://{tmp_path}"
     manifest = token_records.write_records(documents(spark), folder).collect()
@@ -186,6 +201,126 @@ def test_pipeline(spark):
     assert not planted & ids
 
 
+PLANTED = "doc_id long, text string, lang string, source string, n_chars long, rest string, score double, label string, n_lines int"
+
+
+def planted(folder_rows, items):
+    """Clean, repeated, near, leaking and odd rows beside the given documents."""
+    clean = [" ".join(words(60, s, 10**6)) for s in range(200, 210)]
+    line = " ".join(words(20, 220, 10**6))
+    near = clean[1].split()
+    near[30] = "changed"
+    texts = [(9000 + i, t) for i, t in enumerate(clean)]
+    texts += [
+        (9100, clean[0]),
+        (9101, "\n".join([line, "tail of its own that nobody else has here"])),
+        (9102, "\n".join(["a first line that is nowhere else found", line.upper()])),
+        (9103, line),
+        (9104, " ".join(near)),
+        (9105, " ".join(words(30, 230, 10**6) + items[0].split() + words(30, 231, 10**6))),
+        (9106, None),
+        (9107, ""),
+        (9108, clean[2]),
+        (9108, clean[3] + " and more of it"),
+        (None, clean[4]),
+        (None, None),
+    ]
+    return [(*r, "x", 0.5, "y", 3) for r in folder_rows] + [(i, t, "en", "s", 0, "x", 0.5, "y", 3) for i, t in texts]
+
+
+def brute_lines(docs):
+    lines = [(d, i, x.encode().lower().split()) for d, t in docs if t is not None for i, x in enumerate(t.split("\n"))]
+    first: dict = {}
+    for d, i, w in lines:
+        if d is not None and w:
+            keys = [("full", tuple(w))] + ([("gap", p, len(w), *w[:p], *w[p + 1 :]) for p in range(len(w))] if len(w) >= 8 else [])
+            keys += [("less", *w[:p], *w[p + 1 :]) for p in range(len(w))] if len(w) > 8 else []
+            for k in keys:
+                first[k] = min(first.get(k, (d, i)), (d, i))
+
+    def earlier(d, i, w):
+        keys = [("full", tuple(w))]
+        if len(w) >= 8:
+            keys += [("gap", p, len(w), *w[:p], *w[p + 1 :]) for p in range(len(w))] + [("less", *w)]
+        if len(w) > 8:
+            keys += [("full", tuple(w[:p] + w[p + 1 :])) for p in range(len(w))]
+        return any(k in first and first[k] < (d, i) for k in keys)
+
+    out = []
+    for d, t in docs:
+        kept = None if t is None else [x for i, x in enumerate(t.split("\n")) if d is None or not x.encode().split() or not earlier(d, i, x.encode().lower().split())]
+        same = t is None or len(kept) == len(t.split("\n"))
+        if same or "".join(kept).encode().split():
+            out.append((d, t if same else "\n".join(kept)))
+    return out
+
+
+def brute_near(docs):
+    sets: dict = {}
+    for d, t in docs:
+        w = (t or "").encode().lower().split()
+        if d is not None and w:
+            sets.setdefault(d, []).append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    holders: dict = {}
+    for d, group in sets.items():
+        for s in group:
+            for x in s:
+                holders.setdefault(x, set()).add(d)
+    links = set()
+    for d, group in sets.items():
+        for s in group:
+            for other in {e for x in s for e in holders[x]} - {d}:
+                if any(100 * len(s & o) >= 80 * len(s | o) for o in sets[other]):
+                    links.add((d, other))
+    component = closure(list(sets), sorted(links))
+    return [(d, t) for d, t in docs if component.get(d, d) == d]
+
+
+def test_pipeline_stages_equal_plain_rules(spark):
+    """Every stage by itself, on documents with planted cases, against plain rules over what its predecessor kept."""
+    folder = "/root/testdata/sf0.001"
+    names = table(spark, folder, "documents").columns
+    items = [(r.item_id, r.text) for r in table(spark, folder, "benchmark").collect()]
+    given = planted([tuple(r[n] for n in names) for r in table(spark, folder, "documents").collect()], [t for _, t in items])
+    docs = spark.createDataFrame(given, PLANTED)
+
+    def run(number, now):
+        out = corpus_pipeline.written(corpus_pipeline.STAGES[number][1](spark, now, folder), "stage")
+        return out, sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+
+    def content(frame):
+        return [(r.doc_id, r.text) for r in frame.collect()]
+
+    first, kept = run(0, docs)
+    labels = {r.doc_id: r.toxic for r in table(spark, folder, "labels").collect()}
+    toxic = {i for i, t in labels.items() if t == 1}
+    assert first.dtypes == docs.dtypes
+    gone = {d for d, t, *_ in given} - {d for d, _ in kept}
+    assert gone & {i for i, t in labels.items() if t == 0} == set()
+    assert len(gone & toxic) >= 0.9 * len(toxic & {d for d, *_ in given})
+    assert [x for x in kept if x[0] is None or x[0] >= 9000] == sorted(((d, t) for d, t, *_ in given if d is None or d >= 9000), key=repr)
+
+    second, lines = run(1, first)
+    assert lines == sorted(brute_lines(content(first)), key=repr) and second.dtypes == docs.dtypes
+    assert (9103, line_text(given, 9103)) not in lines and 9102 in {d for d, _ in lines}
+
+    third, near = run(2, second)
+    assert near == sorted(brute_near(content(second)), key=repr)
+    assert {9100, 9104} & {d for d, _ in near} == set() and (None, None) in near and third.dtypes == docs.dtypes
+
+    fourth, clean = run(3, third)
+    leaking = {d for d, *_ in brute_leaks(content(third), items)} - {None}
+    assert clean == sorted(((d, t) for d, t in content(third) if d not in leaking), key=repr) and 9105 in leaking
+
+    found = corpus_pipeline.STAGES[4][1](spark, fourth, folder).collect()
+    assert sorted((r.doc_id for r in found), key=repr) == sorted((d for d, _ in clean), key=repr)
+    assert all(r.round_trip for r in found)
+
+
+def line_text(given, doc_id):
+    return next(t for d, t, *_ in given if d == doc_id)
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         table(spark, "/root/testdata/sf0.001", name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
