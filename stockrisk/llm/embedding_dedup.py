@@ -31,6 +31,7 @@ COSINE = 0.93
 SHARD_ROWS = 8192
 BEAM, WIDEST = 48, 192
 RECALL = 0.99
+FEW_LINKS = 100
 SLACK = 1e-4  # single-precision similarities below the bound by so much are still verified
 
 def scaled(values: np.ndarray) -> np.ndarray:
@@ -83,10 +84,27 @@ def _build(key: tuple, group: pa.Table) -> pa.Table:
     )
 
 
-def range_search(graph: Graph, queries: np.ndarray, bound: float, audit: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Pairs (query, row) of similarity ``bound`` or more, and the recall that the audit saw."""
-    exact = np.argwhere(queries[audit] @ graph.unit.T >= bound) if len(audit) else np.zeros((0, 2), int)
-    wanted = set(zip(audit[exact[:, 0]].tolist(), exact[:, 1].tolist()))
+def _linked(graph: Graph, queries: np.ndarray, which: np.ndarray, bound: float, own: bool) -> set[tuple[int, int]]:
+    """All pairs (query, row) of the chosen queries by comparing each with every row; without those of a row with itself."""
+    out: set[tuple[int, int]] = set()
+    for a in range(0, len(which), 512):
+        part = which[a : a + 512]
+        hit = np.argwhere(queries[part] @ graph.unit.T >= bound)
+        out.update((q, r) for q, r in zip(part[hit[:, 0]].tolist(), hit[:, 1].tolist()) if not own or q != r)
+    return out
+
+
+def range_search(
+    graph: Graph, queries: np.ndarray, bound: float, audit: np.ndarray, own: bool = False
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """Pairs (query, row) of similarity ``bound`` or more, and the recall that the audit saw.
+
+    ``own``: the queries are the graph's rows, whose links to themselves prove nothing.  If the audited rows of a shard have few
+    links among its own, all its rows are audited.
+    """
+    wanted = _linked(graph, queries, audit, bound, own)
+    if own and len(wanted) < FEW_LINKS and 0 < len(audit) < len(queries):
+        wanted = _linked(graph, queries, np.arange(len(queries)), bound, own)
     beam = BEAM
     while True:
         ones, twos, left, width = [], [], np.arange(len(queries)), beam
@@ -147,7 +165,7 @@ def _search(bound: float):
             sides.append((Graph.load(row[f"{tag}_graph"]), ids, vectors, weights))
         (graph_x, ids_x, vec_x, w_x), (graph_y, ids_y, vec_y, w_y) = sides
         same = row["x_shard"] == row["y_shard"]
-        one, two, _ = range_search(graph_y, graph_x.unit, bound - SLACK, audited(ids_x))
+        one, two, _ = range_search(graph_y, graph_x.unit, bound - SLACK, audited(ids_x), same)
         if not same:
             back, forth, _ = range_search(graph_x, graph_y.unit, bound - SLACK, audited(ids_y))
             one, two = np.r_[one, forth], np.r_[two, back]

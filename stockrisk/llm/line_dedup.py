@@ -180,7 +180,7 @@ def _variant_rows(edit_words: int, buckets: int):
                 left = range_hash(lines.hashes, first[each], at, seed)
                 right = range_hash(lines.hashes, at + 1, first[each] + n[each], seed + 1)
                 rest = mix(left * _U(0x9E3779B97F4A7C15) ^ right)
-                keys.append(mix(rest + mix((gap * 65536 + n[each]).astype(np.uint64) * _U(8) + _U(_KIND["replaced"]))))
+                keys.append(mix(rest + mix((gap * (1 << 30) + n[each]).astype(np.uint64) * _U(8) + _U(_KIND["replaced"]))))
             shorter = _without(lines.hashes, first[each], at, first[each] + n[each])
             whole = [lines.digest(first, n, "full", n, s) for s in (2, 3)]
             shorter = [mix(h + mix((n[each] - 1).astype(np.uint64) * _U(8) + _U(_KIND["full"]))) for h in shorter]

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stockrisk.llm.blocks import mix
 
@@ -24,9 +25,18 @@ FOUND = "doc_id long, tag long, places binary"
 _FOUND = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("places", pa.binary())])
 
 
+BUCKET_BYTES = 32 << 20
+MOST_BUCKETS = 4096  # more only if there are more shuffle partitions: a slice sends a row to each
+
+
 def buckets_of(df: DataFrame) -> int:
-    """As many buckets as shuffle partitions, which the user sets to fit the data."""
-    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """So many buckets that each holds the keys of about ``BUCKET_BYTES`` of text, whatever the shuffle partitions are.
+
+    Beyond 128 GB of text buckets grow unless ``spark.sql.shuffle.partitions`` is raised above ``MOST_BUCKETS``.
+    """
+    size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    most = max(MOST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(8, min(-(-size // BUCKET_BYTES), most))
 
 
 def pack(
