@@ -46,13 +46,16 @@ _LANG = _U(8 * (ORDER + 1))
 
 def windows(data: np.ndarray, offsets: np.ndarray, begin: int, end: int, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """For the bytes ``begin:end``: each with the ``order`` bytes before it in its row as one number, and its row."""
-    at = np.arange(begin, end)
-    row = np.searchsorted(offsets, at, side="right") - 1
-    place = at - offsets[row]
-    keys = data[begin:end].astype(np.uint64)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.clip(offsets, begin, end)))
+    place = np.arange(begin, end) - offsets[row]
+    near = np.full(end - begin + order, BEFORE, np.uint8)  # with the bytes before ``begin``, as far as there are some
+    first = max(begin - order, 0)
+    near[order - (begin - first) :] = data[first:end]
+    keys = near[order:].astype(np.uint64)
     for d in range(1, order + 1):
-        before = np.where(place >= d, data[np.maximum(at - d, 0)], BEFORE).astype(np.uint64)
-        keys |= before << _U(8 * d)
+        before = near[order - d : len(near) - d].copy()
+        before[place < d] = BEFORE
+        keys |= before.astype(np.uint64) << _U(8 * d)
     return keys, row
 
 
