@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stockrisk.llm.blocks import mix
+from stockrisk.llm.blocks import mix, release
 
 ROW = "bucket int, owners binary, tags binary, counts binary, keys binary, low binary, high binary"
 _ROW = pa.schema(
@@ -25,14 +26,14 @@ FOUND = "doc_id long, tag long, places binary"
 _FOUND = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("places", pa.binary())])
 
 
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 MOST_BUCKETS = 4096  # more only if there are more shuffle partitions: a slice sends a row to each
 
 
 def buckets_of(df: DataFrame) -> int:
     """So many buckets that each holds the keys of about ``BUCKET_BYTES`` of text, whatever the shuffle partitions are.
 
-    Beyond 128 GB of text buckets grow unless ``spark.sql.shuffle.partitions`` is raised above ``MOST_BUCKETS``.
+    Beyond 64 GB of text buckets grow unless ``spark.sql.shuffle.partitions`` is raised above ``MOST_BUCKETS``.
     """
     size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     most = max(MOST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -68,9 +69,9 @@ def pack(
         }
 
 
-def unpack(owners: bytes, tags: bytes, counts: bytes, keys: bytes, low: bytes, high: bytes) -> tuple[np.ndarray, ...]:
+def unpack(owners: pa.Buffer, tags: pa.Buffer, counts: pa.Buffer, keys: pa.Buffer, low: pa.Buffer, high: pa.Buffer) -> tuple[np.ndarray, ...]:
     """Keys, owners, tags and places of one row."""
-    n = len(low)
+    n = low.size
     planes = np.empty((n, 4), np.uint8)
     planes[:, 0] = np.frombuffer(low, np.uint8)
     planes[:, 1:] = np.frombuffer(high, np.uint8).reshape(-1, 3)
@@ -84,9 +85,19 @@ def unpack(owners: bytes, tags: bytes, counts: bytes, keys: bytes, low: bytes, h
 
 
 def unpack_all(group: pa.Table) -> tuple[np.ndarray, ...]:
-    columns = [group.column(n).to_pylist() for n in ("owners", "tags", "counts", "keys", "low", "high")]
-    parts = [unpack(*row) for row in zip(*columns)]
-    return tuple(np.concatenate(x) for x in zip(*parts))
+    """Keys, owners, tags and places of a group.  They are put in their place row by row out of the group's own memory, so
+    that beside it there is no second copy of the group."""
+    release()  # of the group before
+    columns = [group.column(n) for n in ("owners", "tags", "counts", "keys", "low", "high")]
+    sizes = [pc.sum(pc.binary_length(column)).as_py() or 0 for column in columns]
+    n = sizes[-2]
+    out = np.empty(sizes[3] // 8, np.uint64), np.empty(n, np.int64), np.empty(n, np.uint32), np.empty(n, np.int64)
+    at = [0] * len(out)
+    for row in zip(*columns):
+        for i, values in enumerate(unpack(*(value.as_buffer() for value in row))):
+            out[i][at[i] : at[i] + len(values)] = values
+            at[i] += len(values)
+    return out
 
 
 def packed_batch(rows: list[dict]) -> pa.RecordBatch:
