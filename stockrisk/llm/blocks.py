@@ -171,26 +171,26 @@ SET_BITS = 8_388_593  # a prime near 2**23: one MB, whatever the number of ids
 
 
 def id_bits(ids: DataFrame, column: str = "doc_id") -> np.ndarray:
-    """A bit map of ``id mod SET_BITS``: it holds every id of the frame, and perhaps others.
+    """A bit map of ``id mod SET_BITS``, eight to a byte: it holds every id of the frame, and perhaps others.
 
     At most ``SET_BITS`` / 64 numbers reach the driver, however many ids there are.
     """
     slot = F.pmod(F.col(column), F.lit(SET_BITS))
-    rows = (
+    found = (
         ids.where(F.col(column).isNotNull())
         .select(slot.alias("slot"))
         .groupBy(F.expr("slot div 64").alias("word"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 AS int)))").alias("bits"))
-        .collect()
+        .toArrow()
     )
     bits = np.zeros(SET_BITS // 64 + 1, np.int64)
-    for row in rows:
-        bits[row.word] = row.bits
-    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return bits.view(np.uint8)
 
 
 def maybe_in(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return bits[np.mod(ids, SET_BITS)]
+    slot = np.mod(ids, SET_BITS)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
 
 def maybe_rows(bits: np.ndarray, ids: pa.Array) -> np.ndarray:
@@ -235,11 +235,14 @@ def components(links: DataFrame) -> DataFrame:
     label = written(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("c")).withColumnRenamed("u", "id"), "labels")
     while True:
         # The label of a neighbour, offered both to the id and to the id's present label (hooking), then one jump.
+        # Both are taken from one row and the hooked labels are written, so that no part of a round is planned twice.
         offers = edges.join(label.selectExpr("id AS v", "c AS offer"), "v").join(label.selectExpr("id AS u", "c AS old"), "u")
-        to_self = offers.selectExpr("u AS id", "offer")
-        to_root = offers.where("offer < old").selectExpr("old AS id", "offer")
-        best = to_self.union(to_root).groupBy("id").agg(F.min("offer").alias("offer"))
-        hooked = label.join(best, "id", "left").selectExpr("id", "least(c, offer) AS n", "c AS before")
+        best = (
+            offers.selectExpr("offer", "explode(array(u, if(offer < old, old, u))) AS id")
+            .groupBy("id")
+            .agg(F.min("offer").alias("offer"))
+        )
+        hooked = written(label.join(best, "id", "left").selectExpr("id", "least(c, offer) AS n", "c AS before"), "hooked")
         jumped = hooked.join(hooked.selectExpr("id AS n", "n AS next"), "n", "left").selectExpr(
             "id", "least(n, next) AS c", "before"
         )

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockrisk.llm.blocks import BYTE_VALUES, RangeHash, Words, mix, slices, words_of
+from stockrisk.llm.blocks import BYTE_VALUES, RangeHash, Words, mix, release, slices, words_of
 from stockrisk.llm.line_dedup import with_rest
 
 BITS = 20
@@ -364,6 +364,7 @@ def score_documents(
 ) -> DataFrame:
     """``doc_id, text, held_out, score, predicted, spans, rest`` for every row; spans are character offsets."""
     model = fit(*training_texts(docs, labels, train_toxic, train_clean, train_bytes))
+    release()  # what the driver needed to fit
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = with_rest(docs)
     kind = rows.schema["rest"].dataType.simpleString()

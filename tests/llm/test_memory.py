@@ -1,4 +1,4 @@
-"""What the text operators hold at once in a task."""
+"""What the text operators hold at once, in a task and on the driver."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from stockrisk.llm import packed_keys
+from stockrisk.llm import blocks, packed_keys
 
 
 def test_a_group_is_unpacked_without_a_second_copy():
@@ -41,3 +41,30 @@ def test_rows_without_keys_are_unpacked():
 def test_buckets_hold_the_keys_of_16_mb_of_text(spark):
     docs = spark.range(40).selectExpr("id AS doc_id", "repeat('x', 16 * 1024 * 1024) AS text")
     assert packed_keys.buckets_of(docs) == 40
+
+
+def test_an_id_map_takes_one_megabyte(spark):
+    ids = [0, 1, 63, 64, 1000, blocks.SET_BITS - 1, blocks.SET_BITS + 5, -1, 1 << 60, None]
+    bits = blocks.id_bits(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+    assert bits.nbytes < 1.1 * (1 << 20)
+    asked = np.array([i for i in ids if i is not None])
+    assert blocks.maybe_in(bits, asked).all()
+    others = np.array([2, 62, 65, 999, 6_000_000])
+    assert not blocks.maybe_in(bits, others).any()
+    assert blocks.maybe_rows(bits, pa.array([1, None, 2], pa.int64())).tolist() == [True, False, False]
+    assert not blocks.maybe_in(blocks.id_bits(spark.createDataFrame([], "doc_id long")), asked).any()
+
+
+def test_no_part_of_a_round_of_components_is_planned_twice(spark, monkeypatch):
+    plans = []
+
+    def written(df, purpose):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df, purpose)
+
+    kept = blocks.written
+    monkeypatch.setattr(blocks, "written", written)
+    chain = spark.range(40).selectExpr("id + 1 AS a", "id AS b")
+    found = blocks.components(chain.union(spark.sql("SELECT 100L, 90L")))
+    assert {r.id: r.component_id for r in found.collect()} == {i: 0 for i in range(41)} | {90: 90, 100: 90}
+    assert max(plan.count("Join ") for plan in plans) <= 3
