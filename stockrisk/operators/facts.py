@@ -88,13 +88,14 @@ def sku_facts(
 ) -> DataFrame:
     """Active products with their newest snapshot, newest sales row and settings; all left joins on the key.
 
-    Each right side has one row per key, so the joins cannot multiply rows or build up a hot key.
+    Each right side has one row per key, so the joins cannot multiply rows or build up a hot key.  They are merge joins at any
+    size: all sides grow with the number of SKUs, and Spark's size check sees the files' size, not that of the rows in them.
     """
     joined = (
         product_values(active_products(products))
-        .join(inventory_values(latest_inventory(snapshots)), KEY, "left")
-        .join(sales_values(latest_sales(sales)), KEY, "left")
-        .join(config_values(configs), KEY, "left")
+        .join(inventory_values(latest_inventory(snapshots)).hint("merge"), KEY, "left")
+        .join(sales_values(latest_sales(sales)).hint("merge"), KEY, "left")
+        .join(config_values(configs).hint("merge"), KEY, "left")
     )
     return with_fact_defaults(joined)
 
@@ -147,7 +148,7 @@ def enriched_analysis(
     joined = with_folded_keys(analysis).alias("a")
     for alias, df in current_rows.items():
         on = " AND ".join(f"a.{name} = {alias}.{name}" for name in FOLDED)
-        joined = joined.join(df.alias(alias), F.expr(on), "left")
+        joined = joined.join(df.alias(alias).hint("merge"), F.expr(on), "left")  # see ``sku_facts``
 
     def current(alias: str, df: DataFrame, name: str, fallback: str) -> str:
         return f"{alias}.{name} AS {name}" if name in df.columns else f"{fallback} AS {name}"

@@ -173,7 +173,7 @@ def sku_contexts(
     fields, constraints = (
         f"array({', '.join(repr(value) for value in values)})" for values in (SKU_FIELDS, SKU_CONSTRAINTS)
     )
-    return detail.join(listed, "analysis_id", "left").selectExpr(
+    return detail.join(listed.hint("merge"), "analysis_id", "left").selectExpr(
         *KEY,
         f"""to_json(named_struct('sku_detail', sku_detail, 'sku_tasks',
             coalesce(transform(placed, x -> x.body), array()),

@@ -149,7 +149,7 @@ def inventory_snapshots(spark: SparkSession, folder: str, until: date = AS_OF) -
     wide = {name: [f"cast({name}_{source} AS int)" for source in sources] for name in STOCK_MEANING}
     wide["lines"] = [f"lines_{source}" for source in sources]
     wide["sync_time"] = [f"timestamp_ntz'{dates[source - 1]}'" for source in sources]
-    keyed = totals.join(_part_keys(raw_table(spark, folder, "part")), "part")
+    keyed = totals.join(_part_keys(raw_table(spark, folder, "part")).hint("merge"), "part")
     rows = unfold(keyed, [*KEY, "asin", "part"], wide).filter("lines > 0 AND (slot < 4 OR part % 7 = 0)")
     positions = rows.selectExpr(
         "part * 10 + slot AS id",
@@ -182,7 +182,7 @@ def sales_summaries(spark: SparkSession, folder: str, until: date = AS_OF) -> Da
     sign = "CASE WHEN part % 31 = 7 THEN -1 ELSE 1 END"
     units = [f"cast(sales_units_{n}d * {sign} AS int) AS sales_units_{n}d" for n in SALES_WINDOWS]
     signed = totals.selectExpr("part", "slot", "stat_date", *units, "sales_amount_7d", "sales_amount_30d")
-    keyed = with_sales_averages(signed).join(_part_keys(raw_table(spark, folder, "part")), "part")
+    keyed = with_sales_averages(signed).join(_part_keys(raw_table(spark, folder, "part")).hint("merge"), "part")
     return keyed.selectExpr(
         "*",
         "part * 10 + slot AS id",

@@ -89,3 +89,10 @@ def test_generated_methods_are_small_enough_for_the_jit(spark, name):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", code)]
     assert sizes and max(sizes) < 8000
+
+
+@pytest.mark.parametrize("name", ["analysis", "enriched_analysis"])
+def test_tables_that_grow_are_not_broadcast(spark, name):
+    """Not even while they are small: the size check knows the files, not the rows that a broadcast sends."""
+    plan = plan_of(catalog.queries()[name](spark, SMALL))
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
