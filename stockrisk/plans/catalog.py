@@ -53,7 +53,8 @@ from stockrisk.plans.pipeline import publish, read_current, read_results
 Query = Callable[[SparkSession, str], DataFrame]
 SEARCH = "ku-1"  # SKU search text of the list queries; letter case does not matter
 ONE_SKU = "SKU-12"
-KEYED_BUCKETS = 8
+KEYED_BUCKETS = 8  # at least
+KEYED_ROWS = 20_000  # products in a bucket of the keyed tables
 
 
 class Model:
@@ -131,8 +132,13 @@ class Model:
 
     @cached_property
     def keyed(self) -> dict[str, DataFrame]:
-        """The source tables and the results of both batches as keyed tables."""
-        analysis = written(self.both_batches, "stored-analysis")
+        """The source tables and the results of both batches as keyed tables.
+
+        The number of their buckets follows the products, so that a task's share does not grow with the tables.
+        """
+        buckets = max(KEYED_BUCKETS, -(-self.products.count() // KEYED_ROWS))
+        rows = written(self.analysis, "analysis")
+        analysis = written(stored_analysis(rows, oh.CREATED_AT).unionByName(self.prior_stored), "stored-analysis")
         newest = analysis.where(F.col("analysis_batch_id") == oh.BATCH_ID)
         frames = {
             "products": self.products,
@@ -140,11 +146,11 @@ class Model:
             "configs": self.configs,
             "analysis": newest,
             "history": analysis,
-            "tasks": self.tasks,
+            "tasks": generate_tasks(rows, oh.CREATED_AT),
         }
         name = f"keyed_{uuid.uuid4().hex}"
         return {
-            key: write_keyed(frame, f"{name}_{key}", KEYED_BUCKETS, shared_folder(self.spark, f"keyed-{key}"))
+            key: write_keyed(frame, f"{name}_{key}", buckets, shared_folder(self.spark, f"keyed-{key}"))
             for key, frame in frames.items()
         }
 

@@ -96,3 +96,17 @@ def test_tables_that_grow_are_not_broadcast(spark, name):
     """Not even while they are small: the size check knows the files, not the rows that a broadcast sends."""
     plan = plan_of(catalog.queries()[name](spark, SMALL))
     assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
+def test_buckets_of_keyed_tables_follow_the_products(spark, monkeypatch):
+    model, asked = catalog.Model(spark, SMALL), []
+
+    def write_keyed(frame, table, buckets, path):
+        asked.append(buckets)
+        return frame
+
+    monkeypatch.setattr(catalog, "write_keyed", write_keyed)
+    monkeypatch.setattr(catalog, "KEYED_ROWS", 10, raising=False)
+    assert set(model.keyed) == {"products", "sales", "configs", "analysis", "history", "tasks"}
+    assert set(asked) == {-(-model.products.count() // 10)} and asked[0] > catalog.KEYED_BUCKETS
+    assert model.keyed["tasks"].exceptAll(model.tasks).count() == 0 == model.tasks.exceptAll(model.keyed["tasks"]).count()
